@@ -48,7 +48,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         else:
             rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("n_chars"), F.length(normalised(text)).alias("n"), F.xxhash64(F.substring(normalised(text), 1, prefix)).alias("head"), digest(text).alias("digest")).withColumn("row", F.monotonically_increasing_id()))
     kept = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    left = join_group(rows, heads, ["n", "head"], "n_same", "row", "left_semi") if not digests else rows
+    left = join_group(rows, heads, ["n", "head"], "n_same", "row", "left_semi")
     groups = checkpoint(left.groupBy("digest").agg(F.count("*").alias("group_size"), F.min_by(F.struct("doc_id", "row"), kept).alias("keep")).where("group_size > 1").withColumn("n_rows", F.col("group_size")))
     out = join_group(rows, groups, ["digest"], "n_rows", "row")
     alone = F.col("keep").isNull()
