@@ -20,8 +20,8 @@ WINDOW, GRAM = 50, 16
 HOT = 200
 #: Bits of each of the two bitmaps that the merged sketch leaves, at most; both are broadcast.
 SKETCH_BITS = 1 << 29
-#: Cells of a block of the sketch.
-BLOCK = 1 << 12
+#: Blocks of a row of the sketch: a task hands on so many pieces of it, however large it is.
+BLOCKS = 512
 #: Anchors, and bytes of window hashes, that a task holds before it hands them on.
 ANCHORS_AT_ONCE, BYTES_AT_ONCE = 1 << 20, 32 << 20
 
@@ -99,7 +99,7 @@ def sketch(docs: DataFrame) -> Sketch:
     rows = 3 if 3 << bits <= SKETCH_BITS else 1
     bits = min(bits, SKETCH_BITS.bit_length() - 1)
     shape = Sketch(bits, rows, np.zeros(0), np.zeros(0))
-    blocks = (1 << bits) // BLOCK
+    blocks, block_cells = BLOCKS, (1 << bits) // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -111,8 +111,8 @@ def sketch(docs: DataFrame) -> Sketch:
                 by = np.argsort(c, kind="stable")
                 c, at = np.unique(c[by], return_index=True)
                 sums = np.minimum(np.add.reduceat(times[by], at), 255).astype(np.uint8)
-                block, at = np.unique(c // BLOCK, return_index=True)
-                offsets, ends = (c % BLOCK).astype("<u2"), [*at[1:], len(c)]
+                block, at = np.unique(c // block_cells, return_index=True)
+                offsets, ends = (c % block_cells).astype("<u4"), [*at[1:], len(c)]
                 cols = [pa.array(block + r * blocks), *(pa.array([x[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()) for x in (offsets, sums))]
                 yield pa.RecordBatch.from_arrays(cols, names=["block", "offsets", "sums"])
 
@@ -129,7 +129,7 @@ def sketch(docs: DataFrame) -> Sketch:
             yield from hand_on()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sums = None, np.zeros(BLOCK, np.int64)
+        last, sums = None, np.zeros(block_cells, np.int64)
 
         def row() -> pa.RecordBatch:
             packed = [np.packbits(x, bitorder="little").tobytes() for x in (sums >= 2, sums > HOT)]
@@ -140,8 +140,8 @@ def sketch(docs: DataFrame) -> Sketch:
                 if block != last:
                     if last is not None and (sums >= 2).any():
                         yield row()
-                    last, sums = block, np.zeros(BLOCK, np.int64)
-                sums[np.frombuffer(offsets, "<u2")] += np.frombuffer(add, np.uint8)
+                    last, sums = block, np.zeros(block_cells, np.int64)
+                sums[np.frombuffer(offsets, "<u4")] += np.frombuffer(add, np.uint8)
         if last is not None and (sums >= 2).any():
             yield row()
 
@@ -150,7 +150,7 @@ def sketch(docs: DataFrame) -> Sketch:
     shape.repeated = np.zeros((rows, (1 << bits) // 8), np.uint8)
     shape.hot = np.zeros_like(shape.repeated)
     for r in merged.toLocalIterator():  # SKETCH_BITS / 4 bytes in all, at most
-        at = slice(r[0] % blocks * BLOCK // 8, (r[0] % blocks + 1) * BLOCK // 8)
+        at = slice(r[0] % blocks * block_cells // 8, (r[0] % blocks + 1) * block_cells // 8)
         shape.repeated[r[0] // blocks, at] = np.frombuffer(r[1], np.uint8)
         shape.hot[r[0] // blocks, at] = np.frombuffer(r[2], np.uint8)
     return shape
