@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact, langid, mixing, packing, simhash, substring, toxicity
+from spanloom.llm import exact, langid, mixing, packing, pivots, sharding, simhash, substring, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +41,22 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -53,7 +65,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_packing": op6_packing,
+        "op7_url_filter": op7_url_filter,
         "op8_language_id": op8_language_id,
+        "op9_sharding": op9_sharding,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
@@ -64,5 +79,15 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(c) as text_
 """
 
 
+#: Depth by depth, a bucket is a leaf when it fits the limit or holds one document.
+OP9 = f"""
+with d as (select doc_id, coalesce(strlen(text), 0) as n_bytes, ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint as h from documents),
+l as (select d.*, depth, h >> (60 - depth) as bucket from d, (select unnest(range(0, 41)) as depth)),
+s as (select depth, bucket, sum(n_bytes) as b, count(*) as n from l group by all),
+f as (select doc_id, min(depth) as depth from l join s using (depth, bucket) where b <= {sharding.LIMIT} or n = 1 group by doc_id)
+select doc_id, n_bytes, depth::int as depth, bucket, 0::bigint as chain from l join f using (doc_id, depth)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5}
+    return {"op5_exact_dedup": OP5, "op9_sharding": OP9}
