@@ -21,15 +21,17 @@ HOT_ROWS = 10_000
 BROADCAST_ROWS = 100_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder and read from there, its lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``; a private one is set only where that is unset.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which the whole cluster shares; a private folder is set only where that is unset."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
