@@ -29,27 +29,33 @@ SAMPLE, RANGE = 20_000, 16 << 20
 
 
 @cache
-def encoders(ranks: str, vocabulary: str):
+def fast_encoder(ranks: str):
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(ranks), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+
+def slow_ids(text: str, vocabulary: str) -> list[int]:
+    """The ids by the other library. It is loaded for the text alone, as a worker would keep its 100 MB."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     slow = Tokenizer.from_file(public_tokenizers.path(vocabulary))
     slow.encode_special_tokens = True
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}), slow
+    return slow.encode(text, add_special_tokens=False).ids
 
 
 def ids(text: str | None, ranks: str = RANKS, vocabulary: str = VOCABULARY) -> np.ndarray:
     """A text's ids as 16-bit numbers, and END. Names of special tokens in a text are text."""
-    fast, slow = encoders(ranks, vocabulary)
     try:
-        found = fast.encode_to_numpy(text or "", disallowed_special=())
+        found = fast_encoder(ranks).encode_to_numpy(text or "", disallowed_special=())
     except BaseException as e:  # its pattern overflows the stack on very long runs of blanks
         if type(e).__name__ != "PanicException":
             raise
-        found = np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        found = np.array(slow_ids(text, vocabulary), np.uint32)
     return np.append(found, END).astype(np.uint16)
 
 
@@ -185,7 +191,7 @@ def pack(docs: DataFrame, with_ids: bool = False) -> DataFrame:
                 if at < len(t):
                     held.append((i, at, t[at:], total))
                     full += len(t) - at
-                if len(done) >= 4096:
+                if len(done) >= 512:
                     yield batch(done)
                     done = []
             if done:
