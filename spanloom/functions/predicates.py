@@ -139,7 +139,7 @@ def is_weak_label(d: Spark, s: str) -> str:
     return f"({strip(d, s)} = '' or ({d.size(w)} <= 2 and 2 * {d.size(weak)} >= {d.size(w)}))"
 
 
-QUOTES = r"""['"]"""
+QUOTES = r"[\x22\x27]"
 
 
 def words_of(d: Spark, s: str) -> str:

@@ -12,6 +12,7 @@ from spanloom.functions import predicates as P
 from spanloom.functions import text as T
 from spanloom.functions.dialect import SPARK, WS, column, with_steps
 from spanloom.operators.structure import of_book
+from spanloom.shared import checkpoint
 
 #: Characters between candidates of one cluster; before the cut that still counts as after it; between a heading and its
 #: longer form; between a chapter and the section that repeats it; from a book's mark to its prologue (fixed values).
@@ -174,14 +175,15 @@ def resolved(books: DataFrame, candidates: DataFrame, bounds: DataFrame) -> Data
     sections that repeat or part chapters go; each book's mark gets its prologue.
     """
     c = cleaned(candidates).where("kind is not null").withColumn("label", F.col("clean")).select(*candidates.columns)
-    c = deduplicated(c).withColumn("key", F.expr(T.label_key(SPARK, "label")))
+    c = checkpoint(deduplicated(c).withColumn("key", F.expr(T.label_key(SPARK, "label"))))
+    bounds = checkpoint(bounds)
     best = c.groupBy("book_id", "key").agg(F.max_by("label", F.struct(F.length("label"), "label")).alias("label"))
     known = cleaned(best).where("kind is not null").select("book_id", "key", "label", "kind")
     mark = F.regexp_extract("label", r"(?i)^((?:chapter|part|book)\s+[0-9ivxlcdm]+)(?:$|[^\p{L}\p{N}_])", 1)
-    known = known.withColumn("prefix_key", F.when((mark != "") & F.col("label").rlike("[:-]"), F.lower(mark)))
+    known = checkpoint(known.withColumn("prefix_key", F.when((mark != "") & F.col("label").rlike("[:-]"), F.lower(mark))))
     b = bounds.select("book_id", F.col("contents_end").alias("toc_end"), F.coalesce("reading_start", F.lit(0)).alias("cut"))
     hits = matched(known.join(b, "book_id").select("book_id", "key", "prefix_key", "cut"), occurrences(books))
-    hits = hits.join(b.select("book_id", "toc_end"), "book_id").where("at >= toc_end").select("book_id", "key", "cut", "at", "prev_blank", "next_blank")
+    hits = checkpoint(hits).join(b.select("book_id", "toc_end"), "book_id").where("at >= toc_end").select("book_id", "key", "cut", "at", "prev_blank", "next_blank")
     text = best_occurrences(hits).select("book_id", "key", F.col("at").alias("text_at"))
     meta = c.where("char_offset is not null").join(known.select("book_id", "key", "kind"), ["book_id", "key"]).join(b, "book_id")
     meta = meta.where("char_offset >= toc_end and not (kind in ('chapter', 'part') and char_offset < cut)")

@@ -38,27 +38,26 @@ def lines(books: DataFrame) -> DataFrame:
 
 
 def classified(rows: DataFrame) -> DataFrame:
-    """Lines with ``kind`` and ``level``; blank lines have none."""
+    """Lines with ``kind`` and ``level``; blank lines have none.
+
+    What a line is by itself is tested once, before the windows over its book.
+    """
     w = of_book("n")
-    t = rows.withColumn("t", F.expr(T.strip(SPARK, "line"))).withColumn("blank", F.col("t") == "")
+    tests = {"stops": P.ends_sentence, "short": P.is_short, "shouted": P.is_shouted, "lists": P.is_contents_title, "division": P.is_division, "entry_like": P.is_contents_entry, "folio": P.is_folio, "rule": P.is_rule}
+    t = rows.withColumn("t", F.expr(T.strip(SPARK, "line")))
+    t = t.select("*", (F.col("t") == "").alias("blank"), column(T.repetition_key, "t").alias("key"), *[column(f, "t").alias(k) for k, f in tests.items()])
     t = t.withColumn("alone", F.coalesce(F.lag("blank").over(w), F.lit(True)) & F.coalesce(F.lead("blank").over(w), F.lit(True)))
-    t = t.withColumn("key", column(T.repetition_key, "t"))
-    counted = ~F.col("blank") & column(P.is_short, "t") & ~column(P.ends_sentence, "t") & F.col("alone") & (F.col("key") != "")
+    counted = F.expr("not blank and short and not stops and alone and key <> ''")
     t = t.withColumn("running", (F.sum(counted.cast("int")).over(W.Window.partitionBy("book_id", "key")) >= REPEATS) & (F.col("key") != ""))
-    first = F.min(F.when(column(P.is_contents_title, "t"), F.col("n"))).over(of_book())
-    t = t.withColumn("heads", first)
+    t = t.withColumn("heads", F.min(F.when(F.col("lists"), F.col("n"))).over(of_book()))
     t = t.withColumn("from", F.min(F.when((F.col("n") > F.col("heads")) & ~F.col("blank"), F.col("n"))).over(of_book()))
-    t = t.withColumn("to", F.coalesce(F.min(F.when((F.col("n") >= F.col("from")) & ~column(P.is_title_like, "t"), F.col("n"))).over(of_book()), F.max("n").over(of_book()) + 1))
+    t = t.withColumn("to", F.coalesce(F.min(F.when((F.col("n") >= F.col("from")) & (F.col("blank") | ~F.col("short") | F.col("stops")), F.col("n"))).over(of_book()), F.max("n").over(of_book()) + 1))
     entry = (F.col("n") >= F.col("from")) & (F.col("n") < F.col("to")) & (F.col("to") - F.col("from") >= ENTRIES)
-    t = t.withColumn("entry", F.coalesce(entry, F.lit(False)))
-    level = F.when(column(P.is_short, "t") & column(P.is_shouted, "t"), 1).when(column(P.is_short, "t") & F.col("alone") & ~column(P.ends_sentence, "t"), 2)
-    t = t.withColumn("looks", level)
-    kind = (
-        F.when(F.col("blank"), F.lit(None)).when(F.col("entry") | column(P.is_contents_entry, "t"), "toc_entry").when(column(P.is_folio, "t"), "page_number")
-        .when(column(P.is_rule, "t"), "separator").when(column(P.is_division, "t"), "heading").when(F.col("running"), "running_head").when(F.col("looks").isNotNull(), "heading").otherwise("paragraph")
-    )
-    t = t.withColumn("kind", kind)
-    return t.withColumn("level", F.when(F.col("kind") != "heading", 0).when(column(P.is_division, "t"), 1).otherwise(F.col("looks")))
+    t = t.withColumn("entry", F.coalesce(entry, F.lit(False))).withColumn("looks", F.expr("case when short and shouted then 1 when short and alone and not stops then 2 end"))
+    kind = """case when blank then null when entry or entry_like then 'toc_entry' when folio then 'page_number' when rule then 'separator' when division then 'heading'
+      when running then 'running_head' when looks is not null then 'heading' else 'paragraph' end"""
+    t = t.withColumn("kind", F.expr(kind))
+    return t.withColumn("level", F.expr("case when kind <> 'heading' then 0 when division then 1 else looks end"))
 
 
 def running_heads(rows: DataFrame) -> DataFrame:
@@ -88,13 +87,15 @@ def numbered_blocks(b: DataFrame) -> DataFrame:
 
 
 def sections(b: DataFrame) -> DataFrame:
-    """(book_id, section_no, title, level, start, end, has_prose, first_spoken, n_blocks)."""
+    """(book_id, section_no, title, level, start, end, has_prose, first_spoken, n_blocks), and what ``bounded`` needs of the blocks."""
     spoken = F.col("kind").isin(kinds(2))
-    s = numbered_blocks(b).groupBy("book_id", "section_no").agg(
+    t = numbered_blocks(b)
+    t = t.withColumn("_toc", F.max(F.when(F.col("kind") == "toc_entry", F.col("end"))).over(W.Window.partitionBy("book_id", "section_no")))
+    return t.groupBy("book_id", "section_no").agg(
         F.coalesce(F.max(F.when(F.col("kind") == "heading", F.col("text"))), F.lit("")).alias("title"), F.max(F.when(F.col("kind") == "heading", F.col("level"))).alias("level"),
         F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.col("kind") == "paragraph").alias("has_prose"), F.min(F.when(spoken, F.col("start"))).alias("first_spoken"), F.count("*").alias("n_blocks"),
+        F.max("_toc").alias("toc_end"), F.min(F.when(spoken & (F.col("start") >= F.col("_toc")), F.col("start"))).alias("spoken_after_toc"),
     )
-    return s
 
 
 def contents(s: DataFrame) -> DataFrame:
@@ -119,26 +120,30 @@ def guarded_blocks(books: DataFrame, b: DataFrame) -> DataFrame:
     return b.join(told.where("structured").select("book_id"), "book_id", "left_semi").select("book_id", F.col("block_no").cast("long").alias("block_no"), "kind", F.col("level").cast("int").alias("level"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text").unionByName(whole)
 
 
-def boundary(b: DataFrame) -> DataFrame:
-    """(book_id, contents_end, body_opening, reading_start): where the contents end, the body opens and reading begins.
+def bounded(s: DataFrame) -> DataFrame:
+    """Sections with their book's contents_end, body_opening and reading_start: where the contents end, the body opens and reading begins.
 
     The body began with the first opening section that has prose; evidence of contents after it does not count. Past
     the contents, the first section with prose opens the body; without contents, the first with an opening's title.
+    Reading begins with the first spoken block of the opening sections, else past the contents, else anywhere.
     """
-    s = sections(b).withColumn("opens", column(P.is_opening, "title")).withColumn("lists", column(P.is_contents_title, "title"))
-    began = s.groupBy("book_id").agg(F.min(F.when(F.col("opens") & F.col("has_prose"), F.col("start"))).alias("began"))
+    w = of_book()
+    t = s.select("*", column(P.is_opening, "title").alias("opens"), column(P.is_contents_title, "title").alias("lists"))
+    t = t.withColumn("began", F.min(F.when(F.col("opens") & F.col("has_prose"), F.col("start"))).over(w))
     front = F.col("began").isNull() | (F.col("start") < F.col("began"))
-    ends = b.where("kind = 'toc_entry'").select("book_id", "start", "end").unionByName(s.where("lists").select("book_id", "start", "end"))
-    last = ends.join(began, "book_id").where(front).groupBy("book_id").agg(F.max("end").alias("last"))
-    after = began.join(last, "book_id", "left").select("book_id", F.coalesce("last", F.lit(0)).alias("contents_end"))
-    t = s.join(after, "book_id")
-    past = (F.col("contents_end") > 0) & (F.col("start") >= F.col("contents_end")) & ~F.col("lists")
-    t = t.withColumn("prose_past", F.max(past & F.col("has_prose")).over(of_book()))
-    opens = F.when(F.col("contents_end") <= 0, F.col("opens")).when(F.col("prose_past"), past & F.col("has_prose")).otherwise(past & F.col("opens"))
-    found = t.where(opens).groupBy("book_id").agg(F.min("start").alias("first_open"), F.min("first_spoken").alias("first_read"))
-    spoken = b.where(F.col("kind").isin(kinds(2))).join(after, "book_id").groupBy("book_id").agg(F.min(F.when(F.col("start") >= F.col("contents_end"), F.col("start"))).alias("past_read"), F.min("start").alias("any_read"))
-    out = after.join(found, "book_id", "left").join(spoken, "book_id", "left")
-    return out.select("book_id", "contents_end", F.coalesce("first_open", "contents_end").alias("body_opening"), F.coalesce("first_read", "past_read", "any_read").alias("reading_start"))
+    evidence = F.when(front, F.greatest(F.col("toc_end"), F.when(F.col("lists"), F.col("end"))))
+    t = t.withColumn("contents_end", F.coalesce(F.max(evidence).over(w), F.lit(0)))
+    t = t.withColumn("past", F.expr("contents_end > 0 and start >= contents_end and not lists"))
+    t = t.withColumn("prose_past", F.max(F.col("past") & F.col("has_prose")).over(w))
+    t = t.withColumn("opening", F.expr("case when contents_end <= 0 then opens when prose_past then past and has_prose else past and opens end"))
+    after = F.expr("case when start >= contents_end then first_spoken when toc_end = contents_end then spoken_after_toc end")
+    t = t.select("*", *[F.min(c).over(w).alias(n) for n, c in (("first_open", F.when(F.col("opening"), F.col("start"))), ("first_read", F.when(F.col("opening"), F.col("first_spoken"))), ("past_read", after), ("any_read", F.col("first_spoken")))])
+    return t.select(*s.columns, "contents_end", F.coalesce("first_open", "contents_end").alias("body_opening"), F.coalesce("first_read", "past_read", "any_read").alias("reading_start"))
+
+
+def boundary(b: DataFrame) -> DataFrame:
+    """(book_id, contents_end, body_opening, reading_start) of each book."""
+    return bounded(sections(b)).groupBy("book_id").agg(*[F.first(c).alias(c) for c in ("contents_end", "body_opening", "reading_start")])
 
 
 def render_blocks(b: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -190,9 +195,9 @@ def major(s: DataFrame) -> DataFrame:
     return s.withColumn("is_major", F.col("level").isNull() | (rank <= 2))
 
 
-def chapters(s: DataFrame, bounds: DataFrame) -> DataFrame:
+def chapters(s: DataFrame) -> DataFrame:
     """(book_id, chapter_no, title, level, char_offset): titled sections of the major levels from the reading start on."""
-    t = s.join(bounds.select("book_id", "reading_start"), "book_id").withColumn("title", F.expr(T.strip(SPARK, "title")))
+    t = bounded(s).withColumn("title", F.expr(T.strip(SPARK, "title")))
     t = t.where((F.col("title") != "") & (F.col("first_spoken") >= F.coalesce("reading_start", F.lit(0))))
     t = major(t).where("is_major")
     return t.select("book_id", (F.row_number().over(of_book("first_spoken")) - 1).alias("chapter_no"), "title", "level", F.col("first_spoken").alias("char_offset"))

@@ -85,7 +85,7 @@ def bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chapters(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.chapters(sections(spark, sf), bounds(spark, sf))
+    return structure.chapters(sections(spark, sf))
 
 
 def render(spark: SparkSession, sf: str) -> DataFrame:
