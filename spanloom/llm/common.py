@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from spanloom.shared import checkpoint  # noqa: F401
+
 #: A word: a run of anything but the space and the five control characters TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters between words.
@@ -21,20 +22,6 @@ HOT_ROWS = 10_000
 BROADCAST_ROWS = 100_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, which the whole cluster shares; a private folder is set only where that is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there, its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def narrow_arrow(spark: SparkSession, rows: int = 256) -> None:
     """Texts cross to Python in batches of few rows, so that long ones do not add up in a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

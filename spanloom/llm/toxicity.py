@@ -109,7 +109,7 @@ class Model:
 def solve(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch descent: both labels weigh the same; the squared change of each swapped sentence's value is a penalty."""
     n = len(rows)
-    at, v, row = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows]), np.repeat(np.arange(n), [len(a) for a, _ in rows])
+    at, v, row = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows]), np.repeat(np.arange(n, dtype=np.int32), [len(a) for a, _ in rows])
     p_at, p_v = (np.concatenate([p[k] for p in pairs]) for k in (0, 1)) if pairs else (np.zeros(0, np.int64), np.zeros(0))
     p_row = np.repeat(np.arange(len(pairs)), [len(p[0]) for p in pairs]).astype(np.int64)
     each = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum()))
@@ -142,24 +142,27 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], pairs: list[tuple[np.n
 
     def vector(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keep = m.idf[at] > 0
-        return m.vector(at[keep], n[keep])
+        at, v = m.vector(at[keep], n[keep])
+        return at.astype(np.int32), v.astype(np.float32)
 
     x = [vector(at, n) for _, at, n in rows]
+    rows.clear()
+    n_rows = len(x)
     moved = []
     for a, n, b, k in pairs:
         (a, u), (b, v) = vector(a, n), vector(b, k)
         moved.append((np.concatenate([a, b]), np.concatenate([u, -v])))
-    value = np.zeros(len(rows))
+    value = np.zeros(n_rows)
     for f in range(FOLDS):
-        out = np.arange(len(rows)) % FOLDS == f
+        out = np.arange(n_rows) % FOLDS == f
         w, b = solve([r for r, o in zip(x, out, strict=True) if not o], label[~out], moved)
         for i in np.flatnonzero(out):
             value[i] = x[i][1] @ w[x[i][0]] + b
     order = np.argsort(-value, kind="stable")
     hits = np.cumsum(label[order])
-    f1 = 2 * hits / (np.arange(1, len(rows) + 1) + label.sum())
+    f1 = 2 * hits / (np.arange(1, n_rows + 1) + label.sum())
     best = int(np.argmax(f1))
-    following = value[order[best + 1]] if best + 1 < len(rows) else value[order[best]] - 1
+    following = value[order[best + 1]] if best + 1 < n_rows else value[order[best]] - 1
     m.cut = float((value[order[best]] + following) / 2)
     m.slope = float(2 / max(value.std(), 1e-9))
     m.weight, m.bias = solve(x, label, moved)
@@ -189,10 +192,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
     got = map_arrow(drawn, run, schema(("toxic", "int"), ("at", "binary"), ("n", "binary"), ("at2", "binary"), ("n2", "binary"))).collect()
 
     def numbers(raw: bytes) -> np.ndarray:
-        return np.frombuffer(raw, "<u4").astype(np.int64)
+        return np.frombuffer(raw, "<u4")
 
     rows = sorted((r for r in got if r[0] is not None), key=lambda r: (zlib.crc32(bytes(r[1])), bytes(r[1])))
     pairs = sorted((r for r in got if r[0] is None), key=lambda r: bytes(r[1]))
+    del got
     return train([(r[0], numbers(r[1]), numbers(r[2])) for r in rows], [tuple(numbers(x) for x in r[1:5]) for r in pairs])
 
 
