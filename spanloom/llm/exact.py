@@ -59,17 +59,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, its columns unchanged."""
-    stays = exact_groups(docs, digests=True).where("kept").select("doc_id", "digest")
-    marked = docs.withColumn("_digest", digest(F.col("text"))).withColumn("_chars", F.length(F.coalesce("text", F.lit(""))))
-    stays = stays.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of"))
-    out = marked.join(stays, marked["doc_id"].eqNullSafe(stays["_id"]) & (marked["_digest"] == stays["_of"]), "left_semi")
-    # rows alike in id and digest: the longest of them, once
-    twice = checkpoint(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    if twice.isEmpty():
-        return out.select(*docs.columns)
-    again = out.join(twice.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    once = out.join(twice.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    others = [c for c in docs.columns if c != "doc_id"]
-    best = again.groupBy("doc_id", "_digest").agg(F.max_by(F.struct(*others), F.struct("_chars", F.xxhash64(*[c for c in others]))).alias("_best"))
-    return once.select(*docs.columns).unionByName(best.select("doc_id", *[F.col(f"_best.{c}").alias(c) for c in others]).select(*docs.columns))
+    """``docs`` with one row of each group of equal texts, its columns unchanged, whatever their names."""
+    stays = exact_groups(docs, digests=True).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of"), F.col("n_chars").alias("_n"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), digest(F.col("text")).alias("_digest"), F.length(F.coalesce("text", F.lit(""))).alias("_chars"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")) & (F.col("_chars") == F.col("_n"))
+    out = rows.join(stays, same, "left_semi")
+    # rows alike in all three: one of them stays
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return out.select("_row.*")
+    return out.dropDuplicates(["_doc", "_digest"]).select("_row.*")

@@ -134,29 +134,33 @@ def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     return Model(idf, np.ascontiguousarray(np.concatenate(found).T), np.array(of, int), langs, np.array(least))
 
 
+def judged(df: DataFrame, model: Model) -> DataFrame:
+    """``df``, whose last column is a text, with lang_pred, score and rejected in its place."""
+    narrow_arrow(df.sparkSession)
+    held = df.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats per centroid
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [held.value.best(t) for t in b.columns[-1].to_pylist()]
+            columns = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=[*b.schema.names[:-1], "lang_pred", "score", "rejected"])
+
+    return map_arrow(df, run, schema(*[(f.name, f.dataType) for f in df.schema[:-1]], ("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")))
+
+
 def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``docs`` with held_out, lang_pred, score (cosine, 0 to 1) and rejected beside its columns.
+    """One row per document: doc_id, held_out, lang_pred, score (cosine, 0 to 1), rejected.
 
     Each whole text goes to the language of the nearest centroid. A null text, or one without a letter, has ``und``
     and score 0 and is rejected; so is a text too far from all centroids, which keeps its nearest language. Ties go to
-    the language first in order. Without any labelled document every text is ``und``. Columns of those four names in
-    ``docs`` are replaced.
+    the language first in order. Without any labelled document every text is ``und``. Repeated rows are predicted
+    alike; other columns are not read; an empty table gives an empty result.
     """
-    model = model or fit(docs)
-    narrow_arrow(docs.sparkSession)
-    docs = docs.drop("held_out", "lang_pred", "score", "rejected")
-    held = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats per centroid
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [held.value.best(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], names=[*b.schema.names, "lang_pred", "score", "rejected"])
-
-    out = schema(*[(f.name, f.dataType) for f in docs.schema], ("lang_pred", "string"), ("score", "double"), ("rejected", "boolean"))
-    return map_arrow(docs, run, out).withColumn("held_out", held_out())
+    out = judged(docs.select("doc_id", held_out().alias("held_out"), "text"), model or fit(docs))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rejected texts, its columns unchanged."""
-    return predict(docs).where(~F.col("rejected")).select(*docs.columns)
+    """``docs`` without the rejected texts, its columns unchanged, whatever their names."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
+    return judged(rows, fit(docs)).where(~F.col("rejected")).select("_row.*")

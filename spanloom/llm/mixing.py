@@ -167,14 +167,18 @@ def draw(docs: DataFrame) -> DataFrame:
     times = m.pieces.groupBy("row", "doc_id", "h", "pass").agg(F.sum("length").alias("_words"))
     sized = times.join(m.rows.select("row", F.col("size").alias("_size")), "row")
     lists = sized.groupBy("doc_id", "h").agg(F.collect_list(F.struct("_words", "_size")).alias("_takes"))  # at most REPEATS entries for each row of these keys
-    keyed = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.xxhash64("doc_id", "text").alias("_h"))
     if not m.rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["doc_id", "_h"])
+        keyed = keyed.dropDuplicates(["_doc", "_h"])
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("h").alias("_of"), "_takes")
-    out = keyed.join(lists, keyed["doc_id"].eqNullSafe(lists["_id"]) & (keyed["_h"] == lists["_of"])).withColumn("_take", F.explode("_takes"))
+    out = keyed.join(lists, keyed["_doc"].eqNullSafe(lists["_id"]) & (keyed["_h"] == lists["_of"])).select("_row", "_text", F.explode("_takes").alias("_take"))
     part = F.col("_take._words") < F.col("_take._size")
-    out = out.withColumn("_cut", F.when(part, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take._words").cast("int")), " ")))
-    out = out.withColumn("text", F.when(part, F.col("_cut")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    first = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take._words").cast("int")), " ")
+    out = out.withColumn("_cut", F.when(part, first))
+    columns = [F.col("_row").getField(c).alias(c) for c in docs.columns]
+    for k, c in enumerate(docs.columns):
+        if c == "text":
+            columns[k] = F.when(part, F.col("_cut")).otherwise(F.col("_text")).alias(c)
+        elif c == "n_chars":
+            columns[k] = F.when(part, F.length("_cut").cast(docs.schema[c].dataType)).otherwise(F.col("_row").getField(c)).alias(c)
+    return out.select(*columns)

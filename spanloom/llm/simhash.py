@@ -44,15 +44,16 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row; ``fp`` holds the 64 bits as a signed long. Null and blank texts have 0."""
+    """(doc_id, fp, text_hash) for each row; ``fp`` holds the 64 bits as a signed long. Null and blank texts have 0."""
     narrow_arrow(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in texts(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, schema(("doc_id", docs.schema["doc_id"].dataType), ("fp", "long")))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return map_arrow(rows, run, schema(("doc_id", docs.schema["doc_id"].dataType), ("fp", "long"), ("text_hash", "long")))
 
 
 @cache
@@ -157,12 +158,12 @@ def linked(batches: Iterator[pa.RecordBatch], cut: bool = True) -> Iterator[pa.R
     held_key, held, blocks = None, [], 0
 
     def emit(groups: list[np.ndarray], pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        x, y = [pairs[:, 0]], [pairs[:, 1]]
+        x, y = [pairs[:, 0].view(np.uint64)], [pairs[:, 1].view(np.uint64)]  # signed and unsigned together would be floats
         for g in groups:
             ends, others = forest(g)
             x += ends
             y += others
-        a, b = np.concatenate(x).view(np.uint64), np.concatenate(y).view(np.uint64)
+        a, b = np.concatenate(x), np.concatenate(y)
         if len(a):
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             zero = np.zeros(len(both), np.int64)
@@ -231,7 +232,9 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One row per input row: doc_id, fp, component_id (smallest doc_id reachable by links, itself included).
+    """One row per input row: doc_id, fp, text_hash, root, component_id (smallest doc_id reachable by links, itself included).
+
+    ``root`` is the component's least fingerprint.
 
     Rows of equal fingerprints are one node. Null, blank and repeated texts are linked like any other. A null doc_id is
     passed over as a component's name, unless its members have no other. An empty table gives an empty result; other
@@ -242,14 +245,21 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     root = components(links(nodes))
     known = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least_id", "n_rows", F.coalesce("root", "fp").alias("root"))
     names = known.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_nodes"))
-    named = checkpoint(join_group(known.select("root", "fp", "n_rows"), checkpoint(names), ["root"], "n_nodes", "fp").select("fp", "n_rows", "component_id"))
-    return join_group(rows, named, ["fp"], "n_rows", "doc_id").select("doc_id", "fp", "component_id")
+    named = checkpoint(join_group(known.select("root", "fp", "n_rows"), checkpoint(names), ["root"], "n_nodes", "fp").select("fp", "n_rows", "root", "component_id"))
+    return join_group(rows, named, ["fp"], "n_rows", "doc_id").select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id, of repeated ones any. Columns unchanged."""
+    """``docs`` with one row of each component: that of its smallest doc_id. Columns unchanged, whatever their names.
+
+    Of rows with that id in one component, one stays; rows of one id in different components stay each.
+    """
     groups = near_groups(docs)
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_id"]), "left_semi")
-    twice = docs.groupBy("doc_id").count().where("count > 1")
-    return out if twice.isEmpty() else out.dropDuplicates(["doc_id"])
+    named = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    twice = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if twice:
+        named = named.groupBy("doc_id", "root").agg(F.min("text_hash").alias("text_hash"))
+    stays = named.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"))
+    out = rows.join(stays, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left_semi")
+    return (out.dropDuplicates(["_doc", "_hash"]) if twice else out).select("_row.*")
