@@ -21,7 +21,7 @@ FEATURES, SAMPLE = 1 << 18, {0: 4000, 1: 2000}
 #: Lengths of the word beginnings that are features beside the word.
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Documents of the sample that a feature must be in; length of the vectors; ridge per row; weight of the swaps' penalty.
-LEAST, LENGTH, RIDGE, SWAP = 3, 15.0, 1e-3, 10.0
+LEAST, LENGTH, RIDGE, SWAP = 3, 15.0, 1e-2, 10.0
 ROUNDS, STEP, FOLDS = 120, 0.5, 3
 #: A score of this or more is toxic.
 TOXIC = 0.7

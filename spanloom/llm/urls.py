@@ -19,8 +19,8 @@ RULES = (
 LINK = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 #: Share of a host's rank that its links pass on; steps at most; change of all ranks at which the walk ends.
 DAMPING, STEPS, SETTLED = 0.85, 30, 1e-4
-#: A host is blocked when its distrust is above its trust, and at least so many times the even share of all hosts.
-FLOOR = 1.0
+#: A host is blocked when its distrust is above its trust, and at least this share of what all hosts have on average.
+FLOOR = 0.5
 
 
 def host_of(url: Column) -> Column:
