@@ -1,6 +1,8 @@
 """The few places where Spark SQL and DuckDB SQL differ, so that an expression can be written once for both.
 
-Expressions are SQL text. Regular expressions keep to what Java and RE2 share: no look-around, no back-references.
+Expressions are SQL text. Regular expressions keep to what Java and RE2 share: no look-around, no back-references. They
+repeat characters and classes freely, but groups only a bounded number of times: Java's matcher recurses for each
+repetition of a group, and a long line would overflow its stack.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: White space, non-word characters and digits as in Unicode, spelt for both engines.
-WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+BLANK = r"\s\x0b\x1c-\x1f\x85\p{Z}"
+WS = f"[{BLANK}]"
 NW = r"[^\p{L}\p{N}_]"
 WORD = r"[\p{L}\p{N}_]"
 ND = r"\p{Nd}"

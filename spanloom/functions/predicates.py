@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.functions.dialect import ND, NW, WS, Spark
+from spanloom.functions.dialect import BLANK, ND, NW, WS, Spark
 from spanloom.functions.text import dotted, fold, n_words, strip
 
 #: Kinds of blocks, whether they are shown, and whether they are spoken (fixed values).
@@ -68,7 +68,7 @@ def is_artefact(d: Spark, s: str) -> str:
 
 def is_rule(d: Spark, s: str) -> str:
     """Three or more dashes, stars or underscores, alone on the line."""
-    one = "|".join(rf"{c}(?:{WS}*{c}){{2}}(?:{WS}|{c})*" for c in ("-", "[*]", "_"))
+    one = "|".join(rf"[{c}](?:{WS}*[{c}]){{2}}[{BLANK}{c}]*" for c in ("-", "*", "_"))
     return d.has(s, rf"^{WS}{{0,3}}(?:{one})$")
 
 
@@ -95,7 +95,7 @@ def is_division(d: Spark, s: str) -> str:
 
 
 def numbered(d: Spark, s: str, names) -> str:
-    return d.has(strip(d, s), rf"(?i)^(?:{'|'.join(names)})(?:{WS}|[.:-])(?:{WS}|[.:-])*[^\s]")
+    return d.has(strip(d, s), rf"(?i)^(?:{'|'.join(names)})[{BLANK}.:-]+[^\s]")
 
 
 def is_contents_title(d: Spark, s: str) -> str:

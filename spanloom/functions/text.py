@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.functions.dialect import ND, NW, WS, Spark, Steps
+from spanloom.functions.dialect import BLANK, ND, NW, WS, Spark, Steps
 
 #: Characters that count as a full stop (fixed values).
 DOTLIKE = "\u2024\u2219\u00b7\uff0e\ufe52"
@@ -109,7 +109,7 @@ def label_key(d: Spark, s: str) -> str:
 def marker_key(d: Spark, s: str) -> str:
     """A line's key for comparing it with a title: no dashes, no marks at its ends, no bracket at its end."""
     s = strip(d, squash(d, f"translate({label_key(d, s)}, '-\u2013\u2014', '   ')"))
-    edge = f"(?:{WS}|{NW}|_)+"
+    edge = r"[^\p{L}\p{N}]+"
     s = d.sub(d.sub(s, f"^{edge}"), f"{edge}$")
     return strip(d, d.sub(s, rf"{WS}*\([^)]*\){WS}*$"))
 
@@ -123,8 +123,8 @@ def punctuation(d: Spark, s: str) -> str:
 def spoken_lines(d: Spark, s: str) -> str:
     """The lines that are spoken, joined: neither rules nor bare numbers, and without their outline number."""
     lines = d.split(s, LINE_END)
-    number = rf"{WS}*{ND}+(?:\.{ND}+)*"
-    rule = rf"^(?:{WS}|[-\x{{2013}}\x{{2014}}\x{{2212}}_*=~])+$"
+    number = rf"{WS}*{ND}+(?:\.{ND}+){{0,99}}"
+    rule = rf"^[{BLANK}\x{{2013}}\x{{2014}}\x{{2212}}_*=~-]+$"
     kept = d.keep(lines, lambda x: f"not {d.has(strip(d, x), rule)} and not {d.has(x, f'^{number}{WS}*$')}")
     cleaned = d.each(kept, lambda x: strip(d, d.sub(x, f"^{number}{WS}+")))
     return strip(d, d.join(d.keep(cleaned, lambda x: f"{x} <> ''"), " "))

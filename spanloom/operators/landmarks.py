@@ -10,7 +10,7 @@ from pyspark.sql import window as W
 from spanloom.functions import headings as H
 from spanloom.functions import predicates as P
 from spanloom.functions import text as T
-from spanloom.functions.dialect import SPARK, WS, column, with_steps
+from spanloom.functions.dialect import BLANK, SPARK, column, with_steps
 from spanloom.operators.structure import of_book
 from spanloom.shared import checkpoint
 
@@ -68,7 +68,7 @@ def occurrences(books: DataFrame) -> DataFrame:
     rows = rows.withColumn("prev_blank", F.coalesce(F.lag("t").over(w) == "", F.lit(True))).withColumn("next_blank", F.coalesce(F.lead("t").over(w) == "", F.lit(True)))
     t = rows.where("t <> ''").withColumn("leader", column(P.has_leader, "t"))
     dotted = F.expr(T.dotted(SPARK, "t"))
-    t = t.withColumn("only", F.col("leader") & dotted.rlike(rf"^(?:[.]|{WS})+$")).withColumn("number", F.col("t").rlike(r"^\d+(?:\.\d+)*$"))
+    t = t.withColumn("only", F.col("leader") & dotted.rlike(rf"^[.{BLANK}]+$")).withColumn("number", F.col("t").rlike(r"^\d+(?:\.\d+){0,99}$"))
     next_four = w.rowsBetween(1, 4)
     near_only, near_any = (F.coalesce(F.max(c).over(next_four), F.lit(False)) for c in ("only", "leader"))
     t = t.withColumn("probable_toc", F.col("leader") | near_only | (F.coalesce(F.lag("number").over(w), F.lit(False)) & near_any))

@@ -93,7 +93,7 @@ def drafts(c: DataFrame) -> DataFrame:
 def rejoined(d: DataFrame) -> DataFrame:
     """Drafts in which a heading that is only a number is one with the heading after it; the level is the lesser."""
     w = of_book("ord")
-    number = (F.col("kind") == "heading") & F.col("text").rlike(r"^\d+(?:\.\d+)*\.?$")
+    number = (F.col("kind") == "heading") & F.col("text").rlike(r"^\d+(?:\.\d+){0,99}\.?$")
     t = d.withColumn("number", number)
     prev = F.struct(F.lag("number").over(w).alias("number"), F.lag("text").over(w).alias("text"), F.lag("level").over(w).alias("level"))
     t = t.withColumn("prev", prev).withColumn("takes", (F.col("kind") == "heading") & ~F.col("number") & F.coalesce(F.col("prev.number"), F.lit(False)))

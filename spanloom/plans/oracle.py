@@ -116,7 +116,7 @@ PREFIX = r"(?i)^((?:chapter|part|book)\s+[0-9ivxlcdm]+)(?:$|[^\p{L}\p{N}_])"
 
 #: Occurrences of headings in the texts: lines alone, with their next, and by their mark.
 OCCURRENCES = f"""o1 as (select *, {T.strip(D, 'line')} as t from lines), o2 as (select *, coalesce(lag(t) over w = '', true) as prev_blank, coalesce(lead(t) over w = '', true) as next_blank from o1 window w as ({BY_BOOK} order by n)),
-o3 as (select *, {P.has_leader(D, 't')} as leader, {D.has('t', '^[0-9]+(?:[.][0-9]+)*$')} as number from o2 where t <> ''),
+o3 as (select *, {P.has_leader(D, 't')} as leader, {D.has('t', '^[0-9]+(?:[.][0-9]+){0,99}$')} as number from o2 where t <> ''),
 o4 as (select *, leader and {D.has(T.dotted(D, 't'), '^[. ]+$')} as alone from o3),
 o5 as (select *, leader or coalesce(bool_or(alone) over f, false) or (coalesce(lag(number) over w, false) and coalesce(bool_or(leader) over f, false)) as probable_toc, lead(t) over w as following from o4 window w as ({BY_BOOK} order by n), f as ({BY_BOOK} order by n rows between 1 following and 4 following)),
 o6 as (select book_id, start as char_offset, t as label, 'exact' as match, prev_blank, next_blank, probable_toc from o5 union all select book_id, start, case when right(t, 1) = '-' then concat(left(t, -1), following) else concat(t, ' ', following) end, 'wrapped', prev_blank, next_blank, probable_toc from o5 where following is not null),
