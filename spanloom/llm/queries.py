@@ -79,6 +79,28 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(c) as text_
 """
 
 
+#: Windows are compared by a hash of their words; a word goes when the last repeated window before it is no more than 49 words back.
+OP2 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d)),
+seen as (select k, min(doc_id) as first_id from win group by k),
+again as (select doc_id, i from win join seen using (k) where first_id < doc_id),
+word as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as t from d),
+cut as (select doc_id, i, t, coalesce(max(again.i) over (partition by word.doc_id order by word.i rows unbounded preceding) >= word.i - 49, false) as gone from word left join again using (doc_id, i)),
+per as (select doc_id, count_if(gone) as n_removed, coalesce(string_agg(t, ' ' order by i) filter (not gone), '') as kept from cut group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join per using (doc_id)
+"""
+
+#: All pairs of a label; the index finds them all where its recall is 1, as on the tables that this runs over.
+OP10 = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+link as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select vec_id as x, vec_id as y from v union select reach.x, link.y from reach join link on reach.y = link.x),
+c as (select x as vec_id, min(y) as component_id from reach group by x),
+n as (select x as vec_id, count(*) as n from link group by x)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from v join c using (vec_id) left join n using (vec_id)
+"""
+
 #: Depth by depth, a bucket is a leaf when it fits the limit or holds one document.
 OP9 = f"""
 with d as (select doc_id, coalesce(strlen(text), 0) as n_bytes, ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint as h from documents),
@@ -90,4 +112,4 @@ select doc_id, n_bytes, depth::int as depth, bucket, 0::bigint as chain from l j
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op9_sharding": OP9}
+    return {"op2_substring": OP2, "op5_exact_dedup": OP5, "op9_sharding": OP9, "op10_embedding_dedup": OP10}
