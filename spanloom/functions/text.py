@@ -187,8 +187,21 @@ def title_case(d: Spark, s: str) -> str:
 
 
 def safe_stem(d: Spark, s: str) -> str:
-    """A file name of letters, digits, dashes, dots and underscores, 80 characters at most."""
-    return f"substr({d.sub(s, r'[^A-Za-z0-9._-]+', '_')}, 1, 80)"
+    """A file name of letters, digits, dashes and underscores, 80 characters at most; ``book`` for nothing."""
+    name = d.sub(strip(d, s), r"[^\p{L}\p{N}_-]", "_")
+    return f"case when {strip(d, s)} = '' then 'book' else substr({name}, 1, 80) end"
+
+
+def pinned(d: Spark, s: str) -> str:
+    """A label as lists show it, with a pin before it, once."""
+    t = strip(d, s)
+    return f"case when {t} = '' then '📌' when instr({t}, '📌') = 1 then {t} else concat('📌 ', {t}) end"
+
+
+def language_code(d: Spark, s: str, default: str = "b") -> str:
+    """The speech engine's code of a language tag."""
+    t = f"replace(lower({strip(d, s)}), '_', '-')"
+    return f"case when {t} = 'en-gb' then 'b' when {t} = 'en-us' then 'a' else '{default}' end"
 
 
 def book_id(d: Spark, title: str, text: str) -> str:

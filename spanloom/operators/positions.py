@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 
 def playhead(events: DataFrame, n_books: int) -> DataFrame:
     """(event_id, book_id, ts, char_offset): events read as positions in books."""
-    return events.select("event_id", (F.col("user_id") % n_books).alias("book_id"), "ts", "event_type", F.expr("cast(value * 10 as bigint)").alias("char_offset"))
+    return events.select("event_id", (F.col("user_id") % n_books).alias("book_id"), "ts", "event_type", "value", F.expr("cast(value * 10 as bigint)").alias("char_offset"))
 
 
 def resume(log: DataFrame) -> DataFrame:

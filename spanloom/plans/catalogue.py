@@ -176,9 +176,9 @@ def spelling_normalize(spark, sf):
     return B.table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_BRITISH).alias("m")).select("conv_id", "turn", F.expr(T.american(S, "m")).alias("out"))
 
 
-@query("match_keys", "doc_id:long match_key:string marker_key:string stem:string", f"select doc_id, {T.match_key(D, 'text')} as match_key, {T.marker_key(D, 'substr(text, 1, 60)')} as marker_key, {T.safe_stem(D, 'text')} as stem from documents")
+@query("match_keys", "doc_id:long match_key:string marker_key:string stem:string", f"select doc_id, {T.match_key(D, 'text')} as match_key, {T.marker_key(D, 'text')} as marker_key, {T.safe_stem(D, 'text')} as stem from documents")
 def match_keys(spark, sf):
-    return documents(spark, sf).select("doc_id", F.expr(T.match_key(S, "text")).alias("match_key"), F.expr(T.marker_key(S, "substr(text, 1, 60)")).alias("marker_key"), F.expr(T.safe_stem(S, "text")).alias("stem"))
+    return documents(spark, sf).select("doc_id", F.expr(T.match_key(S, "text")).alias("match_key"), F.expr(T.marker_key(S, "text")).alias("marker_key"), F.expr(T.safe_stem(S, "text")).alias("stem"))
 
 
 @query("strip_inline", "conv_id:long n:long out:string", O.q(O.MD_BOOKS, O.lines_of("md_lines", "md_books", "conv_id"), select=f"select conv_id, n, out from {nested('md_lines', T.inline_steps(D, 'line', 'out'))}"))
@@ -501,9 +501,9 @@ def layout_levels(spark, sf):
     return layout.levels(layout.classified(layout_lines(spark, sf)))
 
 
-@query("contents_folios", "book_id:long ord:long first_kind:string kind:string", O.q(O.BOOKS, O.LINES, "layout as (select * replace (case when ord % 2 = 0 then cast(ord % 90 + 1 as varchar) else concat(text, ' . . . . . ', ord) end as text, 400.0::double as top) from (" + O.LAYOUT.partition(" as (")[2][:-1] + ") where ord < 40)", O.LAYOUT_KINDS, select="select book_id, ord, first_kind, kind from kinds"))
+@query("contents_folios", "book_id:long ord:long first_kind:string kind:string", O.q(O.BOOKS, O.LINES, "layout as (select * replace (case when ord % 2 = 0 then cast(ord % 90 + 1 as varchar) else concat(text, ' . . . . . ', ord) end as text, 400.0::double as top) from (" + O.LAYOUT.partition(" as (")[2][:-1] + "))", O.LAYOUT_KINDS, select="select book_id, ord, first_kind, kind from kinds"))
 def contents_folios(spark, sf):
-    t = layout_lines(spark, sf).where("ord < 40").withColumn("text", F.expr("case when ord % 2 = 0 then cast(ord % 90 + 1 as string) else concat(text, ' . . . . . ', ord) end")).withColumn("top", F.lit(400.0))
+    t = layout_lines(spark, sf).withColumn("text", F.expr("case when ord % 2 = 0 then cast(ord % 90 + 1 as string) else concat(text, ' . . . . . ', ord) end")).withColumn("top", F.lit(400.0))
     return layout.classified(t)
 
 
@@ -650,12 +650,14 @@ def index_job_state(spark, sf):
     return positions.jobs(playhead(spark, sf).withColumn("state", F.expr(_STATE)).where("state is not null").withColumn("progress", F.col("char_offset") - 50))
 
 
-@query("start_choice", "book_id:long start:long", O.q(*O.WHOLE, O.CHAPTERS, O.PLAYHEAD, select="""select book_id, coalesce(case when book_id % 5 = 0 then 77 end, saved, first, reading_start, 0) as start from books left join (select book_id, arg_max(char_offset, (ts, event_id)) as saved from playhead where event_type = 'view' and book_id % 2 = 0 group by book_id) using (book_id)
+@query("start_choice", "book_id:long start:long", O.q(*O.WHOLE, O.CHAPTERS, O.PLAYHEAD, select="""select book_id, coalesce(asked, saved, first, reading_start, 0) as start from books left join (select book_id, arg_max(char_offset, (ts, event_id)) as saved from playhead where event_type = 'view' and value > 45 group by book_id) using (book_id)
+ left join (select book_id, arg_max(char_offset, (ts, event_id)) as asked from playhead where event_type = 'signup' and value < 3 group by book_id) using (book_id)
  left join (select book_id, min(char_offset) as first from chapters group by book_id) using (book_id) left join bounds using (book_id)"""))
 def start_choice(spark, sf):
     b = books(spark, sf)
-    saved = positions.resume(playhead(spark, sf).where("event_type = 'view' and book_id % 2 = 0"))
-    return positions.start_choice(b, b.where("book_id % 5 = 0").select("book_id", F.lit(77).alias("char_offset")), saved, chapters(spark, sf), bounds(spark, sf))
+    p = playhead(spark, sf)
+    asked, saved = positions.resume(p.where("event_type = 'signup' and value < 3")), positions.resume(p.where("event_type = 'view' and value > 45"))
+    return positions.start_choice(b, asked, saved, chapters(spark, sf), bounds(spark, sf))
 
 
 @query("progress_throttle", "book_id:long ms:long span:long")

@@ -69,7 +69,7 @@ CHAPTERS = f"""c1 as (select book_id, {T.strip(D, 'title')} as title, level, fir
 c2 as (select *, dense_rank() over ({BY_BOOK} order by level nulls last) as rank from c1 where title <> ''),
 chapters as (select book_id, row_number() over ({BY_BOOK} order by pos0) - 1 as chapter_no, title, level, pos0 as char_offset from c2 where level is null or rank <= 2)"""
 
-PLAYHEAD = "playhead as (select event_id, user_id % (select count(*) from books) as book_id, ts, event_type, cast(trunc(value * 10) as bigint) as char_offset from events)"
+PLAYHEAD = "playhead as (select event_id, user_id % (select count(*) from books) as book_id, ts, event_type, value, cast(trunc(value * 10) as bigint) as char_offset from events)"
 
 LAYOUT = """layout as (select book_id, n as ord, n // 25 as page_index, n // 3 as block_index, line as text, case when line like 'Chapter %' or line in ('Prologue', 'Contents') then 18.0::double when line like 'THE COLLECTED%' then 9.0::double else 10.0::double end as size,
  false as bold, case when line like 'THE COLLECTED%' then 20.0::double when length(line) = 2 then 770.0::double else (120 + 20 * (n % 25))::double end as top, 800.0::double as page_height from lines where line <> '')"""

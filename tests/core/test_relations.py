@@ -201,3 +201,23 @@ def test_upserts_keep_the_last_of_a_batch(spark, tmp_path):
     q.awaitTermination()
     want = {r.book_id: r.char_offset for r in positions.resume(log).collect()}
     assert dict(seen) == want
+
+
+def test_archives(spark, tmp_path):
+    import zipfile
+
+    from spanloom.sources import archives
+
+    opf = '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml"/><item id="b" href="b.xhtml" media-type="application/xhtml+xml"/><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="nav"/><itemref idref="b"/><itemref idref="a"/></spine></package>'
+    with zipfile.ZipFile(tmp_path / "x.epub", "w") as z:
+        z.writestr("OPS/package.opf", opf)
+        for n in ("nav", "a", "b"):
+            z.writestr(f"OPS/{n}.xhtml", f"<h1>{n}</h1>")
+        z.writestr("OPS/img/1.png", b"one")
+        z.writestr("OPS/cover.html", "<img class='c' src='img/1.png'>")
+    (tmp_path / "broken.epub").write_bytes(b"no zip")
+    got = archives.documents(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(r.ord, r.name, r.html) for r in got] == [(0, "OPS/b.xhtml", "<h1>b</h1>"), (1, "OPS/a.xhtml", "<h1>a</h1>")]
+    assert archives.cover_image((tmp_path / "x.epub").read_bytes()) == b"one" and archives.cover_image(b"") is None
+    files = spark.createDataFrame([("f", "folder.png", 5), ("f", "Cover page.jpg", 5), ("f", "cover.webp", 0), ("g", "a.txt", 9)], "folder string, name string, length long")
+    assert [tuple(r) for r in archives.covers(files).collect()] == [("f", "folder.png")]
