@@ -1,4 +1,8 @@
-"""As-of joins by one union and one window; no row meets another but its neighbours in the order."""
+"""As-of joins by one union and one window; no row meets another but its neighbours in the order.
+
+``salts`` deals the probes of each key to so many parts, and copies the key's rows to each: for keys of very many probes
+and few rows, such as a book that most readers have open.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
-def _both(probes: DataFrame, at: str, rows: DataFrame, by: str, key: str) -> DataFrame:
-    p = probes.select(F.col(key).alias("_k"), F.col(at).cast("long").alias("_t"), F.lit(1).alias("_side"), F.struct(*probes.columns).alias("_probe"), F.lit(None).cast(rows.select(F.struct(*rows.columns)).schema[0].dataType).alias("_row"))
-    r = rows.select(F.col(key).alias("_k"), F.col(by).cast("long").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(p.schema["_probe"].dataType).alias("_probe"), F.struct(*rows.columns).alias("_row"))
+def _both(probes: DataFrame, at: str, rows: DataFrame, by: str, key: str, salts: int) -> DataFrame:
+    probe, row = F.struct(*probes.columns), F.struct(*rows.columns)
+    types = probes.select(probe.alias("p")).schema["p"].dataType, rows.select(row.alias("r")).schema["r"].dataType
+    p = probes.select(F.col(key).alias("_k"), F.pmod(F.xxhash64(*probes.columns), F.lit(salts)).cast("int").alias("_salt"), F.col(at).cast("long").alias("_t"), F.lit(1).alias("_side"), probe.alias("_probe"), F.lit(None).cast(types[1]).alias("_row"))
+    r = rows.select(F.col(key).alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.col(by).cast("long").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(types[0]).alias("_probe"), row.alias("_row"))
     return p.unionByName(r)
 
 
-def backward(probes: DataFrame, at: str, rows: DataFrame, by: str, key: str, clamp: bool = False) -> DataFrame:
+def backward(probes: DataFrame, at: str, rows: DataFrame, by: str, key: str, clamp: bool = False, salts: int = 1) -> DataFrame:
     """Probes with the last row whose ``by`` is at or below ``at``, as struct ``hit``; with ``clamp`` the first row serves those before it."""
-    w = W.Window.partitionBy("_k").orderBy("_t", "_side")
+    w = W.Window.partitionBy("_k", "_salt").orderBy("_t", "_side")
     hit = F.last("_row", True).over(w.rowsBetween(W.Window.unboundedPreceding, 0))
     if clamp:
         hit = F.coalesce(hit, F.first("_row", True).over(w.rowsBetween(0, W.Window.unboundedFollowing)))
-    return _both(probes, at, rows, by, key).withColumn("hit", hit).where("_side = 1").select("_probe.*", "hit")
+    return _both(probes, at, rows, by, key, salts).withColumn("hit", hit).where("_side = 1").select("_probe.*", "hit")
 
 
-def forward(probes: DataFrame, at: str, rows: DataFrame, end: str, key: str) -> DataFrame:
+def forward(probes: DataFrame, at: str, rows: DataFrame, end: str, key: str, salts: int = 1) -> DataFrame:
     """Probes with the first row whose ``end`` is above ``at``: of ordered spans the one that holds the offset or starts after it."""
-    w = W.Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(1, W.Window.unboundedFollowing)
-    return _both(probes, at, rows, end, key).withColumn("hit", F.first("_row", True).over(w)).where("_side = 1").select("_probe.*", "hit")
+    w = W.Window.partitionBy("_k", "_salt").orderBy("_t", "_side").rowsBetween(1, W.Window.unboundedFollowing)
+    return _both(probes, at, rows, end, key, salts).withColumn("hit", F.first("_row", True).over(w)).where("_side = 1").select("_probe.*", "hit")

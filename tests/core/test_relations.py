@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import audio
@@ -82,12 +83,13 @@ def test_runs(spark):
     assert [r.kind for r in runs] == ["heading", "paragraph", "heading", "paragraph"]
 
 
-def test_asof(spark):
+@pytest.mark.parametrize("salts", [1, 3])
+def test_asof(spark, salts):
     rows = spark.createDataFrame([(1, 10, 20), (1, 30, 40)], "k long, s long, e long")
     probes = spark.createDataFrame([(1, p) for p in (5, 10, 19, 20, 35, 50)] + [(2, 5)], "k long, p long")
-    back = {(r.k, r.p): r.hit.s if r.hit else None for r in asof.backward(probes, "p", rows, "s", "k").collect()}
+    back = {(r.k, r.p): r.hit.s if r.hit else None for r in asof.backward(probes, "p", rows, "s", "k", salts=salts).collect()}
     assert back == {(1, 5): None, (1, 10): 10, (1, 19): 10, (1, 20): 10, (1, 35): 30, (1, 50): 30, (2, 5): None}
-    ahead = {(r.k, r.p): r.hit.s if r.hit else None for r in asof.forward(probes, "p", rows, "e", "k").collect()}
+    ahead = {(r.k, r.p): r.hit.s if r.hit else None for r in asof.forward(probes, "p", rows, "e", "k", salts=salts).collect()}
     assert ahead == {(1, 5): 10, (1, 10): 10, (1, 19): 10, (1, 20): 30, (1, 35): 30, (1, 50): None, (2, 5): None}
 
 
