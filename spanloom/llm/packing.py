@@ -24,8 +24,9 @@ RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 HASHED, PROJECTED, BITS = 64, 4, 12
 #: Bits of a hash that follow the curve's key, so that documents alike can be parted.
 TIE = 15
-#: Documents that the ranges' bounds are read from, at least, and characters of a range, about.
-SAMPLE, RANGE = 20_000, 16 << 20
+#: Documents that the ranges' bounds are read from, at least; characters of a range, about, up to so many ranges. Above that the
+#: ranges grow; a task sorts its range on disk and packs it row by row. The driver holds 16 bytes for each of 20 documents a range.
+SAMPLE, RANGE, RANGES = 20_000, 16 << 20, 50_000
 
 
 @cache
@@ -110,7 +111,7 @@ def curve_keys(tokens: list[np.ndarray], ties: np.ndarray) -> np.ndarray:
 def bounds(docs: DataFrame) -> np.ndarray:
     """Keys at which the ranges begin, from a sample of whole documents that a hash picks; a range has about RANGE characters."""
     n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()
-    ranges = max(1, math.ceil(chars / RANGE))
+    ranges = min(RANGES, max(1, math.ceil(chars / RANGE)))
     rate = min(1.0, max(SAMPLE, 20 * ranges) / max(n, 1))
     drawn = docs.where(F.pmod(F.xxhash64("_tie"), F.lit(1 << 20)) < rate * (1 << 20))
 

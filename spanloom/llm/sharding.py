@@ -84,8 +84,9 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     if not chained.any():
         return plain
     one = checkpoint(found.where("chained").drop("chained"))
-    # documents of one hash lie one after another; each half limit begins a new link, and so does each large document
-    laid = running_sum(one.withColumn("load", F.greatest("n_bytes", F.lit(1))), ["depth", "bucket"], ["t", "row"], "load", "before")
+    # documents of one hash lie one after another, spread by row; each half limit begins a new link, and so does each large document
+    one = one.withColumn("load", F.greatest("n_bytes", F.lit(1))).withColumn("order", F.xxhash64("t", "row"))
+    laid = running_sum(one, ["depth", "bucket"], ["order", "row"], "load", "before")
     half = max(1, limit // 2)
     large = F.col("n_bytes") > half
     chain = F.expr(f"before div {half}") * 2 + large.cast("long")
