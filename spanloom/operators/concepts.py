@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, StringType
 
 from spanloom.functions import predicates as P
 from spanloom.functions import text as T
@@ -70,6 +70,11 @@ def expanded(label: str, text: str, at: int) -> str:
     return " ".join([base, *more]) if len(more) >= 2 else base
 
 
+@F.pandas_udf(StringType())
+def expanded_udf(labels: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([expanded(a or "", t or "", 0) for a, t in zip(labels, texts, strict=True)])
+
+
 NODES = ArrayType(struct_of("node_id:string label:string anchor_id:string chunk_index:int char_offset:long"))
 
 

@@ -8,9 +8,9 @@ from spanloom.functions import predicates as P
 from spanloom.functions import text as T
 from spanloom.functions.dialect import DUCK as D
 from spanloom.functions.dialect import SPARK as S
-from spanloom.operators import positions, selection, structure
+from spanloom.operators import chunking, concepts, landmarks, positions, selection, speech, structure
 from spanloom.plans import oracle as O
-from spanloom.plans.catalogue import blocks, books, bounds, chapters, documents, playhead, query, render
+from spanloom.plans.catalogue import _LOG, _QUEUE, CATALOGUE, blocks, books, bounds, chapters, documents, mark_log, playhead, query, render, timed_texts
 from spanloom.sources import archives, stores
 from spanloom.sources import books as B
 
@@ -137,3 +137,35 @@ def cover_choice(spark, sf):
 def book_progress(spark, sf):
     t = playhead(spark, sf).join(books(spark, sf), "book_id").join(bounds(spark, sf), "book_id").withColumn("s", F.coalesce("reading_start", F.lit(0))).where("char_offset >= s")
     return t.groupBy("book_id").agg(F.max(F.expr("least(100, greatest(0, ((char_offset - s) * 100) div greatest(length(text) - s, 1)))")).alias("percent"))
+
+
+@query("heading_labels", "book_id:long key:string label:string kind:string")
+def heading_labels(spark, sf):
+    """Each book's different labels of headings, as the first line that has one gives it."""
+    t = landmarks.cleaned(chunking.heading_scan(books(spark, sf))).where("kind is not null").withColumn("key", F.expr(T.label_key(S, "clean")))
+    return t.groupBy("book_id", "key").agg(F.min_by(F.struct("clean", "kind"), "char_offset").alias("f")).select("book_id", "key", F.col("f.clean").alias("label"), "f.kind")
+
+
+@query("audible_offsets", "item_id:long k:long start_char:long end_char:long", "select item_id, k, start_char + item_id * 1000 as start_char, end_char + item_id * 1000 as end_char from (" + CATALOGUE["token_timing"][2] + ")")
+def audible_offsets(spark, sf):
+    """Spans of a chunk's tokens as offsets into its book, of which each chunk has a place."""
+    at = F.col("item_id") * 1000
+    return speech.timed(timed_texts(spark, sf), "item_id").select("item_id", "k", (F.col("start_char") + at).alias("start_char"), (F.col("end_char") + at).alias("end_char"))
+
+
+_STORE = O.q(O.BOOKS, O.PLAYHEAD, _LOG, _QUEUE, select="select book_id, bookmark_id, name, char_offset, max(bookmark_id) over (partition by book_id) + 1 as next_id from live")
+
+
+@query("bookmark_store", "book_id:long bookmark_id:long name:string char_offset:long next_id:long", _STORE)
+def bookmark_store(spark, sf):
+    """Live bookmarks written as one JSON document a book and read again, with the next number of each book."""
+    row = F.struct(F.col("bookmark_id").cast("int").alias("bookmark_id"), "name", "char_offset")
+    docs = positions.bookmarks(mark_log(spark, sf)).groupBy("book_id").agg(F.to_json(F.struct(F.lit(1).alias("next_id"), F.collect_list(row).alias("bookmarks"))).alias("json"))
+    return stores.bookmarks_from_json(docs).join(stores.next_ids(docs), "book_id")
+
+
+@query("label_expansion", "doc_id:long label:string", None)
+def label_expansion(spark, sf):
+    """The first word of each document as a label, with more words of its paragraph where it is weak."""
+    t = documents(spark, sf).where("text is not null")
+    return t.select("doc_id", concepts.expanded_udf(F.regexp_extract("text", r"^\S+", 0), "text").alias("label"))
