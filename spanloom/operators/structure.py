@@ -107,9 +107,8 @@ def coverage(books: DataFrame, b: DataFrame) -> DataFrame:
     """(book_id, covered, displayed, structured): which share of the text blocks cover and show, and whether that is enough."""
     size = F.col("end") - F.col("start")
     sums = b.groupBy("book_id").agg(F.sum(size).alias("c"), F.sum(F.when(F.col("kind").isin(kinds(1)), size).otherwise(0)).alias("d"))
-    n = F.length("text")
-    share = lambda x: F.when(n > 0, F.coalesce(F.col(x), F.lit(0)) / n).otherwise(0.0)
-    out = books.select("book_id", "text").join(sums, "book_id", "left").select("book_id", share("c").alias("covered"), share("d").alias("displayed"))
+    share = lambda x: F.when(F.col("n") > 0, F.coalesce(F.col(x), F.lit(0)) / F.col("n")).otherwise(0.0)
+    out = books.select("book_id", F.length("text").alias("n")).join(sums, "book_id", "left").select("book_id", share("c").alias("covered"), share("d").alias("displayed"))
     return out.withColumn("structured", (F.col("covered") >= COVERED) & (F.col("displayed") >= DISPLAYED))
 
 
@@ -180,12 +179,14 @@ def to_source(probes: DataFrame, r: DataFrame, source: str = "pos") -> DataFrame
 
 def narration_runs(books: DataFrame, b: DataFrame, bounds: DataFrame) -> DataFrame:
     """(book_id, run_no, kind, start, end): spoken blocks of one kind with only white space between, from the reading start on."""
-    t = b.where(F.col("kind").isin(kinds(2))).join(bounds.select("book_id", "reading_start"), "book_id").where("end > coalesce(reading_start, 0)")
-    t = t.withColumn("start", F.greatest("start", F.coalesce("reading_start", F.lit(0)))).join(books.select("book_id", F.col("text").alias("whole")), "book_id")
+    t = b.drop("text").where(F.col("kind").isin(kinds(2))).join(bounds.select("book_id", "reading_start"), "book_id").where("end > coalesce(reading_start, 0)")
     w = of_book("start", "block_no")
-    t = t.withColumn("gap", F.expr("substr(whole, cast(lag(end) over (partition by book_id order by start, block_no) + 1 as int), cast(start - lag(end) over (partition by book_id order by start, block_no) as int))"))
-    joins = (F.lag("kind").over(w) == F.col("kind")) & column(P.is_blank, "gap")
-    t = t.drop("whole", "text").withColumn("run_no", F.sum((~F.coalesce(joins, F.lit(False))).cast("int")).over(w) - 1)
+    t = t.withColumn("start", F.greatest("start", F.coalesce("reading_start", F.lit(0)))).withColumn("before", F.lag(F.struct("end", "kind")).over(w))
+    # the text is joined for the gaps alone: no window carries it
+    gap = F.expr("substr(text, cast(before.end + 1 as int), cast(start - before.end as int))")
+    t = t.join(books, "book_id").select("book_id", "block_no", "kind", "start", "end", "before", gap.alias("gap"))
+    joins = (F.col("before.kind") == F.col("kind")) & column(P.is_blank, "gap")
+    t = t.withColumn("run_no", F.sum((~F.coalesce(joins, F.lit(False))).cast("int")).over(w) - 1)
     return t.groupBy("book_id", "run_no").agg(F.min("kind").alias("kind"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
