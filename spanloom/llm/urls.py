@@ -42,33 +42,37 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return found
 
 
-def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links from pages of one host to another host. Links without a host stay on theirs and are none."""
+def host_links(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    """(src, dst, n, blocked): links from pages of one host to another host, and how many of their urls a rule blocks.
+
+    Links without a host stay on theirs and are none.
+    """
     url = F.col("link")
     target = F.when(url.startswith("//"), F.concat(F.lit("http:"), url)).otherwise(url)
     links = pages.where("host <> '' and html is not null").select(F.col("host").alias("src"), F.explode(F.filter(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda x: x.startswith("//") | x.contains("://"))).alias("link"))
-    return links.select("src", host_of(target).alias("dst")).where("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    placed = links.select("src", host_of(target).alias("dst"), path_of(target).alias("path")).where("dst <> '' and dst <> src")
+    return placed.groupBy("src", "dst").agg(F.count("*").alias("n"), F.count_if(rule_of(F.col("dst"), F.col("path"), rules)["verdict"] == "block").alias("blocked"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(walk, host, rank): personalised PageRank per walk over edges (walk, src, share, dst), from seeds (walk, host, seed).
+    """(walk, host, rank, own): personalised PageRank per walk over edges (walk, src, share, dst), from seeds (walk, host, seed).
 
-    Rank that hosts without links would pass on goes back to the seeds. Each step is a join and a sum on the host,
+    ``own`` is the part of ``rank`` that a host has as a seed, the rest came over links. Rank that hosts without links would pass on goes back to the seeds. Each step is a join and a sum on the host,
     and is checkpointed.
     """
     seeds = checkpoint(seeds)
-    ranks = seeds.select("walk", "host", F.col("seed").alias("rank"))
+    ranks = seeds.select("walk", "host", F.col("seed").alias("rank"), F.col("seed").alias("own"))
     edges = checkpoint(edges)
     if edges.isEmpty() or seeds.isEmpty():
         return ranks
     for _ in range(STEPS):
-        flow = edges.join(ranks.withColumnRenamed("host", "src"), ["walk", "src"]).groupBy("walk", F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * DAMPING).alias("flow"))
+        flow = edges.join(ranks.select("walk", F.col("host").alias("src"), "rank"), ["walk", "src"]).groupBy("walk", F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * DAMPING).alias("flow"))
         flow = checkpoint(flow)
         passed = {r[0]: r[1] for r in flow.groupBy("walk").agg(F.sum("flow")).collect()}  # two rows
         back = F.when(F.col("walk") == "trust", F.lit(1 - passed.get("trust", 0.0))).otherwise(F.lit(1 - passed.get("distrust", 0.0)))
-        given = seeds.select("walk", "host", (F.col("seed") * back).alias("flow"))
-        new = checkpoint(flow.unionByName(given).groupBy("walk", "host").agg(F.sum("flow").alias("rank")))
-        change = new.unionByName(ranks.withColumn("rank", -F.col("rank"))).groupBy("walk", "host").agg(F.abs(F.sum("rank")).alias("d")).agg(F.sum("d")).first()[0]
+        given = seeds.select("walk", "host", (F.col("seed") * back).alias("flow")).withColumn("own", F.col("flow"))
+        new = checkpoint(flow.withColumn("own", F.lit(0.0)).unionByName(given).groupBy("walk", "host").agg(F.sum("flow").alias("rank"), F.sum("own").alias("own")))
+        change = new.select("walk", "host", "rank").unionByName(ranks.select("walk", "host", -F.col("rank")).toDF("walk", "host", "rank")).groupBy("walk", "host").agg(F.abs(F.sum("rank")).alias("d")).agg(F.sum("d")).first()[0]
         ranks = new
         if change < SETTLED:
             break
@@ -78,27 +82,33 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
-    A page that a rule fits has the rule's verdict. Of hosts more than half of whose pages a rule allows (all of whose pages rules block),
-    trust (distrust) spreads from them along links (against them): whom a trusted host links to is trusted, who links
-    to a blocked host is distrusted. A host whose distrust passes FLOOR and its trust is blocked, and so are its pages
-    that no rule fits; all other pages are allowed. A null url, and one without ``://``, has an empty host and path and
+    A page that a rule fits has the rule's verdict. Trust spreads along links from the hosts more than half of whose
+    pages a rule allows, by the number of those. Distrust spreads against links from every host with pages that rules
+    block, by their share of its pages; a host that is only linked to has the urls of these links for pages. So whom a
+    trusted host links to is trusted, and who links to a blocked host is distrusted. A host's own blocked pages count
+    against it where they are more than half; else only what reached it over links does. A host whose distrust passes
+    FLOOR and its trust is blocked, and so are its pages that no rule fits; all other pages are allowed. A null url, and one without ``://``, has an empty host and path and
     is allowed; a null html has no links. Repeated pages count each. Other columns are not read; an empty table gives
     an empty result.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     placed = pages.select("page_id", host.alias("host"), path.alias("path"), rule_of(host, path, rules).alias("by"))
     hosts = checkpoint(placed.groupBy("host").agg(F.count("*").alias("n_pages"), F.count_if(F.col("by.verdict") == "allow").alias("allowed"), F.count_if(F.col("by.verdict") == "block").alias("blocked")).where("host <> ''"))
+    links = checkpoint(host_links(pages.select(host.alias("host"), "html"), rules))
+    linked = links.groupBy(F.col("dst").alias("host")).agg(F.sum("n").alias("n_pages"), F.sum("blocked").alias("blocked")).join(hosts, "host", "left_anti")
+    known = checkpoint(hosts.select("host", "n_pages", "blocked").unionByName(linked))
     trusted = hosts.where("2 * allowed > n_pages").select(F.lit("trust").alias("walk"), "host", F.col("allowed").cast("double").alias("n"))
-    blocked = hosts.where("blocked = n_pages").select(F.lit("distrust").alias("walk"), "host", F.col("blocked").cast("double").alias("n"))
+    blocked = known.where("blocked > 0").select(F.lit("distrust").alias("walk"), "host", (F.col("blocked") / F.col("n_pages")).alias("n"))
     seeds = trusted.unionByName(blocked)
     totals = {r[0]: r[1] for r in seeds.groupBy("walk").agg(F.sum("n")).collect()}  # two rows
     seeds = seeds.select("walk", "host", (F.col("n") / F.when(F.col("walk") == "trust", F.lit(totals.get("trust", 1.0))).otherwise(F.lit(totals.get("distrust", 1.0)))).alias("seed"))
-    links = checkpoint(host_links(pages.select(host.alias("host"), "html")))
     both = links.select(F.lit("trust").alias("walk"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("walk", "src").agg(F.sum("n").alias("all"))
     ranks = propagate(both.join(out, ["walk", "src"]).select("walk", "src", "dst", (F.col("n") / F.col("all")).alias("share")), seeds)
-    each = ranks.groupBy("host").agg(F.sum(F.when(F.col("walk") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("walk") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
-    n_hosts = hosts.count()
+    mostly = known.where("2 * blocked > n_pages").select("host", F.lit(True).alias("mostly"))
+    counted = F.when(F.col("mostly"), F.col("rank")).otherwise(F.col("rank") - F.col("own"))
+    each = ranks.join(mostly, "host", "left").groupBy("host").agg(F.sum(F.when(F.col("walk") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("walk") == "distrust", counted).otherwise(0.0)).alias("distrust"))
+    n_hosts = known.count()
     bad = checkpoint(each.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") * n_hosts >= FLOOR)).select("host", F.lit("block").alias("spread")))
     if small(bad):
         told = placed.join(F.broadcast(bad), "host", "left")

@@ -145,3 +145,10 @@ def test_distrust_spreads_to_who_links_to_blocked_hosts(spark, monkeypatch):
         r = n
     assert all(abs(ranks["trust", h] - r[h]) < 1e-3 for h in "abc")
     assert ranks["distrust", "a"] > 0
+
+
+def test_hosts_with_some_blocked_pages_and_link_targets_are_seeds(spark):
+    rows = [(1, "http://mixed.com/", ""), (2, "http://mixed.com/x", ""), (3, "http://mixed.com/bad/", ""), (4, "http://fan.com/", '<a href="http://mixed.com/x">'), (5, "http://fan2.com/", "<a href=//gone.net/1>"), (6, "http://plain.com/", '<a href="http://else.com/">')]
+    rows += [(7, "http://mostly.com/bad/1", ""), (8, "http://mostly.com/bad/2", ""), (9, "http://mostly.com", "")]
+    got = {r.page_id: r.verdict for r in urls.judge(page(spark, rows), (("block", "net", "/"), ("block", "com", "/bad/"))).collect()}
+    assert [got[k] for k in range(1, 10)] == ["allow", "allow", "block", "block", "block", "allow", "block", "block", "block"]
