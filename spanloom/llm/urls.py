@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,10 +18,17 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 LINK = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
-#: Share of a host's rank that its links pass on; steps at most; change of all ranks at which the walk ends.
-DAMPING, STEPS, SETTLED = 0.85, 30, 1e-4
+#: Share of a host's rank that its links pass on.
+DAMPING = 0.85
 #: A host is blocked when its distrust is above its trust, and at least this share of what all hosts have on average.
 FLOOR = 0.5
+#: All ranks together are settled to within this share of what FLOOR asks of one host.
+SETTLED = 0.01
+
+
+def steps(within: float) -> int:
+    """Steps after which the walk has settled to ``within``: each leaves DAMPING of what two walks differ by, 2 at first."""
+    return math.ceil(math.log(within * (1 - DAMPING) / 2) / math.log(DAMPING)) + 2
 
 
 def host_of(url: Column) -> Column:
@@ -54,18 +62,19 @@ def host_links(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     return placed.groupBy("src", "dst").agg(F.count("*").alias("n"), F.count_if(rule_of(F.col("dst"), F.col("path"), rules)["verdict"] == "block").alias("blocked"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, within: float = 1e-4) -> DataFrame:
     """(walk, host, rank, own): personalised PageRank per walk over edges (walk, src, share, dst), from seeds (walk, host, seed).
 
     ``own`` is the part of ``rank`` that a host has as a seed, the rest came over links. Rank that hosts without links would pass on goes back to the seeds. Each step is a join and a sum on the host,
-    and is checkpointed.
+    and is checkpointed. A change c leaves at most c * DAMPING / (1 - DAMPING) of a walk to come, so the walk ends where
+    that is ``within`` or less, for all hosts together. It is an error if it does not.
     """
     seeds = checkpoint(seeds)
     ranks = seeds.select("walk", "host", F.col("seed").alias("rank"), F.col("seed").alias("own"))
     edges = checkpoint(edges)
     if edges.isEmpty() or seeds.isEmpty():
         return ranks
-    for _ in range(STEPS):
+    for _ in range(steps(within)):
         flow = edges.join(ranks.select("walk", F.col("host").alias("src"), "rank"), ["walk", "src"]).groupBy("walk", F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * DAMPING).alias("flow"))
         flow = checkpoint(flow)
         passed = {r[0]: r[1] for r in flow.groupBy("walk").agg(F.sum("flow")).collect()}  # two rows
@@ -74,9 +83,9 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         new = checkpoint(flow.withColumn("own", F.lit(0.0)).unionByName(given).groupBy("walk", "host").agg(F.sum("flow").alias("rank"), F.sum("own").alias("own")))
         change = new.select("walk", "host", "rank").unionByName(ranks.select("walk", "host", -F.col("rank")).toDF("walk", "host", "rank")).groupBy("walk", "host").agg(F.abs(F.sum("rank")).alias("d")).agg(F.sum("d")).first()[0]
         ranks = new
-        if change < SETTLED:
-            break
-    return ranks
+        if change * DAMPING <= within * (1 - DAMPING):
+            return ranks
+    raise RuntimeError(f"propagate: ranks not settled to {within} after {steps(within)} steps")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -104,11 +113,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     seeds = seeds.select("walk", "host", (F.col("n") / F.when(F.col("walk") == "trust", F.lit(totals.get("trust", 1.0))).otherwise(F.lit(totals.get("distrust", 1.0)))).alias("seed"))
     both = links.select(F.lit("trust").alias("walk"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("walk", "src").agg(F.sum("n").alias("all"))
-    ranks = propagate(both.join(out, ["walk", "src"]).select("walk", "src", "dst", (F.col("n") / F.col("all")).alias("share")), seeds)
+    n_hosts = known.count()
+    ranks = propagate(both.join(out, ["walk", "src"]).select("walk", "src", "dst", (F.col("n") / F.col("all")).alias("share")), seeds, SETTLED * FLOOR / max(1, n_hosts))
     mostly = known.where("2 * blocked > n_pages").select("host", F.lit(True).alias("mostly"))
     counted = F.when(F.col("mostly"), F.col("rank")).otherwise(F.col("rank") - F.col("own"))
     each = ranks.join(mostly, "host", "left").groupBy("host").agg(F.sum(F.when(F.col("walk") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("walk") == "distrust", counted).otherwise(0.0)).alias("distrust"))
-    n_hosts = known.count()
     bad = checkpoint(each.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") * n_hosts >= FLOOR)).select("host", F.lit("block").alias("spread")))
     if small(bad):
         told = placed.join(F.broadcast(bad), "host", "left")

@@ -4,6 +4,8 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
+
 from spanloom.llm import langid, toxicity, urls
 
 SYLLABLES = {"en": ["the", "ing", "ha", "tion", "sh"], "de": ["ein", "ung", "sch", "keit", "ß"], "fr": ["eau", "ment", "é", "que", "oi"]}
@@ -147,6 +149,17 @@ def test_distrust_spreads_to_who_links_to_blocked_hosts(spark, monkeypatch):
     assert ranks["distrust", "a"] > 0
 
 
+def test_walk_reaches_beyond_thirty_links(spark, monkeypatch):
+    seeds = spark.createDataFrame([("distrust", "h00", 1.0)], "walk string, host string, seed double")
+    edges = spark.createDataFrame([("distrust", f"h{k:02}", f"h{k + 1:02}", 1.0) for k in range(34)], "walk string, src string, dst string, share double")
+    ranks = {r.host: r.rank for r in urls.propagate(edges, seeds, 1e-4).collect()}
+    assert len(ranks) == 35 and abs(ranks["h34"] / ranks["h00"] - 0.85**34) < 1e-3
+    assert [urls.steps(urls.SETTLED * urls.FLOOR / n) for n in (5_000, 10**8)] == sorted(urls.steps(urls.SETTLED * urls.FLOOR / n) for n in (5_000, 10**8))
+    monkeypatch.setattr(urls, "steps", lambda within: 2)
+    with pytest.raises(RuntimeError, match="not settled"):
+        urls.propagate(edges, seeds, 1e-3)
+
+
 def test_hosts_with_some_blocked_pages_and_link_targets_are_seeds(spark):
     rows = [(1, "http://mixed.com/", ""), (2, "http://mixed.com/x", ""), (3, "http://mixed.com/bad/", ""), (4, "http://fan.com/", '<a href="http://mixed.com/x">'), (5, "http://fan2.com/", "<a href=//gone.net/1>"), (6, "http://plain.com/", '<a href="http://else.com/">')]
     rows += [(7, "http://mostly.com/bad/1", ""), (8, "http://mostly.com/bad/2", ""), (9, "http://mostly.com", "")]
