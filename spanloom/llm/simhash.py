@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import checkpoint, join_group, map_arrow, narrow_arrow, schema, texts
 from spanloom.llm.graph import components
+from spanloom.llm.shingles import near_copies
 
 #: Generator polynomial of the perfect (23, 12) Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -252,9 +253,10 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
 def drop_near(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest doc_id. Columns unchanged, whatever their names.
 
+    Components are those of ``near_copies``: fingerprints within NEAR bits miss most texts that are alike by 0.8.
     Of rows with that id in one component, one stays; rows of one id in different components stay each.
     """
-    groups = near_groups(docs)
+    groups = near_copies(docs)
     named = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     twice = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
     if twice:

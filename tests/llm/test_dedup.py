@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from spanloom.llm import exact, graph, simhash, substring
+from spanloom.llm import exact, graph, shingles, simhash, substring
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -157,6 +157,46 @@ def test_near_groups_and_drop(docs_of, odd_rows):
     assert ids.count(4) == 1 and ids.count(5) == 1 and ids.count(1) == 1 and ids.count(2) == 0 and None not in ids
 
 
+def brute_copies(rows):
+    """Per row the least id of its component under links of five-word Jaccard similarity 0.8 or more."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return {d: least[find(i)] for i, (d, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("sets", [1024, 3])
+def test_near_copies_of_similarity_one_to_four_fifths(docs_of, monkeypatch, sets):
+    monkeypatch.setattr(shingles, "BLOCK_SETS", sets)
+    rng = random.Random(12)
+    rows = []
+    for k in range(25):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(6, 300))]
+        for j in range(rng.randint(1, 9)):
+            rows.append((100 * k + j, " ".join(words)))
+            for _ in range(rng.randint(0, 1 + len(words) // 40)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(3000)}"
+    want = brute_copies(rows)
+    assert 25 < len(set(want.values())) < len(rows)
+    assert {r.doc_id: r.component_id for r in shingles.near_copies(docs_of(rows)).collect()} == want
+    assert sorted(r.doc_id for r in simhash.drop_near(docs_of(rows)).collect()) == sorted(set(want.values()))
+
+
 def brute_repeats(rows, window=50):
     first, words = {}, {}
     for i, t in rows:
