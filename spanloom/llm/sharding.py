@@ -65,8 +65,13 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     makes a larger shard, alone in its chain. Null texts have no bytes. Other columns are not read; an empty table
     gives an empty result.
     """
+    return placed(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), limit).drop("row")
+
+
+def placed(docs: DataFrame, limit: int) -> DataFrame:
+    """``shards`` of documents (doc_id, text, row), with the number ``row`` that tells each row from all others."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = checkpoint(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long").alias("h"), F.xxhash64("text").alias("t")).withColumn("row", F.monotonically_increasing_id()))
+    rows = checkpoint(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long").alias("h"), F.xxhash64("text").alias("t"), "row"))
     leaves = directory(rows, limit)
     begins = np.array([p << (BITS - d) for d, p, _ in leaves] or [0], np.int64)
     depths, prefixes, chained = np.array([x[0] for x in leaves] or [0], np.int32), np.array([x[1] for x in leaves] or [0], np.int64), np.array([x[2] for x in leaves] or [False])
@@ -80,7 +85,7 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType
     found = map_arrow(rows, find, schema(("doc_id", kind), ("n_bytes", "long"), ("h", "long"), ("t", "long"), ("row", "long"), ("depth", "int"), ("bucket", "long"), ("chained", "boolean")))
-    plain = found.where("not chained").select("doc_id", "n_bytes", "depth", "bucket", F.lit(0).cast("long").alias("chain"))
+    plain = found.where("not chained").select("doc_id", "n_bytes", "depth", "bucket", F.lit(0).cast("long").alias("chain"), "row")
     if not chained.any():
         return plain
     one = checkpoint(found.where("chained").drop("chained"))
@@ -91,10 +96,14 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     large = F.col("n_bytes") > half
     chain = F.expr(f"before div {half}") * 2 + large.cast("long")
     own = F.when(large, F.xxhash64("row", "t")).otherwise(F.lit(0))
-    return plain.unionByName(laid.select("doc_id", "n_bytes", "depth", "bucket", F.when(large, -1 - F.abs(own % (1 << 40))).otherwise(chain).cast("long").alias("chain")))
+    return plain.unionByName(laid.select("doc_id", "n_bytes", "depth", "bucket", F.when(large, -1 - F.abs(own % (1 << 40))).otherwise(chain).cast("long").alias("chain"), "row"))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write ``docs`` as Parquet, a folder for each shard and one file in each. Repeated ids go to their first shard."""
-    of = shards(docs, limit).groupBy("doc_id").agg(F.min(F.struct("depth", "bucket", "chain")).alias("s")).select(F.col("doc_id").alias("_id"), F.concat_ws("-", "s.depth", "s.bucket", "s.chain").alias("shard"))
-    docs.join(of, docs["doc_id"].eqNullSafe(of["_id"])).drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as Parquet, a folder for each shard and one file in each. Each row goes to its own shard, whatever its id.
+
+    The rows are numbered and checkpointed first, so that each finds its shard by its number.
+    """
+    whole = checkpoint(docs.select(F.struct("*").alias("_all"), F.monotonically_increasing_id().alias("_at")))
+    of = placed(whole.select("_all.doc_id", "_all.text", F.col("_at").alias("row")), limit).select("row", F.concat_ws("-", "depth", "bucket", "chain").alias("shard"))
+    whole.join(of, F.col("_at") == F.col("row")).select("_all.*", "shard").repartition("shard").write.partitionBy("shard").parquet(path)

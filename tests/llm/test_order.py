@@ -202,3 +202,12 @@ def test_near_vectors(spark, monkeypatch, block):
     assert names[9002].component_id == 0 and names[9010].component_id == 9009
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert pivots.near_vectors(empty).count() == 0
+
+
+def test_write_shards_keeps_the_links_of_one_id(spark, docs_of, tmp_path):
+    rows = [(None if k % 2 else 7, "abcdefghij" * 10) for k in range(60)] + [(100 + k, "x" * 30) for k in range(20)]
+    sharding.write_shards(docs_of(rows), str(tmp_path / "out"), 1000)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    sizes = out.groupBy("shard").agg(F.sum(F.length("text")).alias("b")).collect()
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(rows, key=str)
+    assert max(r.b for r in sizes) <= 1000
