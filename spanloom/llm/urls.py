@@ -27,8 +27,8 @@ SETTLED = 0.01
 
 
 def steps(within: float) -> int:
-    """Steps after which the walk has settled to ``within``: each leaves DAMPING of what two walks differ by, 2 at first."""
-    return math.ceil(math.log(within * (1 - DAMPING) / 2) / math.log(DAMPING)) + 2
+    """Steps after which the walk has settled to ``within``: each leaves DAMPING of what the ranks change by, 2 at most in each of two walks."""
+    return math.ceil(math.log(within * (1 - DAMPING) / 4) / math.log(DAMPING)) + 2
 
 
 def host_of(url: Column) -> Column:
