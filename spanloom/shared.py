@@ -8,14 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, which the whole cluster shares; a private folder is set only where that is unset."""
+    """The session's ``spark.checkpoint.dir``, which the whole cluster shares. Unset, it is an error but in local mode, where a private folder is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this library wrote, wherever it is."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there, its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer tasks than that: a file of one row group is read by one.
+
+    What moves is no more than a split of a file for each core; larger tables have more splits and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
