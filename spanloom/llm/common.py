@@ -16,15 +16,21 @@ from spanloom.shared import checkpoint  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters between words.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Groups of more rows than this are salted when rows are joined to their group.
-HOT_ROWS = 10_000
+#: Groups of more rows than this are salted when rows are joined to their group; at most so many groups are.
+HOT_ROWS, HOT_GROUPS = 10_000, 50_000
 #: Most rows that a side may have to be broadcast; each caller's rows are under 200 bytes.
 BROADCAST_ROWS = 100_000
 
 
 def narrow_arrow(spark: SparkSession, rows: int = 256) -> None:
-    """Texts cross to Python in batches of few rows, so that long ones do not add up in a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Texts cross to Python in batches of few rows, so that long ones do not add up in a worker's memory.
+
+    The setting is the session's, and is read when a plan runs. Every operator asks for the same, so that the order in
+    which plans are built changes nothing, and a smaller number that the user has set stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -54,32 +60,57 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def hot_rows(total: int) -> int:
+    """Rows above which a group counts as hot, of ``total`` rows: no more than HOT_GROUPS groups can have so many."""
+    return max(HOT_ROWS, -(-total // HOT_GROUPS))
+
+
 def join_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, how: str = "left") -> DataFrame:
     """Join each row to its group, where one group may hold any share of the rows.
 
-    ``groups`` has one row per key, and its rows' number in column ``size``. Groups of over HOT_ROWS rows are dealt
-    to ceil(size / HOT_ROWS) salts; their keys are broadcast, at most one per HOT_ROWS rows. Column ``spread`` of
-    ``rows`` picks the salt. The group's columns but ``keys`` and ``size`` follow those of the row.
+    ``groups`` has one row per key, and its rows' number in column ``size``; pass it checkpointed, as it is read three
+    times. Hot groups are dealt to salts of about as many rows as make a group hot; their keys are broadcast, HOT_GROUPS
+    at most. Column ``spread`` of ``rows`` picks the salt. The group's columns but ``keys`` and ``size`` follow those of
+    the row.
     """
-    hot = groups.where(F.col(size) > HOT_ROWS).select(*keys, F.ceil(F.col(size) / HOT_ROWS).cast("int").alias("_salts"))
+    largest, total = groups.agg(F.max(size), F.sum(size)).first()
+    each = hot_rows(total or 0)
+    if (largest or 0) <= each:
+        return rows.join(groups.drop(size), keys, how)
+    salts = F.ceil(F.col(size) / each).cast("int")
+    hot = groups.where(F.col(size) > each).select(*keys, salts.alias("_salts"))
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int"))
-    dealt = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(size) / HOT_ROWS), F.lit(1)).cast("int") - 1))).drop(size)
+    dealt = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop(size)
     return salted.drop("_salts").join(dealt, [*keys, "_salt"], how).drop("_salt")
 
 
-def running_sum(df: DataFrame, part: list[str], order: list[str], value: str, out: str, rows: int = 20_000) -> DataFrame:
+def unique_ids(docs: DataFrame) -> bool:
+    """Whether no doc_id is null or comes twice."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone`` (doc_id), columns unchanged. Few ids are broadcast, and then no text moves."""
+    gone = checkpoint(gone.select(F.col("doc_id").alias("_gone")))
+    if small(gone):
+        gone = F.broadcast(gone)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"))
+    return rows.join(gone, F.col("_doc") == F.col("_gone"), "left_anti").select("_row.*")
+
+
+def running_sum(df: DataFrame, part: list[str], order: list[str], value: str, out: str, rows: int = 1_000) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows before this one in its part, in the order of ``order``.
 
     ``order[0]`` is a 64-bit hash. Rows are bucketed by its leading bits, so many that a bucket holds about ``rows``
-    rows whatever the size of its part; only bucket sums are added up part by part. Pass a checkpointed ``df``: it is
-    read three times. Equal hashes fall in one bucket.
+    rows, or a millionth of all, whatever the size of its part; only bucket sums are added up part by part, a million at
+    most in each. Pass a checkpointed ``df``: it is read three times. Equal hashes fall in one bucket.
     """
     total = df.count()
-    bits = max(0, (max(1, total // rows) - 1).bit_length())
+    bits = min(20, max(0, (max(1, total // rows) - 1).bit_length()))
     bucket = (F.shiftrightunsigned(F.col(order[0]), 64 - bits) if bits else F.lit(0)).cast("long")
     keyed = df.withColumn("_bucket", bucket)
     sums = keyed.groupBy(*part, "_bucket").agg(F.sum(value).alias("_sum"))
-    # one row per bucket and part: its number is that of the rows over `rows`, at most
+    # one row per bucket and part
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.Window.partitionBy(*part).orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     inner = W.Window.partitionBy(*part, "_bucket").orderBy(F.shiftrightunsigned(F.col(order[0]), 1), *order).rowsBetween(W.Window.unboundedPreceding, -1)
     local = keyed.withColumn("_local", F.coalesce(F.sum(value).over(inner), F.lit(0)))

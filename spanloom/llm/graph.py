@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpoint
+from spanloom.llm.common import checkpoint, hot_rows, join_group
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,7 +13,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates the two star operations: each node hands its larger neighbours, then its smaller ones, to the smallest
     node it knows. Every round leaves at most as many edges as nodes; the rounds grow with the logarithm of the
-    longest path. Each round is checkpointed. Edges with a null end and loops are ignored.
+    longest path. Each round is checkpointed. After a few rounds the root of a large component has all its members for
+    neighbours: while there are so many edges that a node can be hot, rows meet their node salted. Edges with a null end
+    and loops are ignored.
     """
     e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v and a is not null and b is not null").distinct())
     seen = None
@@ -23,10 +25,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         seen = mark
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        known = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(known, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        many = 2 * mark[0] > hot_rows(0)  # else no node has so many neighbours
+        met = join_group(both, checkpoint(least), ["u"], "n", "v", "inner") if many else both.join(least.drop("n"), "u")
+        large = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        known = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        if many:
+            large, known = checkpoint(large), checkpoint(known)
+        met = join_group(large, known, ["u"], "n", "v", "inner") if many else large.join(known.drop("n"), "u")
+        down = met.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(down.unionByName(known.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"components: no end after {rounds} rounds")
