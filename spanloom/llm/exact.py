@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import BLANKS, BROADCAST_ROWS, checkpoint, join_group, small
+from spanloom.llm.common import BLANKS, checkpoint, join_group, small, unique_ids, without_ids
+
+#: Groups of equal length and prefix hash that may be broadcast; a row takes 12 bytes.
+SURVIVORS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -21,36 +24,37 @@ def digest(text: Column) -> Column:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, digests: bool = False) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, n_chars, digest.
 
-    Texts are equal when identical without blanks. Rows are grouped by length, the groups of more than one row by a
-    hash of the first ``prefix`` characters, and only what is still together is hashed in full. The text stays where it
-    is scanned: the surviving groups' keys are broadcast if they are few (BROADCAST_ROWS), and otherwise every row is
-    hashed there, as moving texts costs more than hashing them. ``digests``: the caller wants every row's digest, so
-    the first scan already makes it; else it is null for rows that an earlier step told apart.
+    Texts are equal when identical without blanks. A first scan takes each row's length and a hash of its first
+    ``prefix`` characters, and no more: rows are grouped by length, and those of a length that occurs again by the
+    prefix's hash. A second scan hashes the whole texts of the groups that are left, and of no other row. The text stays
+    where it is scanned: the keys of the groups that are left are broadcast if they are few (SURVIVORS), and otherwise
+    the second scan hashes every row, as moving texts costs more than hashing them. ``digests``: the caller wants every
+    row's digest, so the second scan makes a column of them, which the groups don't use; else ``digest`` is null for
+    rows that length or prefix told apart.
 
     Of a group the row with the most code points stays, then the one with the smallest id, a null id last; of rows
     alike in both, one. Null texts count as empty, empty texts are equal to one another. Other columns of ``docs`` are
     not read. An empty table gives an empty result.
     """
     text = F.col(text_col)
-    key = docs.select(
-        F.col(id_col).alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("n_chars"), F.length(normalised(text)).alias("n"),
-        F.xxhash64(F.substring(normalised(text), 1, prefix)).alias("head"), (digest(text) if digests else F.lit(None).cast("binary")).alias("digest"),
-    )
-    rows = checkpoint(key.withColumn("row", F.monotonically_increasing_id()))
-    lengths = rows.groupBy("n").agg(F.count("*").alias("n_same")).where("n_same > 1")
-    heads = join_group(rows.select("n", "head", "row"), lengths, ["n"], "n_same", "row", "left_semi").groupBy("n", "head").agg(F.count("*").alias("n_same")).where("n_same > 1")
+    length, head = F.length(normalised(text)).alias("n"), F.xxhash64(F.substring(normalised(text), 1, prefix)).alias("head")
+    first = checkpoint(docs.select(length, head, F.monotonically_increasing_id().alias("row")))
+    lengths = checkpoint(first.groupBy("n").agg(F.count("*").alias("n_same")).where("n_same > 1"))
+    heads = join_group(first, lengths, ["n"], "n_same", "row", "left_semi").groupBy("n", "head").agg(F.count("*").alias("n_same")).where("n_same > 1")
     heads = checkpoint(heads)
-    if not digests:
-        if small(heads):
-            again = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("n_chars"), text.alias("_text"), F.length(normalised(text)).alias("n"), F.xxhash64(F.substring(normalised(text), 1, prefix)).alias("head"))
-            again = again.join(F.broadcast(heads.select("n", "head", F.lit(True).alias("left"))), ["n", "head"], "left").withColumn("digest", F.when(F.col("left"), digest(F.col("_text"))))
-            rows = checkpoint(again.select("doc_id", "n_chars", "n", "head", "digest").withColumn("row", F.monotonically_increasing_id()))
-        else:
-            rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("n_chars"), F.length(normalised(text)).alias("n"), F.xxhash64(F.substring(normalised(text), 1, prefix)).alias("head"), digest(text).alias("digest")).withColumn("row", F.monotonically_increasing_id()))
+    again = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("n_chars"), text.alias("_text"), length, head)
+    if small(heads, SURVIVORS):
+        again = again.join(F.broadcast(heads.select("n", "head", F.lit(True).alias("_left"))), ["n", "head"], "left")
+    else:
+        again = again.withColumn("_left", F.lit(True))
+    full = F.when(F.col("_left"), digest(F.col("_text")))
+    rows = checkpoint(again.select("doc_id", "n_chars", full.alias("full"), (digest(F.col("_text")) if digests else full).alias("digest")).withColumn("row", F.monotonically_increasing_id()))
     kept = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    left = join_group(rows, heads, ["n", "head"], "n_same", "row", "left_semi")
-    groups = checkpoint(left.groupBy("digest").agg(F.count("*").alias("group_size"), F.min_by(F.struct("doc_id", "row"), kept).alias("keep")).where("group_size > 1").withColumn("n_rows", F.col("group_size")))
-    out = join_group(rows, groups, ["digest"], "n_rows", "row")
+    groups = rows.where("full is not null").groupBy("full").agg(F.count("*").alias("group_size"), F.min_by(F.struct("doc_id", "row"), kept).alias("keep"))
+    groups = checkpoint(groups.where("group_size > 1").withColumn("n_rows", F.col("group_size")))
+    # rows without a full hash join nothing: spread them, as nulls of one key would meet in one task
+    keyed = rows.withColumn("full", F.coalesce("full", F.col("row").cast("string").cast("binary")))
+    out = join_group(keyed, groups, ["full"], "n_rows", "row")
     alone = F.col("keep").isNull()
     return out.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -59,12 +63,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, its columns unchanged, whatever their names."""
+    """``docs`` with one row of each group of equal texts, its columns unchanged, whatever their names.
+
+    Where ids are unique the dropped ids alone decide. Rows that share an id or have none are told apart by their text.
+    """
+    if unique_ids(docs):
+        return without_ids(docs, exact_groups(docs).where("not kept"))
     stays = exact_groups(docs, digests=True).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of"), F.col("n_chars").alias("_n"))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), digest(F.col("text")).alias("_digest"), F.length(F.coalesce("text", F.lit(""))).alias("_chars"))
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")) & (F.col("_chars") == F.col("_n"))
-    out = rows.join(stays, same, "left_semi")
     # rows alike in all three: one of them stays
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return out.select("_row.*")
-    return out.dropDuplicates(["_doc", "_digest"]).select("_row.*")
+    return rows.join(stays, same, "left_semi").dropDuplicates(["_doc", "_digest"]).select("_row.*")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpoint, join_group, map_arrow, narrow_arrow, schema, texts
+from spanloom.llm.common import checkpoint, join_group, map_arrow, narrow_arrow, schema, texts, unique_ids, without_ids
 from spanloom.llm.graph import components
 from spanloom.llm.shingles import near_copies
 
@@ -245,6 +245,7 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows")))
     root = components(links(nodes))
     known = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least_id", "n_rows", F.coalesce("root", "fp").alias("root"))
+    known = checkpoint(known)
     names = known.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_nodes"))
     named = checkpoint(join_group(known.select("root", "fp", "n_rows"), checkpoint(names), ["root"], "n_nodes", "fp").select("fp", "n_rows", "root", "component_id"))
     return join_group(rows, named, ["fp"], "n_rows", "doc_id").select("doc_id", "fp", "text_hash", "root", "component_id")
@@ -257,6 +258,8 @@ def drop_near(docs: DataFrame) -> DataFrame:
     Of rows with that id in one component, one stays; rows of one id in different components stay each.
     """
     groups = near_copies(docs)
+    if unique_ids(docs):
+        return without_ids(docs, groups.where("doc_id <> component_id"))
     named = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     twice = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
     if twice:

@@ -34,7 +34,7 @@ def test_exact_groups(docs_of, odd_rows):
 
 def test_exact_without_broadcast(docs_of, odd_rows, monkeypatch):
     want = sorted(map(str, exact.exact_groups(docs_of(odd_rows)).select("doc_id", "keep_id", "group_size", "kept").collect()))
-    monkeypatch.setattr(exact, "small", lambda df: False)
+    monkeypatch.setattr(exact, "small", lambda df, rows=0: False)
     monkeypatch.setattr("spanloom.llm.common.HOT_ROWS", 1)
     assert sorted(map(str, exact.exact_groups(docs_of(odd_rows)).select("doc_id", "keep_id", "group_size", "kept").collect())) == want
 
@@ -43,6 +43,8 @@ def test_drop_exact_keeps_columns(docs_of, odd_rows):
     docs = docs_of(odd_rows)
     out = exact.drop_exact(docs)
     assert out.columns == docs.columns
+    unique = docs_of([(k, *r[1:]) for k, r in enumerate(odd_rows)])
+    assert sorted(r.text or "" for r in exact.drop_exact(unique).collect()) == sorted(r.text or "" for r in out.collect())
     rows = out.collect()
     assert len(rows) == len({SPACE.sub("", t or "") for _, t, *_ in odd_rows})
     assert {r["score"] for r in rows} == {"sc"}
@@ -157,6 +159,28 @@ def test_near_groups_and_drop(docs_of, odd_rows):
     assert ids.count(4) == 1 and ids.count(5) == 1 and ids.count(1) == 1 and ids.count(2) == 0 and None not in ids
 
 
+def test_components_of_the_whole_query(docs_of, monkeypatch):
+    monkeypatch.setattr("spanloom.llm.common.HOT_ROWS", 2)
+    rng = random.Random(19)
+    rows = []
+    for k in range(30):
+        words = [f"w{rng.randrange(200)}" for _ in range(rng.randint(20, 200))]
+        for j in range(rng.randint(1, 6)):
+            rows.append((10 * k + j, " ".join(words)))
+            words[rng.randrange(len(words))] = "new"
+    want = brute_components({i: brute_fingerprint(t) for i, t in rows})
+    assert len(set(want.values())) < len(rows)
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(docs_of(rows)).collect()} == want
+
+
+def test_exact_reads_whole_texts_of_surviving_groups_only(docs_of):
+    """Texts that length or prefix tell apart have no full hash; with digests the extra column changes no group."""
+    rows = [(1, "a" * 100), (2, "a" * 100), (3, "a" * 99 + "b"), (4, "b" * 100), (5, "c" * 7), (6, "a " * 100)]
+    got = {r.doc_id: r for r in exact.exact_groups(docs_of(rows)).collect()}
+    assert {i for i, r in got.items() if r.digest is not None} == {1, 2, 3, 6}
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got.values()} == {(1, 6, 3), (2, 6, 3), (6, 6, 3), (3, 3, 1), (4, 4, 1), (5, 5, 1)}
+
+
 def brute_copies(rows):
     """Per row the least id of its component under links of five-word Jaccard similarity 0.8 or more."""
     sets = []
@@ -241,3 +265,10 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(1000, 1001), (1001, 1000), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges).collect()}
     assert got == {k: 0 for k in range(201)} | {1000: 1000, 1001: 1000}
+
+
+def test_components_with_a_hot_root(spark, monkeypatch):
+    monkeypatch.setattr("spanloom.llm.common.HOT_ROWS", 20)
+    edges = spark.createDataFrame([(0, k) for k in range(1, 300)] + [(300 + k, 301 + k) for k in range(90)] + [(299, 350)], "a long, b long")
+    got = {r.node: r.root for r in graph.components(edges).collect()}
+    assert got == dict.fromkeys(range(391), 0)
