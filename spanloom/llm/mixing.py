@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from spanloom.llm.common import WORD, checkpoint, map_arrow, running_sum, schema, word_count
+from spanloom.llm.common import BROADCAST_ROWS, WORD, checkpoint, map_arrow, running_sum, schema, word_count
 
 WEIGHTS = (1, 2, 3)
 #: Times that a document is taken, at most.
@@ -37,20 +38,15 @@ class Source:
 
 
 def targets(sources: list[Source], repeats: float = REPEATS) -> None:
-    """Share the sum of all sizes by weight. A target stops at ``repeats`` times its source's size; its excess is shared again."""
-    total, open_ = float(sum(s.size for s in sources)), list(sources)
-    left = total
-    while open_:
-        weight = sum(s.weight for s in open_)
-        above = [s for s in open_ if left * s.weight / weight > repeats * s.size]
-        if not above:
-            for s in open_:
-                s.target = left * s.weight / weight
-            return
-        for s in above:
-            s.target = float(repeats * s.size)
-        left = total - sum(s.target for s in sources if s not in open_ or s in above)
-        open_ = [s for s in open_ if s not in above]
+    """Share the sum of all sizes by weight. A target stops at ``repeats`` times its source's size; its excess is shared again.
+
+    A source stops when a unit of weight is worth more than ``repeats`` times its size over its weight, and each that
+    stops makes the unit worth more to the others: so they stop in the order of that quotient.
+    """
+    left, weight = float(sum(s.size for s in sources)), float(sum(s.weight for s in sources))
+    for s in sorted(sources, key=lambda s: s.size / s.weight):
+        s.target = min(left * s.weight / weight, float(repeats * s.size))
+        left, weight = left - s.target, weight - s.weight
 
 
 def plan(sizes: list[tuple[str | None, int]], weights: Sequence[float] = WEIGHTS, block: int = BLOCK, blocks: int = BLOCKS) -> list[Source]:
@@ -72,6 +68,11 @@ class Mix:
     pieces: DataFrame
 
 
+def per_source(df: DataFrame, sources: list[Source]) -> DataFrame:
+    """``df``, which has a row for each source; broadcast where that is few enough, as one source may have most rows."""
+    return F.broadcast(df) if len(sources) <= BROADCAST_ROWS else df
+
+
 def schedule(spark, sources: list[Source]) -> DataFrame:
     """(slot, ix, rank): which source each slot takes from, and how many slots it had before.
 
@@ -79,7 +80,7 @@ def schedule(spark, sources: list[Source]) -> DataFrame:
     interval holds that point. Slots beyond a source's number are left out; the few that a source lacks come last.
     """
     n = sum(s.slots for s in sources)
-    ends = np.array([(sum(s.slots for s in sources[: i + 1]) << 64) // n - 1 for i in range(len(sources))], np.uint64) if n else np.zeros(0, np.uint64)
+    ends = np.array([(k << 64) // n - 1 for k in accumulate(s.slots for s in sources)], np.uint64) if n else np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,9 +100,10 @@ def schedule(spark, sources: list[Source]) -> DataFrame:
 
     chunks = -(-n // SLOTS)
     dealt = checkpoint(map_arrow(spark.range(0, chunks, 1, max(1, min(chunks, 1000))), run, schema(("chunk", "long"), ("ix", "int"), ("n", "long"), ("slots", "binary"))))
-    # one row per source and SLOTS slots
-    before = dealt.withColumn("before", F.coalesce(F.sum("n").over(W.Window.partitionBy("ix").orderBy("chunk").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
-    out = map_arrow(before.select("ix", "before", "slots"), unpack, schema(("slot", "long"), ("ix", "int"), ("rank", "long")))
+    # one number per source and SLOTS slots; the slots themselves are joined to it
+    had_before = F.coalesce(F.sum("n").over(W.Window.partitionBy("ix").orderBy("chunk").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    before = dealt.select("chunk", "ix", had_before.alias("before"))
+    out = map_arrow(dealt.join(before, ["chunk", "ix"]).select("ix", "before", "slots"), unpack, schema(("slot", "long"), ("ix", "int"), ("rank", "long")))
     had = {r[0]: r[1] for r in dealt.groupBy("ix").agg(F.sum("n")).collect()}  # one row per source
     wanted = spark.createDataFrame([(i, s.slots) for i, s in enumerate(sources)] or [(-1, 0)], "ix int, wanted long")
     lacks, at = [], n
@@ -109,7 +111,7 @@ def schedule(spark, sources: list[Source]) -> DataFrame:
         if had.get(i, 0) < s.slots:
             lacks.append((i, had.get(i, 0), s.slots - 1, at))
             at += s.slots - had.get(i, 0)
-    kept = out.join(wanted, "ix").where("rank < wanted").select("slot", "ix", "rank")
+    kept = out.join(per_source(wanted, sources), "ix").where("rank < wanted").select("slot", "ix", "rank")
     if not lacks:
         return kept
     more = spark.createDataFrame(lacks, "ix int, low long, high long, at long").select("ix", "low", "at", F.explode(F.sequence("low", "high")).alias("rank"))
@@ -134,7 +136,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, size: Column | None
     sources = plan([(r[0], r[1]) for r in sums], weights)
     known = spark.createDataFrame([(i, s.name, s.size, s.target, s.blocks) for i, s in enumerate(sources)] or [(-1, None, 0, 0.0, 0)], "ix int, _source string, source_size long, target double, blocks long")
     placed = running_sum(rows, ["source"], ["h", "doc_id", "size", "row"], "size", "start")
-    placed = checkpoint(placed.join(known, placed["source"].eqNullSafe(known["_source"])).drop("_source"))
+    placed = checkpoint(placed.join(per_source(known, sources), placed["source"].eqNullSafe(known["_source"])).drop("_source"))
     words, extra = F.expr("source_size div blocks"), F.expr("source_size % blocks")  # `extra` blocks have a word more
 
     def block(word: Column) -> Column:
@@ -147,7 +149,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, size: Column | None
     cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(block(F.col("start")), block(last))))
     b = F.col("block")
     cut = cut.select("ix", "block", "blocks", "row", "doc_id", "h", F.greatest(begin(b) - F.col("start"), F.lit(0)).alias("first"), (F.least(begin(b + 1), last + 1) - F.greatest(begin(b), F.col("start"))).alias("length"))
-    slots = schedule(spark, sources).join(known.select("ix", "blocks"), "ix").select("slot", "ix", F.expr("rank div blocks").alias("pass"), F.expr("rank % blocks").alias("block"))
+    slots = schedule(spark, sources).join(per_source(known.select("ix", "blocks"), sources), "ix").select("slot", "ix", F.expr("rank div blocks").alias("pass"), F.expr("rank % blocks").alias("block"))
     pieces = cut.drop("blocks").join(slots, ["ix", "block"]).select("slot", "row", "doc_id", "h", "pass", "first", "length")
     return Mix(placed.select("row", "doc_id", "source", "h", "size", "source_size", "target"), pieces)
 
