@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import exact, langid, mixing, packing, pivots, sharding, simhash, substring, toxicity, urls
+from spanloom.shared import spread
+
+
+#: Bytes of a shard in the query: so few that the smallest tables are split too. The operator's own default is larger.
+SHARD = 256 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +55,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(table(spark, sf_dir, "documents"))
+    return sharding.shards(table(spark, sf_dir, "documents"), SHARD)
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,9 +109,9 @@ select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = compone
 #: Depth by depth, a bucket is a leaf when it fits the limit or holds one document.
 OP9 = f"""
 with d as (select doc_id, coalesce(strlen(text), 0) as n_bytes, ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint as h from documents),
-l as (select d.*, depth, h >> (60 - depth) as bucket from d, (select unnest(range(0, 41)) as depth)),
+l as (select d.*, depth, h >> (60 - depth) as bucket from d, (select unnest(range(0, 61)) as depth)),
 s as (select depth, bucket, sum(n_bytes) as b, count(*) as n from l group by all),
-f as (select doc_id, min(depth) as depth from l join s using (depth, bucket) where b <= {sharding.LIMIT} or n = 1 group by doc_id)
+f as (select doc_id, min(depth) as depth from l join s using (depth, bucket) where b <= {SHARD} or n = 1 group by doc_id)
 select doc_id, n_bytes, depth::int as depth, bucket, 0::bigint as chain from l join f using (doc_id, depth)
 """
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,46 +16,73 @@ from spanloom.llm.common import checkpoint, map_arrow, running_sum, schema
 LIMIT = 64 << 20
 #: Bits of the hash, and bits by which the buckets that are too large are counted anew at each step.
 BITS, STEP = 60, 8
-#: Buckets that the directory may have; it is held by the driver and every worker, 24 bytes a bucket.
-DIRECTORY = 1 << 24
+#: Buckets that the directory may have; the driver and every worker hold 21 bytes for each.
+DIRECTORY = 1 << 22
 
 
-def directory(rows: DataFrame, limit: int) -> list[tuple[int, int, bool]]:
-    """Buckets as (depth, prefix, chained), in the order of their prefixes.
+@dataclass
+class Directory:
+    """Buckets in the order of their prefixes: the hash at which each begins, its depth, and whether it is chained."""
+
+    begins: np.ndarray
+    depths: np.ndarray
+    chained: np.ndarray
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, h, side="right") - 1
+
+
+def settled(prefix: np.ndarray, sums: tuple[np.ndarray, ...], top: int, depth: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which depth each part of the finest counts comes to rest at, if any: the least at which its bucket fits, or can't be split.
+
+    ``sums`` are bytes, rows, least and largest hash of the parts, by prefixes of ``depth`` bits in order. Returned are
+    the depths (-1: over the limit still), whether the bucket is over the limit and of one hash, and the first part of each bucket.
+    """
+    b, n, lo, hi = sums
+    at, chained, first = np.full(len(prefix), -1, np.int8), np.zeros(len(prefix), bool), np.zeros(len(prefix), bool)
+    for d in range(top, depth + 1):
+        p = prefix >> (depth - d)
+        begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, int)
+        size, rows = np.add.reduceat(b, begin), np.add.reduceat(n, begin)
+        one = (rows == 1) | (np.minimum.reduceat(lo, begin) == np.maximum.reduceat(hi, begin))
+        rests = (size <= limit) | one
+        of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(p))))
+        new = rests[of] & (at < 0)
+        at[new], chained[new] = d, ((size > limit) & (rows > 1))[of][new]
+        first[begin] |= new[begin]
+    return at, chained, first
+
+
+def directory(rows: DataFrame, limit: int) -> Directory:
+    """The buckets that hold rows.
 
     All documents are one bucket of depth 0. A bucket over ``limit`` is split on its next bit, and only such a one. One
     document, or documents of one hash, can't be split: the bucket stays, and is chained if it is over the limit.
     """
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    depth = min(20, (max(1, total // limit) - 1).bit_length() + 2)
-    open_, leaves, left = [(0, 0)], [], rows
-    while open_:
-        # sums of the open buckets' parts: no more rows than 2^STEP for each bucket over the limit
-        parts = left.groupBy(F.shiftright("h", BITS - depth).alias("p")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).limit(DIRECTORY + 1).collect()
-        if len(parts) + len(leaves) > DIRECTORY:
+    top, depth = 0, min(20, (max(1, total // limit) - 1).bit_length() + 2)
+    left, held = rows, 0
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while True:
+        # sums of the open buckets' parts: no more than 2^STEP for each bucket over the limit
+        parts = left.groupBy(F.shiftright("h", BITS - depth).alias("p")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).limit(DIRECTORY + 1).toArrow()
+        if len(parts) + held > DIRECTORY:
             raise ValueError(f"directory: over {DIRECTORY} buckets; raise the limit of {limit} bytes")
-        sums: dict[tuple[int, int], tuple[int, int, int, int]] = {(depth, r["p"]): (r["b"], r["n"], r["lo"], r["hi"]) for r in parts}
-        top = open_[0][0]
-        for d in range(depth, top, -1):
-            for p in {p >> 1 for (e, p) in list(sums) if e == d}:
-                both = [sums[d, q] for q in (2 * p, 2 * p + 1) if (d, q) in sums]
-                sums[d - 1, p] = (sum(x[0] for x in both), sum(x[1] for x in both), min(x[2] for x in both), max(x[3] for x in both))
-        todo, open_ = open_, []
-        while todo:
-            d, p = todo.pop()
-            b, n, lo, hi = sums.get((d, p), (0, 0, 0, 0))
-            if b <= limit or n == 1 or lo == hi:
-                leaves.append((d, p, b > limit and n > 1))
-            elif d == depth:
-                open_.append((d, p))
-            else:
-                todo += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
-        if open_:
-            few = rows.sparkSession.createDataFrame([(p,) for _, p in open_], "p long")
-            at = depth
-            left = left.withColumn("p", F.shiftright("h", BITS - at)).join(F.broadcast(few), "p", "left_semi").drop("p")
-            depth = min(BITS, depth + STEP)
-    return sorted(leaves, key=lambda x: x[1] << (BITS - x[0]))
+        by = np.argsort(parts["p"].to_numpy(), kind="stable")
+        prefix, *sums = (parts[c].to_numpy()[by] for c in ("p", "b", "n", "lo", "hi"))
+        at, chained, first = settled(prefix, tuple(sums), top, depth, limit)
+        d = at[first].astype(np.int64)
+        found.append((prefix[first] >> (depth - d) << (BITS - d), d.astype(np.int32), chained[first]))
+        held += int(first.sum())
+        still = prefix[at < 0]
+        if not len(still):
+            break
+        few = rows.sparkSession.createDataFrame(pa.table({"p": still}))  # DIRECTORY rows, at most
+        left = left.withColumn("p", F.shiftright("h", BITS - depth)).join(F.broadcast(few), "p", "left_semi").drop("p")
+        top, depth = depth, min(BITS, depth + STEP)
+    begins, depths, chained = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.argsort(begins, kind="stable")
+    return Directory(begins[by], depths[by], chained[by])
 
 
 def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -73,20 +101,20 @@ def placed(docs: DataFrame, limit: int) -> DataFrame:
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = checkpoint(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long").alias("h"), F.xxhash64("text").alias("t"), "row"))
     leaves = directory(rows, limit)
-    begins = np.array([p << (BITS - d) for d, p, _ in leaves] or [0], np.int64)
-    depths, prefixes, chained = np.array([x[0] for x in leaves] or [0], np.int32), np.array([x[1] for x in leaves] or [0], np.int64), np.array([x[2] for x in leaves] or [False])
-    held = docs.sparkSession.sparkContext.broadcast((begins, depths, prefixes, chained))  # DIRECTORY rows, at most
+    held = docs.sparkSession.sparkContext.broadcast(leaves)  # DIRECTORY buckets, at most
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begins, depths, prefixes, chained = held.value
+        of = held.value
         for b in batches:
-            at = np.searchsorted(begins, b.column(2).to_numpy(zero_copy_only=False), side="right") - 1
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x[at]) for x in (depths, prefixes, chained))], names=[*b.schema.names, "depth", "bucket", "chained"])
+            h = b.column(2).to_numpy(zero_copy_only=False)
+            at = of.find(h)
+            columns = (of.depths[at], h >> (BITS - of.depths[at].astype(np.int64)), of.chained[at])
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, columns)], names=[*b.schema.names, "depth", "bucket", "chained"])
 
     kind = docs.schema["doc_id"].dataType
     found = map_arrow(rows, find, schema(("doc_id", kind), ("n_bytes", "long"), ("h", "long"), ("t", "long"), ("row", "long"), ("depth", "int"), ("bucket", "long"), ("chained", "boolean")))
     plain = found.where("not chained").select("doc_id", "n_bytes", "depth", "bucket", F.lit(0).cast("long").alias("chain"), "row")
-    if not chained.any():
+    if not leaves.chained.any():
         return plain
     one = checkpoint(found.where("chained").drop("chained"))
     # documents of one hash lie one after another, spread by row; each half limit begins a new link, and so does each large document
