@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.llm.common import checkpoint, join_group, map_arrow, narrow_arrow, schema
 from spanloom.llm.graph import components
@@ -18,13 +19,13 @@ from spanloom.llm.graph import components
 NEAR = 0.98
 #: Nearest pivots that describe a vector, and how many of them two vectors must share to be compared.
 NEAREST, SHARED = 8, 2
-#: Pivots, at most; vectors in a block of a pivot's list.
-PIVOTS, BLOCK = 2048, 1024
+#: Pivots, at most (what a billion nodes take; beyond, lists only grow); vectors in a block of a pivot's list.
+PIVOTS, BLOCK = 1 << 16, 512
 #: Pivots lie farther apart than this cosine.
 APART = 0.9
 
 
-def unit(raw: list | None) -> np.ndarray | None:
+def unit(raw) -> np.ndarray | None:
     """The vector at length 1, in double precision; None if null, zero, or with a null or non-finite component."""
     if raw is None or any(x is None for x in raw):
         return None
@@ -36,15 +37,23 @@ def unit(raw: list | None) -> np.ndarray | None:
     return v / np.sqrt(v @ v)
 
 
+def units(raw: list[bytes], numbers: str) -> np.ndarray:
+    """The rows at length 1, from vectors of one length as they are shuffled; the same as ``unit`` of each."""
+    v = np.frombuffer(b"".join(raw), numbers).reshape(len(raw), -1).astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return np.stack([x / np.sqrt(x @ x) for x in v])
+
+
 def choose_pivots(sample: list[np.ndarray], n: int) -> dict[int, np.ndarray]:
     """Up to ``n`` pivots for each number of dimensions: vectors of the sample, apart from one another."""
     out = {}
     for dim in {len(v) for v in sample}:
-        taken = np.zeros((0, dim))
+        taken, k = np.zeros((min(n, len(sample)), dim)), 0
         for v in sample:
-            if len(v) == dim and len(taken) < n and (not len(taken) or (taken @ v).max() < APART):
-                taken = np.concatenate([taken, v[None]])
-        out[dim] = taken
+            if len(v) == dim and k < len(taken) and (not k or (taken[:k] @ v).max() < APART):
+                taken[k] = v
+                k += 1
+        out[dim] = taken[:k].copy()
     return out
 
 
@@ -108,44 +117,44 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     null vec_id names a component only if it is alone in it. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    narrow_arrow(spark, 2000)
+    narrow_arrow(spark)
     kind = vectors.schema["vec_id"].dataType
+    numbers = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column(2).to_pylist()
-            units = [unit(r) for r in raw]
-            names = [None if u is None else hashlib.blake2b(np.array(r, np.float64).tobytes(), digest_size=16).digest() for r, u in zip(raw, units, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.binary()), pa.array([None if u is None else u.tobytes() for u in units], pa.binary())], names=["vec_id", "label", "key", "unit"])
+            raw = [None if unit(r) is None else np.array(r, numbers).tobytes() for r in b.column(2).to_pylist()]
+            names = [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "label", "key", "raw"])
 
     label = vectors.schema["label"].dataType
-    keyed = map_arrow(vectors.select("vec_id", "label", "embedding"), key, schema(("vec_id", kind), ("label", label), ("key", "binary"), ("unit", "binary")))
+    keyed = map_arrow(vectors.select("vec_id", "label", "embedding"), key, schema(("vec_id", kind), ("label", label), ("key", "binary"), ("raw", "binary")))
     rows = checkpoint(keyed.withColumn("row", F.monotonically_increasing_id()))
-    nodes = checkpoint(rows.where("label is not null and key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("n_rows"), F.first("unit").alias("unit")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = checkpoint(rows.where("label is not null and key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("n_rows"), F.first("raw").alias("raw")).withColumn("node", F.monotonically_increasing_id()))
     n = nodes.count()
     wanted = min(PIVOTS, max(NEAREST, math.ceil(2 * math.sqrt(n))))
-    drawn = nodes.select("key", "unit").orderBy(F.xxhash64("key"), "key").limit(2 * wanted).collect()
-    chosen = choose_pivots([np.frombuffer(r["unit"], np.float64) for r in drawn], wanted)
+    drawn = nodes.select("key", "raw").orderBy(F.xxhash64("key"), "key").limit(2 * wanted).toArrow()
+    chosen = choose_pivots([units([r], numbers)[0] for r in drawn["raw"].to_pylist()], wanted)
     held = spark.sparkContext.broadcast(chosen)  # PIVOTS vectors of each length, at most
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units = [np.frombuffer(u, np.float64) for u in b.column(3).to_pylist()]
+            found = [units([r], numbers)[0] for r in b.column(3).to_pylist()]
             sigs = []
-            for u in units:
+            for u in found:
                 p = pivots_of(held.value, len(u))
                 sigs.append(np.argsort(-(p @ u), kind="stable")[:NEAREST].astype("<i4"))
-            at = np.repeat(np.arange(len(units)), [len(s) for s in sigs])
+            at = np.repeat(np.arange(len(found)), [len(s) for s in sigs])
             lists = pa.array(np.concatenate([*sigs, np.zeros(0, "<i4")]).astype(np.int32))
-            table = pa.table([b.column(0), b.column(1), b.column(2), b.column(3), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array([len(u) for u in units], pa.int32())], names=["node", "label", "n_rows", "unit", "sig", "dim"]).take(at)
+            table = pa.table([b.column(0), b.column(1), b.column(2), b.column(3), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array([len(u) for u in found], pa.int32())], names=["node", "label", "n_rows", "raw", "sig", "dim"]).take(at)
             yield from table.append_column("pivot", lists).to_batches()
 
-    fields = schema(("node", "long"), ("label", label), ("n_rows", "long"), ("unit", "binary"), ("sig", "binary"), ("dim", "int"), ("pivot", "int"))
-    listed = checkpoint(map_arrow(nodes.select("node", "label", "n_rows", "unit"), describe, fields))
-    lengths = listed.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n_list"))
+    fields = schema(("node", "long"), ("label", label), ("n_rows", "long"), ("raw", "binary"), ("sig", "binary"), ("dim", "int"), ("pivot", "int"))
+    listed = checkpoint(map_arrow(nodes.select("node", "label", "n_rows", "raw"), describe, fields))
+    lengths = checkpoint(listed.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n_list")))
     placed = join_group(listed, lengths, ["label", "dim", "pivot"], "n_list", "node", "inner").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(F.xxhash64("label", "dim", "pivot", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side"), "pivot", "node", "n_rows", "unit", "sig", "dim", "label")
+    met = met.select(F.xxhash64("label", "dim", "pivot", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side"), "pivot", "node", "n_rows", "raw", "sig", "dim", "label")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -159,10 +168,10 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
                 columns = [x[order] for x in (pair, labels, dim, pivot)]
                 edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
                 node, rows, side = (t[c].to_numpy()[order] for c in ("node", "n_rows", "side"))
-                units, sigs = t["unit"].to_pylist(), t["sig"].to_pylist()
+                raw, sigs = t["raw"].to_pylist(), t["sig"].to_pylist()
                 for g in np.split(np.arange(len(order)), edge):
                     if len(g) > 1:
-                        v = np.stack([np.frombuffer(units[order[i]], np.float64) for i in g])
+                        v = units([raw[order[i]] for i in g], numbers)
                         sig = np.stack([np.frombuffer(sigs[order[i]], "<i4") for i in g])
                         d, e = links_in(int(pivot[order[g[0]]]), node[g], rows[g], side[g], v, sig)
                         degrees += d
@@ -191,8 +200,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     roots = components(found.where("is_edge = 1").select("a", "b"))
     known = nodes.select("label", "key", "node", "least_id", "n_rows").join(roots, "node", "left").join(degrees, "node", "left").select("label", "key", "least_id", "n_rows", F.coalesce("root", "node").alias("root"), (F.coalesce("n_other", F.lit(0)) + F.col("n_rows") - 1).alias("n_links"))
     known = checkpoint(known)
-    names = known.groupBy("root").agg(F.min("least_id").alias("component"), F.count("*").alias("n_nodes"))
+    names = checkpoint(known.groupBy("root").agg(F.min("least_id").alias("component"), F.count("*").alias("n_nodes")))
     named = checkpoint(join_group(known, names, ["root"], "n_nodes", "key").select("label", "key", "n_rows", "n_links", "component"))
-    out = join_group(rows.drop("unit"), named, ["label", "key"], "n_rows", "row")
+    out = join_group(rows.drop("raw"), named, ["label", "key"], "n_rows", "row")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
