@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -20,6 +21,8 @@ SEQUENCE = 2048
 END = 1
 #: The vocabulary, by the name under which the installed tokenizer files are found: as ranks, and for texts that the fast encoder can't take.
 RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+#: Runs of blanks on which the fast encoder's pattern would overflow its stack (from somewhere above 300,000).
+BLANKS = re.compile(r"\s{100000}")
 #: Hashed dimensions of a document's vector, dimensions that it is projected to, and bits of each on the curve.
 HASHED, PROJECTED, BITS = 64, 4, 12
 #: Bits of a hash that follow the curve's key, so that documents alike can be parted.
@@ -27,6 +30,8 @@ TIE = 15
 #: Documents that the ranges' bounds are read from, at least; characters of a range, about, up to so many ranges. Above that the
 #: ranges grow; a task sorts its range on disk and packs it row by row. The driver holds 16 bytes for each of 20 documents a range.
 SAMPLE, RANGE, RANGES = 20_000, 16 << 20, 50_000
+#: A range of so many sequences ends in one that is padded; a shorter one in sequences of powers of two.
+LONG = 128
 
 
 @cache
@@ -36,6 +41,8 @@ def fast_encoder(ranks: str):
 
     with open(public_tokenizers.path(ranks), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if max(END, *table.values()) >= 1 << 16:
+        raise ValueError(f"{ranks}: ids are held in 16 bits")
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
@@ -50,13 +57,13 @@ def slow_ids(text: str, vocabulary: str) -> list[int]:
 
 
 def ids(text: str | None, ranks: str = RANKS, vocabulary: str = VOCABULARY) -> np.ndarray:
-    """A text's ids as 16-bit numbers, and END. Names of special tokens in a text are text."""
-    try:
+    """A text's ids as 16-bit numbers, and END. Names of special tokens in a text are text, as the vocabulary's guide asks for."""
+    if text and BLANKS.search(text):
+        found = np.array(slow_ids(text, vocabulary), np.int64)
+        if len(found) and found.max() >= 1 << 16:
+            raise ValueError(f"{vocabulary}: ids are held in 16 bits")
+    else:
         found = fast_encoder(ranks).encode_to_numpy(text or "", disallowed_special=())
-    except BaseException as e:  # its pattern overflows the stack on very long runs of blanks
-        if type(e).__name__ != "PanicException":
-            raise
-        found = np.array(slow_ids(text, vocabulary), np.uint32)
     return np.append(found, END).astype(np.uint16)
 
 
@@ -121,8 +128,10 @@ def bounds(docs: DataFrame) -> np.ndarray:
             keys = curve_keys(tokens, b.column(1).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([len(t) for t in tokens], pa.int64())], names=["key", "n"])
 
-    rows = sorted(map_arrow(drawn.select("text", "_tie"), run, schema(("key", "long"), ("n", "long"))).collect())  # 16 bytes each
-    keys, ends = np.array([r[0] for r in rows], np.int64), np.cumsum([r[1] for r in rows])
+    rows = map_arrow(drawn.select("text", "_tie"), run, schema(("key", "long"), ("n", "long"))).toArrow()  # 16 bytes each
+    keys, sizes = rows["key"].to_numpy(), rows["n"].to_numpy()
+    by = np.lexsort((sizes, keys))
+    keys, ends = keys[by], np.cumsum(sizes[by])
     if not len(keys):
         return keys
     return np.unique(keys[np.searchsorted(ends, ends[-1] * np.arange(1, ranges) / ranges)])
@@ -132,8 +141,9 @@ def pack(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     Each document is its text's ids and END. Documents are ordered along a Hilbert curve through their projected
-    vectors, in ranges of about equal size, and each range is one stream that is cut every SEQUENCE ids; what remains
-    at its end is cut into sequences of powers of two, which need no padding. A document may lie in several
+    vectors, in ranges of about equal size, and each range is one stream that is cut every SEQUENCE ids. What remains
+    at its end is one sequence, to be padded, where that is under one part in LONG; in a shorter range it is cut into
+    sequences of powers of two, which need no padding. A document may lie in several
     sequences. Texts that are null or empty have END alone. Rows alike, or of the same id, are documents of their own.
     An empty table gives an empty result; other columns are not read.
     """
@@ -198,6 +208,8 @@ def pack(docs: DataFrame, with_ids: bool = False) -> DataFrame:
             if done:
                 yield batch(done)
         done = []
+        if n >= LONG:
+            done += close(full)
         for bit in range(SEQUENCE.bit_length() - 1, -1, -1):
             if full >> bit & 1:
                 done += close(1 << bit)

@@ -1,5 +1,6 @@
 """Mixing, packing, sharding and vectors: exact round trips and brute force."""
 
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -49,6 +50,49 @@ def test_mix(docs_of):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_mix_against_brute_force(docs_of, monkeypatch):
+    """Slot by slot: the source whose share of the unit interval holds the slot's point takes the words of its next block."""
+    monkeypatch.setattr(mixing, "SLOTS", 256)
+    rows = mixing_rows()
+    docs = docs_of(rows)
+    key = [(r.doc_id, r.text, r.h) for r in docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()]
+    source = {(r[0], r[1]): r[3] for r in rows}
+    streams = defaultdict(list)
+    order = lambda x: (x[2] % (1 << 64), x[0] if x[0] is not None else -1)
+    for i, t, _ in sorted(key, key=order):
+        streams[source[i, t]] += [(i, t)] * len((t or "").split())
+    names = sorted(streams, key=lambda s: (s is None, s or ""))
+    every = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    plan = mixing.plan([(s, len(streams[s])) for s in every])
+    slots, taken, n = defaultdict(int), defaultdict(int), sum(p.slots for p in plan)
+    wanted = {p.name: p for p in plan}
+
+    def take(name):
+        words, p = streams[name], wanted[name]
+        k = slots[name] % p.blocks
+        begin = lambda b: b * (len(words) // p.blocks) + min(b, len(words) % p.blocks)
+        for x in words[begin(k) : begin(k + 1)]:
+            taken[x] += 1
+        slots[name] += 1
+
+    ends = np.cumsum([p.slots for p in plan]).tolist()
+    for slot in range(n):
+        point = (slot + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+        k = next(i for i, e in enumerate(ends) if point < (e << 64) // n)
+        if slots[plan[k].name] < plan[k].slots:
+            take(plan[k].name)
+    for p in plan:
+        while slots[p.name] < p.slots:
+            take(p.name)
+    got = defaultdict(int)
+    for r in mixing.mix(docs, mixing.WEIGHTS).pieces.collect():
+        got[r.doc_id] += r.length
+    want = defaultdict(int)
+    for (i, _), k in taken.items():
+        want[i] += k
+    assert len(names) > 3 and dict(got) == dict(want)
+
+
 def test_schedule_spreads_each_source(docs_of):
     m = mixing.mix(docs_of(mixing_rows()))
     slots = [r.slot for r in m.pieces.select("slot").distinct().collect()]
@@ -109,12 +153,43 @@ def test_ids_are_the_tokenizers():
 
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     t.encode_special_tokens = True
-    texts = ["", "It's 12 o'clock — ähnlich\n\n  x", "<|endoftext|> 😀👍🏽", "a" * 5000, " " * 300_000 + "x", "\t\n" * 50]
+    texts = ["", "It's 12 o'clock — ähnlich\n\n  x", "<|endoftext|> 😀👍🏽", "a" * 5000, " " * 300_000 + "x", "\n" * 1_000_000 + "x", "\t\n" * 50, "-" * 200_000]
     for s in texts:
         assert packing.ids(s).tolist() == [*t.encode(s, add_special_tokens=False).ids, 1]
     assert packing.ids(None).tolist() == [1]
 
 
+def test_sequences_follow_the_curve(docs_of):
+    """Documents come in the order of their places on a curve that a plain recursion walks."""
+    rng = random.Random(17)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "über", "42"]) for _ in range(rng.randint(1, 400)))) for k in range(60)]
+    got = sorted((r.sequence_id, r.offset, r.doc_id) for r in packing.pack(docs_of(rows)).collect())
+    seen = list(dict.fromkeys(i for _, _, i in got))
+    bucket, sign, matrix = packing.projection()
+    keys = {}
+    for i, t in rows:
+        v = np.zeros(packing.HASHED)
+        for x in packing.ids(t).tolist():
+            v[bucket[x]] += sign[x]
+        z = v / np.linalg.norm(v) @ matrix
+        cell = [min(4095, int(0.5 * (1 + math.erf(x / math.sqrt(2))) * 4096)) for x in z]
+        keys[i] = int(packing.hilbert(np.array([cell]))[0])
+    assert len(set(keys.values())) > 50
+    assert [keys[i] for i in seen] == sorted(keys.values())
+
+
+def test_a_long_range_ends_in_one_sequence(docs_of, monkeypatch):
+    rows = [(k, "word " * 3000) for k in range(20)]
+    for long, tail in ((1 << 30, 5), (10, 1)):
+        monkeypatch.setattr(packing, "LONG", long)
+        sizes = defaultdict(int)
+        for r in packing.pack(docs_of(rows)).collect():
+            sizes[r.sequence_id] += r.length
+        short = [n for n in sizes.values() if n < 2048]
+        assert len(short) <= tail if tail == 1 else all(n & (n - 1) == 0 for n in short)
+        assert sum(sizes.values()) == sum(len(packing.ids(t)) for _, t in rows)
+
+
 @pytest.mark.parametrize("size", [16 << 20, 3000])
 def test_pack(docs_of, odd_rows, monkeypatch, size):
     monkeypatch.setattr(packing, "RANGE", size)
