@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ascii_lower, checkpoint, join_group, small
+from spanloom.llm.common import ascii_lower, checkpoint, hot_rows, join_group, small
 
 #: (verdict, host, path): fits the host and its subdomains, where the url's path starts with the rule's.
 RULES = (
@@ -65,8 +65,9 @@ def host_links(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
 def propagate(edges: DataFrame, seeds: DataFrame, within: float = 1e-4) -> DataFrame:
     """(walk, host, rank, own): personalised PageRank per walk over edges (walk, src, share, dst), from seeds (walk, host, seed).
 
-    ``own`` is the part of ``rank`` that a host has as a seed, the rest came over links. Rank that hosts without links would pass on goes back to the seeds. Each step is a join and a sum on the host,
-    and is checkpointed. A change c leaves at most c * DAMPING / (1 - DAMPING) of a walk to come, so the walk ends where
+    ``own`` is the part of ``rank`` that a host has as a seed, the rest came over links. Rank that hosts without links
+    would pass on goes back to the seeds. Each step is a join and a sum on the host, and is checkpointed. A hub's links
+    are dealt to salts, and its rank is copied to each. A change c leaves at most c * DAMPING / (1 - DAMPING) of a walk to come, so the walk ends where
     that is ``within`` or less, for all hosts together. It is an error if it does not.
     """
     seeds = checkpoint(seeds)
@@ -74,8 +75,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, within: float = 1e-4) -> DataF
     edges = checkpoint(edges)
     if edges.isEmpty() or seeds.isEmpty():
         return ranks
+    each = hot_rows(edges.count())
+    hubs = checkpoint(edges.groupBy("walk", "src").agg(F.count("*").alias("n")).where(F.col("n") > each).select("walk", "src", F.ceil(F.col("n") / each).cast("int").alias("salts")))  # HOT_GROUPS, at most
+    salted = not hubs.isEmpty()
+    if salted:
+        edges = checkpoint(edges.join(F.broadcast(hubs), ["walk", "src"], "left").withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts"))
     for _ in range(steps(within)):
-        flow = edges.join(ranks.select("walk", F.col("host").alias("src"), "rank"), ["walk", "src"]).groupBy("walk", F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * DAMPING).alias("flow"))
+        sent = ranks.select("walk", F.col("host").alias("src"), "rank")
+        if salted:
+            sent = sent.join(F.broadcast(hubs), ["walk", "src"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        flow = edges.join(sent, ["walk", "src", "salt"] if salted else ["walk", "src"]).groupBy("walk", F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * DAMPING).alias("flow"))
         flow = checkpoint(flow)
         passed = {r[0]: r[1] for r in flow.groupBy("walk").agg(F.sum("flow")).collect()}  # two rows
         back = F.when(F.col("walk") == "trust", F.lit(1 - passed.get("trust", 0.0))).otherwise(F.lit(1 - passed.get("distrust", 0.0)))
@@ -96,8 +105,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     block, by their share of its pages; a host that is only linked to has the urls of these links for pages. So whom a
     trusted host links to is trusted, and who links to a blocked host is distrusted. A host's own blocked pages count
     against it where they are more than half; else only what reached it over links does. A host whose distrust passes
-    FLOOR and its trust is blocked, and so are its pages that no rule fits; all other pages are allowed. A null url, and one without ``://``, has an empty host and path and
-    is allowed; a null html has no links. Repeated pages count each. Other columns are not read; an empty table gives
+    FLOOR and its trust is blocked, and so are its pages that no rule fits; all other pages are allowed. A null url, and
+    one without ``://``, has an empty host and path and is allowed; a null html has no links. Repeated pages count each. Other columns are not read; an empty table gives
     an empty result.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -112,9 +121,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     totals = {r[0]: r[1] for r in seeds.groupBy("walk").agg(F.sum("n")).collect()}  # two rows
     seeds = seeds.select("walk", "host", (F.col("n") / F.when(F.col("walk") == "trust", F.lit(totals.get("trust", 1.0))).otherwise(F.lit(totals.get("distrust", 1.0)))).alias("seed"))
     both = links.select(F.lit("trust").alias("walk"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    out = both.groupBy("walk", "src").agg(F.sum("n").alias("all"))
+    out = checkpoint(both.groupBy("walk", "src").agg(F.sum("n").alias("all"), F.count("*").alias("n_out")))
     n_hosts = known.count()
-    ranks = propagate(both.join(out, ["walk", "src"]).select("walk", "src", "dst", (F.col("n") / F.col("all")).alias("share")), seeds, SETTLED * FLOOR / max(1, n_hosts))
+    ranks = propagate(join_group(both, out, ["walk", "src"], "n_out", "dst", "inner").select("walk", "src", "dst", (F.col("n") / F.col("all")).alias("share")), seeds, SETTLED * FLOOR / max(1, n_hosts))
     mostly = known.where("2 * blocked > n_pages").select("host", F.lit(True).alias("mostly"))
     counted = F.when(F.col("mostly"), F.col("rank")).otherwise(F.col("rank") - F.col("own"))
     each = ranks.join(mostly, "host", "left").groupBy("host").agg(F.sum(F.when(F.col("walk") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("walk") == "distrust", counted).otherwise(0.0)).alias("distrust"))
@@ -122,5 +131,5 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     if small(bad):
         told = placed.join(F.broadcast(bad), "host", "left")
     else:
-        told = join_group(placed, hosts.select("host", "n_pages").join(bad, "host"), ["host"], "n_pages", "page_id")
+        told = join_group(placed, checkpoint(hosts.select("host", "n_pages").join(bad, "host")), ["host"], "n_pages", "page_id")
     return told.select("page_id", "host", "path", F.col("by.rule").alias("rule"), F.coalesce("by.verdict", "spread", F.lit("allow")).alias("verdict"))
