@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from spanloom.llm.common import map_arrow, narrow_arrow, schema
 DIMENSIONS = 1 << 14
 #: Labelled documents per language that the centroids are fitted on, at most (a hash of the id picks them).
 SAMPLE = 400
-CENTROIDS = 4
+#: Centroids of a language; languages, at most.
+CENTROIDS, LANGUAGES = 4, 2000
 #: A text is rejected when its cosine is below this share of the least that its language had in the sample.
 REJECT = 0.5
 UNKNOWN = "und"
@@ -100,14 +102,14 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Centroids from at most about ``sample`` labelled documents per language, whole texts, none of them held out."""
     narrow_arrow(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # one row per language
-    rate = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(rate)
+    sizes = known.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"fit: over {LANGUAGES} languages")
+    rates = docs.sparkSession.createDataFrame([(r[0], min(1.0, sample / r[1])) for r in sizes], "lang string, rate double")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,22 +117,26 @@ def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
             rows = [(lang, *g) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (g := grams(t))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([r[2].astype("<u4").tobytes() for r in rows], pa.binary())], names=["lang", "at", "n"])
 
-    drawn = known.where(draw < rate).select("lang", "text")
-    rows = sorted(map_arrow(drawn, run, schema(("lang", "string"), ("at", "binary"), ("n", "binary"))).collect(), key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
+    drawn = known.select("lang", "text", draw.alias("draw")).join(F.broadcast(rates), "lang").where("draw < rate").select("lang", "text")
+    got = map_arrow(drawn, run, schema(("lang", "string"), ("at", "binary"), ("n", "binary"))).toArrow()
+    rows = sorted(zip(*(got[c].to_pylist() for c in got.column_names), strict=True))
     langs = sorted({r[0] for r in rows})
-    x = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r[1], "<u2")] = 1 + np.log(np.frombuffer(r[2], "<u4"))
-    idf = (np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    own = np.array([langs.index(r[0]) for r in rows], int)
+    n_docs = np.zeros(DIMENSIONS)
+    for r in rows:
+        n_docs[np.frombuffer(r[1], "<u2")] += 1
+    idf = (np.log((1 + len(rows)) / (1 + n_docs)) + 1).astype(np.float32)
     found, of, least = [np.zeros((0, DIMENSIONS), np.float32)], [], []
-    for i in range(len(langs)):
-        c = clusters(x[own == i], k)
+    for i, (_, mine) in enumerate(groupby(rows, key=lambda r: r[0])):  # the vectors of one language at a time
+        mine = list(mine)
+        x = np.zeros((len(mine), DIMENSIONS), np.float32)
+        for k, r in enumerate(mine):
+            at = np.frombuffer(r[1], "<u2")
+            x[k, at] = (1 + np.log(np.frombuffer(r[2], "<u4"))) * idf[at]
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        c = clusters(x, k=centroids)
         found.append(c)
         of += [i] * len(c)
-        least.append(np.max(x[own == i] @ c.T, axis=1).min())
+        least.append(np.max(x @ c.T, axis=1).min())
     return Model(idf, np.ascontiguousarray(np.concatenate(found).T), np.array(of, int), langs, np.array(least))
 
 

@@ -1,9 +1,12 @@
 """Language identification, toxicity and URL verdicts."""
 
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from spanloom.llm import langid, toxicity, urls
@@ -97,15 +100,51 @@ def test_swapped_identities_do_not_change_the_score():
         elif k % 4 == 1 and k % 8 == 1:
             words[3:3] = ["jews", "live", "here"]
         made.append((int(k % 4 == 0), " ".join(words)))
-    rows = lambda: [(y, *toxicity.counts(Counter(toxicity.WORD.findall(t)))) for y, t in made]
-    pairs = [(*toxicity.counts(a), *toxicity.counts(b)) for _, t in made for a, b in toxicity.swaps(t)]
-    assert pairs
-    neutral, other = (toxicity.counts(Counter(w.split())) for w in ("muslims live in the thing", "jews live in the thing"))
+    rows = lambda: [(y, toxicity.bag(toxicity.counted(t))) for y, t in made]
+    pairs = [(toxicity.bag(a), toxicity.bag(b)) for _, t in made for a, b in toxicity.swaps(t)]
+    assert len(pairs) > len(made)
+    neutral, other = (Counter(w.split()) for w in ("muslims live in the thing", "jews live in the thing"))
     free, held = toxicity.train(rows(), []), toxicity.train(rows(), pairs)
-    change = [abs(m.score(*neutral) - m.score(*other)) for m in (free, held)]
+    change = [abs(m.score(neutral, toxicity.Words(m)) - m.score(other, toxicity.Words(m))) for m in (free, held)]
     assert change[1] < 0.5 * change[0]
 
 
+def test_scores_equal_the_formula(spark, docs_of, odd_rows, monkeypatch):
+    """Every document's score, feature by feature."""
+    rows, labels = labelled(random.Random(12), 200)
+    table = spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id long, quality int, toxic int")
+    docs = docs_of(rows + [(10_000 + k, t) for k, (_, t, *_) in enumerate(odd_rows)])
+    model = toxicity.fit(docs, table)
+    monkeypatch.setattr(toxicity, "CHUNK", 50)
+
+    def brute(text):
+        n = Counter(w for w in re.findall(r"[^\W\d_]+", (text or "").lower()))
+        long = math.sqrt(sum((k * float(model.idf[toxicity.of_word(w)[0]])) ** 2 for w, k in n.items()))
+        value = sum(k * float(model.idf[f]) * float(model.weight[f]) for w, k in n.items() for f in toxicity.of_word(w)) * 15 / max(long, 1e-9) + model.bias
+        return 1 / (1 + math.exp(-(model.slope * (value - model.cut) + math.log(0.7 / 0.3))))
+
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = toxicity.scored(docs, table, model).collect()
+    assert len(got) == len(text) and all(abs(r.score - brute(text[r.doc_id])) < 1e-4 for r in got)
+    assert toxicity.counted("Ab cd" * 40) == Counter(re.findall(r"\w+", ("Ab cd" * 40).lower()))
+
+
+def test_the_fit_is_at_the_minimum():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 20)).astype(np.float32)
+    label = (x[:, 0] - 0.5 * x[:, 1] + rng.standard_normal(300) * 0.3 > 0.4).astype(float)
+    d = rng.standard_normal(20)
+    swapped = np.outer(d, d)
+    w = toxicity.solve(x, label, swapped)
+    each = np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum())
+
+    def loss(w):
+        z = x.astype(float) @ w[:-1] + w[-1]
+        return float(each @ np.logaddexp(0, -(2 * label - 1) * z)) + toxicity.RIDGE / 2 * w[:-1] @ w[:-1] + toxicity.SWAP / 2 * w[:-1] @ swapped @ w[:-1]
+
+    assert all(loss(w) <= loss(w + 0.02 * rng.standard_normal(21)) + 1e-6 for _ in range(200))
+
+
 def test_toxicity_without_labels(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.scored(docs_of([(1, "a b"), (2, None)]), none).collect()
@@ -165,3 +204,121 @@ def test_hosts_with_some_blocked_pages_and_link_targets_are_seeds(spark):
     rows += [(7, "http://mostly.com/bad/1", ""), (8, "http://mostly.com/bad/2", ""), (9, "http://mostly.com", "")]
     got = {r.page_id: r.verdict for r in urls.judge(page(spark, rows), (("block", "net", "/"), ("block", "com", "/bad/"))).collect()}
     assert [got[k] for k in range(1, 10)] == ["allow", "allow", "block", "block", "block", "allow", "block", "block", "block"]
+
+
+def brute_verdicts(rows, rules):
+    """Verdicts of (page_id, url, html) by dense matrices over all hosts."""
+
+    def split(url):
+        found = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        return ("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in found[1]), found[2]) if found else ("", "")
+
+    def by(host, path):
+        fits = [(len(h + p), v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    pages, link, blocked_links = {}, Counter(), Counter()
+    for i, url, html in rows:
+        pages[i] = (*split(url), by(*split(url)))
+        for target in re.findall(r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", html or ""):
+            to, path = split("http:" + target if target.startswith("//") else target)
+            if to and pages[i][0] and to != pages[i][0]:
+                link[pages[i][0], to] += 1
+                blocked_links[to] += by(to, path) == "block"
+    own = {p[0] for p in pages.values()} - {""}
+    hosts = sorted(own | {b for _, b in link})
+    at = {h: k for k, h in enumerate(hosts)}
+    n, allowed, blocked = np.zeros(len(hosts)), np.zeros(len(hosts)), np.zeros(len(hosts))
+    for h, _, v in pages.values():
+        if h:
+            n[at[h]] += 1
+            allowed[at[h]] += v == "allow"
+            blocked[at[h]] += v == "block"
+    for (_, b), k in link.items():
+        if b not in own:
+            n[at[b]] += k
+    for b, k in blocked_links.items():
+        if b not in own:
+            blocked[at[b]] += k
+    a = np.zeros((len(hosts), len(hosts)))
+    for (x, y), k in link.items():
+        a[at[x], at[y]] = k
+
+    def walk(a, seed):
+        if not seed.sum():
+            return np.zeros(len(hosts)), np.zeros(len(hosts))
+        seed, out = seed / seed.sum(), a.sum(axis=1, keepdims=True)
+        share, rank = np.divide(a, out, out=np.zeros_like(a), where=out > 0), seed / seed.sum()
+        for _ in range(400):
+            flow = 0.85 * rank @ share
+            rank = flow + seed * (1 - flow.sum())
+        return rank, seed * (1 - flow.sum())
+
+    known_hosts = np.array([h in own for h in hosts])
+    trust, _ = walk(a, np.where(known_hosts & (2 * allowed > n), allowed, 0.0))
+    distrust, own_part = walk(a.T.copy(), np.divide(blocked, n, out=np.zeros(len(hosts)), where=n > 0))
+    counted = np.where(2 * blocked > n, distrust, distrust - own_part)
+    bad = (counted > trust) & (counted * len(hosts) >= 0.5)
+    return {i: v or ("block" if h and bad[at[h]] else "allow") for i, (h, _, v) in pages.items()}
+
+
+def test_verdicts_against_brute_force(spark, monkeypatch):
+    """A made graph with hubs, hosts that are only linked to, and chains between trusted and blocked hosts."""
+    monkeypatch.setattr("spanloom.llm.common.HOT_ROWS", 3)
+    rng = random.Random(31)
+    names = [f"h{k}.{rng.choice(['net', 'org', 'com', 'info'])}" for k in range(45)]
+    rows = []
+    for k in range(160):
+        host = names[0] if k % 8 == 0 else rng.choice(names[:35])
+        path = rng.choice(["/", "/fr/a", "/en/b", "/bad/c", ""])
+        to = [rng.choice(names) if rng.random() < 0.7 else names[k % 3] for _ in range(30 if host == names[0] else rng.randint(0, 3))]
+        html = " ".join(f'<a href="{rng.choice(["http:", ""])}//{t}{rng.choice(["/", "/bad/x", "/fr/y"])}">' for t in to)
+        rows.append((k, f"http://{host}{path}", html))
+    rules = (("block", "net", "/"), ("allow", "org", "/fr/"), ("block", "com", "/bad/"), ("allow", "h1.net", "/en/"))
+    want = brute_verdicts(rows, rules)
+    got = {r.page_id: r.verdict for r in urls.judge(page(spark, rows), rules).collect()}
+    assert got == want
+    ruled = {i for i, u, _ in rows if urls_rule(u, rules)}
+    assert {want[i] for i in set(want) - ruled} == {"block", "allow"}
+
+
+def urls_rule(url, rules):
+    host, path = re.match(r"http://([^/]*)(.*)", url).groups()
+    return any((host == h or host.endswith("." + h)) and path.startswith(p) for _, h, p in rules)
+
+
+def test_language_is_that_of_the_nearest_centroid(docs_of, odd_rows):
+    rng = random.Random(13)
+    rows = [(1000 + k, speech(rng, lang, rng.randint(3, 60)), lang) for k, lang in enumerate(list(SYLLABLES) * 30)] + odd_rows
+    docs = docs_of(rows)
+    model = langid.fit(docs)
+
+    def brute(text):
+        if not text or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        letters = " " + re.sub(" +", " ", letters)
+        n = Counter()
+        for width in (1, 2, 3):
+            for k in range(len(letters) - width + 1):
+                if k + width > 1:  # the space before the text ends no gram
+                    n[brute_hash(letters[k : k + width])] += 1
+        v = np.zeros(langid.DIMENSIONS)
+        for f, k in n.items():
+            v[f] = (1 + math.log(k)) * model.idf[f]
+        sims = v @ model.centroids / np.linalg.norm(v)
+        k = int(np.argmax(sims))
+        return model.langs[model.of[k]], min(1.0, max(0.0, float(sims[k])))
+
+    got = sorted(((str(r.doc_id), r.lang_pred, round(r.score, 4)) for r in langid.predict(docs, model).collect()))
+    want = sorted((str(i), brute(t)[0], round(brute(t)[1], 4)) for i, t, *_ in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 2e-4 for g, w in zip(got, want, strict=True))
+
+
+def brute_hash(gram):
+    h = len(gram)
+    for c in gram:
+        h = (h ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+        h ^= h >> 15
+    return h % langid.DIMENSIONS
