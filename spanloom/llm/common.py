@@ -60,21 +60,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def hot_rows(total: int) -> int:
+def hot_rows(total: int, least: int | None = None) -> int:
     """Rows above which a group counts as hot, of ``total`` rows: no more than HOT_GROUPS groups can have so many."""
-    return max(HOT_ROWS, -(-total // HOT_GROUPS))
+    return max(HOT_ROWS if least is None else least, -(-total // HOT_GROUPS))
 
 
-def join_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, how: str = "left") -> DataFrame:
+def join_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, how: str = "left", least: int | None = None) -> DataFrame:
     """Join each row to its group, where one group may hold any share of the rows.
 
     ``groups`` has one row per key, and its rows' number in column ``size``; pass it checkpointed, as it is read three
-    times. Hot groups are dealt to salts of about as many rows as make a group hot; their keys are broadcast, HOT_GROUPS
-    at most. Column ``spread`` of ``rows`` picks the salt. The group's columns but ``keys`` and ``size`` follow those of
+    times. Hot groups, of over HOT_ROWS rows or ``least``, are dealt to salts of about so many; their keys are broadcast,
+    HOT_GROUPS at most. Column ``spread`` of ``rows`` picks the salt. The group's columns but ``keys`` and ``size`` follow those of
     the row.
     """
     largest, total = groups.agg(F.max(size), F.sum(size)).first()
-    each = hot_rows(total or 0)
+    each = hot_rows(total or 0, least)
     if (largest or 0) <= each:
         return rows.join(groups.drop(size), keys, how)
     salts = F.ceil(F.col(size) / each).cast("int")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpoint, hot_rows, join_group
+from spanloom.llm.common import checkpoint, join_group
+
+#: Edges of a node, 16 bytes each, that one task may join.
+EDGES = 1 << 20
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -26,13 +29,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = mark
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        many = 2 * mark[0] > hot_rows(0)  # else no node has so many neighbours
-        met = join_group(both, checkpoint(least), ["u"], "n", "v", "inner") if many else both.join(least.drop("n"), "u")
+        many = 2 * mark[0] > EDGES  # else no node has so many neighbours
+        met = join_group(both, checkpoint(least), ["u"], "n", "v", "inner", EDGES) if many else both.join(least.drop("n"), "u")
         large = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         known = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         if many:
             large, known = checkpoint(large), checkpoint(known)
-        met = join_group(large, known, ["u"], "n", "v", "inner") if many else large.join(known.drop("n"), "u")
+        met = join_group(large, known, ["u"], "n", "v", "inner", EDGES) if many else large.join(known.drop("n"), "u")
         down = met.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(down.unionByName(known.select("u", F.col("m").alias("v"))).distinct())
     else:

@@ -268,7 +268,7 @@ def test_components_of_a_long_path(spark):
 
 
 def test_components_with_a_hot_root(spark, monkeypatch):
-    monkeypatch.setattr("spanloom.llm.common.HOT_ROWS", 20)
+    monkeypatch.setattr(graph, "EDGES", 20)
     edges = spark.createDataFrame([(0, k) for k in range(1, 300)] + [(300 + k, 301 + k) for k in range(90)] + [(299, 350)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges).collect()}
     assert got == dict.fromkeys(range(391), 0)
