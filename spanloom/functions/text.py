@@ -8,6 +8,8 @@ from spanloom.functions.dialect import BLANK, ND, NW, WS, Spark, Steps
 DOTLIKE = "\u2024\u2219\u00b7\uff0e\ufe52"
 #: What ends a line for text that is split into lines of any kind (fixed values).
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+#: The same but for carriage returns and line feeds, as characters of a class.
+OTHER_ENDS = r"\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
 
 WORD_RUN = r"[\p{L}\p{N}_]+"
 
@@ -213,7 +215,8 @@ def cache_id(d: Spark, text: str, start: str, engine: str) -> str:
     return f"substr({d.sha256(f'''concat({text}, '|start=', cast({start} as {d.string}), '|engine=', {name}, '|v15')''')}, 1, 16)"
 
 
-#: Inline marks and what is left of them, in the order in which they are taken off (fixed order).
+#: Inline marks and what is left of them, in the order in which they are taken off (fixed order). The last three look at
+#: what stands beside them; an engine that can't look takes it along, and so goes over the text twice.
 INLINE = (
     (r"!\[([^\]]*)\]\([^)]*\)", "\\1"),
     (r"\[([^\]]*)\]\([^)]*\)", "\\1"),
@@ -221,26 +224,35 @@ INLINE = (
     (r"`+([^`]*)`+", "\\1"),
     (r"(?s)~~(.+?)~~", "\\1"),
     (r"(?s)\*\*(.+?)\*\*", "\\1"),
-    (r"(?s)(^|[^A-Za-z0-9_])__(.+?)__($|[^A-Za-z0-9_])", "\\1\\2\\3"),
-    (r"(?s)(^|[^*])\*([^\s*]|[^\s*][^*]*?[^\s*])\*($|[^*])", "\\1\\2\\3"),
-    (r"(?s)(^|[^A-Za-z0-9_])_([^\s_]|[^\s_].*?[^\s_])_($|[^A-Za-z0-9_])", "\\1\\2\\3"),
 )
-#: Characters that a backslash keeps from being marks (fixed values); each is parked at a private code point meanwhile.
+LOOKING = (
+    r"(?s)(?<![A-Za-z0-9_])__(.+?)__(?![A-Za-z0-9_])",
+    r"(?s)(?<!\*)\*(?!\s)(.+?)(?<!\s)\*(?!\*)",
+    r"(?s)(?<![A-Za-z0-9_])_(?!\s)(.+?)(?<!\s)_(?![A-Za-z0-9_])",
+)
+TAKING = (
+    r"(?s)(^|[^A-Za-z0-9_])__(.+?)__($|[^A-Za-z0-9_])",
+    r"(?s)(^|[^*])\*([^\s*]|[^\s*][^*]*?[^\s*])\*($|[^*])",
+    r"(?s)(^|[^A-Za-z0-9_])_([^\s_]|[^\s_].*?[^\s_])_($|[^A-Za-z0-9_])",
+)
+#: Characters that a backslash keeps from being marks (fixed values). Meanwhile each is a sign and a private character;
+#: a sign that the text has itself is followed by another one.
 ESCAPABLE = "\\`*_{}[]()#+-.!>~|"
-PARKED = "".join(chr(0xE100 + i) for i in range(len(ESCAPABLE)))
+SIGN, OWN = chr(0xE0FF), chr(0xE1FF)
+PARKED = [SIGN + chr(0xE100 + i) for i in range(len(ESCAPABLE))]
 
 
 def inline_steps(d: Spark, s: str, out: str) -> Steps:
     """Steps to ``out``: the text of a line without its inline marks. A backslash before a mark keeps the mark."""
-    parked = s
+    parked = f"replace({s}, '{SIGN}', '{SIGN}{OWN}')"
     for c, p in zip(ESCAPABLE, PARKED, strict=True):
         parked = f"replace({parked}, {d.text(chr(92) + c)}, '{p}')"
-    steps = [(f"{out}0", parked)]
-    last = f"{out}0"
-    for k, (pattern, to) in enumerate(INLINE, 1):
+    steps, last = [(f"{out}0", parked)], f"{out}0"
+    looks = [(p, "\\1") for p in LOOKING] if d.name == "spark" else [(p, "\\1\\2\\3") for p in TAKING for _ in range(2)]
+    for k, (pattern, to) in enumerate((*INLINE, *looks), 1):
         steps.append((f"{out}{k}", d.sub(last, pattern, to)))
         last = f"{out}{k}"
     back = last
     for c, p in zip(ESCAPABLE, PARKED, strict=True):
         back = f"replace({back}, '{p}', {d.text(c)})"
-    return [*steps, (out, strip(d, back))]
+    return [*steps, (out, strip(d, f"replace({back}, '{SIGN}{OWN}', '{SIGN}')"))]

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
-from pyspark.sql.types import ArrayType, StringType
 
 from spanloom.functions import predicates as P
 from spanloom.functions import text as T
-from spanloom.functions.dialect import SPARK, column, struct_of
-from spanloom.operators import chunking
-from spanloom.operators.structure import of_book
+from spanloom.functions.dialect import SPARK, column
+from spanloom.operators import asof, chunking
+from spanloom.operators.structure import lines, of_book
 
 #: Concepts and headings of a text, at most; characters of a text that are indexed (fixed values of the feature).
 CONCEPTS, HEADINGS, CHARACTERS = 5, 50, 200_000
 TOKEN = "[A-Za-z][A-Za-z'-]+"
+#: Words that a weak label takes from its paragraph, at least and at most (fixed values).
+TAKEN = (2, 4)
 
 
 def top_concepts(texts: DataFrame, key: str, most: int = CONCEPTS) -> DataFrame:
@@ -49,102 +47,68 @@ def index_headings(rows: DataFrame, most: int = HEADINGS) -> DataFrame:
     return t.select("book_id", "label", F.col("start").alias("char_offset"))
 
 
-def expanded(label: str, text: str, at: int) -> str:
-    """A label of only weak words with the next two to four words of its paragraph that are not weak, up to a mark."""
-    weak = {*P.STOPWORDS, *P.JOIN_WORDS}
-    base = label.strip() or "Ideas"
-    own = base.split()
-    if len(own) > 2 or 2 * sum(w.strip("'\"").casefold() in weak for w in own) < len(own) or at >= len(text):
-        return base
-    block = text[max(0, at) :].split("\n\n", 1)[0].replace("\n", " ")
-    more, seen, last = [], 0, 0
-    for m in re.finditer("[A-Za-z][A-Za-z'-]*", block):
-        if any(c in ",.;:!?" for c in block[last : m.start()]):
-            break
-        last = m.end()
-        seen += 1
-        if seen > len(own) and m[0].casefold() not in weak:
-            more.append(m[0])
-            if len(more) == 4:
-                break
-    return " ".join([base, *more]) if len(more) >= 2 else base
-
-
-@F.pandas_udf(StringType())
-def expanded_udf(labels: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([expanded(a or "", t or "", 0) for a, t in zip(labels, texts, strict=True)])
-
-
-NODES = ArrayType(struct_of("node_id:string label:string anchor_id:string chunk_index:int char_offset:long"))
-
-
-def concept_list(text: str) -> list[tuple[str, int]]:
-    low, n = text.lower(), {}
-    for w in re.findall(TOKEN, text):
-        k = w.lower()
-        if k not in P.STOPWORDS and len(k) >= 3:
-            n[k] = n.get(k, 0) + 1
-    top = sorted(n, key=lambda k: (-n[k], k))[:CONCEPTS]
-    label = lambda k: re.sub("[a-z]+", lambda m: m[0].capitalize(), k.replace("-", " "))
-    return sorted(((label(k), low.index(k)) for k in top), key=lambda x: x[1])
-
-
-def heading_list(text: str) -> list[tuple[str, int]]:
-    out: dict[tuple[str, int], None] = {}
-    at, n = 0, 0
-    for line in text.split("\n"):
-        s, begin = line.strip(), at
-        at += len(line) + 1
-        if not 3 <= len(s) <= 80 or s.endswith(".") or not any(c.isalpha() for c in s) or s.count(":") > 1:
-            continue
-        if re.match(r"(?i)(?:chapter|part)[ \t]+(?:\d+|[ivxlcdm]+)\b", s):
-            out[s, begin] = None
-            n += 1
-            continue
-        words = s.split()
-        if len(words) <= 8 and sum(w[0].isupper() for w in words) >= max(1, len(words) // 2):
-            out[s, begin] = None
-            n += 1
-        if n >= HEADINGS:
-            break
-    return list(out)
-
-
-def index_nodes(text: str, start: int) -> list[dict]:
-    """Nodes of the index of a text that is read from ``start``: one for all, then headings, then concepts, each with its chunk."""
-    whole = text[:CHARACTERS]
-    start = max(0, min(start, len(whole)))
-    body = whole[start:]
-    essay = chunking.essay_index(body)
-    spans = [(s, e) for t, s, e in chunking.chunk(body) if chunking.spoken(t)]
-    artefact = lambda s: re.search(r"(?:\.\s*){4}", s) or re.fullmatch(r"(?i)\W*(?:page\s+\d+|\d{1,4}|[ivxlcdm]+)\W*", s)
-    rows = [("Top Concepts", 0)] * bool(spans)
-    rows += [(expanded(s, body, at), at) for s, at in heading_list(body) if not artefact(s)]
-    rows += [(expanded(s, body, at), at) for s, at in concept_list(body) if s.casefold() != "top concepts"]
-    out: list[dict] = []
-    for label, at in rows:
-        if essay and essay[0] <= at < essay[1]:
-            continue
-        index = next((i for i, (s, e) in enumerate(spans) if s <= at < e or s >= at), None)
-        if index is not None:
-            k = len(out) + 1
-            out.append({"node_id": f"n{k}", "label": label.strip(), "anchor_id": f"a{k}", "chunk_index": index, "char_offset": start + at})
-    return out
-
-
-@F.pandas_udf(NODES)
-def nodes_udf(texts: pd.Series, starts: pd.Series) -> pd.Series:
-    return pd.Series([index_nodes(t or "", int(s or 0)) for t, s in zip(texts, starts, strict=True)])
+def expanded(label: str, tail: str) -> str:
+    """SQL text for a label; one of only weak words takes up to four that are not from the text at it, up to a mark or the paragraph's end.
+
+    ``tail`` is the text from the label on. Its first words, as many as the label has, are the label's own.
+    """
+    base = f"case when {T.strip(SPARK, label)} = '' then 'Ideas' else {T.strip(SPARK, label)} end"
+    own = f"size({P.words_of(SPARK, base)})"
+    paragraph = f"regexp_extract(replace(substring_index({tail}, '\\n\\n', 1), '\\n', ' '), '^[^,.;:!?]*', 0)"
+    words = f"regexp_extract_all({paragraph}, {SPARK.lit(TOKEN[:-1] + '*')}, 0)"
+    strong = f"filter(slice({words}, {own} + 1, greatest(size({words}), 1)), x -> lower(x) not in {P.listed([*P.STOPWORDS, *P.JOIN_WORDS])})"
+    return f"case when {P.is_weak_label(SPARK, base)} and size({strong}) >= {TAKEN[0]} then concat({base}, ' ', array_join(slice({strong}, 1, {TAKEN[1]}), ' ')) else {base} end"
+
+
+def expand_labels(rows: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Rows (key, label, char_offset, ...) with their labels expanded from the texts (key, text); only weak labels meet a text."""
+    weak = column(P.is_weak_label, "label")
+    tail = texts.select(key, F.col("text").alias("_text"))
+    met = rows.where(weak).join(tail, key).withColumn("_tail", F.expr("substr(_text, cast(greatest(char_offset, 0) + 1 as int))"))
+    own = met.withColumn("label", F.expr(expanded("label", "_tail"))).select(*rows.columns)
+    return rows.where(~weak).withColumn("label", F.expr(T.strip(SPARK, "label"))).unionByName(own)
+
+
+def index_nodes(texts: DataFrame) -> DataFrame:
+    """(book_id, node_id, label, anchor_id, chunk_index, char_offset) of texts (book_id, text, from): one node for all, then headings, then concepts, each with its chunk.
+
+    Texts are indexed up to CHARACTERS, from where they are read. Furniture and what lies in an essay index give no
+    node; neither does what no spoken chunk follows.
+    """
+    start = F.greatest(F.lit(0), F.least(F.coalesce("from", F.lit(0)), F.length("whole"))).cast("long")
+    body = texts.select("book_id", "from", F.expr(f"substr(text, 1, {CHARACTERS})").alias("whole")).withColumn("from", start)
+    body = body.select("book_id", "from", F.expr("substr(whole, cast(from + 1 as int))").alias("text"))
+    own = body.select("book_id", "text")
+    w = of_book("k")
+    cut = own.select("book_id", F.posexplode(chunking.raw_chunk_udf("text")).alias("k", "c")).select("book_id", "k", "c.text", "c.end")
+    cut = cut.where(F.expr(f"{T.sanitize(SPARK, 'text')} <> ''")).select("book_id", (F.row_number().over(w) - 1).alias("chunk_index"), "end")
+    # ends go back where a sentence was wrapped: only a chunk that ends past all before it can be the first to end past an offset
+    past = F.coalesce(F.max("end").over(of_book("chunk_index").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(-1))
+    reach = cut.withColumn("past", past).where("end > past").select("book_id", "chunk_index", "end")
+    heads = index_headings(lines(own)).where(~column(P.is_artefact, "label"))
+    words = top_concepts(own, "book_id").where("lower(label) <> 'top concepts'")
+    some = reach.select("book_id").distinct().select("book_id", F.lit(0).alias("part"), F.lit("Top Concepts").alias("label"), F.lit(0).cast("long").alias("char_offset"), F.lit(0).cast("long").alias("n"), F.lit("").alias("term"))
+    rows = heads.select("book_id", F.lit(1).alias("part"), "label", F.col("char_offset").cast("long").alias("char_offset"), F.lit(0).cast("long").alias("n"), F.lit("").alias("term"))
+    rows = rows.unionByName(words.select("book_id", F.lit(2).alias("part"), "label", "char_offset", (-F.col("n")).alias("n"), "term"))
+    rows = some.unionByName(expand_labels(rows, own, "book_id"))
+    rows = rows.join(chunking.essay_spans(own), "book_id", "left").where("lo is null or char_offset < lo or char_offset >= hi").drop("lo", "hi")
+    hit = asof.forward(rows, "char_offset", reach, "end", "book_id").where("hit is not null")
+    number = F.row_number().over(of_book("part", "char_offset", "n", "term")).cast("string")
+    t = hit.withColumn("number", number).join(body.select("book_id", "from"), "book_id")
+    return t.select("book_id", F.concat(F.lit("n"), "number").alias("node_id"), F.expr(T.strip(SPARK, "label")).alias("label"), F.concat(F.lit("a"), "number").alias("anchor_id"), F.col("hit.chunk_index").alias("chunk_index"), (F.col("from") + F.col("char_offset")).alias("char_offset"))
 
 
 def concept_index(books: DataFrame, bounds: DataFrame) -> DataFrame:
     """(book_id, node_id, label, anchor_id, chunk_index, char_offset): the index of each book."""
-    t = books.join(bounds.select("book_id", "body_opening"), "book_id")
-    return t.select("book_id", F.explode(nodes_udf("text", "body_opening")).alias("n")).select("book_id", "n.*")
+    return index_nodes(books.join(bounds.select("book_id", F.col("body_opening").alias("from")), "book_id"))
 
 
 def index_documents(nodes: DataFrame, books: DataFrame) -> DataFrame:
-    """(book_id, doc): the index of each book as one JSON document, with the fingerprint of its text."""
-    per = nodes.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(F.col("chunk_index"), "char_offset", "node_id", "label", "anchor_id"))).alias("nodes"))
-    t = per.join(books.select("book_id", F.sha2(F.col("text").cast("binary"), 256).alias("fingerprint_sha256")), "book_id")
-    return t.select("book_id", F.to_json(F.struct(F.lit(1).alias("schema_version"), "fingerprint_sha256", "nodes")).alias("doc"))
+    """(book_id, doc): the index of each book as one JSON document, with the fingerprint of its text; a book without nodes has an empty one."""
+    anchor, node = F.struct("anchor_id", "chunk_index", "char_offset"), F.struct("node_id", "label", F.col("anchor_id").alias("primary_anchor_id"))
+    number = F.substring("node_id", 2, 20).cast("int").alias("number")
+    per = nodes.select("book_id", F.struct(number, anchor.alias("a"), node.alias("n")).alias("x")).groupBy("book_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    t = books.select("book_id", F.sha2(F.col("text").cast("binary"), 256).alias("fingerprint_sha256")).join(per, "book_id", "left").withColumn("x", F.coalesce("x", F.array().cast(per.schema["x"].dataType)))
+    book, status = F.struct(F.col("book_id").cast("string").alias("book_id"), "fingerprint_sha256"), F.struct(F.lit("completed").alias("state"))
+    parts = [F.lit(1).alias("schema_version"), book.alias("book"), status.alias("status"), F.transform("x", lambda x: x["a"]).alias("anchors"), F.transform("x", lambda x: x["n"]).alias("nodes")]
+    return t.select("book_id", F.to_json(F.struct(*parts)).alias("doc"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -10,8 +9,9 @@ from pyspark.sql import window as W
 from spanloom.functions import headings as H
 from spanloom.functions import predicates as P
 from spanloom.functions import text as T
-from spanloom.functions.dialect import BLANK, SPARK, column, with_steps
-from spanloom.operators.structure import of_book
+from spanloom.functions.dialect import BLANK, SPARK, WS, column, with_steps
+from spanloom.operators.chunking import split_lines
+from spanloom.operators.structure import lines, of_book
 from spanloom.shared import checkpoint
 
 #: Characters between candidates of one cluster; before the cut that still counts as after it; between a heading and its
@@ -49,13 +49,6 @@ def deduplicated(candidates: DataFrame) -> DataFrame:
     return t.withColumn("best", F.row_number().over(best)).where("best = 1").select(*candidates.columns)
 
 
-def _split_lines(books: DataFrame) -> DataFrame:
-    """Lines at any kind of line end, with the number of each and its offset."""
-    parts = books.select("book_id", F.posexplode(F.expr(f"regexp_extract_all(text, {SPARK.lit('(?s)[^' + chr(92) + 'n' + chr(92) + 'r]*(?:' + T.LINE_END + '|$)')}, 0)")).alias("n", "line")).where("line <> ''")
-    at = F.coalesce(F.sum(F.length("line")).over(of_book("n").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.withColumn("char_offset", at).withColumn("t", F.expr(T.strip(SPARK, "line")))
-
-
 def occurrences(books: DataFrame) -> DataFrame:
     """Lines that may be a heading in the text: (book_id, char_offset, kind_of_match, key, label, prev_blank, next_blank, probable_toc).
 
@@ -64,7 +57,7 @@ def occurrences(books: DataFrame) -> DataFrame:
     are not blank one is only a leader, or any has one while the line before is an outline number.
     """
     w = of_book("n")
-    rows = _split_lines(books)
+    rows = split_lines(books)
     rows = rows.withColumn("prev_blank", F.coalesce(F.lag("t").over(w) == "", F.lit(True))).withColumn("next_blank", F.coalesce(F.lead("t").over(w) == "", F.lit(True)))
     t = rows.where("t <> ''").withColumn("leader", column(P.has_leader, "t"))
     dotted = F.expr(T.dotted(SPARK, "t"))
@@ -113,11 +106,12 @@ def without_between(marks: DataFrame) -> DataFrame:
 
 def prologue_lines(books: DataFrame) -> DataFrame:
     """(book_id, at) of lines that are only ``Prologue``; blank lines before one belong to it."""
-    at = F.expr(f"""filter(transform(sequence(1, greatest(size(split(text, 'Prologue', -1)) - 1, 1)), k -> length(substring_index(text, 'Prologue', k))), x -> true)""")
-    t = books.where("instr(text, 'Prologue') > 0").select("book_id", "text", F.explode(at).alias("w"))
-    t = t.withColumn("head", F.expr("substr(text, 1, cast(w as int))")).withColumn("tail", F.expr("substr(text, cast(w + 9 as int))"))
-    t = t.where(F.col("head").rlike(r"(?:^|\n)\s*\z") & F.col("tail").rlike(r"\A[^\S\n]*(?:\n|\z)"))
-    return t.select("book_id", (F.length(F.regexp_replace("head", r"(?:(?<=\n)|\A)\s*\z", ""))).cast("long").alias("at"))
+    w = of_book("n")
+    t = lines(books.where("instr(text, 'Prologue') > 0")).select("book_id", "n", "start", F.expr(T.strip(SPARK, "line")).alias("t"))
+    full = F.max(F.when(F.col("t") != "", F.col("n"))).over(w.rowsBetween(W.Window.unboundedPreceding, -1))
+    t = t.withColumn("full", F.coalesce(full, F.lit(-1)))
+    first = F.min("start").over(W.Window.partitionBy("book_id", "full"))
+    return t.withColumn("at", first).where("t = 'Prologue'").select("book_id", F.col("at").cast("long").alias("at"))
 
 
 def with_prologues(marks: DataFrame, books: DataFrame) -> DataFrame:
@@ -138,32 +132,43 @@ def without_title(marks: DataFrame, titles: DataFrame) -> DataFrame:
     return t.select(*marks.columns)
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The two rules over landmarks in order that depend on what was kept before."""
-    rows = pdf.sort_values(["char_offset", "kind", "label"]).to_dict("records")
-    merged, i = [], 0
-    while i < len(rows):
-        a, b = rows[i], rows[i + 1] if i + 1 < len(rows) else None
-        if b and b["kind"] == a["kind"] and b["char_offset"] - a["char_offset"] <= MERGE and len(b["label"]) > len(a["label"]) and b["label"].startswith(a["label"]):
-            merged.append(a | {"label": b["label"]})
-            i += 2
-        else:
-            merged.append(a)
-            i += 1
-    best: dict = {}
-    for m in merged:
-        k = m["kind"], m["char_offset"]
-        if k not in best or len(m["label"]) > len(best[k]["label"]):
-            best[k] = m
-    kept: list[dict] = []
-    for m in sorted(best.values(), key=lambda m: m["char_offset"]):
-        last = kept[-1] if kept else None
-        if last and m["kind"] == "section" and last["kind"] in ("chapter", "part") and abs(m["char_offset"] - last["char_offset"]) <= REPEAT:
-            rest = pd.Series([last["label"]]).str.replace(r"(?i)^(?:chapter|part)\s+[0-9ivxlcdm]+\s*[:\-–—]?\s*", "", regex=True)[0]
-            if rest != last["label"] and rest.strip() and " ".join(rest.split()).casefold() == " ".join(m["label"].split()).casefold():
-                continue
-        kept.append(m)
-    return pd.DataFrame(kept, columns=["book_id", "char_offset", "label", "kind"])
+def longest(labels: DataFrame) -> DataFrame:
+    """(book_id, key, label): of the labels of each key (book_id, key, label) the longest."""
+    return labels.groupBy("book_id", "key").agg(F.max_by("label", F.struct(F.length("label"), "label")).alias("label"))
+
+
+def merged(marks: DataFrame) -> DataFrame:
+    """Landmarks in which one with a longer form of its label near after it has that form, and takes it.
+
+    Of a run of such pairs the first, third and so on take the one after them. Then one of a kind and offset stays, the
+    longest, first in order.
+    """
+    w = of_book("char_offset", "kind", "label")
+    after = F.lead(F.struct("kind", "char_offset", "label")).over(w)
+    t = marks.withColumn("after", after)
+    pair = F.expr(f"after.kind = kind and after.char_offset - char_offset <= {MERGE} and length(after.label) > length(label) and startswith(after.label, label)")
+    t = t.withColumn("pair", F.coalesce(pair, F.lit(False)))
+    t = t.withColumn("run", F.sum((~F.coalesce(F.lag("pair").over(w), F.lit(False))).cast("int")).over(w))
+    at = F.row_number().over(W.Window.partitionBy("book_id", "run").orderBy("char_offset", "kind", "label"))
+    t = t.withColumn("at", at).where("at % 2 = 1").withColumn("label", F.when(F.col("pair"), F.col("after.label")).otherwise(F.col("label")))
+    best = W.Window.partitionBy("book_id", "kind", "char_offset").orderBy(F.length("label").desc(), "run", "at")
+    return t.withColumn("best", F.row_number().over(best)).where("best = 1").select(*marks.columns)
+
+
+def without_repeats(marks: DataFrame) -> DataFrame:
+    """Landmarks without the sections that only repeat, near after a chapter or part, what its label adds to its number.
+
+    Sections after a chapter are compared with it up to the first that stays; from there on all stay.
+    """
+    w = of_book("char_offset", "kind")
+    t = marks.withColumn("run", F.sum((F.col("kind") != "section").cast("int")).over(w))
+    in_run = W.Window.partitionBy("book_id", "run").orderBy("char_offset", "kind")
+    t = t.withColumn("head", F.first(F.struct("kind", "label", "char_offset")).over(in_run))
+    rest = F.regexp_replace("head.label", rf"(?i)^(?:chapter|part){WS}+[0-9ivxlcdm]+{WS}*[:\x{{2013}}\x{{2014}}-]?{WS}*", "")
+    t = t.withColumn("rest", rest)
+    repeats = F.expr(f"kind = 'section' and head.kind in ('chapter', 'part') and char_offset - head.char_offset <= {REPEAT} and rest <> head.label and {T.strip(SPARK, 'rest')} <> '' and {T.label_key(SPARK, 'rest')} = {T.label_key(SPARK, 'label')}")
+    so_far = F.min(F.when(F.col("kind") == "section", repeats)).over(in_run.rowsBetween(W.Window.unboundedPreceding, 0))
+    return t.withColumn("gone", (F.col("kind") == "section") & F.coalesce(so_far, F.lit(False))).where("not gone").select(*marks.columns)
 
 
 def resolved(books: DataFrame, candidates: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -177,8 +182,7 @@ def resolved(books: DataFrame, candidates: DataFrame, bounds: DataFrame) -> Data
     c = cleaned(candidates).where("kind is not null").withColumn("label", F.col("clean")).select(*candidates.columns)
     c = checkpoint(deduplicated(c).withColumn("key", F.expr(T.label_key(SPARK, "label"))))
     bounds = checkpoint(bounds)
-    best = c.groupBy("book_id", "key").agg(F.max_by("label", F.struct(F.length("label"), "label")).alias("label"))
-    known = cleaned(best).where("kind is not null").select("book_id", "key", "label", "kind")
+    known = cleaned(longest(c)).where("kind is not null").select("book_id", "key", "label", "kind")
     mark = F.regexp_extract("label", r"(?i)^((?:chapter|part|book)\s+[0-9ivxlcdm]+)(?:$|[^\p{L}\p{N}_])", 1)
     known = checkpoint(known.withColumn("prefix_key", F.when((mark != "") & F.col("label").rlike("[:-]"), F.lower(mark))))
     b = bounds.select("book_id", F.col("contents_end").alias("toc_end"), F.coalesce("reading_start", F.lit(0)).alias("cut"))
@@ -193,5 +197,5 @@ def resolved(books: DataFrame, candidates: DataFrame, bounds: DataFrame) -> Data
     post = F.when(F.col("text_at") >= F.col("cut"), F.col("text_at"))
     t = t.withColumn("char_offset", F.coalesce(F.least(post, F.col("meta_post")), "text_at", "meta_any")).where("char_offset is not null")
     t = t.where(~(F.col("kind").isin(list(STRICT)) & (F.col("char_offset") < F.col("cut"))))
-    folded = t.select("book_id", "char_offset", "label", "kind").groupBy("book_id").applyInPandas(_fold, "book_id long, char_offset long, label string, kind string")
-    return with_prologues(without_between(folded), books)
+    once = without_repeats(merged(t.select("book_id", "char_offset", "label", "kind")))
+    return with_prologues(without_between(once), books)

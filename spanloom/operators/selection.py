@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from spanloom.functions import text as T
 from spanloom.functions.dialect import SPARK
@@ -12,6 +13,7 @@ from spanloom.operators.structure import of_book
 #: Chunks that are made ahead of the one that plays; chunks made at a start (fixed values).
 AHEAD, AT_START = 6, 2
 NODES = "struct<nodes:array<struct<node_id:string,label:string,primary_anchor_id:string>>,anchors:array<struct<anchor_id:string,chunk_index:int,char_offset:long>>>"
+INDEX = "struct<schema_version:int,book:struct<fingerprint_sha256:string>,status:struct<state:string>>"
 ALIGNMENT = "struct<chunk_id:int,duration_ms:int,spans:array<struct<start_char:int,end_char:int,audio_start_ms:int,audio_end_ms:int,confidence:double>>>"
 
 
@@ -64,3 +66,34 @@ def offsets_of(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.join(chunks.select("book_id", "span_no", "start"), ["book_id", "span_no"], "left")
 
 
+
+
+def alignment_documents(spans: DataFrame) -> DataFrame:
+    """(book_id, doc): alignments as JSON documents, from spans (book_id, chunk_id, duration_ms, k, start_char, end_char, audio_start_ms, audio_end_ms, confidence)."""
+    span = F.struct("k", F.struct("start_char", "end_char", "audio_start_ms", "audio_end_ms", "confidence").alias("s"))
+    each = spans.groupBy("book_id", "chunk_id", "duration_ms").agg(F.transform(F.array_sort(F.collect_list(span)), lambda x: x["s"]).alias("spans"))
+    return each.select("book_id", F.to_json(F.struct("chunk_id", "duration_ms", "spans")).alias("doc"))
+
+
+def published(results: DataFrame) -> DataFrame:
+    """Results (book_id, span_no, ready, ...) that can be given out: those that are ready, and all before them too, in order."""
+    w = of_book("span_no").rowsBetween(W.Window.unboundedPreceding, 0)
+    return results.withColumn("_all", F.min("ready").over(w)).where("_all").drop("_all")
+
+
+def from_index(chunks: DataFrame, starts: DataFrame) -> DataFrame:
+    """Chunks (book_id, span_no, ...) from their book's start index (book_id, start_index) on, numbered anew as ``play_no``."""
+    t = chunks.join(starts, "book_id").where("span_no >= start_index")
+    return t.withColumn("play_no", F.row_number().over(of_book("span_no")) - 1).drop("start_index")
+
+
+def completed(docs: DataFrame) -> DataFrame:
+    """Index documents (book_id, doc) that can be used: of the known schema, and completed; with the fingerprint of their text."""
+    d = docs.select("book_id", F.from_json("doc", INDEX, {"mode": "PERMISSIVE"}).alias("d"))
+    return d.where("d.schema_version = 1 and d.status.state = 'completed'").select("book_id", F.trim("d.book.fingerprint_sha256").alias("fingerprint"))
+
+
+def fresh(docs: DataFrame, books: DataFrame) -> DataFrame:
+    """(book_id) of usable index documents that are of the text as it is now."""
+    now = books.select("book_id", F.sha2(F.col("text").cast("binary"), 256).alias("fingerprint"))
+    return completed(docs).join(now, ["book_id", "fingerprint"], "left_semi").select("book_id")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from spanloom.operators import asof
+
 #: What a token weighs beside its length, by its last character (fixed values).
 PAUSES = (((".", "!", "?"), 6.0), ((",", ";"), 2.5), ((":", "—", "-"), 3.5))
 
@@ -41,9 +43,15 @@ def timed(texts: DataFrame, key: str) -> DataFrame:
 
 def heard(spans: DataFrame, probes: DataFrame, key: str) -> DataFrame:
     """Probes (key, ms) with the span that is heard: the one that holds the moment, past the end the last, else the first."""
-    s = spans.withColumn("last_end", F.max("end_ms").over(W.Window.partitionBy(key)))
-    ends = s.groupBy(key).agg(F.min_by(F.struct("start_char", "end_char"), "k").alias("first"), F.max_by(F.struct("start_char", "end_char"), "k").alias("last"), F.max_by("end_ms", "k").alias("until"))
-    hit = probes.join(spans.select(key, "k", "start_ms", "end_ms", F.struct("start_char", "end_char").alias("span")), key).where("ms >= start_ms and ms < end_ms").groupBy(key, "ms").agg(F.min_by("span", "k").alias("span"))
-    t = probes.join(ends, key).join(hit, [key, "ms"], "left")
-    found = F.coalesce("span", F.when(F.col("ms") >= F.col("until"), F.col("last")).otherwise(F.col("first")))
+    ends = spans.groupBy(key).agg(F.min_by(F.struct("start_char", "end_char"), "k").alias("first"), F.max_by(F.struct("start_char", "end_char"), "k").alias("last"), F.max_by("end_ms", "k").alias("until"))
+    some = spans.where("end_ms > start_ms").select(key, "start_ms", "end_ms", F.struct("start_char", "end_char").alias("span"))
+    t = asof.backward(probes, "ms", some, "start_ms", key).join(ends, key)
+    inside = F.when(F.col("ms") < F.col("hit.end_ms"), F.col("hit.span"))
+    found = F.coalesce(inside, F.when(F.col("ms") >= F.col("until"), F.col("last")).otherwise(F.col("first")))
     return t.withColumn("f", found).select(key, "ms", F.col("f.start_char").alias("start_char"), F.col("f.end_char").alias("end_char"))
+
+
+def with_duration(texts: DataFrame, played: str = "played_ms") -> DataFrame:
+    """Texts whose duration_ms is that of their audio (frames, sample_rate), to a millisecond; without audio what has played, one at least."""
+    audio = F.bround(F.col("frames") / F.col("sample_rate") * 1000.0, 0)
+    return texts.withColumn("duration_ms", F.coalesce(F.when(F.col("sample_rate") > 0, audio), F.greatest(F.col(played), F.lit(1))).cast("long"))

@@ -8,7 +8,7 @@ from spanloom.functions import predicates as P
 from spanloom.functions import text as T
 from spanloom.functions.dialect import DUCK as D
 from spanloom.functions.dialect import SPARK as S
-from spanloom.operators import chunking, concepts, landmarks, positions, selection, speech, structure
+from spanloom.operators import positions, selection, speech, structure
 from spanloom.plans import oracle as O
 from spanloom.plans.catalogue import _LOG, _QUEUE, CATALOGUE, blocks, books, bounds, chapters, documents, mark_log, playhead, query, render, timed_texts
 from spanloom.sources import archives, stores
@@ -87,13 +87,6 @@ def candidate_union(spark, sf):
     return parsed.unionByName(scanned)
 
 
-#: A reader clicks at an offset in 16-bit units of the rendered text; it goes to the source and to a chunk.
-@query("click_to_chunk", "book_id:long utf16:long pos:long span_no:long", O.q(*O.WHOLE, O.RENDER, _CHUNKS, select="").rstrip() + ",\n" + O.translated("render_", "").replace("select book_id, pos, case", ", mapped as (select book_id, pos, case", 1).replace("from hit", "from hit)", 1).replace("\n, mapped", ",\nmapped", 1) + "\nselect book_id, pos as utf16, mapped as pos, (select min(span_no) from chunks c where c.book_id = mapped.book_id and c.\"end\" > mapped.mapped) as span_no from mapped")
-def click_to_chunk(spark, sf):
-    at = structure.to_source(structure.every(books(spark, sf)), render(spark, sf))
-    return structure.indexed(at.select("book_id", F.col("pos").alias("utf16"), F.col("mapped").alias("pos")), given(spark, sf))
-
-
 @query("kind_policy", "kind:string is_displayed:boolean is_spoken:boolean n:long", O.q(O.BOOKS, O.LINES, O.CLASSIFIED, O.BLOCKS, select=f"select kind, kind in {O.SHOWN} as is_displayed, kind in {O.SPOKEN} as is_spoken, count(*) as n from blocks group by kind"))
 def kind_policy(spark, sf):
     known = spark.createDataFrame(list(P.BLOCK_KINDS), "kind string, is_displayed boolean, is_spoken boolean")
@@ -139,13 +132,6 @@ def book_progress(spark, sf):
     return t.groupBy("book_id").agg(F.max(F.expr("least(100, greatest(0, ((char_offset - s) * 100) div greatest(length(text) - s, 1)))")).alias("percent"))
 
 
-@query("heading_labels", "book_id:long key:string label:string kind:string")
-def heading_labels(spark, sf):
-    """Each book's different labels of headings, as the first line that has one gives it."""
-    t = landmarks.cleaned(chunking.heading_scan(books(spark, sf))).where("kind is not null").withColumn("key", F.expr(T.label_key(S, "clean")))
-    return t.groupBy("book_id", "key").agg(F.min_by(F.struct("clean", "kind"), "char_offset").alias("f")).select("book_id", "key", F.col("f.clean").alias("label"), "f.kind")
-
-
 @query("audible_offsets", "item_id:long k:long start_char:long end_char:long", "select item_id, k, start_char + item_id * 1000 as start_char, end_char + item_id * 1000 as end_char from (" + CATALOGUE["token_timing"][2] + ")")
 def audible_offsets(spark, sf):
     """Spans of a chunk's tokens as offsets into its book, of which each chunk has a place."""
@@ -162,10 +148,3 @@ def bookmark_store(spark, sf):
     row = F.struct(F.col("bookmark_id").cast("int").alias("bookmark_id"), "name", "char_offset")
     docs = positions.bookmarks(mark_log(spark, sf)).groupBy("book_id").agg(F.to_json(F.struct(F.lit(1).alias("next_id"), F.collect_list(row).alias("bookmarks"))).alias("json"))
     return stores.bookmarks_from_json(docs).join(stores.next_ids(docs), "book_id")
-
-
-@query("label_expansion", "doc_id:long label:string", None)
-def label_expansion(spark, sf):
-    """The first word of each document as a label, with more words of its paragraph where it is weak."""
-    t = documents(spark, sf).where("text is not null")
-    return t.select("doc_id", concepts.expanded_udf(F.regexp_extract("text", r"^\S+", 0), "text").alias("label"))

@@ -24,8 +24,9 @@ BOOKS = f"""books as (select book_id, string_agg(part, {LF} || {LF} order by k)
   'THE COLLECTED PAPERS ', cast(doc_id % 8 as varchar), {LF}, {LF}, cast(10 + doc_id % 8 as varchar), {LF}, {LF}, '---') as part from documents) group by book_id)"""
 
 MD_BOOKS = f"""md_books as (select conv_id, concat('# Conversation ', cast(conv_id as varchar), {LF}, {LF}, string_agg(part, {LF} || {LF} order by turn)) as text from (
- select conv_id, turn, concat('## ', role, {LF}, {LF}, text, {LF}, {LF}, '- **turn** ', cast(turn as varchar), {LF}, '  - `nested` item', {LF}, {LF}, '> quoted ', role, {LF}, {LF},
-  '```', {LF}, 'x = ', cast(turn as varchar), {LF}, '# not a heading', {LF}, '```', {LF}, {LF}, '---') as part from conversations) group by conv_id)"""
+ select conv_id, turn, concat('## ', role, {LF}, {LF}, text, {LF}, {LF}, '- **turn** ', cast(turn as varchar), {LF}, '  - `nested` item', {LF}, {LF}, '> quoted ', role, {LF},
+  '> and on', {LF}, {LF}, '```', {LF}, 'x = ', cast(turn as varchar), {LF}, '# not a heading', {LF}, {LF}, '```', {LF}, {LF}, '* * *', {LF}, {LF}, 'Set _off_ in ', cast(turn as varchar), {LF}, '------', {LF},
+  '#### Deep \\*mark\\*', {LF}, '3) third', {LF}, {LF}, '==', {LF}, '==', {LF}, '~~~', {LF}, '```', {LF}, '~~~', {LF}, {LF}, '---') as part from conversations) group by conv_id)"""
 
 
 def lines_of(name: str, source: str, key: str) -> str:
@@ -71,8 +72,8 @@ chapters as (select book_id, row_number() over ({BY_BOOK} order by pos0) - 1 as
 
 PLAYHEAD = "playhead as (select event_id, user_id % (select count(*) from books) as book_id, ts, event_type, value, cast(trunc(value * 10) as bigint) as char_offset from events)"
 
-LAYOUT = """layout as (select book_id, n as ord, n // 25 as page_index, n // 3 as block_index, line as text, case when line like 'Chapter %' or line in ('Prologue', 'Contents') then 18.0::double when line like 'THE COLLECTED%' then 9.0::double else 10.0::double end as size,
- false as bold, case when line like 'THE COLLECTED%' then 20.0::double when length(line) = 2 then 770.0::double else (120 + 20 * (n % 25))::double end as top, 800.0::double as page_height from lines where line <> '')"""
+LAYOUT = """layout as (select book_id, n as ord, n // 25 as page_index, n // 3 as block_index, line as text, case when line like 'Chapter %' or line in ('Prologue', 'Contents', 'Index') then 18.0::double when line like 'THE COLLECTED%' then 9.0::double else 10.0::double end as size,
+ n % 11 = 0 as bold, case when line like 'THE COLLECTED%' then 20.0::double when length(line) = 2 then 770.0::double else (120 + 20 * (n % 25))::double end as top, 800.0::double as page_height from (select * replace (case when n % 250 = 30 then 'Index' else line end as line) from lines where line <> ''))"""
 
 LAYOUT_KINDS = f"""p1 as (select *, {T.strip(D, 'text')} as t from layout), p2 as (select *, {T.repetition_key(D, 't')} as key, {P.in_margin('top', '(top + size)', 'page_height')} as margin from p1 where t <> ''),
 sized as (select book_id, arg_max(s, (n, s)) as body from (select book_id, round_even(size, 1) as s, sum(length(t)) as n from p2 group by book_id, s) group by book_id),

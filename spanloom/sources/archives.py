@@ -6,6 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,10 +20,18 @@ ITEMS = ArrayType(struct_of("name:string html:string"))
 MARKUP = (".xhtml", ".html", ".htm")
 
 
+def member(z: zipfile.ZipFile, name: str) -> bytes | None:
+    """A member's bytes; None if it is encrypted, damaged, or packed in a way that is not known."""
+    try:
+        return z.read(name)
+    except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, KeyError):
+        return None
+
+
 def items(data: bytes | None) -> list[dict]:
     """The documents of an archive as (name, html): those of the spine but its navigation and cover, else the manifest's, else all by name.
 
-    What is no archive has none.
+    What is no archive has none, and members that can't be read are left out.
     """
     try:
         z = zipfile.ZipFile(io.BytesIO(data or b""))
@@ -33,7 +42,7 @@ def items(data: bytes | None) -> list[dict]:
     package = next((n for n in names if n.endswith(".opf")), None)
     if package:
         try:
-            root = ElementTree.fromstring(z.read(package))
+            root = ElementTree.fromstring(member(z, package) or b"")
             of = {e.get("id"): (e.get("href", ""), e.get("media-type", "")) for e in root.iter() if e.tag.endswith("}item")}
             place = lambda i: posixpath.normpath(posixpath.join(posixpath.dirname(package), of[i][0]))
             spine = [e.get("idref") for e in root.iter() if e.tag.endswith("}itemref")]
@@ -41,7 +50,7 @@ def items(data: bytes | None) -> list[dict]:
         except ElementTree.ParseError:
             order = []
     order = [n for n in order if n in names] or sorted(n for n in names if n.lower().endswith(MARKUP))
-    return [{"name": n, "html": z.read(n).decode("utf-8", "ignore")} for n in order]
+    return [{"name": n, "html": html.decode("utf-8", "ignore")} for n in order if (html := member(z, n)) is not None]
 
 
 @F.pandas_udf(ITEMS)
@@ -88,9 +97,9 @@ def cover_image(data: bytes | None) -> bytes | None:
         return None
     names = z.namelist()
     for n in (n for n in names if "cover" in n.lower() and n.lower().endswith(MARKUP)):
-        for link in image_links(z.read(n).decode("utf-8", "ignore")):
+        for link in image_links((member(z, n) or b"").decode("utf-8", "ignore")):
             at = posixpath.normpath(posixpath.join(posixpath.dirname(n), link))
             if at in names:
-                return z.read(at)
+                return member(z, at)
     images = sorted((n for n in names if n.lower().endswith(IMAGES)), key=lambda n: ("cover" not in n.lower(), names.index(n)))
-    return z.read(images[0]) if images else None
+    return member(z, images[0]) if images else None

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from spanloom.functions import text as T
+from spanloom.functions.dialect import SPARK
 from spanloom.shared import spread
 
 LAYOUT = "book_id long, ord int, page_index int, block_index int, text string, size double, bold boolean, top double, page_height double"
@@ -14,10 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+@F.pandas_udf(StringType())
+def without_bad_bytes(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+
+def decoded(content: Column) -> Column:
+    """UTF-8 bytes as text; bytes that are none are left out. Only contents that have such bytes are looked at one by one."""
+    text = content.cast("string")
+    return F.coalesce(without_bad_bytes(F.when(~F.is_valid_utf8(text), content)), text)
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of whole text files; what is no UTF-8 is left out of a text."""
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "�", "").alias("text"))
+    """(path, text) of whole text files; what is no UTF-8 is left out of a text. Spark's reader gives no row for an empty file."""
+    return spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content")).alias("text"))
+
+
+def pages_text(pages: DataFrame) -> DataFrame:
+    """(book_id, text): lines of layouts (book_id, page_index, ord, text) page by page, with a blank line between, as they are read."""
+    page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n")
+    whole = pages.groupBy("book_id", "page_index").agg(page.alias("page")).groupBy("book_id").agg(join_parts("page_index", "page").alias("raw"))
+    return whole.select("book_id", F.expr(T.normalize_text(SPARK, T.dehyphenate(SPARK, "raw"))).alias("text"))
 
 
 def format_of(path) -> F.Column:
@@ -52,7 +73,7 @@ def markdown_books(conversations: DataFrame) -> DataFrame:
     turn = F.col("turn").cast("string")
     part = F.concat(
         F.lit("## "), F.col("role"), F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n- **turn** "), turn, F.lit("\n  - `nested` item\n\n> quoted "), F.col("role"),
-        F.lit("\n\n```\nx = "), turn, F.lit("\n# not a heading\n```\n\n---"),
+        F.lit("\n> and on\n\n```\nx = "), turn, F.lit("\n# not a heading\n\n```\n\n* * *\n\nSet _off_ in "), turn, F.lit("\n------\n#### Deep \\*mark\\*\n3) third\n\n==\n==\n~~~\n```\n~~~\n\n---"),
     )
     joined = conversations.select("conv_id", "turn", part.alias("part")).groupBy("conv_id").agg(join_parts("turn", "part").alias("body"))
     return joined.select("conv_id", F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.col("body")).alias("text"))
@@ -61,9 +82,10 @@ def markdown_books(conversations: DataFrame) -> DataFrame:
 def layout_lines(lines: DataFrame) -> DataFrame:
     """Lines of books as a page layout gives them: with type size, position, page and block."""
     line, n = F.col("line"), F.col("n")
-    size = F.when(line.startswith("Chapter ") | line.isin("Prologue", "Contents"), 18.0).when(line.startswith("THE COLLECTED"), 9.0).otherwise(10.0)
+    line = F.when(n % 250 == 30, "Index").otherwise(line)  # an index page
+    size = F.when(line.startswith("Chapter ") | line.isin("Prologue", "Contents", "Index"), 18.0).when(line.startswith("THE COLLECTED"), 9.0).otherwise(10.0)
     top = F.when(line.startswith("THE COLLECTED"), 20.0).when(F.length(line) == 2, 770.0).otherwise(120.0 + 20 * (n % 25))
-    return lines.where("line <> ''").select("book_id", n.alias("ord"), F.expr("cast(n div 25 as int)").alias("page_index"), F.expr("cast(n div 3 as int)").alias("block_index"), line.alias("text"), size.alias("size"), F.lit(False).alias("bold"), top.cast("double").alias("top"), F.lit(800.0).alias("page_height"))
+    return lines.where("line <> ''").select("book_id", n.alias("ord"), F.expr("cast(n div 25 as int)").alias("page_index"), F.expr("cast(n div 3 as int)").alias("block_index"), line.alias("text"), size.alias("size"), (n % 11 == 0).alias("bold"), top.cast("double").alias("top"), F.lit(800.0).alias("page_height"))
 
 
 def layout_from_json(pages: DataFrame) -> DataFrame:

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import html as html_library
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, StringType
 
-from spanloom.functions.dialect import WS, Spark, struct_of
+from spanloom.functions.dialect import SPARK, WS, Spark, struct_of
 from spanloom.functions.text import squash, strip
 
 #: Tags of blocks, the kinds and levels that they give (fixed values).
 HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 BLOCK_TAGS = {"p": "paragraph", "li": "list_item", "blockquote": "block_quote", "pre": "code"} | dict.fromkeys(HEADING_TAGS, "heading")
 VOID_TAGS = ("br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr")
+#: Tags whose beginning ends a paragraph, and elements beyond which none is ended (fixed values of HTML).
+ENDS_P = ("p", "ul", "ol", "div", "blockquote", "pre", "article", "section", "nav", "header", "footer", "aside", "main", "table", "form", "hr", *HEADING_TAGS)
+SCOPES = ("td", "th", "table", "button", "object", "html")
 BLOCKS = ArrayType(struct_of("kind:string level:int text:string"))
 
 
@@ -31,8 +35,10 @@ class Reader(HTMLParser):
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in VOID_TAGS:
             return
-        if tag in ("p", "li") and tag in self.open[-1:]:
-            self.handle_endtag(tag)
+        if tag in ENDS_P:
+            self.end_open("p", SCOPES)
+        if tag == "li":
+            self.end_open("li", ("ul", "ol"))
         self.open.append(tag)
         if self.depth is None and tag in BLOCK_TAGS:
             self.depth = len(self.open)
@@ -41,6 +47,15 @@ class Reader(HTMLParser):
             level = int(tag[1]) if kind == "heading" else max(1, lists) if kind == "list_item" else 0
             self.found.append({"kind": kind, "level": level, "parts": []})
 
+    def end_open(self, tag: str, scopes: tuple[str, ...]) -> None:
+        """End an element whose end tag was left out, if it is open and nothing that holds others is between."""
+        for t in reversed(self.open):
+            if t == tag:
+                return self.handle_endtag(tag)
+            if t in scopes:
+                return None
+        return None
+
     def handle_endtag(self, tag: str) -> None:
         if tag not in self.open:
             return
@@ -97,3 +112,26 @@ def crude_text(d: Spark, html: str) -> str:
     s = d.sub(html, r"(?i)<br\s*/?>", "\n")
     s = d.sub(d.sub(s, r"(?i)</p\s*>", "\n\n"), "<[^>]+>", " ")
     return strip(d, d.sub(s, f"{WS}+", " "))
+
+
+def text_nodes(d: Spark, html: str) -> str:
+    """The text of a page, each run between tags on a line of its own; character references are left as they are."""
+    return d.join(d.keep(d.each(d.split(visible(d, html), "<[^>]*>"), lambda x: strip(d, x)), lambda x: f"{x} <> ''"), "\n")
+
+
+def block_text(d: Spark, html: str) -> str:
+    """The text of a page with a blank line after blocks and a line feed for breaks; runs of spaces are one."""
+    s = d.sub(visible(d, html), r"(?i)<br\s*/?>", "\n")
+    s = d.sub(s, r"(?i)</(?:p|div|section|article|li|h[1-6])\s*>", "\n\n")
+    return strip(d, d.sub(d.sub(s, "<[^>]*>"), r"[ \t]+", " "))
+
+
+@F.pandas_udf(StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else html_library.unescape(t))
+
+
+def page_text(pages: DataFrame) -> DataFrame:
+    """(page_id, text) of pages (page_id, html). Only texts with character references are looked at one by one."""
+    t = pages.select("page_id", F.expr(text_nodes(SPARK, "html")).alias("t"))
+    return t.select("page_id", F.coalesce(unescaped(F.when(F.col("t").contains("&"), F.col("t"))), F.col("t")).alias("text"))

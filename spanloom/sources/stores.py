@@ -36,6 +36,13 @@ def bookmarks_from_json(stores: DataFrame) -> DataFrame:
     return rows.where("bookmark_id is not null and char_offset is not null")
 
 
+def bookmarks_to_json(rows: DataFrame) -> DataFrame:
+    """(book_id, json): live bookmarks (book_id, bookmark_id, name, char_offset, chunk_index, created_at) as one document a book, with the next number."""
+    row = F.struct(F.col("bookmark_id").cast("int").alias("bookmark_id"), "name", F.col("char_offset").cast("long").alias("char_offset"), F.col("chunk_index").cast("int").alias("chunk_index"), "created_at")
+    each = rows.groupBy("book_id").agg((F.max("bookmark_id") + 1).cast("int").alias("next_id"), F.array_sort(F.collect_list(row)).alias("bookmarks"))
+    return each.select("book_id", F.to_json(F.struct("next_id", "bookmarks")).alias("json"))
+
+
 def next_ids(stores: DataFrame) -> DataFrame:
     """(book_id, next_id): above the stored counter's and every number in use."""
     doc = F.from_json("json", BOOKMARK_STORE, {"mode": "PERMISSIVE"})
@@ -57,3 +64,21 @@ def without(rows: DataFrame, gone: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def audio_path(book: Column, voice: Column, chunk: Column, suffix: str = "wav") -> Column:
     return F.format_string(f"%s/%s/%06d.{suffix}", book.cast("string"), voice, chunk)
+
+
+def addressed(paths: DataFrame) -> DataFrame:
+    """(book, voice, chunk, suffix) of the files of the audio cache (path); other files are none."""
+    p = r"^([^/]+)/([^/]+)/([0-9]{6,})\.(wav|align\.json)$"
+    part = lambda k: F.regexp_extract("path", p, k)
+    return paths.where(F.col("path").rlike(p)).select(part(1).alias("book"), part(2).alias("voice"), part(3).cast("long").alias("chunk"), part(4).alias("suffix"))
+
+
+def last_paths(log: DataFrame, files: DataFrame) -> DataFrame:
+    """(user_id, path): the last book of each user, of saves and clears (user_id, ts, event_id, path; null clears); one whose file (path) is gone is none."""
+    last = latest(log, ["user_id"], "ts", "event_id").where("path is not null")
+    return last.join(files.select("path").distinct(), "path", "left_semi").select("user_id", "path")
+
+
+def forgotten(stores: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Every store without the books that are forgotten (book_id): audio, bookmarks, positions, the last book's preference."""
+    return {name: without(rows, gone, ["book_id"]) for name, rows in stores.items()}

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanloom.operators.positions import throttled
+from spanloom.operators.positions import REPORT, throttled
 
 
 def upserted(stream: DataFrame, key: str, by: str, write: Callable[[DataFrame], None], checkpoint: str):
@@ -43,26 +43,14 @@ def bookmark_events(stream: DataFrame) -> DataFrame:
     return stream.groupBy("book_id").applyInPandasWithState(step, "book_id long, bookmark_id long, live boolean", "added long, gone long", "append", GroupStateTimeout.NoTimeout)
 
 
-def throttled_events(stream: DataFrame, gap: int = 25) -> DataFrame:
-    """(book_id, ms, span) of the reports that are sent; the state is the last one."""
+def throttled_events(stream: DataFrame, gap: int = REPORT) -> DataFrame:
+    """(book_id, chunk, ms, span) of the reports that are sent; the state is the last one that was let through. Each chunk begins anew."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["ms", "span"])
-        before = [state.get] if state.exists else []
-        send = throttled([b[0] for b in before] + rows["ms"].tolist(), [b[1] for b in before] + rows["span"].tolist(), gap)
-        sent = rows[send[len(before) :]]
-        if len(sent):
-            state.update((int(sent["ms"].iloc[-1]), int(sent["span"].iloc[-1])))
-        yield sent[["book_id", "ms", "span"]]
+        last, span = state.get if state.exists else (None, None)
+        send, last, span = throttled(rows["ms"].tolist(), rows["span"].tolist(), gap, last, span)
+        state.update((int(last), int(span)))
+        yield rows[send][["book_id", "chunk", "ms", "span"]]
 
-    return stream.groupBy("book_id").applyInPandasWithState(step, "book_id long, ms long, span long", "ms long, span long", "append", GroupStateTimeout.NoTimeout)
-
-
-def throttled_batch(rows: DataFrame, gap: int = 25) -> DataFrame:
-    """The same over a table (book_id, ms, span)."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ms", "span"])
-        return pdf[throttled(pdf["ms"].tolist(), pdf["span"].tolist(), gap)][["book_id", "ms", "span"]]
-
-    return rows.groupBy("book_id").applyInPandas(fold, "book_id long, ms long, span long")
+    return stream.groupBy("book_id", "chunk").applyInPandasWithState(step, "book_id long, chunk long, ms long, span long", "ms long, span long", "append", GroupStateTimeout.NoTimeout)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from spanloom.plans import catalogue, more  # noqa: F401
+from spanloom.plans import catalogue, further, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 MAY_BE_EMPTY = {"stale_indexes"}

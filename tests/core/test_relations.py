@@ -1,13 +1,15 @@
 """Operators over small relations, and streams against their batch forms."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import audio
 from spanloom.functions.dialect import SPARK
-from spanloom.operators import asof, layout, positions, speech, structure
+from spanloom.functions import predicates as P
+from spanloom.operators import asof, chunking, concepts, layout, loading, positions, speech, structure
 from spanloom.sources import books as B
 from spanloom.sources import markup, stores
 from spanloom.streaming import state
@@ -184,15 +186,107 @@ def test_bookmarks_batch_and_stream(spark, tmp_path):
     assert {k: sorted(v) for k, v in live.items()} == want
 
 
+def brute_reports(rows, gap=25):
+    """Reports (book, chunk, ms, span) that are sent: let through by the time since the last let through, and of another span than it."""
+    out, last = [], {}
+    for b, c, ms, span in sorted(rows):
+        at = last.get((b, c))
+        if at is None or ms - at[0] >= gap:
+            if at is None or at[1] != span:
+                out.append((b, c, ms, span))
+            last[b, c] = ms, span
+    return sorted(out)
+
+
 def test_throttle_batch_and_stream(spark, tmp_path):
-    rows = spark.createDataFrame([(k % 2, 7 * k, k // 5) for k in range(80)], "book_id long, ms long, span long")
-    want = sorted(map(tuple, state.throttled_batch(rows).collect()))
-    sent = [r[1] for r in want if r[0] == 0]
-    assert all(b - a >= 25 for a, b in zip(sent, sent[1:], strict=False))
+    data = [(k % 2, k // 50, 7 * k, k // 5) for k in range(120)] + [(0, 0, 3, 0), (1, 1, 900, 7), (1, 1, 924, 8), (1, 1, 925, 8)]
+    rows = spark.createDataFrame(data, "book_id long, chunk long, ms long, span long")
+    want = brute_reports(data)
+    assert 5 < len(want) < len(data)
+    assert sorted(map(tuple, positions.reports(rows).collect())) == want
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     q = state.throttled_events(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("append").format("memory").queryName("sent").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted(map(tuple, spark.sql("select book_id, ms, span from sent").collect())) == want
+    assert sorted(map(tuple, spark.sql("select book_id, chunk, ms, span from sent").collect())) == want
+
+
+def test_narration_states(spark):
+    ops = ["start", "begin", "pause", "resume", "request", "request", "end", "begin", "end", "request", "start", "begin", "end", "stop", "pause"]
+    log = spark.createDataFrame([(k, 0, k, op, 10 + k) for k, op in enumerate(ops)], "event_id long, book_id long, ts long, op string, chunk long")
+    got = [(r.status, r.playing) for r in positions.narration_states(log).orderBy("event_id").collect()]
+    assert got == [
+        ("IDLE", None), ("PLAYING", 11), ("PAUSED", 11), ("PLAYING", 11), ("PLAYING", 11), ("PLAYING", 11), ("STOPPED", None), ("PLAYING", 17), ("PLAYING", 17),
+        ("PLAYING", 17), ("PLAYING", 17), ("PLAYING", 21), ("PLAYING", 21), ("STOPPED", None), ("PAUSED", None),
+    ]
+
+
+def test_utf16_round_trip(spark):
+    whole = ["😀a😀😀b", "plain", "", "x😀"]
+    t = book(spark, *whole).withColumnRenamed("book_id", "k")
+    probes = spark.createDataFrame([(k, p) for k, s in enumerate(whole) for p in range(len(s) + 1)], "k long, pos long")
+    there = {(r.k, r.pos): r.utf16 for r in positions.to_utf16(t, probes, "k").collect()}
+    assert there == {(k, p): len(s[:p].encode("utf-16-le")) // 2 for k, s in enumerate(whole) for p in range(len(s) + 1)}
+    units = spark.createDataFrame([(k, u) for k, s in enumerate(whole) for u in range(len(s.encode("utf-16-le")) // 2 + 1)], "k long, utf16 long")
+    back = {(r.k, r.utf16): r.pos for r in positions.from_utf16(t, units, "k").collect()}
+    for (k, u), p in back.items():
+        assert there[k, p] == u or there[k, p] == u - 1  # the second unit of a wide character is at its first
+
+
+def test_admitted_jobs(spark):
+    states = ["running", "running", "completed", "running", "cancelled", "running", "running"]
+    log = spark.createDataFrame([(k, 0, k, s) for k, s in enumerate(states)], "event_id long, book_id long, ts long, state string")
+    assert [r.event_id for r in positions.admitted(log).orderBy("event_id").collect()] == [0, 2, 3, 4, 5]
+
+
+def test_text_files_leave_bad_bytes_out(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"abc\xff\xfedef")
+    (tmp_path / "b.txt").write_bytes("fine � kept é".encode())
+    (tmp_path / "c.txt").write_bytes(b"")
+    got = {r.path[-5]: r.text for r in B.text_files(spark, str(tmp_path / "*.txt")).collect()}
+    assert got == {"a": "abcdef", "b": "fine � kept é"}  # Spark gives no row for an empty file
+
+
+def test_loaded_files(spark):
+    plain, marked = "Prologue\n\nIt was early.\n\nCHAPTER ONE\n\nThen it began, and it did not end.", "# Title\n\nSome *text* here, which goes on for a while so that it covers enough.\n\n- a\n  - b"
+    files = spark.createDataFrame([("/b/One.txt", plain.encode()), ("/b/Two.MD", marked.encode()), ("/b/copy/One.txt", plain.encode()), ("/b/Gap.txt", ("x" * 9 + "\n\n\n" + "\n").encode())], "path string, content binary")
+    books, blocks = loading.loaded(files)
+    assert books.count() == 3
+    kinds = {}
+    for r in blocks.join(books.select("book_id", "title"), "book_id").orderBy("title", "block_no").collect():
+        kinds.setdefault(r.title, []).append(r.kind)
+    assert kinds == {"Gap": ["paragraph"], "One": ["heading", "paragraph", "heading", "paragraph"], "Two": ["heading", "paragraph", "list_item", "list_item"]}
+    with pytest.raises(Exception, match="unsupported format"):
+        loading.parsed(spark.createDataFrame([("/b/x.doc", b"")], "path string, content binary")).collect()
+
+
+def brute_nodes(text, start):
+    """Headings and concepts of a text with the chunk that each leads to, one after another."""
+    whole = text[: concepts.CHARACTERS]
+    body = whole[start:]
+    spans = [(s, e) for t, s, e in chunking.chunk(body) if chunking.spoken(t)]
+    at, out = 0, [("Top Concepts", 0)] * bool(spans)
+    for line in body.split("\n"):
+        s = line.strip()
+        if 3 <= len(s) <= 80 and not s.endswith(".") and any(c.isalpha() for c in s) and s.count(":") <= 1 and ".." not in s:
+            w = s.split()
+            if re.match(r"(?i)(?:chapter|part)[ \t]+(?:\d+|[ivxlcdm]+)\b", s) or (len(w) <= 8 and sum(x[0].isupper() for x in w) >= max(1, len(w) // 2)):
+                out.append((s, at))
+        at += len(line) + 1
+    n = {}
+    for w in re.findall(concepts.TOKEN, body):
+        if w.lower() not in P.STOPWORDS and len(w) >= 3:
+            n[w.lower()] = n.get(w.lower(), 0) + 1
+    words = sorted(n, key=lambda k: (-n[k], k))[:5]
+    out += sorted(((w.replace("-", " ").title(), body.lower().index(w)) for w in words), key=lambda x: x[1])
+    return [(label, next(i for i, (s, e) in enumerate(spans) if s <= p < e or s >= p), start + p) for label, p in out if any(s <= p < e or s >= p for s, e in spans)]
+
+
+def test_concept_index(spark):
+    text = "Front\n\n" + "\n\n".join(f"Chapter {k}\n\nThe river ran past mills and towers. Boats went down the river, {k} of them, to the sea.\n\nPrologue .. 23" for k in range(4)) + "\n\n" + "word " * 120
+    got = concepts.index_nodes(spark.createDataFrame([(0, text, 7), (1, "", 0), (2, None, None)], "book_id long, text string, from long")).where("book_id = 0").collect()
+    mine = [(r.label, r.chunk_index, r.char_offset) for r in sorted(got, key=lambda r: int(r.node_id[1:]))]
+    assert mine == brute_nodes(text, 7) and not any("Prologue" in m[0] for m in mine)
+    assert [r.anchor_id[1:] for r in got] == [r.node_id[1:] for r in got]
 
 
 def test_upserts_keep_the_last_of_a_batch(spark, tmp_path):
@@ -218,6 +312,10 @@ def test_archives(spark, tmp_path):
         z.writestr("OPS/img/1.png", b"one")
         z.writestr("OPS/cover.html", "<img class='c' src='img/1.png'>")
     (tmp_path / "broken.epub").write_bytes(b"no zip")
+    damaged = bytearray((tmp_path / "x.epub").read_bytes().replace(b"<h1>a</h1>", b"<h1>?</h1>", 1))
+    (tmp_path / "damaged").mkdir()
+    (tmp_path / "damaged" / "y.epub").write_bytes(bytes(damaged))
+    assert [r.html for r in archives.documents(spark, str(tmp_path / "damaged")).collect()] == ["<h1>b</h1>"]
     got = archives.documents(spark, str(tmp_path)).orderBy("ord").collect()
     assert [(r.ord, r.name, r.html) for r in got] == [(0, "OPS/b.xhtml", "<h1>b</h1>"), (1, "OPS/a.xhtml", "<h1>a</h1>")]
     assert archives.cover_image((tmp_path / "x.epub").read_bytes()) == b"one" and archives.cover_image(b"") is None

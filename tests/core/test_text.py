@@ -81,6 +81,13 @@ def test_chunks():
     assert " ".join(t for t, _, _ in out).split() == text.split()
     assert chunking.sentences("Mr. Smith left. He ran.") == ["Mr. Smith left.", "He ran."]
     assert chunking.sentences("It was the best. So there.") == ["It was the best. So there."]
+    # cut after a comma rather than a space; a run of blanks across the limit is cut there
+    assert [p for p, _ in chunking.Cuts("aaa, bbb ccc ddd eee").pieces(12)] == ["aaa,", "bbb ccc ddd", "eee"]
+    assert [p for p, _ in chunking.Cuts("aaaa      bbbb").pieces(6)] == ["aaaa", "bb", "bb"]
+    assert [p for p, _ in chunking.Cuts("x" * 25).pieces(10)] == ["x" * 10, "x" * 10, "x" * 5]
+    # a sentence that is too long is a chunk where another follows it, and wrapped as the last
+    two = "Word " * 10 + "end. Short one."
+    assert [t for t, _ in chunking.packed(two, 5, 20)][0] == ("Word " * 10 + "end.")
     long = "word " * 100
     assert all(len(t) <= 40 for t, _, _ in chunking.chunk(long, 20, 40))
     run = "One  two­ three. Four."
@@ -99,28 +106,46 @@ def test_character_map():
         assert len(say) == len(offsets) and all(0 <= o < len(s) for o in offsets)
 
 
-def test_heading_scan():
+def texts(spark, *of):
+    return spark.createDataFrame(list(enumerate(of)), "book_id long, text string")
+
+
+def test_heading_scan(spark):
     text = "Prologue\n\nSome text that goes on here.\n\nChapter 1: The Long\nRoad Home\n\nBody text is here, and it ends.\n\nA Quiet Evening\n\nmore"
-    got = [(h["label"], h["char_offset"]) for h in chunking.scan_headings(text)]
+    rows = chunking.heading_scan(texts(spark, text, "", "Part IV\nOf Time and\nThe World\nAgain Then\nOnce More\nThe Last Word\n\nChapter 7\nThe Title Below\n", "A Half-\nForgotten Thing\n\nend")).collect()
+    got = [(h.label, h.char_offset) for h in rows if h.book_id == 0]
     assert ("Prologue", 0) in got and ("Chapter 1: The Long Road Home", text.index("Chapter")) in got and ("A Quiet Evening", text.index("A Quiet")) in got
     assert not any(label == "Road Home" for label, _ in got)
+    labels = [h.label for h in sorted((h for h in rows if h.book_id == 2), key=lambda h: h.char_offset)]
+    assert labels == ["Part IV", "The Last Word", "Chapter 7", "The Title Below"]
+    assert [h.label for h in rows if h.book_id == 3] == ["A HalfForgotten Thing", "end"]
 
 
-def test_essay_index():
-    text = "Prologue\n\nEssay Index\n\nOn Time ..... 3\nOn Space ..... 9\n\nChapter 1\n\nBody"
-    begin, end = chunking.essay_index(text)
-    assert text[begin:end].strip().startswith("Essay Index") and text[end:].startswith("Chapter 1")
+def test_essay_index(spark):
+    text = "Prologue\n\nEssay Index\n\nOn Time ..... 3\nAppendix A ···· 12\nOn Space ..... 9\n\nChapter 1\n\nBody"
+    row = chunking.essay_spans(texts(spark, text, "No such thing", "Essay index without an end", "ESSAY INDEX\r\nOne\r\nIntroduction\r\n")).collect()
+    spans = {r.book_id: (r.lo, r.hi) for r in row}
+    assert set(spans) == {0, 3}
+    lo, hi = spans[0]
+    assert text[lo:hi].strip().startswith("Essay Index") and text[hi:].startswith("Chapter 1") and text[:lo] == "Prologue\n"
+    assert spans[3] == (0, 18)
 
 
-def test_markdown():
+def test_markdown(spark):
     text = "# Title\n\nFirst *para*\ngoes on\n\nUnder\n=====\n\n- a\n  - b `c`\n> q1\n> **q2**\n```\n# no\n\n```\n---\nlast \\*x\\*"
-    got = [(b["kind"], b["level"], b["text"]) for b in markdown.scan(text)]
-    assert got == [("heading", 1, "Title"), ("paragraph", 0, "First para goes on"), ("heading", 1, "Under"), ("list_item", 1, "a"), ("list_item", 2, "b c"), ("block_quote", 0, "q1 q2"), ("code", 0, "# no"), ("separator", 0, ""), ("paragraph", 0, "last *x*")]
-    assert all(text[b["start"] : b["end"]].strip() for b in markdown.scan(text))
-    assert markdown.scan("") == []
-
-
-def test_weak_labels_are_expanded():
-    assert concepts.expanded("When", "When decisions are made\n\nX", 0).startswith("When ")
-    assert concepts.expanded("When", "When: decisions are made", 0) == "When"
-    assert concepts.expanded("Decision Architecture", "x", 0) == "Decision Architecture"
+    rows = markdown.markdown_blocks(texts(spark, text, "", "==\n==\n==\n\n- - -\n~~~\nopen\n````\n", "> \n\n****\n`` ``\n1. one\n\t2) two", chr(0xE100) + " \\* " + chr(0xE0FF) + chr(0xE1FF) + " \\_a\\_ _b_ _c_"), "book_id").collect()
+    of = lambda k: [(b.kind, b.level, b.text) for b in sorted((r for r in rows if r.book_id == k), key=lambda r: r.block_no)]
+    assert of(0) == [("heading", 1, "Title"), ("paragraph", 0, "First para goes on"), ("heading", 1, "Under"), ("list_item", 1, "a"), ("list_item", 2, "b c"), ("block_quote", 0, "q1 q2"), ("code", 0, "# no"), ("separator", 0, ""), ("paragraph", 0, "last *x*")]
+    assert all(text[b.start : b.end].strip() for b in rows if b.book_id == 0)
+    assert of(1) == []
+    # the first underlines nothing and is text, the second underlines it, the third is text again; an open fence reaches the end
+    assert of(2) == [("heading", 1, "=="), ("paragraph", 0, "=="), ("separator", 0, ""), ("code", 0, "open\n````")]
+    assert of(3)[0] == ("block_quote", 0, "") and of(3)[1][0] == "separator" and of(3)[-2:] == [("list_item", 1, "one"), ("list_item", 1, "two")]
+    assert of(4) == [("paragraph", 0, chr(0xE100) + " * " + chr(0xE0FF) + chr(0xE1FF) + " _a_ b c")]
+
+
+def test_weak_labels_are_expanded(spark):
+    t = texts(spark, "When decisions are made\n\nX", "When: decisions are made", "x", "The world of\nmen and women, then\n\nmore", "  Of old kings and queens")
+    rows = spark.createDataFrame([(0, "When", 0), (1, "When", 0), (2, "Decision Architecture", 0), (3, "The", 0), (3, "of", 10), (4, " ", 0)], "book_id long, label string, char_offset long")
+    got = {(r.book_id, r.char_offset): r.label for r in concepts.expand_labels(rows, t, "book_id").collect()}
+    assert got == {(0, 0): "When decisions made", (1, 0): "When", (2, 0): "Decision Architecture", (3, 0): "The world men women", (3, 10): "of men women", (4, 0): "Ideas"}
