@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.functions.dialect import Spark, Steps
+from spanloom.functions.dialect import Spark
 
 
 def scaled(d: Spark, a: str, volume: float) -> str:
@@ -44,15 +44,14 @@ def resampled(d: Spark, a: str, rate: float) -> str:
     return f"case when {n} = 0 then {a} else {d.each(steps, value, 'i')} end"
 
 
-def channel_steps(d: Spark, channels: list[str], rate: float, out: str) -> Steps:
-    """Steps to ``out``: frames of several channels (an array of arrays). Each is resampled, and all are cut to the shortest."""
-    made = [f"{out}_{k}" for k in range(len(channels))]
-    n = f"least({', '.join(d.size(c) for c in made)})" if len(made) > 1 else d.size(made[0])
+def resampled_channels(d: Spark, channels: list[str], rate: float) -> str:
+    """Frames of several channels (an array of arrays). Each is resampled, and all are cut to the shortest."""
+    sizes = [f"case when {d.size(c)} = 0 then 0 else greatest(1, cast({d.half_even(f'{d.size(c)} / cast({rate} as double)')} as int)) end" for c in channels]
+    n = f"least({', '.join(sizes)})" if len(sizes) > 1 else sizes[0]
+    made = ", ".join(resampled(d, c, rate) for c in channels)
     if d.name == "duck":
-        steps, frame = f"range(0, {n})", lambda i: "[" + ", ".join(f"{c}[{i} + 1]" for c in made) + "]"
-    else:
-        steps, frame = f"sequence(0, {n} - 1)", lambda i: "array(" + ", ".join(f"element_at({c}, {i} + 1)" for c in made) + ")"
-    return [*((m, resampled(d, c, rate)) for m, c in zip(made, channels, strict=True)), (out, f"case when {n} = 0 then {'[]' if d.name == 'duck' else 'array()'} else {d.each(steps, frame, 'f')} end")]
+        return f"list_zip({made})[1:{n}]"
+    return f"transform(slice(arrays_zip({made}), 1, {n}), z -> array({', '.join(f'z.`{k}`' for k in range(len(channels)))}))"
 
 
 def rate_valid(rate: str) -> str:

@@ -19,8 +19,10 @@ BLOCK_KINDS = (
     ("separator", False, False),
 )
 #: Headings that stand alone, of any part of a book (fixed values).
-STANDALONE = """contents|table of contents|prologue|epilogue|introduction|foreword|preface|afterword|acknowledgements
-acknowledgments|appendix|glossary|bibliography|notes|index|about the author""".replace("\n", "|").split("|")
+STANDALONE = (
+    "contents", "table of contents", "prologue", "epilogue", "introduction", "foreword", "preface", "afterword", "acknowledgements",
+    "acknowledgments", "appendix", "glossary", "bibliography", "notes", "index", "about the author",
+)
 CONTENTS = ("contents", "table of contents")
 OPENINGS = ("prologue", "introduction", "foreword", "preface", "acknowledgements", "acknowledgments")
 #: Titles of index pages (fixed values).

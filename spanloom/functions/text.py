@@ -135,9 +135,15 @@ def spoken_lines(d: Spark, s: str) -> str:
 def initialisms(d: Spark, s: str) -> str:
     """``U.K.`` and runs of two to six capitals (with a plural s) are spelt with spaces.
 
-    The text is cut into dotted initials, words, and the rest; initials that go on from a word are none.
+    The text is cut into dotted initials, words, and the rest; initials that go on from a word are none. An engine that
+    can look back needs no words: what is neither initials nor a run of capitals is a few long pieces.
     """
     initials = r"(?:[A-Z]\.){2,6}"
+    if d.name == "spark":
+        parts = d.find_all(s, rf"(?<![\p{{L}}\p{{N}}_]){initials}|[^A-Z]+|[A-Z]")
+        s = d.join(d.each(parts, lambda x: f"case when length({x}) > 1 and {d.has(x, '^[A-Z]')} then rtrim(replace({x}, '.', ' ')) else {x} end"), "")
+        runs = d.find_all(s, r"(?<![A-Za-z])[A-Z]{2,6}s?(?![A-Za-z])|[^A-Z]+|[A-Z]")
+        return d.join(d.each(runs, lambda x: f"case when length({x}) > 1 and {d.has(x, '^[A-Z]')} then rtrim({d.sub(x, '(.)', chr(92) + '1 ')}) else {x} end"), "")
     parts = d.find_all(s, rf"{initials}|{WORD_RUN}|{NW}+")
 
     def dots(x: str) -> str:

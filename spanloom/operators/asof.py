@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
+#: Probes of a key that one task takes.
+PROBES = 1_000_000
+
+
+def salts_of(probes: DataFrame, key: str) -> int:
+    """Parts that the probes of a key are dealt to, so that the largest key's are about PROBES a part; counts the probes."""
+    most = probes.groupBy(key).count().agg(F.max("count")).first()[0]
+    return max(1, -(-(most or 0) // PROBES))
+
+
 def _both(probes: DataFrame, at: str, rows: DataFrame, by: str, key: str, salts: int) -> DataFrame:
     probe, row = F.struct(*probes.columns), F.struct(*rows.columns)
     types = probes.select(probe.alias("p")).schema["p"].dataType, rows.select(row.alias("r")).schema["r"].dataType

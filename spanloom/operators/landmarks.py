@@ -70,7 +70,7 @@ def occurrences(books: DataFrame) -> DataFrame:
     both = t.select("book_id", "char_offset", F.col("t").alias("label"), F.lit("exact").alias("match"), "prev_blank", "next_blank", "probable_toc").unionByName(
         t.where("following is not null").select("book_id", "char_offset", joined.alias("label"), F.lit("wrapped").alias("match"), "prev_blank", "next_blank", "probable_toc")
     )
-    c = cleaned(both.where("length(label) <= 500"))
+    c = cleaned(both)
     c = c.withColumn("key", F.expr(T.label_key(SPARK, "clean")))
     marks = c.where("match = 'exact' and kind in ('chapter', 'part')").withColumn("match", F.lit("prefix"))
     return c.unionByName(marks).select("book_id", "char_offset", "match", "key", F.col("clean").alias("label"), "prev_blank", "next_blank", "probable_toc")

@@ -210,12 +210,12 @@ def chapter_lines(rows: DataFrame) -> DataFrame:
     return t.where(~column(P.has_leader, "title")).select("book_id", "title", F.col("start").alias("char_offset"))
 
 
-def placed(probes: DataFrame, ch: DataFrame, books: DataFrame) -> DataFrame:
+def placed(probes: DataFrame, ch: DataFrame, books: DataFrame, salts: int = 1) -> DataFrame:
     """Probes (book_id, pos, ...) with current, previous and next chapter and the progress label."""
     w = of_book("chapter_no")
     sized = ch.join(books.select("book_id", F.length("text").alias("size")), "book_id")
     sized = sized.withColumn("previous", F.lag("title").over(w)).withColumn("next", F.lead("title").over(w)).withColumn("until", F.coalesce(F.lead("char_offset").over(w), F.col("size")))
-    hit = asof.backward(probes, "pos", sized, "char_offset", "book_id")
+    hit = asof.backward(probes, "pos", sized, "char_offset", "book_id", salts=salts)
     first = ch.where("chapter_no = 0").select("book_id", F.col("title").alias("first_title"))
     h = F.col("hit")
     span = h["until"] - h["char_offset"]
@@ -224,14 +224,12 @@ def placed(probes: DataFrame, ch: DataFrame, books: DataFrame) -> DataFrame:
     return hit.join(first, "book_id", "left").select(*probes.columns, h["title"].alias("current"), h["previous"].alias("previous"), F.when(h.isNull(), F.col("first_title")).otherwise(h["next"]).alias("next"), label.alias("label"))
 
 
-def indexed(probes: DataFrame, spans: DataFrame) -> DataFrame:
+def indexed(probes: DataFrame, spans: DataFrame, salts: int = 1) -> DataFrame:
     """Probes (book_id, pos, ...) with ``span_no``: of ordered spans the first that ends after the offset."""
-    hit = asof.forward(probes, "pos", spans, "end", "book_id")
+    hit = asof.forward(probes, "pos", spans, "end", "book_id", salts=salts)
     return hit.select(*probes.columns, F.col("hit.span_no").alias("span_no"))
 
 
 def every(books: DataFrame, step: int = 997) -> DataFrame:
     """(book_id, pos): an offset every ``step`` characters."""
     return books.select("book_id", F.explode(F.expr(f"sequence(0L, cast(length(text) as bigint), {step}L)")).alias("pos"))
-
-

@@ -15,7 +15,7 @@ from spanloom.functions import text as T
 from spanloom.functions.dialect import DUCK as D
 from spanloom.functions.dialect import SPARK as S
 from spanloom.functions.dialect import nested, with_steps
-from spanloom.operators import chunking, concepts, landmarks, layout, positions, speech, structure
+from spanloom.operators import asof, chunking, concepts, landmarks, layout, positions, speech, structure
 from spanloom.plans import oracle as O
 from spanloom.sources import books as B
 from spanloom.sources import markup as M
@@ -111,7 +111,7 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Heading lines as three sources give them: exactly, some shifted or without an offset, some farther on."""
-    h = structure.classified(lines(spark, sf)).where("kind = 'heading' and length(t) <= 120").select("book_id", "n", F.col("t").alias("label"), F.col("start").alias("at"))
+    h = structure.classified(lines(spark, sf)).where("kind = 'heading'").select("book_id", "n", F.col("t").alias("label"), F.col("start").alias("at"))
     nav = h.select("book_id", "label", F.col("at").alias("char_offset"), F.col("n").cast("int").alias("chunk_index"), F.lit("nav").alias("source"))
     scan = h.select("book_id", "label", F.when(F.col("n") % 5 != 0, F.col("at") + F.col("n") * 37 % 600).alias("char_offset"), F.lit(None).cast("int").alias("chunk_index"), F.lit("text_scan").alias("source"))
     other = h.where("n % 3 = 0").select("book_id", "label", (F.col("at") + 900).alias("char_offset"), F.lit(None).cast("int").alias("chunk_index"), F.lit("other").alias("source"))
@@ -119,12 +119,13 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels made from the first words of documents, in the forms that books give them."""
-    w = documents(spark, sf).where("text is not null").select("doc_id", F.expr(f"array_join(slice({T.words(S, 'text')}, 1, 4), ' ')").alias("w"))
-    form = F.expr("""case k when 0 then concat('chapter ', doc_id % 40, ' . . . . . ', doc_id % 300) when 1 then concat('Chapter ', doc_id % 9, ' - ', w) when 2 then concat('PART iv: ', w, ' ..... ', doc_id % 300)
+    """Labels made from the words of documents, four after four to the texts' ends, in the forms that books give them."""
+    w = documents(spark, sf).select("doc_id", F.expr(T.words(S, "coalesce(text, '')")).alias("words"))
+    w = w.select("doc_id", F.posexplode(F.expr("transform(sequence(0, greatest(size(words) - 1, 0) div 4), i -> array_join(slice(words, 4 * i + 1, 4), ' '))")).alias("i", "w"))
+    form = F.expr("""case i % 10 when 0 then concat('chapter ', doc_id % 40, ' . . . . . ', doc_id % 300) when 1 then concat('Chapter ', doc_id % 9, ' - ', w) when 2 then concat('PART iv: ', w, ' ..... ', doc_id % 300)
       when 3 then w when 4 then concat(w, ' . . . . . xii') when 5 then upper(replace(w, 'ß', 'ss')) when 6 then concat('Axiom ', doc_id % 7, ' ', w) when 7 then concat('  prologue  ', case when doc_id % 2 = 0 then '' else ' 12' end)
-      when 8 then concat('Appendix A ', w) else concat('Book ', doc_id % 5, ': ', w) end""")
-    return w.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select((F.col("doc_id") * 10 + F.col("k")).alias("label_id"), form.alias("label"))
+      when 8 then concat('Appendix A ', w) else case i div 10 % 8 when 0 then concat('Book ', doc_id % 5, ': ', w) when 1 then ' Introduction  · · · · ix' when 2 then 'PREFACE' when 3 then 'epilogue' when 4 then 'Closing Reflections' when 5 then 'Afterword' when 6 then concat('appendix: ', w) else 'Table of Contents' end end""")
+    return w.select((F.col("doc_id") * 100_000 + F.col("i")).alias("label_id"), form.alias("label"))
 
 
 # ---- text ------------------------------------------------------------------------------------------------------
@@ -263,14 +264,29 @@ def render_text(spark, sf):
     return structure.render_text(render(spark, sf))
 
 
-@query("source_to_render", "book_id:long pos:long mapped:long", O.q(*O.WHOLE, O.RENDER, select="").rstrip() + ",\n" + O.translated("", "render_"))
+def edges(r: DataFrame, at: str, whole: DataFrame) -> DataFrame:
+    """Offsets at, before and after both ends of every block, and every so many characters."""
+    near = r.select("book_id", F.explode(F.array(*[F.col(c) + k for c in (f"{at}start", f"{at}end") for k in (-1, 0, 1)])).alias("pos")).where("pos >= 0")
+    return near.unionByName(structure.every(whole)).distinct()
+
+
+def _at_edges(at: str, to: str) -> str:
+    every = "select book_id, unnest(range(0, length(text) + 1, 997)) as pos from books"
+    end = f'{at}"end"' if not at else f"{at}end"
+    near = " union all ".join(f"select book_id, {c} + {k} as pos from render" for c in (f"{at}start", end) for k in (-1, 0, 1))
+    return O.translated(at, to).replace(f"probes as ({every})", f"probes as (select distinct book_id, pos from ({every} union all {near}) where pos >= 0)")
+
+
+@query("source_to_render", "book_id:long pos:long mapped:long", O.q(*O.WHOLE, O.RENDER, select="").rstrip() + ",\n" + _at_edges("", "render_"))
 def source_to_render(spark, sf):
-    return structure.to_render(structure.every(books(spark, sf)), render(spark, sf))
+    r = render(spark, sf)
+    return structure.to_render(edges(r, "", books(spark, sf)), r)
 
 
-@query("render_to_source", "book_id:long pos:long mapped:long", O.q(*O.WHOLE, O.RENDER, select="").rstrip() + ",\n" + O.translated("render_", ""))
+@query("render_to_source", "book_id:long pos:long mapped:long", O.q(*O.WHOLE, O.RENDER, select="").rstrip() + ",\n" + _at_edges("render_", ""))
 def render_to_source(spark, sf):
-    return structure.to_source(structure.every(books(spark, sf)), render(spark, sf))
+    r = render(spark, sf)
+    return structure.to_source(edges(r, "render_", books(spark, sf)), r)
 
 
 _RUNS = f"""r1 as (select book_id, block_no, kind, greatest(start, coalesce(reading_start, 0)) as start, "end" from blocks join bounds using (book_id) where kind in {O.SPOKEN} and "end" > coalesce(reading_start, 0)),
@@ -283,16 +299,6 @@ def narration_runs(spark, sf):
     return structure.narration_runs(books(spark, sf), blocks(spark, sf), bounds(spark, sf))
 
 
-@query("narration_chunks", "book_id:long chunk_id:long text:string start:long end:long")
-def narration_chunks(spark, sf):
-    return chunks(spark, sf)
-
-
-@query("navigation_chunks", "book_id:long chunk_id:long text:string start:long end:long")
-def navigation_chunks(spark, sf):
-    return chunking.navigation_chunks(books(spark, sf), chunks(spark, sf), bounds(spark, sf))
-
-
 @query("chunk_span_invariant", "violations:long", "select 0 as violations")
 def chunk_span_invariant(spark, sf):
     """Chunks whose span does not hold their text, white space aside."""
@@ -335,7 +341,8 @@ placed as (select p.event_id, p.book_id, p.pos, c.title as current, c.previous,
 
 
 def placed(spark, sf):
-    return structure.placed(playhead(spark, sf).select("event_id", "book_id", F.col("char_offset").alias("pos")), chapters(spark, sf), books(spark, sf))
+    probes = playhead(spark, sf).select("event_id", "book_id", F.col("char_offset").alias("pos"))
+    return structure.placed(probes, chapters(spark, sf), books(spark, sf), asof.salts_of(probes, "book_id"))
 
 
 for _name, _columns in (("current_chapter", "current"), ("prev_next_chapter", "previous next"), ("chapter_progress", "label")):
@@ -344,16 +351,8 @@ for _name, _columns in (("current_chapter", "current"), ("prev_next_chapter", "p
 
 @query("seek_chunk", "event_id:long book_id:long pos:long span_no:long", O.q(*O.STRUCTURE, O.PLAYHEAD, f'spans as (select book_id, row_number() over (partition by book_id order by block_no) - 1 as span_no, start, "end" from blocks where kind in {O.SPOKEN})', select='select event_id, p.book_id, char_offset as pos, (select min(span_no) from spans s where s.book_id = p.book_id and s."end" > p.char_offset) as span_no from playhead p'))
 def seek_chunk(spark, sf):
-    return structure.indexed(playhead(spark, sf).select("event_id", "book_id", F.col("char_offset").alias("pos")), spans(spark, sf))
-
-
-@query("chapter_chunks", "book_id:long chapter_no:long title:string char_offset:long chunk_id:long")
-def chapter_chunks(spark, sf):
-    """Chapters with the first chunk that is spoken in them."""
-    c = chunks(spark, sf).withColumn("say", F.expr(T.sanitize(S, "text"))).where("say <> ''")
-    c = c.select("book_id", (F.row_number().over(structure.of_book("chunk_id")) - 1).alias("span_no"), "start", "end")
-    out = structure.indexed(chapters(spark, sf).withColumnRenamed("char_offset", "pos"), c)
-    return out.select("book_id", "chapter_no", "title", F.col("pos").alias("char_offset"), F.col("span_no").alias("chunk_id")).where("chunk_id is not null")
+    probes = playhead(spark, sf).select("event_id", "book_id", F.col("char_offset").alias("pos"))
+    return structure.indexed(probes, spans(spark, sf), asof.salts_of(probes, "book_id"))
 
 
 # ---- headings and landmarks ------------------------------------------------------------------------------------

@@ -10,10 +10,10 @@ from spanloom.functions import predicates as P
 from spanloom.functions import text as T
 from spanloom.functions.dialect import DUCK as D
 from spanloom.functions.dialect import SPARK as S
-from spanloom.functions.dialect import nested, with_steps
+from spanloom.functions.dialect import nested
 from spanloom.operators import chunking, concepts, landmarks, layout, loading, markdown, positions, selection, speech, structure
 from spanloom.plans import oracle as O
-from spanloom.plans.catalogue import _LAYOUT, _LOG, _QUEUE, CATALOGUE, blocks, books, chapters, documents, layout_lines, lines, mark_log, md_books, placed, playhead, query, render, timed_texts
+from spanloom.plans.catalogue import _LAYOUT, _LOG, _QUEUE, _RUNS, CATALOGUE, blocks, books, chapters, chunks, documents, layout_lines, lines, mark_log, md_books, placed, playhead, query, render, timed_texts
 from spanloom.plans.more import _CHUNKS, given
 from spanloom.sources import books as B
 from spanloom.sources import markup as M
@@ -345,10 +345,9 @@ def audio_durations(spark, sf):
     return speech.with_duration(t)
 
 
-@query("signal_channels", "vec_id:long i:long left:double right:double", f"select vec_id, unnest(range(0, len(f))) as i, unnest(list_transform(f, lambda x: x[1])) as \"left\", unnest(list_transform(f, lambda x: x[2])) as \"right\" from {nested('embeddings', A.channel_steps(D, ['embedding', 'embedding[1:len(embedding) - 5]'], 1.5, 'f'))}")
+@query("signal_channels", "vec_id:long i:long left:double right:double", f"select vec_id, unnest(range(0, len(f))) as i, unnest(list_transform(f, lambda x: x[1])) as \"left\", unnest(list_transform(f, lambda x: x[2])) as \"right\" from (select vec_id, {A.resampled_channels(D, ['embedding', 'embedding[1:len(embedding) - 5]'], 1.5)} as f from embeddings)")
 def signal_channels(spark, sf):
-    t = with_steps(B.table(spark, sf, "embeddings"), A.channel_steps(S, ["embedding", "slice(embedding, 1, size(embedding) - 5)"], 1.5, "f"))
-    t = t.select("vec_id", F.posexplode("f").alias("i", "f"))
+    t = B.table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.expr(A.resampled_channels(S, ["embedding", "slice(embedding, 1, size(embedding) - 5)"], 1.5))).alias("i", "f"))
     return t.select("vec_id", "i", F.col("f")[0].alias("left"), F.col("f")[1].alias("right"))
 
 
@@ -472,3 +471,62 @@ def longest_labels(spark, sf):
 
     t = candidates(spark, sf).withColumn("label", F.when(F.col("char_offset") % 2 == 0, F.concat("label", F.lit(" "))).otherwise(F.col("label")))
     return landmarks.longest(t.withColumn("key", F.expr(T.label_key(S, "label"))))
+
+
+# ---- chunks ----------------------------------------------------------------------------------------------------
+
+_STOPPED = "(" + "|".join(a.replace(".", "[.]") for a in P.ABBREVIATIONS) + ")$"
+#: The chunks of runs of text, by recursion from one chunk, or piece of a sentence, to the next.
+_PACKED = rf"""runs as (select book_id, run_no, min(start) as rs, max("end") as re from r3 group by book_id, run_no), slices as (select book_id, run_no, rs, substr(text, rs + 1, re - rs) as s from runs join books using (book_id)),
+whole as (select *, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(s, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\t\x{{a0}}]+', ' ', 'g'), ' +', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) as w from slices),
+paras as (select book_id, run_no, unnest(range(0, len(ps))) as p, trim(unnest(ps), ' ' || chr(10)) as para from (select *, string_split(w, chr(10) || chr(10)) as ps from whole)),
+bits as (select book_id, run_no, p, unnest(range(0, len(b))) as k, unnest(b) as bit from (select *, regexp_extract_all(para, '(?s).*?[.!?]+\s+|.+') as b from paras)),
+told as (select *, coalesce(sum((not regexp_matches(lower(rtrim(bit, ' ' || chr(10))), '{_STOPPED}'))::int) over (partition by book_id, run_no, p order by k rows between unbounded preceding and 1 preceding), 0) as no from bits),
+sents as (select book_id, run_no, p, no, trim(string_agg(bit, '' order by k), ' ' || chr(10)) as t from told group by book_id, run_no, p, no),
+lists as (select book_id, run_no, p, list(t order by no) as ss from sents where t <> '' group by book_id, run_no, p),
+placed0 as (select *, list_transform(range(0, len(ss) + 1), lambda i: i + coalesce(list_sum(list_transform(ss[1:i], lambda x: length(x))), 0)) as pos from lists),
+pack as (select book_id, run_no, p, ss, pos, 0::bigint as i, greatest(1, len(list_filter(pos, lambda x: x <= 221)) - 1)::bigint as j from placed0 union all
+ select book_id, run_no, p, ss, pos, nx, greatest(nx + 1, len(list_filter(pos, lambda x: x <= pos[nx + 1] + 221)) - 1)::bigint from (select *, case when j < len(ss) and pos[j + 1] - pos[i + 1] - 1 < 120 and length(ss[j + 1]) > 120 then j + 1 else j end as nx from pack) where nx < len(ss)),
+todo as (select book_id, run_no, p, i, 0 as sub, array_to_string(ss[i + 1:j], ' ') as t, j = len(ss) and pos[j + 1] - pos[i + 1] - 1 > 220 as wraps from pack
+ union all select book_id, run_no, p, i, 1, ss[j + 1], true from pack where j < len(ss) and pos[j + 1] - pos[i + 1] - 1 < 120 and length(ss[j + 1]) > 120),
+cuts as (select book_id, run_no, p, i, sub, t, 0::bigint as s0, 0::bigint as e0 from todo where wraps union all
+ select book_id, run_no, p, i, sub, t, e0, e0 + case when trim(substr(v, 1, c), ' ' || chr(10)) = '' then length(v) else c end from (select *, case when soft > 0 then soft when any_gap > 0 then any_gap else length(v) end as c
+ from (select *, length(regexp_extract(v, '(?s)^.*[,;:]\s+')) as soft, length(regexp_extract(v, '(?s)^.*\s')) as any_gap from (select *, substr(t, e0 + 1, 220) as v from cuts where e0 < length(t))))),
+given as (select book_id, run_no, p, i, sub, 0::bigint as s0, t from todo where not wraps union all select book_id, run_no, p, i, sub, s0, trim(substr(t, s0 + 1, e0 - s0), ' ' || chr(10)) from cuts where e0 > s0),
+sized0 as (select *, length(regexp_replace(t, '[\s\x{{ad}}]', '', 'g')) as c from given where t <> ''),
+summed as (select *, sum(c) over (partition by book_id, run_no order by p, i, sub, s0) as upto from sized0),
+solid as (select book_id, run_no, rs, list_filter(range(1, length(s) + 1), lambda k: not regexp_matches(chars[k], '[\s\x{{ad}}]')) as spots from (select *, string_split(s, '') as chars from slices)),
+chunks as (select book_id, row_number() over (partition by book_id order by run_no, p, i, sub, s0) - 1 as chunk_id, t as text, rs + spots[(upto - c + 1)::bigint] - 1 as start, rs + spots[upto::bigint] as "end" from summed join solid using (book_id, run_no))"""
+
+_CHUNKED = ("recursive " + O.BOOKS, *O.WHOLE[1:], _RUNS, _PACKED)
+_CHUNK = "book_id:long chunk_id:long text:string start:long end:long"
+
+
+@query("narration_chunks", _CHUNK, O.q(*_CHUNKED, select="select * from chunks"))
+def narration_chunks(spark, sf):
+    return chunks(spark, sf)
+
+
+_SAID = f"said as (select book_id, row_number() over (partition by book_id order by chunk_id) - 1 as k, start, \"end\" from chunks where {T.sanitize(D, 'text')} <> '')"
+
+
+@query("chapter_chunks", "book_id:long chapter_no:long title:string char_offset:long chunk_id:long", O.q(*_CHUNKED, O.CHAPTERS, _SAID, select='select * from (select book_id, chapter_no, title, char_offset, (select min(k) from said where said.book_id = chapters.book_id and said."end" > chapters.char_offset) as chunk_id from chapters) where chunk_id is not null'))
+def chapter_chunks(spark, sf):
+    """Chapters with the first chunk that is spoken in them."""
+    c = chunks(spark, sf).withColumn("say", F.expr(T.sanitize(S, "text"))).where("say <> ''")
+    c = c.select("book_id", (F.row_number().over(structure.of_book("chunk_id")) - 1).alias("span_no"), "start", "end")
+    out = structure.indexed(chapters(spark, sf).withColumnRenamed("char_offset", "pos"), c)
+    return out.select("book_id", "chapter_no", "title", F.col("pos").alias("char_offset"), F.col("span_no").alias("chunk_id")).where("chunk_id is not null")
+
+
+#: Books in which a running head is the title of an essay index, which the next chapter ends.
+_ESSAY_BOOKS = O.BOOKS.replace("books as", "base as", 1) + ",\nbooks as (select book_id, replace(text, 'THE COLLECTED PAPERS 2', 'Essay Index') as text from base)"
+_ESSAYS = """tails as (select book_id, coalesce(reading_start, 0) as f, substr(text, coalesce(reading_start, 0) + 1) as tail from books join bounds using (book_id)), essays as (select book_id, f + strpos(tail, chr(10) || chr(10) || 'Essay Index' || chr(10)) as lo, f + strpos(tail, chr(10) || 'Chapter 3' || chr(10)) as hi from tails where strpos(tail, chr(10) || chr(10) || 'Essay Index' || chr(10)) > 0 and strpos(tail, chr(10) || 'Chapter 3' || chr(10)) > 0)"""
+
+
+@query("navigation_chunks", _CHUNK, O.q("recursive " + _ESSAY_BOOKS, *O.WHOLE[1:], _RUNS, _PACKED, _ESSAYS, select='select chunks.* from chunks left join essays using (book_id) where lo is null or not (start >= lo and "end" <= hi)'))
+def navigation_chunks(spark, sf):
+    b = books(spark, sf).withColumn("text", F.regexp_replace("text", "THE COLLECTED PAPERS 2", "Essay Index"))
+    own = structure.blocks(structure.lines(b))
+    where = structure.boundary(own)
+    return chunking.navigation_chunks(b, chunking.narration_chunks(b, own, where), where)

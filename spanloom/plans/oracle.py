@@ -84,10 +84,11 @@ p5 as (select *, bool_or(key in {P.listed(P.INDEX_TITLES)} and (margin or large)
 p6 as (select *, case when {P.is_contents_entry(D, 't')} then 'toc_entry' when margin and {P.is_folio(D, 't')} then 'page_number' when margin and repeats then 'running_head' when large then 'heading' when indexed then 'index_entry' else 'paragraph' end as first_kind from p5),
 kinds as (select *, case when first_kind = 'paragraph' and {P.is_folio(D, 't')} and (coalesce(lag(first_kind) over w = 'toc_entry', false) or coalesce(lead(first_kind) over w = 'toc_entry', false)) then 'page_number' else first_kind end as kind from p6 window w as ({BY_BOOK} order by ord))"""
 
-#: Labels made from the first words of documents, in the forms that books give them.
-LABELS = f"""heads0 as (select doc_id, array_to_string(list_slice({T.words(D, 'text')}, 1, 4), ' ') as w from documents where text is not null),
-labels0 as (select doc_id * 10 + k as label_id, case k when 0 then concat('chapter ', doc_id % 40, ' . . . . . ', doc_id % 300) when 1 then concat('Chapter ', doc_id % 9, ' - ', w) when 2 then concat('PART iv: ', w, ' ..... ', doc_id % 300)
- when 3 then w when 4 then concat(w, ' . . . . . xii') when 5 then upper(replace(w, 'ß', 'ss')) when 6 then concat('Axiom ', doc_id % 7, ' ', w) when 7 then concat('  prologue  ', case when doc_id % 2 = 0 then '' else ' 12' end) when 8 then concat('Appendix A ', w) else concat('Book ', doc_id % 5, ': ', w) end as label from heads0, (select unnest(range(0, 10)) as k))"""
+#: Labels made from the words of documents, four after four, in the forms that books give them.
+LABELS = f"""heads0 as (select doc_id, {T.words(D, "coalesce(text, '')")} as words from documents), four0 as (select doc_id, unnest(range(0, greatest(len(words) - 1, 0) // 4 + 1)) as i, words from heads0), cut0 as (select doc_id, i, array_to_string(words[4 * i + 1:4 * i + 4], ' ') as w from four0),
+labels0 as (select doc_id * 100000 + i as label_id, case i % 10 when 0 then concat('chapter ', doc_id % 40, ' . . . . . ', doc_id % 300) when 1 then concat('Chapter ', doc_id % 9, ' - ', w) when 2 then concat('PART iv: ', w, ' ..... ', doc_id % 300)
+ when 3 then w when 4 then concat(w, ' . . . . . xii') when 5 then upper(replace(w, 'ß', 'ss')) when 6 then concat('Axiom ', doc_id % 7, ' ', w) when 7 then concat('  prologue  ', case when doc_id % 2 = 0 then '' else ' 12' end) when 8 then concat('Appendix A ', w)
+ else case i // 10 % 8 when 0 then concat('Book ', doc_id % 5, ': ', w) when 1 then ' Introduction  · · · · ix' when 2 then 'PREFACE' when 3 then 'epilogue' when 4 then 'Closing Reflections' when 5 then 'Afterword' when 6 then concat('appendix: ', w) else 'Table of Contents' end end as label from cut0)"""
 
 
 def q(*ctes: str, select: str) -> str:
@@ -121,8 +122,8 @@ o3 as (select *, {P.has_leader(D, 't')} as leader, {D.has('t', '^[0-9]+(?:[.][0-
 o4 as (select *, leader and {D.has(T.dotted(D, 't'), '^[. ]+$')} as alone from o3),
 o5 as (select *, leader or coalesce(bool_or(alone) over f, false) or (coalesce(lag(number) over w, false) and coalesce(bool_or(leader) over f, false)) as probable_toc, lead(t) over w as following from o4 window w as ({BY_BOOK} order by n), f as ({BY_BOOK} order by n rows between 1 following and 4 following)),
 o6 as (select book_id, start as char_offset, t as label, 'exact' as match, prev_blank, next_blank, probable_toc from o5 union all select book_id, start, case when right(t, 1) = '-' then concat(left(t, -1), following) else concat(t, ' ', following) end, 'wrapped', prev_blank, next_blank, probable_toc from o5 where following is not null),
-o7 as (select *, {H.kind(D, 'clean')} as kind, {T.label_key(D, 'clean')} as key from {cleaned('(select * from o6 where length(label) <= 500)', 'label')}),
+o7 as (select *, {H.kind(D, 'clean')} as kind, {T.label_key(D, 'clean')} as key from {cleaned('o6', 'label')}),
 occurrences as (select book_id, char_offset, match, key, clean as label, prev_blank, next_blank, probable_toc from o7 union all select book_id, char_offset, 'prefix', key, clean, prev_blank, next_blank, probable_toc from o7 where match = 'exact' and kind in ('chapter', 'part'))"""
 
-CANDIDATES = f"""h1 as (select book_id, n, t as label, start as pos0 from classified where kind = 'heading' and length(t) <= 120),
+CANDIDATES = f"""h1 as (select book_id, n, t as label, start as pos0 from classified where kind = 'heading'),
 candidates as (select book_id, label, pos0 as char_offset, n::int as chunk_index, 'nav' as source from h1 union all select book_id, label, case when n % 5 = 0 then null else pos0 + (n * 37) % 600 end, null, 'text_scan' from h1 union all select book_id, label, pos0 + 900, null, 'other' from h1 where n % 3 = 0)"""

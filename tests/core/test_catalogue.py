@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from spanloom.operators import chunking
 from spanloom.plans import catalogue, further, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +38,12 @@ def test_query(spark, duck, name):
         found = duck.execute(sql)
         assert [d[0] for d in found.description] == df.columns
         assert sorted(tuple(plain(v) for v in r) for r in found.fetchall()) == rows
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+def test_spoken_texts_are_the_folds(spark):
+    """The column expression and the function that folds need give the same."""
+    text = {r.doc_id: r.text for r in catalogue.documents(spark, SF).collect()}
+    for r in catalogue.queries()["sanitize_text"](spark, SF).collect():
+        t = text[r.doc_id]
+        assert r.out == (None if t is None else chunking.spoken(f"1.2 {t}\n12\n-----\nThe U.K. and NATO MPs met… at 9 . then"))
