@@ -11,6 +11,7 @@ import xxhash
 import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.llm.common import map_arrow, narrow_arrow, schema, texts
 
@@ -281,10 +282,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A word is removed when a window of WINDOW words that covers it also starts in a document with a smaller id.
     Windows are judged on the input. Null texts have no words; documents of fewer than WINDOW words keep all. Rows with
     a null id neither remove nor lose words. Rows of the same id never remove from each other; where their texts
-    differ, each is judged on its own. An empty table gives an empty result; other columns are not read.
+    differ, each is judged on its own. Ids are whole numbers; others are an error. An empty table gives an empty result;
+    other columns are not read.
     """
     narrow_arrow(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"remove_repeats: doc_id must be a whole number, not {kind.simpleString()}")
     per = repeats(docs).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("start", "n")).alias("runs")).withColumnRenamed("doc_id", "_id").withColumnRenamed("crc", "_crc")
     rows = docs.select("doc_id", "text").withColumn("crc", F.crc32(F.col("text")))
     rows = rows.join(per, (rows["doc_id"] == per["_id"]) & (rows["crc"] == per["_crc"]), "left").select("doc_id", "text", "runs.start", "runs.n")

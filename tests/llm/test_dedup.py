@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from spanloom.llm import exact, graph, shingles, simhash, substring
 
@@ -261,6 +262,11 @@ def test_repeats(spark, docs_of, monkeypatch, hot, size):
     assert sorted(got, key=str) == brute_repeats(rows)
 
 
+def test_ids_of_words_are_an_error(docs_of):
+    with pytest.raises(TypeError, match="whole number"):
+        substring.remove_repeats(docs_of([(1, "a b")]).withColumn("doc_id", F.lit("x")))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(1000, 1001), (1001, 1000), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges).collect()}
