@@ -64,6 +64,20 @@ def is_contents_entry(d: Spark, s: str) -> str:
     return f"({d.has(t, rf'(?:[.]{WS}*){{4}}')} or ({has_leader(d, s)} and {d.has(t, rf'(?i)(^|[^A-Za-z])({ND}{{1,4}}|{ROMAN}){WS}*$')}))"
 
 
+def is_wrapped_entry(d: Spark, s: str, following: str) -> str:
+    """A contents entry whose leader or page stands alone on the line after it."""
+    f = strip(d, dotted(d, f"coalesce({following}, '')"))
+    alone = f"({has_leader(d, f)} and {d.has(f, f'^[.{BLANK}]+$')}) or {d.has(f, f'(?i)^(?:{ND}+|{ROMAN})$')}"
+    return f"({strip(d, s)} <> '' and {f} <> '' and ({alone}))"
+
+
+def is_index_line(d: Spark, s: str) -> str:
+    """A line that an essay index can have: blank, an entry, an outline number, a short title, or few words in capitals."""
+    t = strip(d, dotted(d, s))
+    entry = f"({has_leader(d, t)} and {d.has(t, rf'(?i)(?:{ND}+|{ROMAN}){WS}*$')})"
+    return f"({t} = '' or {entry} or {d.has(t, rf'^{ND}+(?:[.]{ND}+){{0,99}}$')} or ({n_words(d, t)} <= 6 and not {d.has(t, rf'[.!?]{WS}*$')}) or ({t} = upper({t}) and {n_words(d, t)} <= 8))"
+
+
 def is_artefact(d: Spark, s: str) -> str:
     return f"({is_folio(d, s)} or {is_contents_entry(d, s)})"
 

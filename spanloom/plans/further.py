@@ -376,6 +376,13 @@ def heading_labels(spark, sf):
     return t.groupBy("book_id", "key").agg(F.min_by(F.struct("clean", "kind"), "char_offset").alias("f")).select("book_id", "key", F.col("f.clean").alias("label"), "f.kind")
 
 
+@query("index_lines", "book_id:long n:long wrapped:boolean index_line:boolean", O.q(O.BOOKS, O.LINES, r"""z as (select *, trim(line, chr(32) || chr(9) || chr(13)) as t, coalesce(trim(lead(line) over (partition by book_id order by n), chr(32) || chr(9) || chr(13)), '') as f from lines), c as (select *, len(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) as k from z)""",
+       select=r"""select book_id, n, t <> '' and (regexp_matches(f, '^[0-9]+$') or regexp_matches(f, '(?i)^[ivxlcdm]+$') or regexp_matches(f, '^[.]([.]|\s*[.]\s*[.]\s*[.])[.\s]*$')) as wrapped, t = '' or k <= 6 and right(t, 1) not in ('.', '!', '?') or t = upper(t) and k <= 8 or regexp_matches(t, '^[0-9]+([.][0-9]+)*$') or (regexp_matches(t, '[.][.]|([.]\s*){4}') and regexp_matches(t, '(?i)([0-9]|[ivxlcdm])$') ) as index_line from c"""))
+def index_lines(spark, sf):
+    t = lines(spark, sf).withColumn("following", F.lead("line").over(structure.of_book("n")))
+    return t.select("book_id", "n", F.expr(P.is_wrapped_entry(S, "line", "following")).alias("wrapped"), F.expr(P.is_index_line(S, "line")).alias("index_line"))
+
+
 _LABELLED = f"""lab as (select doc_id, text, regexp_extract(text, '^\\s*(\\S+)', 1) as label from documents where text is not null), own as (select *, {P.is_weak_label(D, 'label')} as weak from lab),
 par as (select *, regexp_extract(replace(string_split(substr(text, 1), chr(10) || chr(10))[1], chr(10), ' '), '^[^,.;:!?]*') as p from own), w as (select *, list_filter(regexp_extract_all(p, '[A-Za-z][A-Za-z''-]*')[2:], lambda x: lower(x) not in {P.listed([*P.STOPWORDS, *P.JOIN_WORDS])})[1:4] as more from par)"""
 

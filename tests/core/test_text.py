@@ -50,6 +50,8 @@ def test_speech(spark):
 def test_line_tests(spark):
     check(spark, P.is_folio, [("12", True), ("- 12 -", True), ("page 7", True), ("xiv", True), ("Civic", True), ("12345", False), ("", False), ("é", False), ("chapter", False)])
     check(spark, P.is_contents_entry, [("One ..... 5", True), ("One .. 5", True), ("One .. five", False), ("A . . . . 3", True), ("Plain line 3", False), ("One..vi", True)])
+    check(spark, lambda d, s: P.is_wrapped_entry(d, "'Experience'", s), [(". . . .", True), ("11", True), ("xi", True), ("·····", True), ("Next", False), ("", False), ("...x", False)])
+    check(spark, P.is_index_line, [("", True), ("On Time ..... 3", True), ("3.1", True), ("A short title", True), ("It ends.", False), ("MORE THAN SIX WORDS BUT ALL CAPITALS", True), ("this one has got more than six words", False)])
     check(spark, P.is_rule, [("---", True), ("* * *", True), ("__", False), ("-*-", False), ("    ---", False), ("-" * 9000, True)])
     check(spark, P.is_division, [("Chapter 1", True), ("PROLOGUE.", True), ("Chapters of it", False), ("part: two", True), ("Index", True)])
     check(spark, P.is_shouted, [("ALL CAPS", True), ("Straße", False), ("STRAßE", False), ("123", False)])
