@@ -469,11 +469,6 @@ def index_headings(spark, sf):
     return concepts.index_headings(lines(spark, sf))
 
 
-@query("idea_index", "book_id:long node_id:string label:string anchor_id:string chunk_index:long char_offset:long")
-def idea_index(spark, sf):
-    return concepts.concept_index(books(spark, sf), bounds(spark, sf))
-
-
 # ---- layouts and markup ----------------------------------------------------------------------------------------
 
 _LAYOUT = (O.BOOKS, O.LINES, O.LAYOUT, O.LAYOUT_KINDS)
@@ -678,12 +673,6 @@ def audible_span(spark, sf):
     return speech.heard(spans, probes.unionByName(edges).distinct(), "item_id")
 
 
-@query("char_mapping", "item_id:long speak_text:string offsets:string")
-def char_mapping(spark, sf):
-    m = chunking.character_maps(B.table(spark, sf, "benchmark"), "item_id")
-    return m.withColumn("offsets", F.array_join("speak_to_original", ","))
-
-
 _AUDIO = {"signal_scale": lambda d: A.scaled(d, "embedding", 0.5), "signal_resample": lambda d: A.resampled(d, "embedding", 1.25)}
 for _name, _f in _AUDIO.items():
     query(_name, "vec_id:long i:long value:double", f"select vec_id, unnest(range(0, len(a))) as i, unnest(a) as value from (select vec_id, {_f(D)} as a from embeddings)")(

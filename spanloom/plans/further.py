@@ -12,8 +12,9 @@ from spanloom.functions.dialect import DUCK as D
 from spanloom.functions.dialect import SPARK as S
 from spanloom.functions.dialect import nested
 from spanloom.operators import chunking, concepts, landmarks, layout, loading, markdown, positions, selection, speech, structure
+from spanloom.plans import catalogue
 from spanloom.plans import oracle as O
-from spanloom.plans.catalogue import _LAYOUT, _LOG, _QUEUE, _RUNS, CATALOGUE, blocks, books, chapters, chunks, documents, layout_lines, lines, mark_log, md_books, placed, playhead, query, render, timed_texts
+from spanloom.plans.catalogue import _LAYOUT, _LOG, _QUEUE, _RUNS, CATALOGUE, blocks, books, bounds, chapters, chunks, documents, layout_lines, lines, mark_log, md_books, placed, playhead, query, render, timed_texts
 from spanloom.plans.more import _CHUNKS, given
 from spanloom.sources import books as B
 from spanloom.sources import markup as M
@@ -537,3 +538,39 @@ def navigation_chunks(spark, sf):
     own = structure.blocks(structure.lines(b))
     where = structure.boundary(own)
     return chunking.navigation_chunks(b, chunking.narration_chunks(b, own, where), where)
+
+
+_RAW = _PACKED[_PACKED.index("whole as") : _PACKED.index("sized0 as")].rstrip().rstrip(",")
+_RAW = _RAW.replace("' ') as t, j = len(ss)", "' ') as t, pos[i + 1] as off, j = len(ss)").replace("i, 1, ss[j + 1], true", "i, 1, ss[j + 1], 0, true").replace("select book_id, run_no, p, i, sub, 0::bigint as s0, t from todo", "select book_id, run_no, p, i, sub, off::bigint as s0, t from todo")
+_NODES = rf"""bodies as (select book_id, least(coalesce(body_opening, 0), length(left(text, 200000))) as f, substr(left(text, 200000), least(coalesce(body_opening, 0), length(left(text, 200000))) + 1) as text from books join bounds using (book_id)), slices as (select book_id, 0 as run_no, 0 as rs, text as s from bodies),
+{_RAW},
+parts as (select book_id, p, coalesce(sum(size + 2) over (partition by book_id order by p rows between unbounded preceding and 1 preceding), 0) + lead_in as pb from (select book_id, unnest(range(0, len(ps))) as p, length(unnest(ps)) as size, length(unnest(ps)) - length(ltrim(unnest(ps), ' ' || chr(10))) as lead_in from (select *, string_split(w, chr(10) || chr(10)) as ps from whole))),
+spoken as (select book_id, row_number() over (partition by book_id order by p, i, sub, s0) - 1 as k, pb + s0 as s, pb + s0 + length(t) as e from given join parts using (book_id, p) where {T.sanitize(D, 't')} <> ''),
+{O.lines_of('blines', 'bodies', 'book_id')},
+{catalogue._HEADS.replace('from lines', 'from blines')},
+words0 as (select book_id, lower(unnest({D.find_all('text', concepts.TOKEN)})) as term from bodies), words1 as (select book_id, term, count(*) as n from words0 where term not in {P.listed(P.STOPWORDS)} and length(term) >= 3 group by book_id, term),
+words2 as (select * from (select *, row_number() over (partition by book_id order by n desc, term) as r from words1) where r <= 5),
+named as (select distinct book_id, 0 as part, 'Top Concepts' as label, 0::bigint as at0, 0::bigint as n, '' as term from spoken union all select book_id, 1, label, start, 0, '' from g5 where (mark or weak) and (full_at is null or n <= full_at) and not {P.is_artefact(D, 'label')}
+ union all select book_id, 2, {T.title_case(D, "replace(term, '-', ' ')")}, instr(lower(text), term) - 1, -n, term from words2 join bodies using (book_id)),
+grown as (select named.*, {P.is_weak_label(D, 'label')} as weak, list_filter(regexp_extract_all(regexp_extract(replace(string_split(substr(text, at0 + 1), chr(10) || chr(10))[1], chr(10), ' '), '^[^,.;:!?]*'), '[A-Za-z][A-Za-z''-]*')[len({P.words_of(D, 'label')}) + 1:], lambda x: lower(x) not in {P.listed([*P.STOPWORDS, *P.JOIN_WORDS])})[1:4] as more from named join bodies using (book_id)),
+aimed as (select grown.*, (select min(k) from spoken where spoken.book_id = grown.book_id and (spoken.e > grown.at0 or spoken.s >= grown.at0)) as k from grown),
+nodes as (select aimed.book_id, row_number() over (partition by aimed.book_id order by part, at0, n, term) as no, case when part > 0 and weak and len(more) >= 2 then concat(label, ' ', array_to_string(more, ' ')) else label end as label, k, f + at0 as char_offset from aimed join bodies using (book_id) where k is not null)"""
+
+
+@query("idea_index", "book_id:long node_id:string label:string anchor_id:string chunk_index:long char_offset:long", O.q("recursive " + O.BOOKS, *O.WHOLE[1:], _NODES, select="select book_id, concat('n', no) as node_id, label, concat('a', no) as anchor_id, k as chunk_index, char_offset from nodes"))
+def idea_index(spark, sf):
+    return concepts.concept_index(books(spark, sf), bounds(spark, sf))
+
+
+_MAPPED = rf"""recursive t as (select item_id, text, lower(text) as low, {T.sanitize(D, 'text')} as say, greatest(length(text) - 1, 0) as last from (select item_id, concat('1.2  ', text, chr(10), '---', chr(10), 'The U.K. and NATO  met… at 9 . then') as text from benchmark)),
+step as (select item_id, 0::bigint as k, 0::bigint as at0, null::bigint as o from t union all
+ select item_id, k + 1, case when c = ' ' then gap + length(regexp_extract(substr(text, gap + 1), '^\s*')) when f > 0 then at0 + f when g > 0 then at0 + g else at0 end, case when c = ' ' then least(gap, last) when f > 0 then at0 + f - 1 when g > 0 then at0 + g - 1 else least(at0, last) end
+ from (select *, at0 + length(regexp_extract(substr(text, at0 + 1), '^\S*')) as gap, strpos(substr(text, at0 + 1), c) as f, strpos(substr(low, at0 + 1), lower(c)) as g from (select step.*, text, low, last, substr(say, k + 1, 1) as c from step join t using (item_id) where k < length(say)))),
+put as (select item_id, string_agg(o, ',' order by k) as offsets from step where o is not null group by item_id)"""
+
+
+@query("char_mapping", "item_id:long speak_text:string offsets:string", O.q(_MAPPED, select="select item_id, say as speak_text, coalesce(offsets, '') as offsets from t left join put using (item_id)"))
+def char_mapping(spark, sf):
+    t = B.table(spark, sf, "benchmark").select("item_id", F.expr("concat('1.2  ', text, chr(10), '---', chr(10), 'The U.K. and NATO  met… at 9 . then')").alias("text"))
+    m = chunking.character_maps(t, "item_id")
+    return m.withColumn("offsets", F.array_join("speak_to_original", ","))
