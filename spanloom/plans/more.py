@@ -10,7 +10,7 @@ from spanloom.functions.dialect import DUCK as D
 from spanloom.functions.dialect import SPARK as S
 from spanloom.operators import positions, selection, speech, structure
 from spanloom.plans import oracle as O
-from spanloom.plans.catalogue import _LOG, _QUEUE, CATALOGUE, blocks, books, bounds, chapters, documents, mark_log, playhead, query, render, timed_texts
+from spanloom.plans.catalogue import _LOG, _QUEUE, CATALOGUE, blocks, books, bounds, chapters, documents, mark_log, playhead, query, timed_texts
 from spanloom.sources import archives, stores
 from spanloom.sources import books as B
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from spanloom.functions import audio as A
 from spanloom.functions import headings as H
 from spanloom.functions import predicates as P
 from spanloom.functions import text as T
 from spanloom.functions.dialect import DUCK as D
 from spanloom.functions.dialect import nested
-from spanloom.sources import markup as M
-from spanloom.sources.stores import VOICES
 
 SPOKEN = P.listed([k[0] for k in P.BLOCK_KINDS if k[2]])
 SHOWN = P.listed([k[0] for k in P.BLOCK_KINDS if k[1]])
