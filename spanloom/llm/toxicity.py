@@ -155,12 +155,14 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def solve(x: np.ndarray, label: np.ndarray, swapped: np.ndarray) -> np.ndarray:
+def solve(x: np.ndarray, label: np.ndarray, swapped: np.ndarray, used: np.ndarray) -> np.ndarray:
     """Weights, the bias last, that minimise the logistic loss of both labels alike, the ridge, and ``swapped``: a quadratic form, the mean squared change under swaps.
 
-    Quasi-Newton steps from the last few gradients, each shortened until the loss falls.
+    Quasi-Newton steps from the last few gradients, each shortened until the loss falls. Rows that are not ``used``
+    weigh nothing, so that no copy of the others is made.
     """
-    each = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum()))
+    n = [max(1, int((used & (label == k)).sum())) for k in (0, 1)]
+    each = used * np.where(label == 1, 0.5 / n[1], 0.5 / n[0])
     sign = 2 * label - 1
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -239,8 +241,8 @@ def train(rows: list[tuple[int, Bag]], pairs: list[tuple[Bag, Bag]]) -> Model:
     value = np.zeros(n)
     for f in range(FOLDS):
         out = np.arange(n) % FOLDS == f
-        w = solve(x[~out], label[~out], swapped)
-        value[out] = x[out] @ w[:-1] + w[-1]
+        w = solve(x, label, swapped, ~out)
+        value[out] = (x @ w[:-1].astype(np.float32))[out] + w[-1]
     order = np.argsort(-value, kind="stable")
     hits = np.cumsum(label[order])
     f1 = 2 * hits / (np.arange(1, n + 1) + label.sum())
@@ -248,7 +250,7 @@ def train(rows: list[tuple[int, Bag]], pairs: list[tuple[Bag, Bag]]) -> Model:
     following = value[order[best + 1]] if best + 1 < n else value[order[best]] - 1
     m.cut = float((value[order[best]] + following) / 2)
     m.slope = float(2 / max(value.std(), 1e-9))
-    w = solve(x, label, swapped)
+    w = solve(x, label, swapped, np.ones(n, bool))
     m.weight, m.bias = np.zeros(FEATURES, np.float32), float(w[-1])
     m.weight[chosen] = w[:-1]
     return m
@@ -280,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
     got = map_arrow(drawn, run, schema(("toxic", "int"), *BAG)).toArrow()
 
     def numbers(*raw: bytes) -> Bag:
-        return tuple(np.frombuffer(x, "<u4").astype(np.int64) for x in raw)
+        return tuple(np.frombuffer(x, "<u4") for x in raw)
 
     every = list(zip(*(got[c].to_pylist() for c in got.column_names), strict=True))
     del got

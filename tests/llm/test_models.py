@@ -135,7 +135,7 @@ def test_the_fit_is_at_the_minimum():
     label = (x[:, 0] - 0.5 * x[:, 1] + rng.standard_normal(300) * 0.3 > 0.4).astype(float)
     d = rng.standard_normal(20)
     swapped = np.outer(d, d)
-    w = toxicity.solve(x, label, swapped)
+    w = toxicity.solve(x, label, swapped, np.ones(300, bool))
     each = np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum())
 
     def loss(w):
