@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 HOT_ROWS, HOT_GROUPS = 10_000, 50_000
 #: Most rows that a side may have to be broadcast; each caller's rows are under 200 bytes.
 BROADCAST_ROWS = 100_000
+#: Whole numbers of a vector beyond this are an error: their products must fit 64 bits.
+LARGEST = 1 << 24
 
 
 def narrow_arrow(spark: SparkSession, rows: int = 256) -> None:
@@ -55,6 +59,21 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def whole_vectors(column: pa.Array, scale: int) -> pa.Array:
+    """Arrays of numbers as the 32-bit floors of ``scale`` times each, in double precision; null where an array is null or has a null or non-finite component."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # nulls are NaN
+    fit = np.isfinite(flat)
+    ends = np.cumsum(sizes)
+    flawed = np.concatenate([[0], np.cumsum(~fit)])
+    usable = (flawed[ends] == flawed[ends - sizes]) & column.is_valid().to_numpy(zero_copy_only=False)
+    q = np.floor(scale * np.where(fit & np.repeat(usable, sizes), flat, 0))
+    if len(q) and np.abs(q).max() > LARGEST:
+        raise ValueError(f"a component times {scale} is beyond {LARGEST}")
+    raw = q.astype("<i4")
+    return pa.array([raw[e - n : e].tobytes() if ok else None for e, n, ok in zip(ends.tolist(), sizes.tolist(), usable.tolist(), strict=True)], pa.binary())
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most so many rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact, langid, mixing, packing, pivots, sharding, simhash, substring, toxicity, urls
+from spanloom.llm import codes, exact, langid, mixing, negatives, packing, pivots, sharding, simhash, substring, toxicity, urls
 from spanloom.shared import spread
 
 
@@ -62,6 +62,17 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    out = codes.with_label_errors(found)
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.named(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -74,6 +85,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_sharding": op9_sharding,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -116,5 +129,61 @@ select doc_id, n_bytes, depth::int as depth, bucket, 0::bigint as chain from l j
 """
 
 
+#: Every anchor against every row.
+OP11 = """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding as e from embeddings),
+v as (
+  select vec_id, label, list_transform(e, lambda x: floor(256 * x::double)::bigint) as q from r
+  where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+  select a.vec_id as a, c.vec_id as c, a.label = c.label as same, list_sum(list_transform(list_zip(a.q, c.q), lambda z: z[1] * z[2]))::bigint as score
+  from v a join v c on a.vec_id % 50 = 0 and a.vec_id <> c.vec_id
+),
+p as (select a, c, score from s where same qualify row_number() over (partition by a order by score desc, c) <= 5)
+select p.a as anchor_id, p.c as positive_id, row_number() over (partition by p.a, p.c order by s.score desc, s.c)::int as rank,
+  s.c as negative_id, p.score as positive_score, s.score as negative_score
+from p join s on s.a = p.a and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score
+qualify rank <= 3
+"""
+
+
+#: Every part against every entry, round by round; entries that no part is nearest to stay.
+def _op13() -> str:
+    nearest = """
+{n}d as (select v.vec_id, v.part, b.entry, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from parts v join {b} b using (part)),
+{n}a as (select vec_id, part, min(d) as d, arg_min(entry, d * 1000 + entry) as entry from {n}d group by all)"""
+    refine = """
+{n} as (
+  select b.part, b.entry, coalesce(m.x, b.x) as x from {b} b left join (
+    select part, entry, list((t - ((t % n) + n) % n) // n order by place) as x
+    from (select part, entry, place, sum(y)::bigint as t, count(*) as n from (select a.part, a.entry, unnest(p.x) as y, unnest(range(1, len(p.x) + 1)) as place from {b}a a join parts p using (vec_id, part)) group by all)
+    group by all
+  ) m using (part, entry)
+)"""
+    steps = []
+    for k in range(3):
+        steps.append(nearest.format(n=f"b{k}", b=f"b{k}"))
+        if k < 2:
+            steps.append(refine.format(n=f"b{k + 1}", b=f"b{k}"))
+    return f"""
+with v as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+parts as (select vec_id, part, q[part * (len(q) // 16) + 1:(part + 1) * (len(q) // 16)] as x from v, (select unnest(range(0, 16)) as part)),
+first64 as (select vec_id, row_number() over (order by vec_id) - 1 as entry from v qualify entry < 64),
+b0 as (select part, entry, x from parts join first64 using (vec_id)),
+{",".join(steps)},
+e as (select vec_id, string_agg(printf('%02x', entry::int), '' order by part) as code, sum(d)::bigint as error from b2a group by vec_id),
+l as (select vec_id, (sum(error) over (partition by label))::bigint as label_error from e join v using (vec_id)),
+h as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as codebooks_sha256 from b2)
+select vec_id, code, error, label_error, codebooks_sha256 from e join l using (vec_id), h
+"""
+
+
+OP13 = _op13()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring": OP2, "op5_exact_dedup": OP5, "op9_sharding": OP9, "op10_embedding_dedup": OP10}
+    return {"op2_substring": OP2, "op5_exact_dedup": OP5, "op9_sharding": OP9, "op10_embedding_dedup": OP10, "op11_hard_negatives": OP11, "op13_vector_codes": OP13}
