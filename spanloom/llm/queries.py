@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import codes, exact, langid, mixing, negatives, packing, pivots, sharding, simhash, substring, toxicity, urls
+from spanloom.llm import codes, exact, grouping, langid, mixing, negatives, packing, pivots, sharding, simhash, substring, toxicity, urls
 from spanloom.shared import spread
 
 
@@ -67,6 +67,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op12_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.pack_grouped(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, books = codes.compress(table(spark, sf_dir, "embeddings"))
     out = codes.with_label_errors(found)
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": op9_sharding,
         "op10_embedding_dedup": op10_embedding_dedup,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_grouped_packing": op12_grouped_packing,
         "op13_vector_codes": op13_vector_codes,
     }
 
