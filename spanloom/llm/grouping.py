@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -22,12 +23,12 @@ SEQUENCE = 2048
 END = 0
 #: The vocabulary, by the name under which the installed tokenizer files are found.
 VOCABULARY = "word_bpe_49k.json"
-#: Longest small piece. Groups of larger pieces, of equal cardinality.
-SMALL, GROUPS = 256, 128
+#: Longest small piece: of larger ones no three fit a sequence. Groups of larger pieces, of equal cardinality.
+SMALL, GROUPS = SEQUENCE // 3, 256
 #: The linear program ends within this share of its optimum, or after so many steps: what is found by then is a packing, if not the best one.
 GAP, STEPS = 2e-4, 2_000
 #: Chunks and words whose ids a worker keeps, and their length at most.
-KEPT, CHUNK = 1 << 18, 64
+CHUNKS_KEPT, WORDS_KEPT, LONGEST = 1 << 19, 1 << 19, 64
 
 #: Where the vocabulary's pattern always cuts, so that what lies between has ids of its own.
 BETWEEN = re.compile("[ \t\r\n]+")
@@ -59,7 +60,7 @@ class Ids(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.tokenizer.encode_special_tokens = True
-        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.model, self.letters, self.words = self.tokenizer.model, byte_letters(), {}
         if self.whole(" a b\tc.\r\nd ") != b"".join(map(self.whole, ("a", "b", "c.", "d"))):
             raise ValueError(f"{vocabulary}: ids of words must not depend on the blanks between them")
         self.short = all(b"".join(map(self.word, WORDS.findall(x.lower()))) == self.whole(x) for x in PROBES)
@@ -68,22 +69,32 @@ class Ids(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, word: str) -> bytes:
-        shown = word if word.isascii() else word.encode().decode("latin1").translate(self.letters)
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
+        found = self.words.get(word)
+        if found is None:
+            shown = word if word.isascii() else word.encode().decode("latin1").translate(self.letters)
+            numbers = [t.id for t in self.model.tokenize(shown)]
+            found = struct.pack(f"<{len(numbers)}I", *numbers)
+            keep(self.words, word, found, WORDS_KEPT)
+        return found
 
     def __missing__(self, chunk: str) -> bytes:
         if not (self.short and PLAIN.fullmatch(chunk)):
             found = self.whole(chunk)
+        elif chunk.isalpha():
+            found = self.word(chunk.lower())
         else:
-            words = WORDS.findall(chunk.lower())
-            found = self.word(chunk) if words == [chunk] else b"".join(map(self.__getitem__, words))
-        if len(chunk) <= CHUNK:
-            if len(self) >= KEPT:
-                self.clear()
-            self[chunk] = found
+            found = b"".join(map(self.word, WORDS.findall(chunk.lower())))
+        keep(self, chunk, found, CHUNKS_KEPT)
         return found
 
 
+def keep(known: dict, key: str, value: bytes, most: int) -> None:
+    if len(key) <= LONGEST:
+        if len(known) >= most:
+            known.clear()
+        known[key] = value
+
+
 @cache
 def known(vocabulary: str) -> Ids:
     return Ids(vocabulary)

@@ -29,6 +29,22 @@ FAR = 1 << 62
 ROOM = 1e-9
 
 
+def parted(x: np.ndarray, least: int) -> tuple[np.ndarray, float, np.ndarray] | None:
+    """(direction, threshold, which rows are not above it): a cut halfway between two rows far apart, or at the median where that
+    leaves a side with less than one part in ``least``. None if the rows are alike."""
+    far = x[((x - x[0]) ** 2).sum(axis=1).argmax()]
+    direction = x[((x - far) ** 2).sum(axis=1).argmax()] - far
+    along = x @ direction
+    lowest, highest = along.min(), along.max()
+    for at in ((lowest + highest) / 2, np.sort(along)[(len(x) - 1) // 2]):
+        at = min(at, np.nextafter(highest, -np.inf))
+        low = along <= at
+        n = int(low.sum())
+        if min(n, len(x) - n) * least >= len(x):
+            break
+    return None if low.all() or not low.any() else (direction, at, low)
+
+
 class Tree:
     """A ball tree over rows, or over balls around them: nodes are runs of ``order``, each with its centre and a radius that is rounded up."""
 
@@ -49,11 +65,12 @@ class Tree:
         radius = float((np.sqrt(((rows - centre) ** 2).sum(axis=1)) + radii[at]).max())
         for held, value in ((self.begin, begin), (self.end, end), (self.centre, centre), (self.radius, radius * (1 + ROOM) + ROOM), (self.children, None)):
             held.append(value)
-        width = rows.max(axis=0) - rows.min(axis=0)
-        if end - begin > leaf and width.any():
-            half = len(at) // 2
-            self.order[begin:end] = at[np.argpartition(rows[:, int(width.argmax())], half)]
-            self.children[node] = (self._build(x, leaf, radii, begin, begin + half), self._build(x, leaf, radii, begin + half, end))
+        found = parted(rows, 16) if end - begin > leaf else None
+        if found is not None:
+            low = found[2]
+            half = begin + int(low.sum())
+            self.order[begin:end] = np.concatenate([at[low], at[~low]])
+            self.children[node] = (self._build(x, leaf, radii, begin, half), self._build(x, leaf, radii, half, end))
         return node
 
 
@@ -160,17 +177,15 @@ def cuts(sample: list[np.ndarray], cells: int) -> dict[int, list]:
     least = math.ceil(len(sample) / cells)
 
     def cut(x: np.ndarray) -> list:
-        far = x[((x - x[0]) ** 2).sum(axis=1).argmax()]
-        direction = x[((x - far) ** 2).sum(axis=1).argmax()] - far
-        along = x @ direction
-        middle = np.sort(along)[(len(x) - 1) // 2]
-        low = along <= middle if middle < along.max() else along < middle
-        if len(x) <= least or not low.any() or low.all():
+        found = parted(x, 4) if len(x) > least else None
+        if found is None:
             return [x.mean(axis=0)]
-        return [direction, middle if middle < along.max() else np.nextafter(middle, -np.inf), cut(x[low]), cut(x[~low])]
+        direction, at, low = found
+        return [direction, at, cut(x[low]), cut(x[~low])]
 
     for dim in {len(v) for v in sample}:
-        out[dim] = cut(np.array([v for v in sample if len(v) == dim], np.float64).reshape(-1, dim))
+        mine = [v for v in sample if len(v) == dim]
+        out[dim] = cut(np.array(mine, np.float64).reshape(len(mine), dim))
     return out
 
 
@@ -400,7 +415,7 @@ def hard_negatives(vectors: DataFrame, anchors: Column, positives: int = 5, nega
     found = first_of(placed, cells, top, asked.withColumn("asks", any_score), positives, True)
     pairs = checkpoint(found.select("row", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"), F.col("rank").alias("number")))
     # low * positive <= 100 * negative <= high * positive, in whole numbers
-    least = F.expr(f"({low} * positive_score + pmod(-{low} * positive_score, 100L)) div 100L")
+    least = F.expr(f"({low} * positive_score + pmod(-({low} * positive_score), 100L)) div 100L")
     most = F.expr(f"({high} * positive_score - pmod({high} * positive_score, 100L)) div 100L")
     bands = pairs.select("row", F.struct(F.col("number").cast("int").alias("number"), least.alias("low"), most.alias("high")).alias("ask")).where("ask.low <= ask.high")
     asks = bands.groupBy("row").agg(F.collect_list("ask").alias("asks"))
