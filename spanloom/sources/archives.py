@@ -28,15 +28,8 @@ def member(z: zipfile.ZipFile, name: str) -> bytes | None:
         return None
 
 
-def items(data: bytes | None) -> list[dict]:
-    """The documents of an archive as (name, html): those of the spine but its navigation and cover, else the manifest's, else all by name.
-
-    What is no archive has none, and members that can't be read are left out.
-    """
-    try:
-        z = zipfile.ZipFile(io.BytesIO(data or b""))
-    except zipfile.BadZipFile:
-        return []
+def reading_order(z: zipfile.ZipFile) -> list[str]:
+    """Names of an archive's documents: those of the spine but its navigation and cover, else the manifest's, else all by name."""
     names = z.namelist()
     order: list[str] = []
     package = next((n for n in names if n.endswith(".opf")), None)
@@ -46,11 +39,22 @@ def items(data: bytes | None) -> list[dict]:
             of = {e.get("id"): (e.get("href", ""), e.get("media-type", "")) for e in root.iter() if e.tag.endswith("}item")}
             place = lambda i: posixpath.normpath(posixpath.join(posixpath.dirname(package), of[i][0]))
             spine = [e.get("idref") for e in root.iter() if e.tag.endswith("}itemref")]
-            order = [place(i) for i in spine if i in of and i not in ("nav", "cover")] or [place(i) for i in of if "html" in of[i][1]]
+            order = [place(i) for i in spine if i in of and i.lower() not in ("nav", "cover")] or [place(i) for i in of if "html" in of[i][1]]
         except ElementTree.ParseError:
             order = []
-    order = [n for n in order if n in names] or sorted(n for n in names if n.lower().endswith(MARKUP))
-    return [{"name": n, "html": html.decode("utf-8", "ignore")} for n in order if (html := member(z, n)) is not None]
+    return [n for n in order if n in names] or sorted(n for n in names if n.lower().endswith(MARKUP))
+
+
+def items(data: bytes | None) -> list[dict]:
+    """The documents of an archive as (name, html), in reading order.
+
+    What is no archive has none, and members that can't be read are left out.
+    """
+    try:
+        z = zipfile.ZipFile(io.BytesIO(data or b""))
+    except zipfile.BadZipFile:
+        return []
+    return [{"name": n, "html": html.decode("utf-8", "ignore")} for n in reading_order(z) if (html := member(z, n)) is not None]
 
 
 @F.pandas_udf(ITEMS)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import html as html_library
+import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -21,6 +24,8 @@ VOID_TAGS = ("br", "hr", "img", "input", "meta", "link", "area", "base", "col",
 ENDS_P = ("p", "ul", "ol", "div", "blockquote", "pre", "article", "section", "nav", "header", "footer", "aside", "main", "table", "form", "hr", *HEADING_TAGS)
 SCOPES = ("td", "th", "table", "button", "object", "html")
 BLOCKS = ArrayType(struct_of("kind:string level:int text:string"))
+#: Elements within one another, at most, for the general reader.
+DEPTH = 512
 
 
 class Reader(HTMLParser):
@@ -31,10 +36,15 @@ class Reader(HTMLParser):
         self.open: list[str] = []
         self.depth: int | None = None
         self.found: list[dict] = []
+        self.runs: list[str] = []
+        self.joined = False
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        self.joined = False
         if tag in VOID_TAGS:
             return
+        if len(self.open) >= DEPTH:
+            raise ValueError(f"elements are nested more than {DEPTH} deep")
         if tag in ENDS_P:
             self.end_open("p", SCOPES)
         if tag == "li":
@@ -57,6 +67,7 @@ class Reader(HTMLParser):
         return None
 
     def handle_endtag(self, tag: str) -> None:
+        self.joined = False
         if tag not in self.open:
             return
         while self.open:
@@ -66,8 +77,18 @@ class Reader(HTMLParser):
             if last == tag:
                 return
 
+    def handle_comment(self, data: str) -> None:
+        self.joined = False
+
     def handle_data(self, data: str) -> None:
-        if self.depth is not None and not {"script", "style"} & set(self.open) and data.strip():
+        if {"script", "style"} & set(self.open[-1:]):
+            return
+        if self.joined:
+            self.runs[-1] += data
+        else:
+            self.runs.append(data)
+        self.joined = True
+        if self.depth is not None and data.strip():
             self.found[-1]["parts"].append(data.strip())
 
 
@@ -135,3 +156,74 @@ def page_text(pages: DataFrame) -> DataFrame:
     """(page_id, text) of pages (page_id, html). Only texts with character references are looked at one by one."""
     t = pages.select("page_id", F.expr(text_nodes(SPARK, "html")).alias("t"))
     return t.select("page_id", F.coalesce(unescaped(F.when(F.col("t").contains("&"), F.col("t"))), F.col("t")).alias("text"))
+
+
+def decoded(content: bytes) -> str:
+    """Bytes of a page as text: by their mark, by the encoding that the page names, as UTF-8, or as Windows' Latin, whatever fits first."""
+    if content.startswith(b"\xef\xbb\xbf"):
+        return content[3:].decode("utf-8", "replace")
+    named = re.search(rb"""(?i)(?:charset|encoding)\s*=\s*["']?([\w.:-]+)""", content[:2048])
+    for encoding in ([named[1].decode("ascii")] if named else []) + ["utf-8", "windows-1252"]:
+        try:
+            return content.decode(encoding)
+        except (UnicodeDecodeError, LookupError):
+            continue
+    return content.decode("windows-1252", "replace")
+
+
+def general(content: bytes) -> tuple[str, list[dict]]:
+    """First tier: text nodes a line each, and the blocks. Declarations of an unknown kind and very deep nesting are errors."""
+    reader = Reader()
+    reader.feed(decoded(content))
+    reader.close()
+    text = "\n".join(r.strip() for r in reader.runs if r.strip())
+    return text, [{"kind": b["kind"], "level": b["level"], "text": " ".join(b["parts"])} for b in reader.found if b["parts"]]
+
+
+def flat(content: bytes) -> tuple[str, list[dict]]:
+    """Second tier: blank lines after blocks, line feeds for breaks, no blocks. A page without any element is an error."""
+    html = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<!.*?>", " ", decoded(content))
+    if not re.search(r"<[A-Za-z]", html):
+        raise ValueError("no element")
+    html = re.sub(r"(?i)<br\s*/?>", "\n", html)
+    html = re.sub(r"(?i)</(?:p|div|section|article|li|h[1-6])\s*>", "\n\n", html)
+    return re.sub(r"[ \t]+", " ", html_library.unescape(re.sub(r"<[^>]*>", "", html))).strip(), []
+
+
+def crude(content: bytes) -> tuple[str, list[dict]]:
+    """Last tier, which never fails: tags are cut out, and all blanks are single spaces; bytes that are no UTF-8 are left out."""
+    s = re.sub(r"(?i)</p\s*>", "\n\n", re.sub(r"(?i)<br\s*/?>", "\n", content.decode("utf-8", "ignore")))
+    return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", s)).strip(), []
+
+
+TIERS = (general, flat, crude)
+
+
+def read_page(content: bytes | None) -> tuple[str, int, str | None, list[dict]]:
+    """(text, tier, error, blocks) of one page: by the first tier that does not fail; the error is what the one before it said."""
+    error = None
+    for k, tier in enumerate(TIERS, 1):
+        try:
+            text, blocks = tier(content or b"")
+            return text, k, error, blocks
+        except (ValueError, AssertionError, RecursionError) as e:
+            error = str(e)
+    raise AssertionError("the last tier takes every page")
+
+
+def read_pages(pages: DataFrame, key: str) -> DataFrame:
+    """(key, text, tier, error, blocks) of pages (key, content), whose content is bytes, each page in one pass over the tiers.
+
+    Null and empty pages have an empty text. Rows of one key are rows of their own.
+    """
+    kind = pages.schema[key].dataType.simpleString()
+    block = pa.list_(pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [read_page(c) for c in b.column(1).to_pylist()]
+            text, tier, error, blocks = zip(*found, strict=True) if found else ((),) * 4
+            columns = [b.column(0), pa.array(text, pa.string()), pa.array(tier, pa.int32()), pa.array(error, pa.string()), pa.array(blocks, block)]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "text", "tier", "error", "blocks"])
+
+    return pages.select(key, "content").mapInArrow(run, f"{key} {kind}, text string, tier int, error string, blocks array<struct<kind:string,level:int,text:string>>")
