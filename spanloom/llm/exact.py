@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import BLANKS, checkpoint, join_group, small, unique_ids, without_ids
+from spanloom.llm.common import BLANKS, checkpoint, join_group, unique_ids, without_ids
 
-#: Groups of equal length and prefix hash that may be broadcast; a row takes 12 bytes.
-SURVIVORS = 1_000_000
+#: Bits of the filter for each group of equal length and prefix hash, and bits at most, which are broadcast: 256 MiB.
+BITS_A_KEY, BITS = 32, 1 << 31
+#: Bits of a row of the filter, as the engine's bitmaps have them.
+ROW = 1 << 15
 
 
 def normalised(text: Column) -> Column:
@@ -21,16 +23,42 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
 
 
+def place(n: Column, head: Column, bits: int) -> Column:
+    """The bit of the filter that stands for a length and a prefix hash."""
+    return F.pmod(F.xxhash64(n, head), F.lit(bits))
+
+
+def filter_of(keys: DataFrame) -> tuple[DataFrame, int]:
+    """Keys (n, head) as a bitmap in rows (_bucket, _bits), and its number of bits: no key is missed, another one is taken for a key about once in BITS_A_KEY times.
+
+    From BITS / BITS_A_KEY keys (67 million) on it has BITS bits, and takes more for keys, by and by.
+    """
+    bits = max(ROW, min(BITS, 1 << (BITS_A_KEY * keys.count() - 1).bit_length()))
+    at = place(F.col("n"), F.col("head"), bits)
+    rows = keys.select(F.floor(at / ROW).alias("_bucket"), (at % ROW).alias("at")).groupBy("_bucket").agg(F.bitmap_construct_agg("at").alias("_bits"))
+    return checkpoint(rows), bits
+
+
+def with_survivors(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows (n, head, ...) with ``_left``: whether the filter holds their key. The filter is broadcast, and no row moves."""
+    held, bits = filter_of(keys)
+    at = place(F.col("n"), F.col("head"), bits)
+    met = rows.withColumn("_at", at).withColumn("_bucket", F.floor(F.col("_at") / ROW)).join(F.broadcast(held), "_bucket", "left")
+    byte = F.expr(f"cast(conv(hex(substring(_bits, cast(_at % {ROW} div 8 as int) + 1, 1)), 16, 10) as int)")
+    set_ = F.col("_bits").isNotNull() & (byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0)
+    return met.withColumn("_left", set_).drop("_at", "_bucket", "_bits")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, digests: bool = False) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, n_chars, digest.
 
     Texts are equal when identical without blanks. A first scan takes each row's length and a hash of its first
     ``prefix`` characters, and no more: rows are grouped by length, and those of a length that occurs again by the
-    prefix's hash. A second scan hashes the whole texts of the groups that are left, and of no other row. The text stays
-    where it is scanned: the keys of the groups that are left are broadcast if they are few (SURVIVORS), and otherwise
-    the second scan hashes every row, as moving texts costs more than hashing them. ``digests``: the caller wants every
-    row's digest, so the second scan makes a column of them, which the groups don't use; else ``digest`` is null for
-    rows that length or prefix told apart.
+    prefix's hash. A second scan hashes the whole texts of the groups that are left. The text stays where it is scanned:
+    it meets the keys of these groups as a broadcast filter of bounded size (``filter_of``), which lets through all of
+    their rows and few others; those cost a hash and change nothing. ``digests``: the caller wants every row's digest, so
+    the second scan makes a column of them, which the groups don't use; else ``digest`` is null for rows that length or
+    prefix told apart.
 
     Of a group the row with the most code points stays, then the one with the smallest id, a null id last; of rows
     alike in both, one. Null texts count as empty, empty texts are equal to one another. Other columns of ``docs`` are
@@ -43,10 +71,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = join_group(first, lengths, ["n"], "n_same", "row", "left_semi").groupBy("n", "head").agg(F.count("*").alias("n_same")).where("n_same > 1")
     heads = checkpoint(heads)
     again = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("n_chars"), text.alias("_text"), length, head)
-    if small(heads, SURVIVORS):
-        again = again.join(F.broadcast(heads.select("n", "head", F.lit(True).alias("_left"))), ["n", "head"], "left")
-    else:
-        again = again.withColumn("_left", F.lit(True))
+    again = with_survivors(again, heads)
     full = F.when(F.col("_left"), digest(F.col("_text")))
     rows = checkpoint(again.select("doc_id", "n_chars", full.alias("full"), (digest(F.col("_text")) if digests else full).alias("digest")).withColumn("row", F.monotonically_increasing_id()))
     kept = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,12 @@ from spanloom.llm.graph import components
 
 #: Least cosine of a link.
 NEAR = 0.98
-#: Nearest pivots that describe a vector, and how many of them two vectors must share to be compared.
-NEAREST, SHARED = 8, 2
-#: Pivots, at most (what a billion nodes take; beyond, lists only grow); vectors in a block of a pivot's list.
-PIVOTS, BLOCK = 1 << 16, 512
-#: Pivots lie farther apart than this cosine.
-APART = 0.9
+#: Nearest pivots that describe a vector. Two vectors must share two of them to be compared.
+NEAREST = 6
+#: Pivots, at most (what a billion nodes take; beyond, lists only grow); vectors in a block of a list.
+PIVOTS, BLOCK = 1 << 16, 4096
+#: Pivots lie farther apart than this cosine; candidates that are looked at together.
+APART, AT_ONCE = 0.9, 1024
 
 
 def unit(raw) -> np.ndarray | None:
@@ -48,45 +49,57 @@ def choose_pivots(sample: list[np.ndarray], n: int) -> dict[int, np.ndarray]:
     """Up to ``n`` pivots for each number of dimensions: vectors of the sample, apart from one another."""
     out = {}
     for dim in {len(v) for v in sample}:
-        taken, k = np.zeros((min(n, len(sample)), dim)), 0
-        for v in sample:
-            if len(v) == dim and k < len(taken) and (not k or (taken[:k] @ v).max() < APART):
-                taken[k] = v
-                k += 1
+        of = np.array([v for v in sample if len(v) == dim])
+        taken, k = np.zeros((min(n, len(of)), dim)), 0
+        for at in range(0, len(of), AT_ONCE):
+            some = of[at : at + AT_ONCE]
+            free = (some @ taken[:k].T).max(axis=1, initial=-1.0) < APART
+            for v in some[free]:
+                if k < len(taken) and (taken[:k][-AT_ONCE:] @ v).max(initial=-1.0) < APART:
+                    taken[k] = v
+                    k += 1
         out[dim] = taken[:k].copy()
     return out
 
 
+def nearest(pivots: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The NEAREST pivots of each row of ``v``, nearest first."""
+    along = v @ pivots.T
+    n = min(NEAREST, len(pivots))
+    some = np.argpartition(-along, n - 1, axis=1)[:, :n]
+    order = np.argsort(-np.take_along_axis(along, some, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(some, order, axis=1).astype("<i4")
+
+
 def pivots_of(chosen: dict[int, np.ndarray], dim: int) -> np.ndarray:
     """The pivots; of a number of dimensions that the sample lacks, directions that a seed draws."""
     return chosen[dim] if dim in chosen else np.random.default_rng(dim).standard_normal((64, dim))
 
 
-def compare(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, pivot: int) -> np.ndarray:
-    """Which pairs are linked: they share SHARED pivots (or all that there are), none of them before this one, and their cosine is NEAR or more.
+def compare(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, second: int) -> np.ndarray:
+    """Which pairs are linked, of those that share both pivots of a list, the larger being ``second``: their cosine is NEAR or more.
 
-    A pair that shares several pivots so meets in each of their lists, and counts in one.
+    A pair that shares more pivots meets in several lists, and counts in the one of its two smallest.
     """
-    shared, before = np.zeros((len(x), len(y)), np.int8), np.zeros((len(x), len(y)), bool)
-    for a in range(sx.shape[1]):
-        for b in range(sy.shape[1]):
-            same = sx[:, a, None] == sy[None, :, b]
-            shared += same
-            before |= same & (sx[:, a, None] < pivot)
-    return (shared >= min(SHARED, sx.shape[1])) & ~before & (x @ y.T >= NEAR)
+    near = x @ y.T >= NEAR
+    i, j = np.nonzero(near)
+    if sx.shape[1] > 1 and len(i):
+        smaller = ((sx[i][:, :, None] == sy[j][:, None, :]) & (sx[i][:, :, None] < second)).sum(axis=(1, 2))
+        near[i, j] = smaller == 1
+    return near
 
 
-def links_in(pivot: int, node: np.ndarray, weight: np.ndarray, side: np.ndarray, v: np.ndarray, sig: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def links_in(second: int, node: np.ndarray, weight: np.ndarray, side: np.ndarray, v: np.ndarray, sig: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Of one block, or of two against one another: (node, other rows that it is linked to), and edges that join what is linked."""
-    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if not len(second):
-        hit = compare(v, v, sig, sig, pivot)
+    first, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(other):
+        hit = compare(v, v, sig, sig, second)
         np.fill_diagonal(hit, False)
     else:
         hit = np.zeros((len(node), len(node)), bool)
-        cross = compare(v[first], v[second], sig[first], sig[second], pivot)
-        hit[np.ix_(first, second)] = cross
-        hit[np.ix_(second, first)] = cross.T
+        cross = compare(v[first], v[other], sig[first], sig[other], second)
+        hit[np.ix_(first, other)] = cross
+        hit[np.ix_(other, first)] = cross.T
     n = hit @ weight
     degrees = [(int(node[i]), int(n[i])) for i in np.flatnonzero(n)]
     edges, left = [], hit.any(axis=1)
@@ -108,10 +121,12 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
     Only vectors of one label and one length are compared. Rows alike in label and vector are one node with so many
     rows, and are linked to one another. A node is described by its NEAREST pivots in order; those are sampled from
-    the nodes by a hash, about twice the root of their number. The inverted list of a pivot, label by label, holds the
-    nodes that it describes; in blocks of about BLOCK nodes, every block meets every other, so that no list is cut
-    short and none falls to one task. Pairs that share SHARED pivots are compared in double precision, and only the
-    number of links and a spanning forest leave the block. The index can miss pairs; it never makes a false one.
+    the nodes by a hash, about twice the root of their number. Inverted lists are kept for each two pivots, label by
+    label: a node is in the lists of all twos of its pivots, so nodes that share two or more pivots meet, and lists
+    grow shorter as pivots grow in number. A vector is copied once for each of its lists. Only a list of over BLOCK nodes
+    is dealt in blocks, every one against every other, so that none is cut short and none falls to one task. Cosines are
+    in double precision, and only the number of links and a spanning forest leave the block. The index can miss pairs;
+    it never makes a false one.
 
     Rows with a null label, and null, zero or non-finite vectors, link with nothing and are components of their own. A
     null vec_id names a component only if it is alone in it. An empty table gives an empty result.
@@ -139,22 +154,26 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [units([r], numbers)[0] for r in b.column(3).to_pylist()]
-            sigs = []
-            for u in found:
-                p = pivots_of(held.value, len(u))
-                sigs.append(np.argsort(-(p @ u), kind="stable")[:NEAREST].astype("<i4"))
-            at = np.repeat(np.arange(len(found)), [len(s) for s in sigs])
-            lists = pa.array(np.concatenate([*sigs, np.zeros(0, "<i4")]).astype(np.int32))
-            table = pa.table([b.column(0), b.column(1), b.column(2), b.column(3), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array([len(u) for u in found], pa.int32())], names=["node", "label", "n_rows", "raw", "sig", "dim"]).take(at)
-            yield from table.append_column("pivot", lists).to_batches()
-
-    fields = schema(("node", "long"), ("label", label), ("n_rows", "long"), ("raw", "binary"), ("sig", "binary"), ("dim", "int"), ("pivot", "int"))
-    listed = checkpoint(map_arrow(nodes.select("node", "label", "n_rows", "raw"), describe, fields))
-    lengths = checkpoint(listed.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n_list")))
-    placed = join_group(listed, lengths, ["label", "dim", "pivot"], "n_list", "node", "inner").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+            dims = np.array([len(r) for r in b.column(3).to_pylist()]) // np.dtype(numbers).itemsize
+            for dim in np.unique(dims).tolist():
+                mine = b.take(pa.array(np.flatnonzero(dims == dim)))
+                sigs = nearest(pivots_of(held.value, dim), units(mine.column(3).to_pylist(), numbers))
+                low = np.sort(sigs, axis=1)
+                twos = list(combinations(range(sigs.shape[1]), 2)) or [(0, 0)]
+                at = pa.array(np.repeat(np.arange(len(sigs)), len(twos)))
+                table = pa.table([*mine.columns, pa.array([s.tobytes() for s in sigs], pa.binary())], names=["node", "label", "n_rows", "raw", "sig"]).take(at)
+                for name, values in (("dim", np.full(len(at), dim)), ("pivot", low[:, [i for i, _ in twos]].ravel()), ("second", low[:, [j for _, j in twos]].ravel())):
+                    table = table.append_column(name, pa.array(values.astype(np.int32)))
+                yield from table.combine_chunks().to_batches()
+
+    fields = schema(("node", "long"), ("label", label), ("n_rows", "long"), ("raw", "binary"), ("sig", "binary"), ("dim", "int"), ("pivot", "int"), ("second", "int"))
+    lists = ["label", "dim", "pivot", "second"]
+    listed = map_arrow(nodes.select("node", "label", "n_rows", "raw"), describe, fields)
+    lengths = listed.groupBy(*lists).agg(F.count("*").alias("n_list")).where("n_list > 1")
+    lengths = checkpoint(lengths.withColumn("blocks", F.ceil(F.col("n_list") / BLOCK).cast("int")))
+    placed = join_group(listed, lengths, lists, "n_list", "node", "inner").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(F.xxhash64("label", "dim", "pivot", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side"), "pivot", "node", "n_rows", "raw", "sig", "dim", "label")
+    met = met.select(F.xxhash64(*lists, F.least("block", "other"), F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side"), *lists, "node", "n_rows", "raw", "sig")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -163,9 +182,10 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
             degrees, edges = [], []
             if held:
                 t = pa.concat_tables(held)
-                pair, pivot, dim, labels = t["pair"].to_numpy(), t["pivot"].to_numpy(), t["dim"].to_numpy(), t["label"].to_numpy()
-                order = np.lexsort((pivot, dim, labels, pair))
-                columns = [x[order] for x in (pair, labels, dim, pivot)]
+                columns = [t[c].to_numpy() for c in ("second", "pivot", "dim", "label", "pair")]
+                order = np.lexsort(columns)
+                columns = [x[order] for x in columns]
+                second = columns[0]
                 edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
                 node, rows, side = (t[c].to_numpy()[order] for c in ("node", "n_rows", "side"))
                 raw, sigs = t["raw"].to_pylist(), t["sig"].to_pylist()
@@ -173,7 +193,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
                     if len(g) > 1:
                         v = units([raw[order[i]] for i in g], numbers)
                         sig = np.stack([np.frombuffer(sigs[order[i]], "<i4") for i in g])
-                        d, e = links_in(int(pivot[order[g[0]]]), node[g], rows[g], side[g], v, sig)
+                        d, e = links_in(int(second[g[0]]), node[g], rows[g], side[g], v, sig)
                         degrees += d
                         edges += e
             held.clear()

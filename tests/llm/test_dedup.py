@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -33,11 +33,33 @@ def test_exact_groups(docs_of, odd_rows):
             assert sorted(bytes(r.digest).hex() for r in got) == texts
 
 
-def test_exact_without_broadcast(docs_of, odd_rows, monkeypatch):
-    want = sorted(map(str, exact.exact_groups(docs_of(odd_rows)).select("doc_id", "keep_id", "group_size", "kept").collect()))
-    monkeypatch.setattr(exact, "small", lambda df, rows=0: False)
+@pytest.mark.parametrize(("a_key", "most"), [(32, 1 << 31), (1, 1 << 15), (1 << 12, 1 << 20)])
+def test_exact_whatever_the_filter(docs_of, odd_rows, monkeypatch, a_key, most):
+    """A filter that takes many keys for others costs hashes and changes nothing; a sparse one lets only surviving rows through."""
+    rows = [*odd_rows, *[(k, f"{k % 3000} text {k}" if k % 7 else f"again {k % 21}", "en", "a") for k in range(1000, 5000)]]
     monkeypatch.setattr("spanloom.llm.common.HOT_ROWS", 1)
-    assert sorted(map(str, exact.exact_groups(docs_of(odd_rows)).select("doc_id", "keep_id", "group_size", "kept").collect())) == want
+    monkeypatch.setattr(exact, "BITS_A_KEY", a_key)
+    monkeypatch.setattr(exact, "BITS", most)
+    monkeypatch.setattr(exact, "ROW", min(exact.ROW, most))
+    got = exact.exact_groups(docs_of(rows)).collect()
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups["".join((t or "").split())].append(i)
+    assert sorted(r.group_size for r in got) == sorted(len(g) for g in groups.values() for _ in g)
+    hashed = sum(r.digest is not None for r in got)
+    surviving = Counter((len(c), c[:64]) for c in ("".join((t or "").split()) for _, t, *_ in rows))
+    assert hashed >= sum(n for n in surviving.values() if n > 1)
+    if a_key > 1:
+        assert hashed <= sum(n for n in surviving.values() if n > 1) + len(rows) / a_key
+
+
+def test_exact_filter_has_every_key(spark):
+    keys = spark.range(50_000).select((F.col("id") % 97).alias("n"), F.xxhash64("id").alias("head"))
+    rows = keys.unionByName(spark.range(50_000, 150_000).select((F.col("id") % 97).alias("n"), F.xxhash64("id").alias("head"))).withColumn("k", F.monotonically_increasing_id())
+    got = exact.with_survivors(rows.join(keys.withColumn("real", F.lit(True)), ["n", "head"], "left"), keys).groupBy("real").agg(F.count_if("_left").alias("taken"), F.count("*").alias("n"))
+    got = {r["real"]: r for r in got.collect()}
+    assert got[True].taken == got[True].n == 50_000
+    assert got[None].taken <= got[None].n / 20
 
 
 def test_drop_exact_keeps_columns(docs_of, odd_rows):
