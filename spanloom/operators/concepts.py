@@ -11,6 +11,7 @@ from spanloom.functions import text as T
 from spanloom.functions.dialect import SPARK, column
 from spanloom.operators import asof, chunking
 from spanloom.operators.structure import lines, of_book
+from spanloom.shared import checkpoint
 
 #: Concepts and headings of a text, at most; characters of a text that are indexed (fixed values of the feature).
 CONCEPTS, HEADINGS, CHARACTERS = 5, 50, 200_000
@@ -77,14 +78,14 @@ def index_nodes(texts: DataFrame) -> DataFrame:
     """
     start = F.greatest(F.lit(0), F.least(F.coalesce("from", F.lit(0)), F.length("whole"))).cast("long")
     body = texts.select("book_id", "from", F.expr(f"substr(text, 1, {CHARACTERS})").alias("whole")).withColumn("from", start)
-    body = body.select("book_id", "from", F.expr("substr(whole, cast(from + 1 as int))").alias("text"))
+    body = checkpoint(body.select("book_id", "from", F.expr("substr(whole, cast(from + 1 as int))").alias("text")))
     own = body.select("book_id", "text")
     w = of_book("k")
     cut = own.select("book_id", F.posexplode(chunking.raw_chunk_udf("text")).alias("k", "c")).select("book_id", "k", "c.text", "c.end")
     cut = cut.where(F.expr(f"{T.sanitize(SPARK, 'text')} <> ''")).select("book_id", (F.row_number().over(w) - 1).alias("chunk_index"), "end")
     # ends go back where a sentence was wrapped: only a chunk that ends past all before it can be the first to end past an offset
     past = F.coalesce(F.max("end").over(of_book("chunk_index").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(-1))
-    reach = cut.withColumn("past", past).where("end > past").select("book_id", "chunk_index", "end")
+    reach = checkpoint(cut.withColumn("past", past).where("end > past").select("book_id", "chunk_index", "end"))
     heads = index_headings(lines(own)).where(~column(P.is_artefact, "label"))
     words = top_concepts(own, "book_id").where("lower(label) <> 'top concepts'")
     some = reach.select("book_id").distinct().select("book_id", F.lit(0).alias("part"), F.lit("Top Concepts").alias("label"), F.lit(0).cast("long").alias("char_offset"), F.lit(0).cast("long").alias("n"), F.lit("").alias("term"))

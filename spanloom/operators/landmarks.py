@@ -12,7 +12,7 @@ from spanloom.functions import text as T
 from spanloom.functions.dialect import BLANK, SPARK, WS, column, with_steps
 from spanloom.operators.chunking import split_lines
 from spanloom.operators.structure import lines, of_book
-from spanloom.shared import checkpoint
+from spanloom.shared import checkpoint, small
 
 #: Characters between candidates of one cluster; before the cut that still counts as after it; between a heading and its
 #: longer form; between a chapter and the section that repeats it; from a book's mark to its prologue (fixed values).
@@ -49,12 +49,19 @@ def deduplicated(candidates: DataFrame) -> DataFrame:
     return t.withColumn("best", F.row_number().over(best)).where("best = 1").select(*candidates.columns)
 
 
-def occurrences(books: DataFrame) -> DataFrame:
+def first_word(label: str) -> Column:
+    """The first run of letters and digits of a folded label. Cleaning a label leaves it as it is."""
+    return F.regexp_extract(F.expr(T.fold(SPARK, label)), r"[\p{L}\p{N}]+", 0)
+
+
+def occurrences(books: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Lines that may be a heading in the text: (book_id, char_offset, kind_of_match, key, label, prev_blank, next_blank, probable_toc).
 
     A line counts by itself (``exact``), with the next line that is not blank (``wrapped``), and, when it is a chapter's
     or a part's mark, by its mark (``prefix``). ``probable_toc``: a leader is on it; or within the next four lines that
-    are not blank one is only a leader, or any has one while the line before is an outline number.
+    are not blank one is only a leader, or any has one while the line before is an outline number. With ``wanted``
+    (book_id, key, prefix_key) only lines count that begin with the first word of one of these keys; the others are left
+    out before any label is cleaned.
     """
     w = of_book("n")
     rows = split_lines(books)
@@ -70,6 +77,10 @@ def occurrences(books: DataFrame) -> DataFrame:
     both = t.select("book_id", "char_offset", F.col("t").alias("label"), F.lit("exact").alias("match"), "prev_blank", "next_blank", "probable_toc").unionByName(
         t.where("following is not null").select("book_id", "char_offset", joined.alias("label"), F.lit("wrapped").alias("match"), "prev_blank", "next_blank", "probable_toc")
     )
+    if wanted is not None:
+        heads = wanted.select("book_id", F.explode(F.array("key", "prefix_key")).alias("k")).where("k is not null").select("book_id", first_word("k").alias("head")).distinct()
+        heads = checkpoint(heads)
+        both = both.withColumn("head", first_word("label")).join(F.broadcast(heads) if small(heads) else heads, ["book_id", "head"], "left_semi").drop("head")
     c = cleaned(both)
     c = c.withColumn("key", F.expr(T.label_key(SPARK, "clean")))
     marks = c.where("match = 'exact' and kind in ('chapter', 'part')").withColumn("match", F.lit("prefix"))
@@ -186,7 +197,7 @@ def resolved(books: DataFrame, candidates: DataFrame, bounds: DataFrame) -> Data
     mark = F.regexp_extract("label", r"(?i)^((?:chapter|part|book)\s+[0-9ivxlcdm]+)(?:$|[^\p{L}\p{N}_])", 1)
     known = checkpoint(known.withColumn("prefix_key", F.when((mark != "") & F.col("label").rlike("[:-]"), F.lower(mark))))
     b = bounds.select("book_id", F.col("contents_end").alias("toc_end"), F.coalesce("reading_start", F.lit(0)).alias("cut"))
-    hits = matched(known.join(b, "book_id").select("book_id", "key", "prefix_key", "cut"), occurrences(books))
+    hits = matched(known.join(b, "book_id").select("book_id", "key", "prefix_key", "cut"), occurrences(books, known))
     hits = checkpoint(hits).join(b.select("book_id", "toc_end"), "book_id").where("at >= toc_end").select("book_id", "key", "cut", "at", "prev_blank", "next_blank")
     text = best_occurrences(hits).select("book_id", "key", F.col("at").alias("text_at"))
     meta = c.where("char_offset is not null").join(known.select("book_id", "key", "kind"), ["book_id", "key"]).join(b, "book_id")

@@ -47,11 +47,11 @@ def loaded(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def packaged(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Books (book_id, path, title, raw, text) and their guarded blocks, from the documents (path, ord, name, content, error) of archives.
+    """Books (book_id, path, title, text) and their guarded blocks, from the documents (path, ord, name, content, error) of archives.
 
     A book's text is its documents' texts in reading order, a blank line between; its drafts are what the tags say. What
     could not be read is left out, and a book of which nothing could has no row. Files of the same title and beginning
-    are one book, the first by path.
+    are one book, the first by path. The archives are read once, before this returns.
     """
     asked = documents.where("error is null and content is not null").select(F.struct("path", "ord").alias("at"), "content")
     pages = checkpoint(read_pages(asked, "at").select("at.path", "at.ord", "text", "blocks"))
@@ -59,7 +59,7 @@ def packaged(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     title = F.regexp_extract("path", r"([^/\\]*?)(?:\.[^./\\]*)?$", 1).alias("title")
     named = raw.select("path", title, "raw", F.expr(T.normalize_text(SPARK, "raw")).alias("text")).withColumn("book_id", F.expr(T.book_id(SPARK, "title", "text")))
     first = named.groupBy("book_id").agg(F.min("path").alias("path"))
-    books = checkpoint(named.join(first, ["book_id", "path"], "left_semi").select("book_id", "path", "title", "raw", "text"))
+    books = checkpoint(named.join(first, ["book_id", "path"], "left_semi").select("book_id", "path", "title", "text"))
     rows = pages.join(books.select("path", "book_id"), "path").select("book_id", "ord", F.posexplode("blocks").alias("k", "b"))
     drafts = rows.select("book_id", F.struct("ord", "k").alias("ord"), "b.kind", "b.level", "b.text")
     none = typed(books.selectExpr("book_id", "0L as block_no", "'' as kind", "0 as level", "0L as start", "0L as `end`", "'' as text").limit(0))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from spanloom.sources import archives
+from spanloom.sources.archives import member, reading_order
 
 FORMAT = "book_archives"
 #: Bytes of archives that a task reads.
@@ -83,12 +83,12 @@ class ArchiveReader(DataSourceReader):
         for path in partition.paths:
             try:
                 with fs.open_input_file(path) as file, zipfile.ZipFile(file) as z:
-                    for k, name in enumerate(archives.reading_order(z)):
-                        content = archives.member(z, name)
+                    for k, name in enumerate(reading_order(z)):
+                        content = member(z, name)
                         if content is None and self.strict:
                             raise ValueError(f"{path}: {name} can't be read")
                         yield row(path, k, name, content, None if content is not None else "member can't be read")
-            except (zipfile.BadZipFile, OSError) as e:
+            except (zipfile.BadZipFile, OSError, pa.ArrowInvalid) as e:
                 if self.strict:
                     raise ValueError(f"{path}: {e}") from e
                 yield row(path, None, None, None, str(e))
@@ -109,7 +109,10 @@ class Written(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Each task writes into a folder of its own; only what committed tasks wrote is moved to its place."""
+    """Each task writes into a folder of its own; only what committed tasks wrote is moved to its place.
+
+    A task that outlives its failed job can leave such a folder, which readers pass over.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite, self.staging = options["path"], overwrite, f"_temporary-{uuid.uuid4().hex}"
@@ -198,7 +201,7 @@ class Archives(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make the format known to a session. It carries its code along, wherever the workers find their modules."""
-    modules = [sys.modules[__name__], archives]
+    modules = [sys.modules[__name__], sys.modules[reading_order.__module__]]
     for m in modules:
         cloudpickle.register_pickle_by_value(m)
     try:
