@@ -123,10 +123,10 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     rows, and are linked to one another. A node is described by its NEAREST pivots in order; those are sampled from
     the nodes by a hash, about twice the root of their number. Inverted lists are kept for each two pivots, label by
     label: a node is in the lists of all twos of its pivots, so nodes that share two or more pivots meet, and lists
-    grow shorter as pivots grow in number. A vector is copied once for each of its lists. Only a list of over BLOCK nodes
-    is dealt in blocks, every one against every other, so that none is cut short and none falls to one task. Cosines are
-    in double precision, and only the number of links and a spanning forest leave the block. The index can miss pairs;
-    it never makes a false one.
+    grow shorter as pivots grow in number. Lists hold no vectors until it is known which nodes meet others; then a vector
+    is copied once for each such list. Only a list of over BLOCK nodes is dealt in blocks, every one against every other,
+    so that none is cut short and none falls to one task. Cosines are in double precision, and only the number of links
+    and a spanning forest leave the block. The index can miss pairs; it never makes a false one.
 
     Rows with a null label, and null, zero or non-finite vectors, link with nothing and are components of their own. A
     null vec_id names a component only if it is alone in it. An empty table gives an empty result.
@@ -154,26 +154,27 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims = np.array([len(r) for r in b.column(3).to_pylist()]) // np.dtype(numbers).itemsize
+            dims = np.array([len(r) for r in b.column(2).to_pylist()], np.int64) // np.dtype(numbers).itemsize
             for dim in np.unique(dims).tolist():
                 mine = b.take(pa.array(np.flatnonzero(dims == dim)))
-                sigs = nearest(pivots_of(held.value, dim), units(mine.column(3).to_pylist(), numbers))
+                sigs = nearest(pivots_of(held.value, dim), units(mine.column(2).to_pylist(), numbers))
                 low = np.sort(sigs, axis=1)
                 twos = list(combinations(range(sigs.shape[1]), 2)) or [(0, 0)]
                 at = pa.array(np.repeat(np.arange(len(sigs)), len(twos)))
-                table = pa.table([*mine.columns, pa.array([s.tobytes() for s in sigs], pa.binary())], names=["node", "label", "n_rows", "raw", "sig"]).take(at)
+                table = pa.table([*mine.columns[:2], pa.array([s.tobytes() for s in sigs], pa.binary())], names=["node", "label", "sig"]).take(at)
                 for name, values in (("dim", np.full(len(at), dim)), ("pivot", low[:, [i for i, _ in twos]].ravel()), ("second", low[:, [j for _, j in twos]].ravel())):
                     table = table.append_column(name, pa.array(values.astype(np.int32)))
                 yield from table.combine_chunks().to_batches()
 
-    fields = schema(("node", "long"), ("label", label), ("n_rows", "long"), ("raw", "binary"), ("sig", "binary"), ("dim", "int"), ("pivot", "int"), ("second", "int"))
+    fields = schema(("node", "long"), ("label", label), ("sig", "binary"), ("dim", "int"), ("pivot", "int"), ("second", "int"))
     lists = ["label", "dim", "pivot", "second"]
-    listed = map_arrow(nodes.select("node", "label", "n_rows", "raw"), describe, fields)
+    listed = checkpoint(map_arrow(nodes.select("node", "label", "raw"), describe, fields))
     lengths = listed.groupBy(*lists).agg(F.count("*").alias("n_list")).where("n_list > 1")
     lengths = checkpoint(lengths.withColumn("blocks", F.ceil(F.col("n_list") / BLOCK).cast("int")))
     placed = join_group(listed, lengths, lists, "n_list", "node", "inner").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(F.xxhash64(*lists, F.least("block", "other"), F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side"), *lists, "node", "n_rows", "raw", "sig")
+    met = met.select(F.xxhash64(*lists, F.least("block", "other"), F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side"), *lists, "node", "sig")
+    met = met.join(nodes.select("node", "n_rows", "raw"), "node")  # only now, and only of nodes that meet others
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []

@@ -51,7 +51,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.predict(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.predict(table(spark, sf_dir, "documents"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
