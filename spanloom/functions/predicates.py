@@ -30,9 +30,13 @@ INDEX_TITLES = ("index", "subject index", "name index")
 #: Abbreviations after which a sentence goes on (fixed values).
 ABBREVIATIONS = ("mr.", "mrs.", "ms.", "dr.", "prof.", "sr.", "jr.", "st.", "vs.", "etc.", "e.g.", "i.e.", "u.s.", "u.k.")
 #: Words that carry no meaning of their own in a label (fixed values).
-STOPWORDS = """the and a an to of in on for with at by from as is are was were be been it that this these those i you we
-they he she not or but if then so no yes""".split()
-JOIN_WORDS = "when without within while whereas because since although though however".split()
+STOPWORDS = (
+    "the", "and", "a", "an", "to", "of", "in", "on", "for", "with", "at", "by", "from", "as", "is", "are", "was", "were", "be", "been", "it", "that",
+    "this", "these", "those", "i", "you", "we", "they", "he", "she", "not", "or", "but", "if", "then", "so", "no", "yes",
+)
+JOIN_WORDS = (
+    "when", "without", "within", "while", "whereas", "because", "since", "although", "though", "however",
+)
 
 SENTENCE_END = r"[.!?:;,]$"
 ROMAN = "[ivxlcdm]+"

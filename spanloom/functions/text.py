@@ -14,15 +14,18 @@ OTHER_ENDS = r"\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
 WORD_RUN = r"[\p{L}\p{N}_]+"
 
 #: British words in -our, spoken in -or (fixed values).
-OUR_WORDS = """
-behaviour behaviours behavioural behaviourally colour colours coloured colouring colourful favour favours favoured
-favouring favourite favourites honour honours honoured honourable dishonour humour humours humourless labour labours
-laboured labourer labourers neighbour neighbours neighbourhood neighbouring rumour rumours rumoured flavour flavours
-flavoured endeavour endeavours harbour harbours armour glamour valour odour odours candour vigour rigour ardour fervour
-splendour tumour tumours
-""".split()
+OUR_WORDS = (
+    "behaviour", "behaviours", "behavioural", "behaviourally", "colour", "colours", "coloured", "colouring", "colourful", "favour", "favours", "favoured",
+    "favouring", "favourite", "favourites", "honour", "honours", "honoured", "honourable", "dishonour", "humour", "humours", "humourless", "labour",
+    "labours", "laboured", "labourer", "labourers", "neighbour", "neighbours", "neighbourhood", "neighbouring", "rumour", "rumours", "rumoured", "flavour",
+    "flavours", "flavoured", "endeavour", "endeavours", "harbour", "harbours", "armour", "glamour", "valour", "odour", "odours", "candour", "vigour",
+    "rigour", "ardour", "fervour", "splendour", "tumour", "tumours",
+)
 #: British words in -re, spoken in -er (fixed values).
-RE_WORDS = "centre centres centred theatre theatres litre litres fibre fibres calibre lustre metre metres kilometre kilometres".split()
+RE_WORDS = (
+    "centre", "centres", "centred", "theatre", "theatres", "litre", "litres", "fibre", "fibres", "calibre", "lustre", "metre", "metres", "kilometre",
+    "kilometres",
+)
 #: Suffixes in -is-, in the order in which they are tried; what they become; least length of the stem (fixed values).
 IS_SUFFIXES = (
     ("isationally", "izationally", 1),

@@ -23,7 +23,7 @@ TAKEN = (2, 4)
 def top_concepts(texts: DataFrame, key: str, most: int = CONCEPTS) -> DataFrame:
     """(key, term, label, n, char_offset): the most frequent words, ties by the alphabet; the offset is of the letters' first occurrence."""
     words = texts.select(key, F.explode(F.expr(f"regexp_extract_all(text, {SPARK.lit(TOKEN)}, 0)")).alias("w")).select(key, F.lower("w").alias("term"))
-    words = words.where(~F.col("term").isin(P.STOPWORDS) & (F.length("term") >= 3))
+    words = words.where(~F.col("term").isin(*P.STOPWORDS) & (F.length("term") >= 3))
     counted = words.groupBy(key, "term").agg(F.count("*").alias("n"))
     rank = F.row_number().over(W.Window.partitionBy(key).orderBy(F.desc("n"), "term"))
     top = counted.withColumn("r", rank).where(F.col("r") <= most).drop("r").join(texts.select(key, "text"), key)

@@ -10,6 +10,7 @@ from spanloom.functions import headings as H
 from spanloom.functions import predicates as P
 from spanloom.functions import text as T
 from spanloom.functions.dialect import BLANK, SPARK, WS, column, with_steps
+from spanloom.operators import asof
 from spanloom.operators.chunking import split_lines
 from spanloom.operators.structure import lines, of_book
 from spanloom.shared import checkpoint, small
@@ -130,11 +131,11 @@ def with_prologues(marks: DataFrame, books: DataFrame) -> DataFrame:
     w = of_book("char_offset")
     b = marks.where("kind = 'book'").select("book_id", F.col("char_offset").alias("lo"), F.lead("char_offset").over(w).alias("hi"))
     b = b.join(books.select("book_id", (F.length("text") + 1).alias("size")), "book_id").select("book_id", "lo", F.coalesce("hi", "size").alias("hi"))
-    has = marks.where("kind = 'prologue'").select("book_id", F.col("char_offset").alias("p"))
-    lacks = b.join(has, (b["book_id"] == has["book_id"]) & (has["p"] > b["lo"]) & (has["p"] < b["hi"]), "left_anti")
-    p = prologue_lines(books).withColumnRenamed("book_id", "b2")
-    first = lacks.join(p, (lacks["book_id"] == p["b2"]) & (p["at"] > lacks["lo"]) & (p["at"] < lacks["hi"])).groupBy("book_id", "lo").agg(F.min("at").alias("at")).where(F.col("at") - F.col("lo") <= PROLOGUE)
-    return marks.unionByName(first.select("book_id", F.col("at").alias("char_offset"), F.lit("Prologue").alias("label"), F.lit("prologue").alias("kind")))
+    # the next prologue of either sort decides: no mark meets more than one row of each
+    has = marks.where("kind = 'prologue'").select("book_id", F.col("char_offset").alias("at"))
+    lacks = asof.forward(b, "lo", has, "at", "book_id").where("hit is null or hit.at >= hi").drop("hit")
+    first = asof.forward(lacks, "lo", prologue_lines(books), "at", "book_id").where(f"hit.at < hi and hit.at - lo <= {PROLOGUE}")
+    return marks.unionByName(first.select("book_id", F.col("hit.at").alias("char_offset"), F.lit("Prologue").alias("label"), F.lit("prologue").alias("kind")))
 
 
 def without_title(marks: DataFrame, titles: DataFrame) -> DataFrame:

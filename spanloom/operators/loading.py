@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
@@ -11,6 +11,7 @@ from spanloom.operators import chunking, structure
 from spanloom.operators.markdown import blocks_of_lines
 from spanloom.shared import checkpoint
 from spanloom.sources import books as B
+from spanloom.sources import packages
 from spanloom.sources.markup import read_pages
 
 BLOCK = ("book_id", "block_no", "kind", "level", "start", "end", "text")
@@ -64,3 +65,21 @@ def packaged(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     drafts = rows.select("book_id", F.struct("ord", "k").alias("ord"), "b.kind", "b.level", "b.text")
     none = typed(books.selectExpr("book_id", "0L as block_no", "'' as kind", "0 as level", "0L as start", "0L as `end`", "'' as text").limit(0))
     return books, modelled(books.select("book_id", "text"), none, drafts)
+
+
+#: Files that are texts, whatever the case of their suffix; archives are told by theirs.
+TEXTS, ARCHIVES = "*.{[tT][xX][tT],[mM][dD]}", "*.[eE][pP][uU][bB]"
+
+
+def from_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Books (book_id, path, title, text) and their guarded blocks, from all text, markdown and archive files under a folder.
+
+    Other files are passed over. Files of the same title and beginning are one book: a text's before an archive's.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", TEXTS).load(path).select("path", "content")
+    columns = ["book_id", "path", "title", "text"]
+    texts, text_blocks = loaded(files)
+    texts = checkpoint(texts.select(columns))
+    packed, packed_blocks = packaged(packages.read(spark, path, glob=ARCHIVES))
+    ids = texts.select("book_id")
+    return texts.unionByName(packed.select(columns).join(ids, "book_id", "left_anti")), typed(text_blocks).unionByName(typed(packed_blocks.join(ids, "book_id", "left_anti")))

@@ -1,4 +1,4 @@
-"""Markdown to blocks: every line is told by itself, fences are paired per text, and windows make runs of lines blocks."""
+"""Markdown to blocks: every line is told by itself, fences are paired by a fold, and windows make runs of lines blocks."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 from spanloom.functions import predicates as P
 from spanloom.functions import text as T
 from spanloom.functions.dialect import ND, SPARK, WS, column, with_steps
+from spanloom.operators.folds import folded
 from spanloom.operators.structure import lines
 
 #: What a run of lines of one kind is.
@@ -18,11 +19,17 @@ KINDS = {"heading": "heading", "setext": "heading", "text": "paragraph", "quote"
 def fence_edges(told: DataFrame, key: str) -> DataFrame:
     """(key, n, opens): the fence lines that open or close code. One closes what is open if it has the same mark, at least as often."""
     marks = told.where("k = 'fence'").select(key, "n", F.expr(SPARK.pick("line", rf"^{WS}{{0,3}}(`{{3,}}|~{{3,}})", 1)).alias("mark"))
-    each = marks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "mark"))).alias("marks"))
-    folded = F.expr("""aggregate(marks, named_struct('open', '', 'edges', cast(array() as array<int>)), (s, x) ->
-      case when s.open = '' then named_struct('open', x.mark, 'edges', s.edges || array(cast(x.n as int)))
-        when substr(x.mark, 1, length(s.open)) = s.open then named_struct('open', '', 'edges', s.edges || array(cast(x.n as int))) else s end, s -> s.edges)""")
-    return each.select(key, F.posexplode(folded).alias("at", "n")).select(key, "n", (F.col("at") % 2 == 0).alias("opens"))
+
+    def step(state: str | None, columns: list[list]) -> tuple[list[bool], list[list], str]:
+        opened, edges, opens = state or "", [], []
+        for mark in columns[0]:
+            edges.append(not opened or mark.startswith(opened))
+            opens.append(not opened)
+            if edges[-1]:
+                opened = "" if opened else mark
+        return edges, [opens], opened
+
+    return folded(marks, [key], ["n"], ["mark"], step, [("opens", "boolean")]).select(key, "n", "opens")
 
 
 def resolved(told: DataFrame, key: str) -> DataFrame:

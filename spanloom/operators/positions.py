@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 from spanloom.functions import text as T
 from spanloom.functions.dialect import SPARK
 from spanloom.operators import asof
+from spanloom.operators.folds import folded
 from spanloom.operators.structure import of_book
 
 
@@ -98,11 +99,12 @@ def throttled(times: list[int], spans: list[int], gap: int = REPORT, last: int |
 
 def reports(rows: DataFrame, gap: int = REPORT) -> DataFrame:
     """(book_id, chunk, ms, span) of the reports that are sent, of all (book_id, chunk, ms, span); each chunk begins anew."""
-    each = rows.groupBy("book_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("ms", "span"))).alias("r"))
-    through = F.expr(f"aggregate(r, cast(array() as array<struct<ms:bigint,span:bigint>>), (a, x) -> case when size(a) = 0 or x.ms - element_at(a, -1).ms >= {gap} then a || array(named_struct('ms', cast(x.ms as bigint), 'span', cast(x.span as bigint))) else a end)")
-    t = each.select("book_id", "chunk", F.posexplode(through).alias("k", "x")).select("book_id", "chunk", "k", "x.ms", "x.span")
-    before = F.lag("span").over(W.Window.partitionBy("book_id", "chunk").orderBy("k"))
-    return t.withColumn("before", before).where("before is null or before <> span").select("book_id", "chunk", "ms", "span")
+
+    def step(state: tuple | None, columns: list[list]) -> tuple[list[bool], list[list], tuple]:
+        send, last, span = throttled(*columns, gap, *(state or (None, None)))
+        return send, [], (last, span)
+
+    return folded(rows.select("book_id", "chunk", "ms", "span"), ["book_id", "chunk"], ["ms", "span"], ["ms", "span"], step)
 
 
 def narration_states(log: DataFrame) -> DataFrame:

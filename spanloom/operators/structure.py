@@ -30,11 +30,33 @@ def kinds(where: int) -> list[str]:
     return [k[0] for k in P.BLOCK_KINDS if k[where]]
 
 
-def lines(books: DataFrame) -> DataFrame:
-    """(book_id, n, start, end, line): every line of each text with its span; joined by line feeds they are the text."""
+def running(rows: DataFrame, key: str, n: str, value: str, segment: int) -> DataFrame:
+    """Rows (key, n, ...) with ``before``: the sum of ``value`` over the rows of a key before each, ``n`` counting them from 0.
+
+    In two levels: sums within segments of so many rows, each a group of its own, and the segments' totals, a row each,
+    summed and joined to them. A key of any size so is many tasks.
+    """
+    t = rows.withColumn("_segment", F.floor(F.col(n) / segment))
+    within = W.Window.partitionBy(key, "_segment").orderBy(n).rowsBetween(W.Window.unboundedPreceding, -1)
+    totals = t.groupBy(key, "_segment").agg(F.sum(value).alias("_total"))
+    past = F.sum("_total").over(W.Window.partitionBy(key).orderBy("_segment").rowsBetween(W.Window.unboundedPreceding, -1))
+    past = totals.select(F.col(key).alias("_key"), F.col("_segment").alias("_at"), F.coalesce(past, F.lit(0)).alias("_past"))
+    met = t.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0))).join(past, (F.col(key) == F.col("_key")) & (F.col("_segment") == F.col("_at")))
+    return met.select(*rows.columns, (F.col("_past") + F.col("_within")).alias("before"))
+
+
+def lines(books: DataFrame, segment: int | None = None) -> DataFrame:
+    """(book_id, n, start, end, line): every line of each text with its span; joined by line feeds they are the text.
+
+    With ``segment``, for texts of very many lines, offsets are summed in two levels, so many lines a group; else a
+    book's windows stay in the one task where all that follows on it runs too.
+    """
     rows = books.where("text <> ''").select("book_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    start = F.coalesce(F.sum(F.length("line") + 1).over(before(of_book("n"))), F.lit(0))
-    return rows.withColumn("start", start).select("book_id", "n", "start", (F.col("start") + F.length("line")).alias("end"), "line")
+    if segment is None:
+        rows = rows.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(before(of_book("n"))), F.lit(0)))
+    else:
+        rows = running(rows.withColumn("size", F.length("line") + 1), "book_id", "n", "size", segment).withColumnRenamed("before", "start")
+    return rows.select("book_id", "n", "start", (F.col("start") + F.length("line")).alias("end"), "line")
 
 
 def classified(rows: DataFrame) -> DataFrame:
@@ -210,12 +232,12 @@ def chapter_lines(rows: DataFrame) -> DataFrame:
     return t.where(~column(P.has_leader, "title")).select("book_id", "title", F.col("start").alias("char_offset"))
 
 
-def placed(probes: DataFrame, ch: DataFrame, books: DataFrame, salts: int = 1) -> DataFrame:
+def placed(probes: DataFrame, ch: DataFrame, books: DataFrame, parts: int = 1) -> DataFrame:
     """Probes (book_id, pos, ...) with current, previous and next chapter and the progress label."""
     w = of_book("chapter_no")
     sized = ch.join(books.select("book_id", F.length("text").alias("size")), "book_id")
     sized = sized.withColumn("previous", F.lag("title").over(w)).withColumn("next", F.lead("title").over(w)).withColumn("until", F.coalesce(F.lead("char_offset").over(w), F.col("size")))
-    hit = asof.backward(probes, "pos", sized, "char_offset", "book_id", salts=salts)
+    hit = asof.backward(probes, "pos", sized, "char_offset", "book_id", parts=parts)
     first = ch.where("chapter_no = 0").select("book_id", F.col("title").alias("first_title"))
     h = F.col("hit")
     span = h["until"] - h["char_offset"]
@@ -224,9 +246,9 @@ def placed(probes: DataFrame, ch: DataFrame, books: DataFrame, salts: int = 1) -
     return hit.join(first, "book_id", "left").select(*probes.columns, h["title"].alias("current"), h["previous"].alias("previous"), F.when(h.isNull(), F.col("first_title")).otherwise(h["next"]).alias("next"), label.alias("label"))
 
 
-def indexed(probes: DataFrame, spans: DataFrame, salts: int = 1) -> DataFrame:
+def indexed(probes: DataFrame, spans: DataFrame, parts: int = 1) -> DataFrame:
     """Probes (book_id, pos, ...) with ``span_no``: of ordered spans the first that ends after the offset."""
-    hit = asof.forward(probes, "pos", spans, "end", "book_id", salts=salts)
+    hit = asof.forward(probes, "pos", spans, "end", "book_id", parts=parts)
     return hit.select(*probes.columns, F.col("hit.span_no").alias("span_no"))
 
 

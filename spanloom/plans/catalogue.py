@@ -148,6 +148,12 @@ def line_offsets(spark, sf):
     return lines(spark, sf)
 
 
+@query("line_offsets_segmented", *CATALOGUE["line_offsets"][1:])
+def line_offsets_segmented(spark, sf):
+    """The same offsets by sums in two levels, as for a text of very many lines."""
+    return structure.lines(books(spark, sf), segment=16)
+
+
 _TESTS = {"folio": P.is_folio, "contents_entry": P.is_contents_entry, "leader": P.has_leader, "rule": P.is_rule, "artefact": P.is_artefact, "paragraph_like": P.is_paragraph_line, "reasonable": P.is_reasonable_heading, "opening": P.is_opening, "abbreviated": P.ends_abbreviated}
 
 
@@ -342,7 +348,7 @@ placed as (select p.event_id, p.book_id, p.pos, c.title as current, c.previous,
 
 def placed(spark, sf):
     probes = playhead(spark, sf).select("event_id", "book_id", F.col("char_offset").alias("pos"))
-    return structure.placed(probes, chapters(spark, sf), books(spark, sf), asof.salts_of(probes, "book_id"))
+    return structure.placed(probes, chapters(spark, sf), books(spark, sf), asof.parts_of(probes, "book_id"))
 
 
 for _name, _columns in (("current_chapter", "current"), ("prev_next_chapter", "previous next"), ("chapter_progress", "label")):
@@ -352,7 +358,21 @@ for _name, _columns in (("current_chapter", "current"), ("prev_next_chapter", "p
 @query("seek_chunk", "event_id:long book_id:long pos:long span_no:long", O.q(*O.STRUCTURE, O.PLAYHEAD, f'spans as (select book_id, row_number() over (partition by book_id order by block_no) - 1 as span_no, start, "end" from blocks where kind in {O.SPOKEN})', select='select event_id, p.book_id, char_offset as pos, (select min(span_no) from spans s where s.book_id = p.book_id and s."end" > p.char_offset) as span_no from playhead p'))
 def seek_chunk(spark, sf):
     probes = playhead(spark, sf).select("event_id", "book_id", F.col("char_offset").alias("pos"))
-    return structure.indexed(probes, spans(spark, sf), asof.salts_of(probes, "book_id"))
+    return structure.indexed(probes, spans(spark, sf), asof.parts_of(probes, "book_id"))
+
+
+@query("seek_chunk_ranged", *CATALOGUE["seek_chunk"][1:])
+def seek_chunk_ranged(spark, sf):
+    """The same chunks through ranges of places, as for a book that most readers have open."""
+    probes = playhead(spark, sf).select("event_id", "book_id", F.col("char_offset").alias("pos"))
+    return structure.indexed(probes, spans(spark, sf), parts=8)
+
+
+@query("chapter_progress_ranged", *CATALOGUE["chapter_progress"][1:])
+def chapter_progress_ranged(spark, sf):
+    """The same labels through ranges of places."""
+    probes = playhead(spark, sf).select("event_id", "book_id", F.col("char_offset").alias("pos"))
+    return structure.placed(probes, chapters(spark, sf), books(spark, sf), parts=8)
 
 
 # ---- headings and landmarks ------------------------------------------------------------------------------------

@@ -306,13 +306,30 @@ def cache_misses(spark, sf):
     return out.select("book_id", "span_no", stores.audio_path(F.col("book_id"), F.lit("bf_emma"), F.col("span_no")).alias("audio"), F.col("suffix").isNotNull().alias("alignment"))
 
 
-@query("forget_everything", "store:string book_id:long n:long", O.q(*O.STRUCTURE, O.PLAYHEAD, _LOG, _QUEUE, _CACHE, """gone as (select distinct book_id from playhead where event_type = 'error' and value > 250), every as (select 'audio' as store, book_id from spans where size % 3 = 0 union all select 'bookmarks', book_id from live union all select 'positions', book_id from (select distinct book_id from playhead where event_type = 'view'))""",
-       select="select store, book_id, count(*) as n from every where book_id not in (select book_id from gone) group by store, book_id"))
+_EVERY = f"""gone as (select distinct book_id from playhead where event_type = 'error' and value > 250),
+last_paths as ({CATALOGUE["last_book_paths"][2]}),
+every as (
+  select 'audio' as store, book_id from spans where size % 3 = 0
+  union all select 'bookmarks', book_id from live
+  union all select 'positions', book_id from (select distinct book_id from playhead where event_type = 'view')
+  union all select 'preference', regexp_extract(path, '[0-9]+')::bigint // 8 from last_paths
+)"""
+
+
+@query("forget_everything", "store:string book_id:long n:long", O.q(*O.STRUCTURE, O.PLAYHEAD, _LOG, _QUEUE, _CACHE, _EVERY, select="""
+select store, book_id, count(*) as n from every where book_id not in (select book_id from gone) group by store, book_id"""))
 def forget_everything(spark, sf):
+    """What is left of every store, the users' last books among them, without the books that are forgotten."""
     p = playhead(spark, sf)
     gone = p.where("event_type = 'error' and value > 250").select("book_id")
     audio = stores.addressed(cache(spark, sf)[1]).where("suffix = 'wav'").select(F.col("book").cast("long").alias("book_id"))
-    kept = stores.forgotten({"audio": audio, "bookmarks": positions.bookmarks(mark_log(spark, sf)).select("book_id"), "positions": positions.resume(p.where("event_type = 'view'")).select("book_id")}, gone)
+    last = last_book_paths(spark, sf).select(F.expr("cast(regexp_extract(path, '[0-9]+', 0) as bigint) div 8").alias("book_id"))
+    kept = stores.forgotten({
+        "audio": audio,
+        "bookmarks": positions.bookmarks(mark_log(spark, sf)).select("book_id"),
+        "positions": positions.resume(p.where("event_type = 'view'")).select("book_id"),
+        "preference": last,
+    }, gone)
     out = None
     for name, rows in kept.items():
         rows = rows.select(F.lit(name).alias("store"), "book_id")
@@ -540,6 +557,29 @@ def navigation_chunks(spark, sf):
     return chunking.navigation_chunks(b, chunking.narration_chunks(b, own, where), where)
 
 
+#: Of three books one starts a good way into its body, one at its very beginning, and one where reading starts.
+_FORCED = """forced as (
+  select book_id, case book_id % 3 when 0 then coalesce(reading_start, 0) + 700 when 1 then 0 else coalesce(reading_start, 0) end as f from bounds
+),
+tails as (select book_id, f, substr(text, f + 1) as tail from books join forced using (book_id)),
+essays as (
+  select book_id, f + strpos(tail, chr(10) || chr(10) || 'Essay Index' || chr(10)) as lo, f + strpos(tail, chr(10) || 'Chapter 3' || chr(10)) as hi
+  from tails where strpos(tail, chr(10) || chr(10) || 'Essay Index' || chr(10)) > 0 and strpos(tail, chr(10) || 'Chapter 3' || chr(10)) > 0
+)"""
+
+
+@query("navigation_chunks_forced", _CHUNK, O.q("recursive " + _ESSAY_BOOKS, *O.WHOLE[1:], _RUNS, _PACKED, _FORCED, select="""
+select chunks.* from chunks join forced using (book_id) left join essays using (book_id)
+where "end" > forced.f and (lo is null or not (start >= lo and "end" <= hi))"""))
+def navigation_chunks_forced(spark, sf):
+    b = books(spark, sf).withColumn("text", F.regexp_replace("text", "THE COLLECTED PAPERS 2", "Essay Index"))
+    own = structure.blocks(structure.lines(b))
+    where = structure.boundary(own)
+    start = F.when(F.col("book_id") % 3 == 0, F.coalesce("reading_start", F.lit(0)) + 700).when(F.col("book_id") % 3 == 1, F.lit(0))
+    forced = where.select("book_id", start.cast("long").alias("start_at")).where("start_at is not null")
+    return chunking.navigation_chunks(b, chunking.narration_chunks(b, own, where), where, forced)
+
+
 _RAW = _PACKED[_PACKED.index("whole as") : _PACKED.index("sized0 as")].rstrip().rstrip(",")
 _RAW = _RAW.replace("' ') as t, j = len(ss)", "' ') as t, pos[i + 1] as off, j = len(ss)").replace("i, 1, ss[j + 1], true", "i, 1, ss[j + 1], 0, true").replace("select book_id, run_no, p, i, sub, 0::bigint as s0, t from todo", "select book_id, run_no, p, i, sub, off::bigint as s0, t from todo")
 _NODES = rf"""bodies as (select book_id, least(coalesce(body_opening, 0), length(left(text, 200000))) as f, substr(left(text, 200000), least(coalesce(body_opening, 0), length(left(text, 200000))) + 1) as text from books join bounds using (book_id)), slices as (select book_id, 0 as run_no, 0 as rs, text as s from bodies),

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Voices by language, sex and name (fixed values).
-VOICES = """
-bf_alice bf_emma bf_isabella bf_lily bm_daniel bm_fable bm_george bm_lewis af_alloy af_aoede af_bella af_heart
-af_jessica af_kore af_nicole af_nova af_river af_sarah af_sky am_adam am_echo am_eric am_fenrir am_liam am_michael
-am_onyx am_puck am_santa
-""".split()
+VOICES = (
+    "bf_alice", "bf_emma", "bf_isabella", "bf_lily", "bm_daniel", "bm_fable", "bm_george", "bm_lewis", "af_alloy", "af_aoede", "af_bella", "af_heart",
+    "af_jessica", "af_kore", "af_nicole", "af_nova", "af_river", "af_sarah", "af_sky", "am_adam", "am_echo", "am_eric", "am_fenrir", "am_liam",
+    "am_michael", "am_onyx", "am_puck", "am_santa",
+)
 BOOKMARK_STORE = "struct<next_id:int,bookmarks:array<struct<bookmark_id:int,name:string,char_offset:long,chunk_index:int,created_at:string>>>"
 
 

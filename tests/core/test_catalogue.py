@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from spanloom.operators import chunking
-from spanloom.plans import catalogue, further, more  # noqa: F401
+from spanloom.plans import catalogue, further, more, reading, streams, whole  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 MAY_BE_EMPTY = {"stale_indexes"}

@@ -85,16 +85,63 @@ def test_runs(spark):
     assert [r.kind for r in runs] == ["heading", "paragraph", "heading", "paragraph"]
 
 
-@pytest.mark.parametrize("salts", [1, 3])
-def test_asof(spark, salts):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_asof(spark, parts):
     rows = spark.createDataFrame([(1, 10, 20), (1, 30, 40)], "k long, s long, e long")
     probes = spark.createDataFrame([(1, p) for p in (5, 10, 19, 20, 35, 50)] + [(2, 5)], "k long, p long")
-    back = {(r.k, r.p): r.hit.s if r.hit else None for r in asof.backward(probes, "p", rows, "s", "k", salts=salts).collect()}
+    back = {(r.k, r.p): r.hit.s if r.hit else None for r in asof.backward(probes, "p", rows, "s", "k", parts=parts).collect()}
     assert back == {(1, 5): None, (1, 10): 10, (1, 19): 10, (1, 20): 10, (1, 35): 30, (1, 50): 30, (2, 5): None}
-    ahead = {(r.k, r.p): r.hit.s if r.hit else None for r in asof.forward(probes, "p", rows, "e", "k", salts=salts).collect()}
+    ahead = {(r.k, r.p): r.hit.s if r.hit else None for r in asof.forward(probes, "p", rows, "e", "k", parts=parts).collect()}
     assert ahead == {(1, 5): 10, (1, 10): 10, (1, 19): 10, (1, 20): 30, (1, 35): 30, (1, 50): None, (2, 5): None}
 
 
+def test_asof_of_a_hot_key_is_many_tasks(spark):
+    """Four probes of five ask one key, many of them one place; ranges give what one window gives."""
+    probes = spark.range(20_000).select(F.when(F.col("id") % 5 < 4, 1).otherwise(F.col("id") % 50).alias("k"), F.when(F.col("id") % 3 == 0, 777).otherwise(F.col("id") * 37 % 5000).cast("long").alias("p"), "id")
+    rows = spark.range(300).select(F.when(F.col("id") < 250, 1).otherwise(F.col("id") % 50).alias("k"), (F.col("id") * 17).alias("s"), (F.col("id") * 17 + 9).alias("e"))
+    for find in (lambda n: asof.backward(probes, "p", rows, "s", "k", parts=n), lambda n: asof.backward(probes, "p", rows, "s", "k", clamp=True, parts=n), lambda n: asof.forward(probes, "p", rows, "e", "k", parts=n)):
+        one, many = ({r.id: r.hit and (r.hit.k, r.hit.s) for r in find(n).collect()} for n in (1, 12))
+        assert one == many and len(one) == 20_000
+    spread = asof._ranged(asof._both(probes, "p", rows, "s", "k"), 12).where("_k = 1 and _side = 1").groupBy("_part").count().collect()
+    assert len(spread) >= 8 and max(r["count"] for r in spread) <= 4000
+
+
+def test_parts_are_measured(spark, monkeypatch):
+    probes = spark.range(1000).select((F.col("id") % 3).alias("k"))
+    assert asof.parts_of(probes, "k") == asof.parts_of(probes.limit(0), "k") == 1
+    monkeypatch.setattr(asof, "PROBES", 100)
+    assert asof.parts_of(probes, "k") == 10
+
+
+@pytest.mark.parametrize("segment", [1, 3, 1000])
+def test_lines_in_segments(spark, segment):
+    texts = book(spark, BOOK, "", "x\n\n", "ß😀\nb", "a" * 50, "\n".join("y" * (k % 7) for k in range(500)))
+    assert sorted(structure.lines(texts, segment).collect()) == sorted(structure.lines(texts).collect())
+
+
+def test_reports_of_one_very_long_chunk(spark):
+    """Linear in the reports: an array that grows at each step would take hours here."""
+    rows = spark.range(400_000).select(F.lit(0).cast("long").alias("book_id"), F.lit(0).cast("long").alias("chunk"), (F.col("id") * 25).alias("ms"), F.col("id").alias("span"))
+    assert positions.reports(rows).count() == 400_000
+
+
+def test_fold_keeps_states_apart(spark):
+    from spanloom.operators.folds import folded
+
+    rows = spark.createDataFrame([(k % 3, None if k % 7 == 0 else k, f"v{k}") for k in range(50)], "k int, n int, v string")
+
+    def step(state, columns):
+        seen = state or 0
+        return [n is not None for n in columns[0]], [list(range(seen, seen + len(columns[0])))], seen + len(columns[0])
+
+    got = folded(rows, ["k"], ["n"], ["n"], step, [("at", "long")]).collect()
+    for k in range(3):
+        mine = sorted((r.at, r.n) for r in got if r.k == k)
+        nulls = sum(1 for j in range(50) if j % 3 == k and j % 7 == 0)
+        assert [n for _, n in mine] == sorted(j for j in range(50) if j % 3 == k and j % 7) and [a for a, _ in mine] == list(range(nulls, nulls + len(mine)))
+    assert folded(rows.limit(0), ["k"], ["n"], ["n"], step, [("at", "long")]).collect() == []
+
+
 def test_progress(spark):
     ch = spark.createDataFrame([(0, 0, "Prologue", 0), (0, 1, "Chapter 1", 200), (0, 2, "Chapter 2", 600)], "book_id long, chapter_no long, title string, char_offset long")
     probes = spark.createDataFrame([(0, 800), (0, 50), (0, 200)], "book_id long, pos long")

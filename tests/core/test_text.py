@@ -151,3 +151,14 @@ def test_weak_labels_are_expanded(spark):
     rows = spark.createDataFrame([(0, "When", 0), (1, "When", 0), (2, "Decision Architecture", 0), (3, "The", 0), (3, "of", 10), (4, " ", 0)], "book_id long, label string, char_offset long")
     got = {(r.book_id, r.char_offset): r.label for r in concepts.expand_labels(rows, t, "book_id").collect()}
     assert got == {(0, 0): "When decisions made", (1, 0): "When", (2, 0): "Decision Architecture", (3, 0): "The world men women", (3, 10): "of men women", (4, 0): "Ideas"}
+
+
+def test_character_map_places():
+    """White space stands for the next run, a character for itself before one alike, and what is nowhere moves nothing."""
+    assert chunking.mapped("a  b\n\nc") == ("a b c", [0, 1, 3, 4, 6])
+    assert chunking.mapped("wait…")[0] == "wait." and chunking.mapped("wait…")[1] == [0, 1, 2, 3, 4]
+    # a letter whose lower case is longer does not end the search for others that are alike but for case
+    index = chunking.Index("İx B b")
+    assert (index.first("b", 0), index.first("b", 6), index.first("β", 0), index.first("B", 4), index.first(" ", 3)) == (5, None, None, 5, 4)
+    long = "abc " * 50_000
+    assert chunking.mapped(long)[1] == list(range(len(long) - 1))
