@@ -102,14 +102,14 @@ def test_books_of_one_beginning_are_one(spark, tmp_path):
 def test_one_call_for_mixed_files(spark, tmp_path):
     packages.write(documents(spark, [*CHAPTERS[:2], ("Same", 0, "x", b"<p>Prologue</p>")]), str(tmp_path / "sub"))
     (tmp_path / "Plain.TXT").write_bytes(b"Prologue\n\nIt was early.\xff\n")
-    (tmp_path / "Marked.md").write_text("# Head\n\n- one\n- two\n\nAll of the rest.\n")
+    (tmp_path / "Marked.md").write_text("# Head\n\n- one\n- two\n\nAll of the rest, which goes on for so long that what the marks say is believed.\n")
     (tmp_path / "Same.txt").write_text("Prologue")
     (tmp_path / "cover.jpg").write_bytes(b"\xff\xd8")
     books, blocks = loading.from_folder(spark, str(tmp_path))
     assert sorted(r.title for r in books.collect()) == ["Marked", "One", "Plain", "Same"]
     got = blocks.join(books.select("book_id", "title"), "book_id").orderBy("title", "start").collect()
     assert [(r.title, r.kind, r.text) for r in got] == [
-        ("Marked", "heading", "Head"), ("Marked", "list_item", "one"), ("Marked", "list_item", "two"), ("Marked", "paragraph", "All of the rest."), ("One", "heading", "Eins"), ("One", "paragraph", "erster Teil, ß"),
+        ("Marked", "heading", "Head"), ("Marked", "list_item", "one"), ("Marked", "list_item", "two"), ("Marked", "paragraph", "All of the rest, which goes on for so long that what the marks say is believed."), ("One", "heading", "Eins"), ("One", "paragraph", "erster Teil, ß"),
         ("One", "heading", "Two"), ("One", "paragraph", "second   part, long enough to be believed"), ("Plain", "heading", "Prologue"), ("Plain", "paragraph", "It was early."), ("Same", "heading", "Prologue"),
     ]
 
