@@ -29,7 +29,7 @@ def test_stages(spark, docs_of, odd_rows, tmp_path):
 
 def test_registry():
     names = queries.queries()
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.oracle_sql()) <= set(names)
 
 
