@@ -148,27 +148,34 @@ def playback_events(stream: DataFrame, delay: str, deadline: int | None = None,
 
 
 class Publisher(StatefulProcessor):
-    """Results in order: what is ready waits in a map by its number until all before it are out, and each goes out once."""
+    """Results in order: what is ready waits by its number until all before it are out, and each goes out once.
+
+    What waits is read and written as a whole for each micro-batch: a call to the store for each result takes far longer.
+    """
 
     def __init__(self, ahead: int = AHEAD):
         self.ahead = ahead
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "span_no long")
-        self.waiting = handle.getMapState("waiting", "span_no long", "result string")
+        self.waiting = handle.getListState("waiting", "span_no long, result string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         at = self.next.get()[0] if self.next.exists() else 0
+        held = {int(n): result for n, result in self.waiting.get()}
         for p in rows:
             for span_no, result in zip(p["span_no"], p["result"], strict=True):
                 if int(span_no) >= at:  # else it is out
-                    self.waiting.updateValue((int(span_no),), (result,))
+                    held[int(span_no)] = result
         out = []
-        while self.waiting.containsKey((at,)):
-            out.append((key[0], at, self.waiting.getValue((at,))[0], at + self.ahead))
-            self.waiting.removeKey((at,))
+        while at in held:
+            out.append((key[0], at, held.pop(at), at + self.ahead))
             at += 1
         self.next.update((at,))
+        if held:
+            self.waiting.put(sorted(held.items()))
+        else:
+            self.waiting.clear()
         yield pd.DataFrame(out, columns=["book_id", "span_no", "result", "may_start"]).astype({"book_id": "int64", "span_no": "int64", "may_start": "int64"})
 
     def close(self) -> None:
