@@ -129,8 +129,17 @@ def is_standalone(d: Spark, s: str) -> str:
     return f"{bare(d, s)} in {listed(STANDALONE)}"
 
 
+#: What the number of a part of a book follows (fixed values).
+NUMBERED = ("chapter", "part", "book", "section", "appendix", "volume")
+
+
 def is_numbered_division(d: Spark, s: str) -> str:
-    return numbered(d, s, ("chapter", "part", "book", "section", "appendix", "volume"))
+    return numbered(d, s, NUMBERED)
+
+
+def may_be_numbered(d: Spark, s: str) -> str:
+    """The name of a part at the beginning of a stripped text: what is tested in all lines before a number is looked for."""
+    return d.has(f"left({s}, {max(map(len, NUMBERED))})", f"(?i)^(?:{'|'.join(NUMBERED)})")
 
 
 def numbered(d: Spark, s: str, names) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -19,6 +19,8 @@ REPEATS, ENTRIES = 3, 2
 STRIPPED = Spark(("t",))
 #: Characters of a line in which more words than a short line has are looked for, and least parts that they then are: one may be empty at either end.
 HEAD, PARTS = 400, 15
+#: Characters at a line's beginning in which three words tell that it is neither a number nor a rule, and how they look.
+BRIEF, PROSE = 64, r"[\p{L}\p{N}][^\p{L}\p{N}]+[\p{L}\p{N}]+[^\p{L}\p{N}]+[\p{L}\p{N}]"
 #: Most characters of a title that is compared with known ones; each of those is shorter.
 TITLE = 40
 
@@ -65,25 +67,34 @@ def lines(books: DataFrame, segment: int | None = None) -> DataFrame:
     return rows.select("book_id", "n", "start", (F.col("start") + F.length("line")).alias("end"), "line")
 
 
+def only(test: str, then: str, other: str = "false") -> Column:
+    """``then`` where ``test`` holds, from SQL text: a case and no conjunction, of which the optimizer would work out for every row what its parts share."""
+    return F.expr(f"case when {test} then {then} else {other} end")
+
+
+def wordy(s: str) -> str:
+    """SQL text for: a text that has more words than a short line without its digits, told from its first HEAD characters."""
+    head = SPARK.sub(f"substr({s}, 1, {HEAD})", f"{ND}+")
+    return f"case when length({s}) > {HEAD} then size(split({head}, {SPARK.lit(WS + '+')}, {PARTS})) >= {PARTS} else false end"
+
+
 def classified(rows: DataFrame) -> DataFrame:
     """Lines with ``kind`` and ``level``; blank lines have none.
 
     What a line is by itself is tested once, before the windows over its book.
     """
     w = of_book("n")
-    tests = {"stops": P.ends_sentence, "short": P.is_short, "shouted": P.is_shouted, "folio": P.is_folio, "rule": P.is_rule, "numbered": P.is_numbered_division}
     t = rows.withColumn("t", F.expr(T.strip(SPARK, "line")))
-    # a line may be a whole paragraph: what only a title or an entry can be is tested where it can be one
-    titled = f"length(trim(trailing '.' from t)) <= {TITLE}"
-    known = {"lists": P.is_contents_title, "standing": P.is_standalone}
-    entry_like = f"({P.may_have_leader(STRIPPED, 't')} and {P.is_contents_entry(STRIPPED, 't')})"
+    # a line may be a whole paragraph: what only a title, a number or an entry can be is tested where it can be one;
     # the key of a line with more words than a short one has is no short line's, and is left out
-    head = SPARK.sub(f"substr(t, 1, {HEAD})", f"{ND}+")
-    key = f"case when length(t) > {HEAD} and size({SPARK.split(head, WS + '+')}) >= {PARTS} then '' else {T.repetition_key(STRIPPED, 't')} end"
+    t = t.withColumn("wordy", F.expr(wordy("t"))).withColumn("prose", only(f"length(t) > {BRIEF}", SPARK.has(f"substr(t, 1, {BRIEF})", PROSE)))
+    t = t.withColumn("bare", only(f"length(trim(trailing '.' from t)) <= {TITLE}", P.bare(STRIPPED, "t"), "''"))
     t = t.select(
-        "*", (F.col("t") == "").alias("blank"), F.expr(key).alias("key"), F.expr(entry_like).alias("entry_like"),
-        *[column(f, "t", by=STRIPPED).alias(k) for k, f in tests.items()], *[F.expr(f"({titled} and {f(STRIPPED, 't')})").alias(k) for k, f in known.items()],
-    )
+        "*", (F.col("t") == "").alias("blank"), only("wordy", "''", T.repetition_key(STRIPPED, "t")).alias("key"), only(P.may_have_leader(STRIPPED, "t"), P.is_contents_entry(STRIPPED, "t")).alias("entry_like"),
+        column(P.ends_sentence, "right(t, 1)").alias("stops"), only("wordy", "false", P.is_short(STRIPPED, "t")).alias("short"), only("wordy", "false", P.is_shouted(STRIPPED, "t")).alias("shouted"),
+        only("prose", "false", P.is_folio(STRIPPED, "t")).alias("folio"), only("prose", "false", P.is_rule(STRIPPED, "t")).alias("rule"), only(P.may_be_numbered(STRIPPED, "t"), P.is_numbered_division(STRIPPED, "t")).alias("numbered"),
+        F.expr(f"bare in {P.listed(P.CONTENTS)}").alias("lists"), F.expr(f"bare in {P.listed(P.STANDALONE)}").alias("standing"),
+    ).drop("wordy", "prose", "bare")
     t = t.withColumn("division", F.col("standing") | F.col("numbered")).drop("standing", "numbered")
     t = t.withColumn("alone", F.coalesce(F.lag("blank").over(w), F.lit(True)) & F.coalesce(F.lead("blank").over(w), F.lit(True)))
     counted = F.expr("not blank and short and not stops and alone and key <> ''")
