@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from spanloom.functions import text as T
 from spanloom.functions.dialect import SPARK
@@ -18,15 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-@F.pandas_udf(StringType())
-def without_bad_bytes(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+#: A character that stands for another one meanwhile; one that a text has itself is followed by another sign.
+SIGN, OWN, REPLACED = chr(0xE0FE), "0", "1"
 
 
 def decoded(content: Column) -> Column:
-    """UTF-8 bytes as text; bytes that are none are left out. Only contents that have such bytes are looked at one by one."""
+    """UTF-8 bytes as text; bytes that are none are left out.
+
+    They become replacement characters, which are then taken out; those that a text has itself stand aside meanwhile.
+    """
     text = content.cast("string")
-    return F.coalesce(without_bad_bytes(F.when(~F.is_valid_utf8(text), content)), text)
+    aside = F.replace(F.replace(text, F.lit(SIGN), F.lit(SIGN + OWN)), F.lit("\ufffd"), F.lit(SIGN + REPLACED))
+    valid = F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit(""))
+    back = F.replace(F.replace(valid, F.lit(SIGN + REPLACED), F.lit("\ufffd")), F.lit(SIGN + OWN), F.lit(SIGN))
+    return F.when(F.is_valid_utf8(text), text).otherwise(back)
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
