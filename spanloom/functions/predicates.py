@@ -165,7 +165,10 @@ def in_margin(top: str, bottom: str, height: str) -> str:
 
 
 def is_large(d: Spark, text: str, size: str, bold: str, body: str) -> str:
-    """A heading by its looks: at most 20 words, larger than the body's type or bold."""
+    """A heading by its looks: at most 20 words, larger than the body's type or bold. Spark counts words only where the type is so."""
+    if d.name == "spark":
+        looks = f"{body} > 0 and ({size} >= {body} * 1.15 or ({bold} and {size} >= {body}))"
+        return f"(case when {looks} and {strip(d, text)} <> '' then {is_short(d, text, 20)} else false end)"
     return f"({strip(d, text)} <> '' and {n_words(d, text)} <= 20 and {body} > 0 and ({size} >= {body} * 1.15 or ({bold} and {size} >= {body})))"
 
 

@@ -8,18 +8,25 @@ from pyspark.sql import window as W
 
 from spanloom.functions import predicates as P
 from spanloom.functions import text as T
-from spanloom.functions.dialect import SPARK, column
-from spanloom.operators.structure import of_book
+from spanloom.functions.dialect import SPARK, WS, column
+from spanloom.operators.structure import BRIEF, STRIPPED, of_book, only
 
 #: Pages that a line must be on to be a running head; deepest heading level (fixed values).
 PAGES, DEEPEST = 3, 6
+#: Three words with letters.
+THREE = rf"\p{{L}}.*?{WS}.*?\p{{L}}.*?{WS}.*?\p{{L}}"
 
 
 def populated(rows: DataFrame) -> DataFrame:
-    """Lines that are not blank, with stripped text ``t``, whether they lie in a margin, and their repetition key."""
+    """Lines that are not blank, with stripped text ``t``, whether they lie in a margin, and their repetition key.
+
+    A key is compared with other lines' in margins alone, and else with titles, which have two words at most: of lines elsewhere
+    that begin with three words it is empty.
+    """
     bottom = "bottom" if "bottom" in rows.columns else "top + size"
     t = rows.withColumn("t", F.expr(T.strip(SPARK, "text"))).where("t <> ''")
-    return t.withColumn("margin", F.expr(P.in_margin("top", f"({bottom})", "page_height"))).withColumn("key", column(T.repetition_key, "t"))
+    t = t.withColumn("margin", F.expr(P.in_margin("top", f"({bottom})", "page_height")))
+    return t.withColumn("key", only(f"case when margin then false else {SPARK.has(f'substr(t, 1, {BRIEF})', THREE)} end", "''", T.repetition_key(STRIPPED, "t")))
 
 
 def body_sizes(rows: DataFrame) -> DataFrame:
@@ -36,20 +43,24 @@ def running_heads(rows: DataFrame) -> DataFrame:
 
 def classified(rows: DataFrame) -> DataFrame:
     """Lines with ``kind``, and with ``first_kind``, which it was before page numbers beside contents entries were told."""
-    t = populated(rows).join(body_sizes(rows), "book_id")
-    t = t.join(running_heads(rows).withColumn("repeats", F.lit(True)), ["book_id", "key"], "left")
-    t = t.withColumn("large", F.expr(P.is_large(SPARK, "t", "size", "bold", "body")))
+    # what is known of a book is joined by book, as the lines are dealt: a join by more columns would move and sort all lines again
+    heads = running_heads(rows).groupBy("book_id").agg(F.collect_list("key").alias("_heads"))
+    t = populated(rows).join(body_sizes(rows).join(heads, "book_id", "left"), "book_id")
+    t = t.withColumn("repeats", only("margin", "array_contains(_heads, key)")).drop("_heads")
+    t = t.withColumn("large", F.expr(P.is_large(STRIPPED, "t", "size", "bold", "body")))
     page = W.Window.partitionBy("book_id", "page_index")
     t = t.withColumn("indexed", F.max(F.expr(f"key in {P.listed(P.INDEX_TITLES)} and (margin or large)")).over(page))
+    # cases and no conjunctions, of which the optimizer would work out what they share for every line
+    entry, folio = only(P.may_have_leader(STRIPPED, "t"), P.is_contents_entry(STRIPPED, "t")), P.is_folio(STRIPPED, "t")
     kind = (
-        F.when(column(P.is_contents_entry, "t"), "toc_entry").when(F.col("margin") & column(P.is_folio, "t"), "page_number").when(F.col("margin") & F.col("repeats"), "running_head")
+        F.when(entry, "toc_entry").when(only("margin", folio), "page_number").when(F.col("margin") & F.col("repeats"), "running_head")
         .when(F.col("large"), "heading").when(F.col("indexed"), "index_entry").otherwise("paragraph")
     )
     t = t.withColumn("first_kind", kind)
     w = of_book("ord")
     beside = [F.coalesce(f("first_kind").over(w) == "toc_entry", F.lit(False)) for f in (F.lag, F.lead)]
-    number = (F.col("first_kind") == "paragraph") & column(P.is_folio, "t") & (beside[0] | beside[1])
-    return t.withColumn("kind", F.when(number, "page_number").otherwise(F.col("first_kind")))
+    t = t.withColumn("beside", beside[0] | beside[1])
+    return t.withColumn("kind", F.when(only("first_kind = 'paragraph' and beside", folio), "page_number").otherwise(F.col("first_kind"))).drop("beside")
 
 
 def levels(c: DataFrame) -> DataFrame:
@@ -72,6 +83,15 @@ def stripped(rows: DataFrame, f: DataFrame) -> DataFrame:
     return t.join(f, ["book_id", "page_index", "t"], "left").where("n is null or rank > n").select(*rows.columns)
 
 
+def cleared(rows: DataFrame) -> DataFrame:
+    """Lines without the furniture of their page, as ``stripped`` leaves them, told in one pass over the kinds: furniture is lines of these rows, so no join finds it."""
+    same = W.Window.partitionBy("book_id", "page_index", "t")
+    c = classified(rows)
+    gone = (F.col("kind") == "running_head") | ((F.col("kind") == "page_number") & F.col("margin"))
+    t = c.withColumn("_rank", F.row_number().over(same.orderBy("ord"))).withColumn("_n", F.count_if(gone).over(same))
+    return t.where("_rank > _n").select(*rows.columns).unionByName(rows.where(F.expr(T.strip(SPARK, "text")) == ""))
+
+
 def drafts(c: DataFrame) -> DataFrame:
     """(book_id, ord, kind, level, text): lines of one block, kind and level are one draft; furniture gives none, but parts drafts."""
     w = of_book("ord")

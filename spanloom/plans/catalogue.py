@@ -535,8 +535,7 @@ def contents_folios(spark, sf):
 
 @query("furniture_strip", "book_id:long ord:long text:string", O.q(*_LAYOUT, "gone as (select book_id, page_index, t, count(*) as n from kinds where kind = 'running_head' or (kind = 'page_number' and margin) group by book_id, page_index, t)", select="select book_id, ord, text from (select p1.*, row_number() over (partition by book_id, page_index, t order by ord) as rank from p1) left join gone using (book_id, page_index, t) where n is null or rank > n"))
 def furniture_strip(spark, sf):
-    t = layout_lines(spark, sf)
-    return layout.stripped(t, layout.furniture(layout.classified(t)))
+    return layout.cleared(layout_lines(spark, sf))
 
 
 #: Heading drafts in which some are only numbers.

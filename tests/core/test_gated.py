@@ -2,13 +2,16 @@
 
 import re
 
-from spanloom.operators import structure
+from pyspark.sql import functions as F
+
+from spanloom.operators import layout, structure
+from spanloom.sources.books import LAYOUT
 
 
 def conjunctions(df, costly: str) -> list[str]:
     """Conjunctions of the optimized plan that hold ``costly``: what their sides share is worked out for every row."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return [line for line in plan.splitlines() if re.search(rf" AND [^,]*{costly}", line.split("Join")[0])]
+    return [line for line in plan.splitlines() if re.search(rf" AND (?:(?!THEN)[^,])*{costly}", line.split("Join")[0])]
 
 
 def books(spark):
@@ -23,3 +26,27 @@ def test_lines_are_gated(spark):
     kinds = [r.kind for r in c.where("book_id = 1").orderBy("n").collect()]
     assert kinds == ["heading", "toc_entry", "toc_entry", None, "heading", None, "paragraph", "toc_entry", "paragraph", None, "running_head", None, "running_head", None, "running_head", None, "separator", None, "toc_entry", "page_number", "page_number"]
     assert [r.kind for r in c.where("book_id = 2").collect()] == ["paragraph"]
+
+
+def test_words_of_layouts_are_counted_where_the_type_is_large(spark):
+    t = structure.lines(books(spark)).where("line <> ''").select("book_id", F.col("n").alias("ord"), F.lit(0).alias("page_index"), F.lit(0).alias("block_index"), F.col("line").alias("text"), F.when(F.col("n") == 4, 18.0).otherwise(10.0).alias("size"), (F.col("n") == 6).alias("bold"), F.lit(300.0).alias("top"), F.lit(800.0).alias("page_height"))
+    c = layout.classified(t)
+    assert not conjunctions(c, r"split\(")
+    kinds = {r.ord: r.kind for r in c.where("book_id = 1").collect()}
+    assert (kinds[4], kinds[6], kinds[7], kinds[1], kinds[0]) == ("heading", "paragraph", "toc_entry", "toc_entry", "paragraph")
+
+
+def test_furniture_goes_without_moving_lines(spark):
+    """By more than the book no line is dealt out, whatever the size of what it meets; what is left is what a join by page and text leaves."""
+    rows = [(1, 10 * p + k, p, p, text, 10.0, False, top, 800.0) for p in range(4) for k, (text, top) in enumerate([("Run 1", 20.0), ("Run 1", 20.0), ("Run 1", 400.0), (" ", 20.0), (str(p), 770.0), ("Some prose here.", 300.0)])]
+    t = spark.createDataFrame(rows, LAYOUT).repartition("book_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = layout.cleared(t)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not re.findall(r"Exchange hashpartitioning\(book_id#\d+L?, (?!\d+\))", plan)
+        want = layout.stripped(t, layout.furniture(layout.classified(t)))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and 0 < got.count() < len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
