@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -72,12 +72,17 @@ def throttled_events(stream: DataFrame, gap: int = REPORT) -> DataFrame:
     return stream.groupBy("book_id", "chunk").applyInPandasWithState(step, "book_id long, chunk long, ms long, span long", "ms long, span long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: A book's state, and its events that wait.
+NOW = "status string, playing long, forced_at long, requested boolean, waiting array<struct<us: long, event_id: long, op: string, chunk: long>>"
+
+
 class Playback(StatefulProcessor):
     """What a book's listeners are told after each event, in the order of event time.
 
     Events wait until the watermark has passed them, so that micro-batches may bring them in any order; one that comes
     later still is taken when it comes. A request to stop after the chunk is forced ``deadline`` milliseconds later, if
-    no end of a chunk came.
+    no end of a chunk came. A book's state is one value with what waits in it, and events are rows: lists of their own and a
+    frame for each book took nearly all of the time.
     """
 
     def __init__(self, deadline: int | None = None):
@@ -85,25 +90,23 @@ class Playback(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "status string, playing long, forced_at long, requested boolean")
-        self.waiting = handle.getListState("waiting", "us long, event_id long, op string, chunk long")
+        self.now = handle.getValueState("now", NOW)
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
-        for r in initialState.itertuples():
-            self.now.update((r.status, None if pd.isna(r.playing) else int(r.playing), None, bool(r.requested)))
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
+        r = initialState
+        self.now.update((r.status, r.playing, None, bool(r.requested), []))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = [(int(us), int(i), op, None if pd.isna(chunk) else int(chunk)) for p in rows for us, i, op, chunk in zip(p["us"], p["event_id"], p["op"], p["chunk"], strict=True)]
-        return self.release(key, came, timerValues.getCurrentWatermarkInMs() * 1000)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        return self.release(key, [(r.us, r.event_id, r.op, r.chunk) for r in rows], timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         return self.release(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def release(self, key: tuple, came: list[tuple], upto: int) -> Iterator[pd.DataFrame]:
+    def release(self, key: tuple, came: list[tuple], upto: int) -> Iterator[Row]:
         """What the watermark has passed, in order; the rest waits, with a timer for the first of it."""
-        held = sorted([*(tuple(r) for r in self.waiting.get()), *came])
+        status, playing, forced_at, requested, waiting = self.now.get() or ("IDLE", None, None, False, [])
+        held = sorted([*map(tuple, waiting), *came], key=lambda r: r[:3])
         ready, rest = [r for r in held if r[0] < upto], [r for r in held if r[0] >= upto]
-        status, playing, forced_at, requested = self.now.get() if self.now.exists() else ("IDLE", None, None, False)
         out = []
         for us, event_id, op, chunk in [*ready, (upto, None, "", None)]:
             if forced_at is not None and forced_at <= us:
@@ -124,14 +127,10 @@ class Playback(StatefulProcessor):
             elif op == "pause":
                 status = "PAUSED"
             out.append((event_id, key[0], us, op, status, playing))
-        self.now.update((status, playing, forced_at, requested))
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
+        self.now.update((status, playing, forced_at, requested, rest))
         for us in [r[0] for r in rest[:1]] + [forced_at] * (forced_at is not None):
             self.handle.registerTimer(us // 1000 + 1)
-        yield pd.DataFrame(out, columns=["event_id", "book_id", "us", "op", "status", "playing"]).astype({"event_id": "Int64", "playing": "Int64", "book_id": "int64", "us": "int64"})
+        yield from (Row(event_id=e, book_id=b, us=us, op=op, status=s, playing=p) for e, b, us, op, s, p in out)
 
     def close(self) -> None:
         pass
@@ -144,7 +143,7 @@ def playback_events(stream: DataFrame, delay: str, deadline: int | None = None,
     """
     rows = stream.withWatermark("ts", delay).select("event_id", "book_id", "ts", "op", "chunk", F.unix_micros("ts").alias("us"))
     out = "event_id long, book_id long, us long, op string, status string, playing long"
-    return rows.groupBy("book_id").transformWithStateInPandas(Playback(deadline), out, "append", "EventTime", None if initial is None else initial.groupBy("book_id"))
+    return rows.groupBy("book_id").transformWithState(Playback(deadline), out, "append", "EventTime", None if initial is None else initial.groupBy("book_id"))
 
 
 class Publisher(StatefulProcessor):
