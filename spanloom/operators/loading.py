@@ -39,11 +39,16 @@ def modelled(books: DataFrame, native: DataFrame, drafts: DataFrame) -> DataFram
 
 
 def loaded(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Books and their guarded blocks, from text and markdown files (path, content). Files of the same title and beginning are one book."""
-    books = parsed(files).dropDuplicates(["book_id"])
+    """Books (book_id, path, format, title, text) and their guarded blocks, from text and markdown files (path, content).
+
+    Files of the same title and beginning are one book. Books and blocks are written once: each is read several times.
+    """
+    t = parsed(files)
+    first = t.groupBy("book_id").agg(F.min_by(F.struct("path", "format", "title", "text"), "path").alias("b"))
+    books = checkpoint(first.select("book_id", "b.*"))
     plain = structure.blocks(structure.lines(books.where("format = 'text'").select("book_id", "text")))
     marked = blocks_of_lines(structure.lines(books.where("format = 'markdown'").select("book_id", "text")), "book_id")
-    own = typed(plain).unionByName(typed(marked))
+    own = checkpoint(typed(plain).unionByName(typed(marked)))
     return books, structure.guarded_blocks(books.select("book_id", "text"), own)
 
 
