@@ -8,13 +8,15 @@ from pyspark.sql import window as W
 
 from spanloom.functions import predicates as P
 from spanloom.functions import text as T
-from spanloom.functions.dialect import SPARK, column
+from spanloom.functions.dialect import SPARK, Spark, column
 from spanloom.operators import asof, chunking
-from spanloom.operators.structure import lines, of_book
+from spanloom.operators.structure import lines, of_book, only
 from spanloom.shared import checkpoint
 
 #: Concepts and headings of a text, at most; characters of a text that are indexed (fixed values of the feature).
 CONCEPTS, HEADINGS, CHARACTERS = 5, 50, 200_000
+#: Labels without blanks around them.
+LABEL = Spark(("label",))
 TOKEN = "[A-Za-z][A-Za-z'-]+"
 #: Words that a weak label takes from its paragraph, at least and at most (fixed values).
 TAKEN = (2, 4)
@@ -26,8 +28,10 @@ def top_concepts(texts: DataFrame, key: str, most: int = CONCEPTS) -> DataFrame:
     words = words.where(~F.col("term").isin(*P.STOPWORDS) & (F.length("term") >= 3))
     counted = words.groupBy(key, "term").agg(F.count("*").alias("n"))
     rank = F.row_number().over(W.Window.partitionBy(key).orderBy(F.desc("n"), "term"))
-    top = counted.withColumn("r", rank).where(F.col("r") <= most).drop("r").join(texts.select(key, "text"), key)
-    return top.select(key, "term", F.expr(T.title_case(SPARK, "replace(term, '-', ' ')")).alias("label"), "n", F.expr("instr(lower(text), term) - 1").cast("long").alias("char_offset"))
+    top = counted.withColumn("r", rank).where(F.col("r") <= most).groupBy(key).agg(F.collect_list(F.struct("term", "n")).alias("_terms"))
+    # a text is put in small letters once, not for each of its words
+    met = top.join(texts.select(key, F.lower("text").alias("_low")), key).select(key, F.expr("inline(transform(_terms, x -> struct(x.term as term, x.n as n, instr(_low, x.term) - 1 as at)))"))
+    return met.select(key, "term", F.expr(T.title_case(SPARK, "replace(term, '-', ' ')")).alias("label"), "n", F.col("at").cast("long").alias("char_offset"))
 
 
 def index_headings(rows: DataFrame, most: int = HEADINGS) -> DataFrame:
@@ -36,7 +40,7 @@ def index_headings(rows: DataFrame, most: int = HEADINGS) -> DataFrame:
     A chapter's or part's line always counts; another one of at most eight words does when half its words have a
     capital. The search ends at the line with which ``most`` are reached, unless that is a chapter's or part's.
     """
-    t = rows.withColumn("label", F.expr(T.strip(SPARK, "line"))).where(column(P.is_reasonable_heading, "label"))
+    t = rows.withColumn("label", F.expr(T.strip(SPARK, "line"))).where(only("length(label) between 3 and 80", P.is_reasonable_heading(LABEL, "label")))
     mark = F.col("label").rlike(r"(?i)^(?:chapter|part)[ \t]+(?:[0-9]+|[ivxlcdm]+)($|[^\p{L}\p{N}_])")
     capital = P.words_of(SPARK, "label")
     n, caps = F.expr(f"size({capital})"), F.expr(f"size(filter({capital}, x -> substr(x, 1, 1) = upper(substr(x, 1, 1)) and substr(x, 1, 1) <> lower(substr(x, 1, 1))))")
@@ -82,7 +86,8 @@ def index_nodes(texts: DataFrame) -> DataFrame:
     own = body.select("book_id", "text")
     w = of_book("k")
     cut = own.select("book_id", F.posexplode(chunking.raw_chunk_udf("text")).alias("k", "c")).select("book_id", "k", "c.text", "c.end")
-    cut = cut.where(F.expr(f"{T.sanitize(SPARK, 'text')} <> ''")).select("book_id", (F.row_number().over(w) - 1).alias("chunk_index"), "end")
+    # a letter is spoken wherever it stands: only chunks without one are cleaned to see whether anything is left
+    cut = cut.where(only(SPARK.has("text", "[A-Za-z]"), "true", f"{T.sanitize(SPARK, 'text')} <> ''")).select("book_id", (F.row_number().over(w) - 1).alias("chunk_index"), "end")
     # ends go back where a sentence was wrapped: only a chunk that ends past all before it can be the first to end past an offset
     past = F.coalesce(F.max("end").over(of_book("chunk_index").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(-1))
     reach = checkpoint(cut.withColumn("past", past).where("end > past").select("book_id", "chunk_index", "end"))
