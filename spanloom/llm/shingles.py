@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash finds candidates, the whole sets decide."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash and Golay codewords find candidates, the whole sets decide."""
 
 from __future__ import annotations
 
@@ -11,20 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import checkpoint, join_group, map_arrow, narrow_arrow, schema, small, texts
+from spanloom.llm.golay import LENGTH, decoded
 from spanloom.llm.graph import components
 
 #: Words of a shingle, and similarity from which two sets are linked.
 WIDTH, SIMILAR = 5, 0.8
-#: Keys of a set, and MinHashes of a key: of pairs at SIMILAR exactly, (1 - 0.8^3)^24 = 3e-8 share no key, and of closer ones fewer.
-BANDS, ROWS = 24, 3
+#: 64-bit fingerprints of a set, and the segments of LENGTH bits that they are cut into, each with a key.
+PRINTS = 23
+SEGMENTS = PRINTS * 64 // LENGTH
+#: Bits that near sets may differ in: of the first FIRST fingerprints, and of the first HELD. Sets at SIMILAR differ in about
+#: 15 of 100 bits, small ones in up to 19, which leaves over five standard deviations; others differ in 50.
+FIRST, HELD, NEAR_FIRST, NEAR = 2, 4, 48, 84
+#: The least set that another can be SIMILAR to.
+LEAST = 4
+#: A bucket of more sets than this is cut into blocks, and its pairs of blocks are dealt out as buckets; rows and links that are held at once.
+BUCKET, ROWS_AT_ONCE, LINKS_AT_ONCE = 8192, 1 << 14, 1 << 20
 #: A cluster of candidates with more sets or more shingles than this is cut into blocks, and each two blocks are compared.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 21
-AT_ONCE = 1 << 10
+AT_ONCE, TEXTS_AT_ONCE = 1 << 10, 32
 
 _draw = np.random.default_rng(42)
 PLACES = _draw.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FACTORS = _draw.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-ADDED = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+SEEDS = _draw.integers(0, 1 << 63, PRINTS, dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,16 +57,23 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(mixed(x))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set that has members; the key's band is hashed in."""
-    low = (found >> np.uint64(32)).astype(np.uint32)
-    least = np.full(len(FACTORS), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), AT_ONCE):
-        least = np.minimum(least, (low[at : at + AT_ONCE, None] * FACTORS + ADDED).min(axis=0))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
-    return key.view(np.int64)
+def votes(found: np.ndarray) -> np.ndarray:
+    """For each bit of the fingerprints of a set: members whose hash has it less those whose hash has not. A bit is 1 above 0."""
+    ones = np.zeros(PRINTS * 64, np.int64)
+    for at in range(0, len(found), AT_ONCE):
+        hashes = mixed(found[at : at + AT_ONCE, None] ^ SEEDS)
+        ones += np.add.reduce(np.unpackbits(hashes.view(np.uint8), axis=1), axis=0, dtype=np.uint16)
+    return 2 * ones - len(found)
+
+
+def simhashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first HELD fingerprints of each set, and the codewords that its segments decode to."""
+    held, words = [np.zeros((0, HELD), np.int64)], [np.zeros((0, SEGMENTS), np.uint16)]
+    for at in range(0, len(sets), TEXTS_AT_ONCE):
+        of = np.array([votes(s) for s in sets[at : at + TEXTS_AT_ONCE]])
+        held.append(np.packbits(of[:, : HELD * 64] > 0, axis=1).view(np.int64))
+        words.append(decoded(of.reshape(-1, LENGTH)).reshape(-1, SEGMENTS).astype(np.uint16))
+    return np.concatenate(held), np.concatenate(words)
 
 
 def forest(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -112,34 +127,178 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, size, keys) for each row: ``node`` is a hash of the set, one for all sets that are equal."""
+    """(doc_id, text_hash, node, size, prints, words) for each row: ``node`` is a hash of the set, one for all sets that are equal.
+
+    ``prints`` and ``words`` are those of ``simhashes``, null for sets of fewer than LEAST members.
+    """
     narrow_arrow(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t) for t in texts(b.column(1))]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 44) if len(s) else 0 for s in found], np.uint64).view(np.int64)
-            keys = [band_keys(s) if len(s) else None for s in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes), pa.array([len(s) for s in found], pa.int64()), pa.array([None if k is None else k.tobytes() for k in keys], pa.binary())], names=["doc_id", "text_hash", "node", "size", "keys"])
+            prints, words = (iter(x) for x in simhashes([s for s in found if len(s) >= LEAST]))
+            packed = [pa.array([next(x).tobytes() if len(s) >= LEAST else None for s in found], pa.binary()) for x in (prints, words)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes), pa.array([len(s) for s in found], pa.int64()), *packed], names=["doc_id", "text_hash", "node", "size", "prints", "words"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return map_arrow(rows, run, schema(("doc_id", docs.schema["doc_id"].dataType), ("text_hash", "long"), ("node", "long"), ("size", "long"), ("keys", "binary")))
+    return map_arrow(rows, run, schema(("doc_id", docs.schema["doc_id"].dataType), ("text_hash", "long"), ("node", "long"), ("size", "long"), ("prints", "binary"), ("words", "binary")))
+
+
+HELD_NAMES = [f"p{k}" for k in range(HELD)]
+MEMBERS = schema(("key", "long"), ("node", "long"), *((n, "long") for n in HELD_NAMES))
+CANDIDATES = schema(("key", "long"), ("block", "int"), ("node", "long"), ("other", "long"), *((n, "long") for n in HELD_NAMES))
 
 
 def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of MEMBERS, SEGMENTS for each set (node, prints, words): a key is a segment and the codeword that it decodes to."""
     for b in batches:
-        rows = [(n, np.frombuffer(k, np.int64)) for n, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if k]
+        rows = [r for r in zip(*(c.to_pylist() for c in b.columns), strict=True) if r[1]]
         if rows:
-            keys = np.concatenate([k for _, k in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array([n for n, _ in rows], np.int64), BANDS))], names=["key", "node"])
+            words = np.array([np.frombuffer(w, np.uint16) for _, _, w in rows], np.int64)
+            members = np.array([[n, *np.frombuffer(p, np.int64)] for n, p, _ in rows], np.int64)
+            members = np.repeat(members, SEGMENTS, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array((words | np.arange(SEGMENTS) << 12).ravel()), *(pa.array(np.ascontiguousarray(c)) for c in members.T)], names=MEMBERS.names)
+
+
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same of ``n`` rows as the links (a, b): each row that has any, with the first that it is joined to."""
+    first = np.arange(n)
+    while True:
+        x, y = first[a], first[b]
+        if (x == y).all():
+            break
+        np.minimum.at(first, np.maximum(x, y), np.minimum(x, y))
+        while (first[first] != first).any():
+            first = first[first]
+    at = np.flatnonzero(first != np.arange(n))
+    return at, first[at]
+
+
+def differing(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits rows ``a`` and ``b`` differ, from fingerprints one after another."""
+    n = np.zeros(len(a), np.uint16)
+    for p in prints:
+        n += np.bitwise_count(p[a] ^ p[b])
+    return n
+
+
+def alike(key: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same rows as all pairs of one key whose fingerprints differ in NEAR bits at most, NEAR_FIRST in the first few.
+
+    Rows are sorted by key. Each is held against the row that follows, then against the second that follows, and so on.
+    """
+    prints = np.ascontiguousarray(members[:, 1:].T).view(np.uint64)
+    ends = np.searchsorted(key, key, "right")
+    at, lag, a, b, held = np.arange(len(key)), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while len(at):
+        lag += 1
+        at = at[at + lag < ends[at]]
+        near = at[differing(prints[:FIRST], at, at + lag) <= NEAR_FIRST]
+        near = near[differing(prints, near, near + lag) <= NEAR]
+        a.append(near)
+        b.append(near + lag)
+        held += len(near)
+        if held > LINKS_AT_ONCE:
+            a, b = ([x] for x in stars(len(key), np.concatenate(a), np.concatenate(b)))
+            held = 0
+    return stars(len(key), np.concatenate(a), np.concatenate(b))
+
+
+def candidates(batches: Iterator[pa.RecordBatch], bucket: int | None, rows: int) -> Iterator[pa.RecordBatch]:
+    """Links (node, other) that join the same nodes as those within the buckets, from MEMBERS sorted by key.
+
+    A task's links are told as stars around the least nodes, which in other tasks are mostly the same. Buckets of more
+    than ``bucket`` rows, if it is given, are handed on as rows (key, block, node, prints). About ``rows`` are held at once.
+    """
+
+    def batch(key: np.ndarray, block: int, members: np.ndarray, other: np.ndarray | None = None) -> pa.RecordBatch:
+        columns = [pa.array(key), pa.array(np.full(len(key), block, np.int32)), pa.array(np.ascontiguousarray(members[:, 0]))]
+        columns.append(pa.nulls(len(key), pa.int64()) if other is None else pa.array(other))
+        columns += [pa.nulls(len(key), pa.int64()) if other is not None else pa.array(np.ascontiguousarray(members[:, k])) for k in range(1, 1 + HELD)]
+        return pa.RecordBatch.from_arrays(columns, names=CANDIDATES.names)
+
+    links = [np.zeros((0, 2), np.int64)]
+
+    def told() -> Iterator[pa.RecordBatch]:
+        nodes, at = np.unique(np.concatenate(links), return_inverse=True)
+        a, b = (nodes[x] for x in stars(len(nodes), *at.reshape(-1, 2).T))
+        del links[1:]
+        if len(a):
+            yield batch(np.zeros(len(a), np.int64), -1, a[:, None], b)
+
+    def emit(key: np.ndarray, members: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = alike(key, members)
+        links.append(np.stack([members[a, 0], members[b, 0]], axis=1))
+        if sum(map(len, links)) > LINKS_AT_ONCE:
+            yield from told()
+
+    held, n, large, blocks = [], 0, None, 0
+
+    def settle(last: bool) -> Iterator[pa.RecordBatch]:
+        """Deals with what is held but the rows of its last key, which may go on, and with these too if they are the last."""
+        nonlocal held, n, large, blocks
+        key, members = np.concatenate([k for k, _ in held]), np.concatenate([m for _, m in held])
+        if large is not None:
+            end = int(np.searchsorted(key, large, "right"))
+            if end == len(key) and not last:
+                for at in range(0, end - bucket + 1, bucket):
+                    yield batch(key[at : at + bucket], blocks, members[at : at + bucket])
+                    blocks += 1
+                rest = end % bucket
+                held, n = [(key[end - rest :], members[end - rest :])], rest
+                return
+            for at in range(0, end, bucket):
+                to = min(at + bucket, end)
+                yield batch(key[at:to], blocks, members[at:to])
+                blocks += 1
+            key, members, large, blocks = key[end:], members[end:], None, 0
+        tail = len(key) if last else int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if bucket:  # buckets of more rows than ``bucket``, of which the last may be one
+            _, starts, counts = np.unique(key[:tail], return_index=True, return_counts=True)
+            for start, count in zip(starts[counts > bucket].tolist(), counts[counts > bucket].tolist(), strict=True):
+                for block, at in enumerate(range(start, start + count, bucket)):
+                    to = min(at + bucket, start + count)
+                    yield batch(key[at:to], block, members[at:to])
+            few = np.repeat(counts <= bucket, counts)
+        else:
+            few = np.ones(tail, bool)
+        yield from emit(key[:tail][few], members[:tail][few])
+        held, n = [(key[tail:], members[tail:])], len(key) - tail
+        if bucket and n > bucket:
+            large = key[-1]
+
+    for b in batches:
+        if b.num_rows:
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            held.append((columns[0], np.stack(columns[1:], axis=1)))
+            n += b.num_rows
+            if n >= 2 * max(rows, bucket or 0):
+                yield from settle(last=False)
+    if held:
+        yield from settle(last=True)
+    yield from told()
+
+
+def near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that join the same nodes (node, prints, words) as all pairs with a codeword in one segment in common and near fingerprints."""
+    members = map_arrow(nodes.select("node", "prints", "words"), unpack, MEMBERS)
+    bucket, rows = BUCKET, ROWS_AT_ONCE
+    found = checkpoint(map_arrow(members.repartition("key").sortWithinPartitions("key"), lambda x: candidates(x, bucket, rows), CANDIDATES))
+    edges = found.where("block < 0").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    large = found.where("block >= 0").drop("other")
+    if large.isEmpty():
+        return edges
+    count = large.groupBy("key").agg(F.max("block").alias("last"))
+    dealt = large.join(F.broadcast(count), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    dealt = dealt.where("other <> block or last = 0").select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", *HELD_NAMES)
+    more = map_arrow(dealt.repartition("key").sortWithinPartitions("key"), lambda x: candidates(x, None, rows), CANDIDATES)
+    return edges.unionByName(more.select(F.col("node").alias("a"), F.col("other").alias("b")))
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) that join the same sets as all links between nodes (node, size, keys, first), where first is (doc_id, text_hash) of a row."""
-    keys = map_arrow(nodes.select("node", "keys"), unpack, schema(("key", "long"), ("node", "long")))
-    shared = checkpoint(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
-    stars = join_group(keys, shared, ["key"], "n", "node", "inner").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    root = components(stars)
+    """Edges (a, b) that join the same sets as all links between nodes (node, size, prints, words, first), where first is (doc_id, text_hash) of a row."""
+    root = components(near_fingerprints(nodes))
     held = checkpoint(nodes.join(root, "node").select("node", "size", "root", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_of")))
     parts = held.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
     parts = parts.select("root", "n", F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("m") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -163,14 +322,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, text_hash, root, component_id (smallest doc_id reachable by links, itself included).
 
     Two texts are linked when the Jaccard similarity of their sets of shingles is SIMILAR or more, decided on the whole
-    sets, as 64-bit hashes. Rows of equal sets are one node; texts without words are alike. A null doc_id is passed over
+    sets, as 64-bit hashes, of those that SimHash finds near. Rows of equal sets are one node; texts without words are alike. A null doc_id is passed over
     as a component's name, unless its members have no other. An empty table gives an empty result.
     """
     rows = checkpoint(keyed(docs))
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    nodes = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows"), F.first("size").alias("size"), F.first("keys").alias("keys"), first))
+    nodes = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows"), F.first("size").alias("size"), F.first("prints").alias("prints"), F.first("words").alias("words"), first))
     root = components(links(docs, nodes))
     known = checkpoint(nodes.join(root, "node", "left").select("node", "least_id", "n_rows", F.coalesce("root", "node").alias("root")))
     names = known.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_nodes"))
     named = checkpoint(join_group(known.select("root", "node", "n_rows"), checkpoint(names), ["root"], "n_nodes", "node").select("node", "n_rows", "root", "component_id"))
-    return join_group(rows.drop("size", "keys"), named, ["node"], "n_rows", "doc_id").select("doc_id", "text_hash", "root", "component_id")
+    return join_group(rows.drop("size", "prints", "words"), named, ["node"], "n_rows", "doc_id").select("doc_id", "text_hash", "root", "component_id")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import checkpoint, join_group, map_arrow, narrow_arrow, schema, texts, unique_ids, without_ids
+from spanloom.llm.golay import codewords, golay  # noqa: F401
 from spanloom.llm.graph import components
 from spanloom.llm.shingles import near_copies
 
-#: Generator polynomial of the perfect (23, 12) Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
-GENERATOR = 0b110001110101
 #: Bits of the three segments that a fingerprint is cut into, from the top.
 SEGMENTS = (22, 21, 21)
 #: Bits that fingerprints of a link may differ in. The keys below are made for this number.
@@ -57,52 +54,6 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return map_arrow(rows, run, schema(("doc_id", docs.schema["doc_id"].dataType), ("fp", "long"), ("text_hash", "long")))
 
 
-@cache
-def golay() -> tuple[np.ndarray, np.ndarray]:
-    """Per syndrome of a 23-bit word: the error to its nearest codeword, and what leads from there to the codewords at distance 4.
-
-    Every word is at distance 3 or less of exactly one codeword. A word at distance 3 has five codewords at distance
-    4, at the other words none: they differ from the nearest by a codeword of weight 7 that covers the error.
-    """
-    def rest(x: int) -> int:
-        for bit in range(22, 10, -1):
-            if x >> bit & 1:
-                x ^= GENERATOR << (bit - 11)
-        return x
-
-    error = np.zeros(2048, np.int64)
-    for weight in (1, 2, 3):
-        for where in combinations(range(23), weight):
-            e = sum(1 << b for b in where)
-            error[rest(e)] = e
-    heavy = [c for c in ((d << 11) | rest(d << 11) for d in range(4096)) if c.bit_count() == 7]
-    further = np.zeros((2048, 5), np.int64)
-    for s in range(2048):
-        if int(error[s]).bit_count() == 3:
-            further[s] = [c for c in heavy if c & int(error[s]) == int(error[s])]
-    return error, further
-
-
-def syndrome(words: np.ndarray) -> np.ndarray:
-    x = words.copy()
-    for bit in range(22, 10, -1):
-        x ^= np.where(x >> bit & 1, GENERATOR << (bit - 11), 0)
-    return x
-
-
-def codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 6) indices of codewords near each 23-bit word, and which of them count.
-
-    The nearest codeword, and of those at distance 4 the ones above it. Words that differ in one bit at most share
-    one: if their nearest codewords differ, each is at distance 4 of the other word, and both take the larger.
-    """
-    error, further = golay()
-    s = syndrome(words)
-    nearest = words ^ error[s]
-    near = nearest[:, None] ^ further[s]
-    return np.concatenate([nearest[:, None], near], axis=1) >> 11, np.concatenate([np.ones((len(words), 1), bool), (further[s] > 0) & (near > nearest[:, None])], axis=1)
-
-
 def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of fingerprints, as (position, key): two fingerprints at distance NEAR or less share a key.
 
@@ -254,7 +205,8 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
 def drop_near(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest doc_id. Columns unchanged, whatever their names.
 
-    Components are those of ``near_copies``: fingerprints within NEAR bits miss most texts that are alike by 0.8.
+    Components are those of ``near_copies``: found by longer fingerprints than op1's, as those within NEAR bits miss most
+    texts that are alike by 0.8.
     Of rows with that id in one component, one stays; rows of one id in different components stay each.
     """
     groups = near_copies(docs)

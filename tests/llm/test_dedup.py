@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact, graph, shingles, simhash, substring
+from spanloom.llm import exact, golay, graph, shingles, simhash, substring
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -244,6 +244,60 @@ def test_near_copies_of_similarity_one_to_four_fifths(docs_of, monkeypatch, sets
     assert sorted(r.doc_id for r in simhash.drop_near(docs_of(rows)).collect()) == sorted(set(want.values()))
 
 
+def test_codewords_of_votes_are_the_nearest():
+    rng = np.random.default_rng(9)
+    code = np.unique((c := rng.integers(0, 1 << 23, 60_000)) ^ simhash.golay()[0][golay.syndrome(c)])
+    assert len(code) == 4096
+    sent = rng.choice(code, 500)
+    signs = 2 * (sent[:, None] >> np.arange(23) & 1) - 1
+    votes = signs * rng.integers(5, 9, signs.shape)
+    for row in votes:  # four turned, though weakly, are one more than the word alone can tell
+        row[rng.choice(23, 4, replace=False)] *= -1
+    weak = np.sign(votes) * np.where(np.sign(votes) == signs, np.abs(votes), 1)
+    assert (golay.decoded(weak) == sent >> 11).all()
+    noise = rng.normal(size=(2000, 23))
+    best = code[(noise @ (2 * (code[:, None] >> np.arange(23) & 1) - 1).T).argmax(axis=1)] >> 11
+    assert (golay.decoded(noise) == best).mean() > 0.9
+
+
+@pytest.mark.parametrize(("common", "mine", "other"), [(4, 0, 1), (8, 1, 1), (12, 0, 3), (80, 10, 10), (80, 0, 20)])
+def test_sets_of_four_fifths_share_codewords_and_are_near(common, mine, other):
+    rng = np.random.default_rng(common + other)
+    for _ in range(300):
+        x = rng.integers(0, 1 << 63, common + mine + other, dtype=np.uint64)
+        prints, words = shingles.simhashes([x[: common + mine], np.delete(x, slice(common, common + mine))])
+        assert (words[0] == words[1]).any()
+        apart = np.bitwise_count((prints[0] ^ prints[1]).view(np.uint64)).astype(int)
+        assert apart[: shingles.FIRST].sum() <= shingles.NEAR_FIRST and apart.sum() <= shingles.NEAR
+
+
+@pytest.mark.parametrize(("bucket", "rows"), [(8192, 1 << 14), (8192, 8), (7, 8), (3, 8)])
+def test_buckets_of_any_size_join_the_same_sets(spark, monkeypatch, bucket, rows):
+    """Links of fingerprints by brute force; small buckets are cut into blocks. Some fingerprints are of several nodes."""
+    monkeypatch.setattr(shingles, "BUCKET", bucket)
+    monkeypatch.setattr(shingles, "ROWS_AT_ONCE", rows)
+    rng = random.Random(bucket)
+    made, node = [], 0
+    for group in range(12):
+        prints, words = rng.getrandbits(256), [rng.randrange(4096) for _ in range(shingles.SEGMENTS)]
+        for _ in range(rng.choice([1, 2, 5, 40])):
+            node += 1
+            made.append((node * 7919 % 10007, prints, [w if rng.random() < 0.3 else rng.randrange(4096) for w in words]))
+            for _ in range(rng.choice([0, 1, 30])):
+                prints ^= 1 << rng.randrange(256)
+    pack = lambda x: bytearray(x.to_bytes(32, "little"))
+    nodes = spark.createDataFrame([(n, pack(p), bytearray(np.array(w, np.uint16).tobytes())) for n, p, w in made], "node long, prints binary, words binary")
+    mine = {n: n for n, _, _ in made} | {r.node: r.root for r in graph.components(shingles.near_fingerprints(nodes)).collect()}
+    of = {n: n for n, _, _ in made}
+    first = (1 << 64 * shingles.FIRST) - 1
+    for k, (n, p, w) in enumerate(made):
+        for m, q, v in made[:k]:
+            if any(x == y for x, y in zip(w, v, strict=True)) and (p ^ q).bit_count() <= shingles.NEAR and ((p ^ q) & first).bit_count() <= shingles.NEAR_FIRST and of[n] != of[m]:
+                low, high = sorted((of[n], of[m]))
+                of = {i: low if r == high else r for i, r in of.items()}
+    assert mine == of and 12 <= len(set(of.values())) < len(of)
+
+
 def brute_repeats(rows, window=50):
     first, words = {}, {}
     for i, t in rows:
