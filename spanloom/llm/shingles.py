@@ -24,6 +24,10 @@ SEGMENTS = PRINTS * 64 // LENGTH
 FIRST, HELD, NEAR_FIRST, NEAR = 2, 4, 48, 84
 #: The least set that another can be SIMILAR to.
 LEAST = 4
+#: Segments whose buckets are searched first. What they join is not told again by the buckets of all.
+EARLY = 8
+#: In a bucket of more sets than this, each is held against those not yet reached, in a smaller one against all that follow.
+FEW = 256
 #: A bucket of more sets than this is cut into blocks, and its pairs of blocks are dealt out as buckets; rows and links that are held at once.
 BUCKET, ROWS_AT_ONCE, LINKS_AT_ONCE = 8192, 1 << 14, 1 << 20
 #: A cluster of candidates with more sets or more shingles than this is cut into blocks, and each two blocks are compared.
@@ -150,15 +154,15 @@ MEMBERS = schema(("key", "long"), ("node", "long"), *((n, "long") for n in HELD_
 CANDIDATES = schema(("key", "long"), ("block", "int"), ("node", "long"), ("other", "long"), *((n, "long") for n in HELD_NAMES))
 
 
-def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of MEMBERS, SEGMENTS for each set (node, prints, words): a key is a segment and the codeword that it decodes to."""
+def unpack(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
+    """Rows of MEMBERS, ``segments`` for each set (node, prints, words): a key is a segment and the codeword that it decodes to."""
     for b in batches:
         rows = [r for r in zip(*(c.to_pylist() for c in b.columns), strict=True) if r[1]]
         if rows:
-            words = np.array([np.frombuffer(w, np.uint16) for _, _, w in rows], np.int64)
+            words = np.array([np.frombuffer(w, np.uint16, segments) for _, _, w in rows], np.int64)
             members = np.array([[n, *np.frombuffer(p, np.int64)] for n, p, _ in rows], np.int64)
-            members = np.repeat(members, SEGMENTS, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array((words | np.arange(SEGMENTS) << 12).ravel()), *(pa.array(np.ascontiguousarray(c)) for c in members.T)], names=MEMBERS.names)
+            members = np.repeat(members, segments, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array((words | np.arange(segments) << 12).ravel()), *(pa.array(np.ascontiguousarray(c)) for c in members.T)], names=MEMBERS.names)
 
 
 def stars(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,33 +187,64 @@ def differing(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return n
 
 
+def reached(node: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same nodes as all near pairs of rows; each row is held against those not yet reached, so that near copies take one round."""
+    at, rest, a, b = np.arange(len(node)), prints, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(at) > 1:
+        front, at, rest = [at[0]], at[1:], rest[:, 1:]
+        while front and len(at):
+            p = front.pop()
+            near = np.bitwise_count(rest[:FIRST] ^ prints[:FIRST, p, None]).sum(axis=0, dtype=np.uint16) <= NEAR_FIRST
+            near[near] = np.bitwise_count(rest[:, near] ^ prints[:, p, None]).sum(axis=0, dtype=np.uint16) <= NEAR
+            new = at[near]
+            a.append(np.full(len(new), p))
+            b.append(new)
+            near |= node[at] == node[p]
+            if near.any():
+                front.extend(at[near].tolist())
+                at, rest = at[~near], rest[:, ~near]
+    return np.concatenate(a), np.concatenate(b)
+
+
 def alike(key: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the same rows as all pairs of one key whose fingerprints differ in NEAR bits at most, NEAR_FIRST in the first few.
+    """Links that join the same nodes as all pairs of one key whose fingerprints differ in NEAR bits at most, NEAR_FIRST in the first few.
 
-    Rows are sorted by key. Each is held against the row that follows, then against the second that follows, and so on.
+    Rows are sorted by key and node. Each is held against the first row of another node that follows, then against the
+    second, and so on; in buckets of more than FEW rows, against those not yet reached.
     """
     prints = np.ascontiguousarray(members[:, 1:].T).view(np.uint64)
-    ends = np.searchsorted(key, key, "right")
-    at, lag, a, b, held = np.arange(len(key)), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    _, starts, counts = np.unique(key, return_index=True, return_counts=True)
+    ends = np.repeat(starts + counts, counts)
+    node = members[:, 0]
+    last = np.flatnonzero(np.append((key[1:] != key[:-1]) | (node[1:] != node[:-1]), True)) if len(key) else starts
+    other = np.repeat(last + 1, np.diff(last, prepend=-1))
+    at, a, b, held = np.flatnonzero(np.repeat(counts <= FEW, counts)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while len(at):
-        lag += 1
-        at = at[at + lag < ends[at]]
-        near = at[differing(prints[:FIRST], at, at + lag) <= NEAR_FIRST]
-        near = near[differing(prints, near, near + lag) <= NEAR]
+        at = at[other[at] < ends[at]]
+        near = at[differing(prints[:FIRST], at, other[at]) <= NEAR_FIRST]
+        near = near[differing(prints, near, other[near]) <= NEAR]
         a.append(near)
-        b.append(near + lag)
+        b.append(other[near])
+        other[at] += 1
         held += len(near)
         if held > LINKS_AT_ONCE:
             a, b = ([x] for x in stars(len(key), np.concatenate(a), np.concatenate(b)))
             held = 0
+    many = np.flatnonzero(counts > FEW)
+    for start, count in zip(starts[many].tolist(), counts[many].tolist(), strict=True):
+        if node[start] != node[start + count - 1]:
+            x, y = reached(node[start : start + count], prints[:, start : start + count])
+            a.append(start + x)
+            b.append(start + y)
     return stars(len(key), np.concatenate(a), np.concatenate(b))
 
 
-def candidates(batches: Iterator[pa.RecordBatch], bucket: int | None, rows: int) -> Iterator[pa.RecordBatch]:
-    """Links (node, other) that join the same nodes as those within the buckets, from MEMBERS sorted by key.
+def candidates(batches: Iterator[pa.RecordBatch], bucket: int | None, rows: int, hand_on: bool = True) -> Iterator[pa.RecordBatch]:
+    """Links (node, other) that join the same nodes as those within the buckets, from MEMBERS sorted by key and node.
 
     A task's links are told as stars around the least nodes, which in other tasks are mostly the same. Buckets of more
-    than ``bucket`` rows, if it is given, are handed on as rows (key, block, node, prints). About ``rows`` are held at once.
+    than ``bucket`` rows, if it is given, are handed on as rows (key, block, node, prints), or else searched block by
+    block. About ``rows`` are held at once.
     """
 
     def batch(key: np.ndarray, block: int, members: np.ndarray, other: np.ndarray | None = None) -> pa.RecordBatch:
@@ -233,6 +268,9 @@ def candidates(batches: Iterator[pa.RecordBatch], bucket: int | None, rows: int)
         if sum(map(len, links)) > LINKS_AT_ONCE:
             yield from told()
 
+    def cut(key: np.ndarray, block: int, members: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from [batch(key, block, members)] if hand_on else emit(key, members)
+
     held, n, large, blocks = [], 0, None, 0
 
     def settle(last: bool) -> Iterator[pa.RecordBatch]:
@@ -243,14 +281,14 @@ def candidates(batches: Iterator[pa.RecordBatch], bucket: int | None, rows: int)
             end = int(np.searchsorted(key, large, "right"))
             if end == len(key) and not last:
                 for at in range(0, end - bucket + 1, bucket):
-                    yield batch(key[at : at + bucket], blocks, members[at : at + bucket])
+                    yield from cut(key[at : at + bucket], blocks, members[at : at + bucket])
                     blocks += 1
                 rest = end % bucket
                 held, n = [(key[end - rest :], members[end - rest :])], rest
                 return
             for at in range(0, end, bucket):
                 to = min(at + bucket, end)
-                yield batch(key[at:to], blocks, members[at:to])
+                yield from cut(key[at:to], blocks, members[at:to])
                 blocks += 1
             key, members, large, blocks = key[end:], members[end:], None, 0
         tail = len(key) if last else int(np.searchsorted(key, key[-1])) if len(key) else 0
@@ -259,7 +297,7 @@ def candidates(batches: Iterator[pa.RecordBatch], bucket: int | None, rows: int)
             for start, count in zip(starts[counts > bucket].tolist(), counts[counts > bucket].tolist(), strict=True):
                 for block, at in enumerate(range(start, start + count, bucket)):
                     to = min(at + bucket, start + count)
-                    yield batch(key[at:to], block, members[at:to])
+                    yield from cut(key[at:to], block, members[at:to])
             few = np.repeat(counts <= bucket, counts)
         else:
             few = np.ones(tail, bool)
@@ -281,19 +319,36 @@ def candidates(batches: Iterator[pa.RecordBatch], bucket: int | None, rows: int)
 
 
 def near_fingerprints(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) that join the same nodes (node, prints, words) as all pairs with a codeword in one segment in common and near fingerprints."""
-    members = map_arrow(nodes.select("node", "prints", "words"), unpack, MEMBERS)
+    """Links (a, b) that join the same nodes (node, prints, words) as all pairs with a codeword in one segment in common and near fingerprints.
+
+    The nodes of a large group meet in most segments, and each bucket would tell of them all again. So the first EARLY
+    segments are searched alone, within blocks; in the search of all, nodes go by the least that they are joined to, rows of
+    one such node are not compared, and pairs of blocks that hold but one are left out.
+    """
     bucket, rows = BUCKET, ROWS_AT_ONCE
-    found = checkpoint(map_arrow(members.repartition("key").sortWithinPartitions("key"), lambda x: candidates(x, bucket, rows), CANDIDATES))
-    edges = found.where("block < 0").select(F.col("node").alias("a"), F.col("other").alias("b"))
+
+    def search(members: DataFrame, most: int | None, hand_on: bool) -> DataFrame:
+        return map_arrow(members.repartition("key").sortWithinPartitions("key", "node"), lambda x: candidates(x, most, rows, hand_on), CANDIDATES)
+
+    def members(nodes: DataFrame, segments: int) -> DataFrame:
+        return map_arrow(nodes.select("node", "prints", "words"), lambda x: unpack(x, segments), MEMBERS)
+
+    def edges(found: DataFrame) -> DataFrame:
+        return found.where("block < 0").select(F.col("node").alias("a"), F.col("other").alias("b"))
+
+    root = checkpoint(components(edges(search(members(nodes, EARLY), bucket, False))).where("node <> root"))
+    known = nodes.join(F.broadcast(root) if small(root) else root, "node", "left").select(F.coalesce("root", "node").alias("node"), "prints", "words")
+    found = checkpoint(search(members(known, SEGMENTS), bucket, True))
+    joined = root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges(found))
     large = found.where("block >= 0").drop("other")
     if large.isEmpty():
-        return edges
-    count = large.groupBy("key").agg(F.max("block").alias("last"))
-    dealt = large.join(F.broadcast(count), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    dealt = dealt.where("other <> block or last = 0").select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", *HELD_NAMES)
-    more = map_arrow(dealt.repartition("key").sortWithinPartitions("key"), lambda x: candidates(x, None, rows), CANDIDATES)
-    return edges.unionByName(more.select(F.col("node").alias("a"), F.col("other").alias("b")))
+        return joined
+    blocks = checkpoint(large.groupBy("key", "block").agg(F.min("node").alias("least"), F.max("node").alias("most")))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    two = x.join(y, F.expr("x.key = y.key and x.block <= y.block and (least(x.least, y.least) < greatest(x.most, y.most))"))
+    sides = two.select("x.key", F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"), F.xxhash64("x.key", "x.block", "y.block").alias("pair"))
+    dealt = large.join(sides, ["key", "block"]).select(F.col("pair").alias("key"), "node", *HELD_NAMES)
+    return joined.unionByName(edges(search(dealt, None, True)))
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:

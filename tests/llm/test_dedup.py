@@ -298,6 +298,60 @@ def test_buckets_of_any_size_join_the_same_sets(spark, monkeypatch, bucket, rows
     assert mine == of and 12 <= len(set(of.values())) < len(of)
 
 
+def test_a_large_group_is_told_once_not_by_each_bucket(spark, monkeypatch):
+    """Rows that the search makes of a group that meets in most segments; before, each of 32 tasks told of it."""
+    made, tell = spark.sparkContext.accumulator(0), shingles.candidates
+
+    def counted(*args):
+        for b in tell(*args):
+            made.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(shingles, "candidates", counted)
+    rng, n = np.random.default_rng(5), 500
+    words = np.where(rng.random((n, shingles.SEGMENTS)) < 0.7, rng.integers(0, 4096, shingles.SEGMENTS), rng.integers(0, 4096, (n, shingles.SEGMENTS)))
+    prints = np.packbits(rng.random((n, 256)) < 0.03, axis=1)
+    nodes = spark.createDataFrame([(k, bytearray(p.tobytes()), bytearray(w.astype(np.uint16).tobytes())) for k, p, w in zip(range(n), prints, words, strict=True)], "node long, prints binary, words binary")
+    were = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(were, ("32", "false"), strict=True):
+            spark.conf.set(k, v)
+        joined = {r.node: r.root for r in graph.components(shingles.near_fingerprints(nodes)).collect()}
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert joined == dict.fromkeys(range(n), 0)
+    assert made.value <= (shingles.EARLY + 2) * n
+
+
+@pytest.mark.parametrize("few", [256, 3])
+def test_rows_of_one_node_are_joined_and_not_compared(monkeypatch, few):
+    monkeypatch.setattr(shingles, "FEW", few)
+    rng = random.Random(few)
+    rows = []
+    for key in range(30):
+        prints = rng.getrandbits(256)
+        for _ in range(rng.choice([1, 2, 9, 60])):
+            prints = rng.getrandbits(256) if rng.random() < 0.2 else prints ^ sum(1 << b for b in rng.sample(range(256), rng.choice([1, 30])))
+            rows.append((key, rng.randrange(1000 * key, 1000 * key + 40), prints))
+    rows.sort(key=lambda r: r[:2])
+    members = np.array([[n, *np.frombuffer(p.to_bytes(32, "little"), np.int64)] for _, n, p in rows], np.int64)
+    key, node = np.array([k for k, _, _ in rows]), members[:, 0]
+    a, b = shingles.alike(key, members)
+    assert (node[a] != node[b]).any() and (key[a] == key[b]).all()
+
+    def sets(pairs):
+        of = {n: n for n in node.tolist()}
+        for x, y in pairs:
+            low, high = sorted((of[x], of[y]))
+            of = {i: low if r == high else r for i, r in of.items()}
+        return of
+
+    first = (1 << 64 * shingles.FIRST) - 1
+    near = [(n, m) for i, (k, n, p) in enumerate(rows) for j, m, q in rows[:i] if j == k and (p ^ q).bit_count() <= shingles.NEAR and ((p ^ q) & first).bit_count() <= shingles.NEAR_FIRST]
+    assert sets(zip(node[a].tolist(), node[b].tolist(), strict=True)) == sets(near)
+
+
 def brute_repeats(rows, window=50):
     first, words = {}, {}
     for i, t in rows:
