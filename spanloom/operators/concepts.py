@@ -13,8 +13,8 @@ from spanloom.operators import asof, chunking
 from spanloom.operators.structure import lines, of_book, only
 from spanloom.shared import checkpoint
 
-#: Concepts and headings of a text, at most; characters of a text that are indexed (fixed values of the feature).
-CONCEPTS, HEADINGS, CHARACTERS = 5, 50, 200_000
+#: Concepts and headings of a text, at most (fixed values of the feature); characters of a text that are indexed: None is all of them.
+CONCEPTS, HEADINGS, CHARACTERS = 5, 50, None
 #: Labels without blanks around them.
 LABEL = Spark(("label",))
 TOKEN = "[A-Za-z][A-Za-z'-]+"
@@ -77,12 +77,11 @@ def expand_labels(rows: DataFrame, texts: DataFrame, key: str) -> DataFrame:
 def index_nodes(texts: DataFrame) -> DataFrame:
     """(book_id, node_id, label, anchor_id, chunk_index, char_offset) of texts (book_id, text, from): one node for all, then headings, then concepts, each with its chunk.
 
-    Texts are indexed up to CHARACTERS, from where they are read. Furniture and what lies in an essay index give no
+    Texts are indexed from where they are read to their end. Furniture and what lies in an essay index give no
     node; neither does what no spoken chunk follows.
     """
-    start = F.greatest(F.lit(0), F.least(F.coalesce("from", F.lit(0)), F.length("whole"))).cast("long")
-    body = texts.select("book_id", "from", F.expr(f"substr(text, 1, {CHARACTERS})").alias("whole")).withColumn("from", start)
-    body = checkpoint(body.select("book_id", "from", F.expr("substr(whole, cast(from + 1 as int))").alias("text")))
+    start = F.greatest(F.lit(0), F.least(F.coalesce("from", F.lit(0)), F.length("text"))).cast("long")
+    body = checkpoint(texts.withColumn("from", start).select("book_id", "from", F.expr("substr(text, cast(from + 1 as int))").alias("text")))
     own = body.select("book_id", "text")
     w = of_book("k")
     cut = own.select("book_id", F.posexplode(chunking.raw_chunk_udf("text")).alias("k", "c")).select("book_id", "k", "c.text", "c.end")
