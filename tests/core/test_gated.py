@@ -4,6 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from spanloom.functions import headings as H
+from spanloom.functions.dialect import DUCK, SPARK, nested, with_steps
 from spanloom.operators import layout, structure
 from spanloom.sources.books import LAYOUT
 
@@ -50,3 +52,19 @@ def test_furniture_goes_without_moving_lines(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and 0 < got.count() < len(rows)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+LABELS = ["Chapter  iv .. 12", "chapter 3 - The Way", "Part IV: Of Time . . . . xii", "Axiom 2 — ", " prologue ", "One two three four five 12", "Chapter 4 -", "a ․ ․ b", "Title: it xii", "Part 7–", "x . . 3", "", None]
+
+
+def test_labels_are_cleaned_without_searching_blanks(spark):
+    """A leader and a page are looked for where they can be, not at each blank of a label; what is cleaned is as by the plain steps."""
+    steps = H.clean_steps(SPARK, "label", "out")
+    assert not any("{4}" in e and "instr" not in e for _, e in steps)
+    import duckdb
+
+    got = [r.out for r in with_steps(spark.createDataFrame([(k, s) for k, s in enumerate(LABELS)], "k int, label string"), steps).orderBy("k").collect()]
+    given = duckdb.connect()
+    given.execute("create table t (k int, label varchar)")
+    given.executemany("insert into t values (?, ?)", list(enumerate(LABELS)))
+    assert got == [r[0] for r in given.sql(f"select out from {nested('t', H.clean_steps(DUCK, 'label', 'out'))} order by k").fetchall()]
