@@ -55,14 +55,14 @@ def first_word(label: str) -> Column:
     return F.regexp_extract(F.expr(T.fold(SPARK, label)), r"[\p{L}\p{N}]+", 0)
 
 
-def occurrences(books: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def occurrences(books: DataFrame, wanted: DataFrame | None = None, classes: tuple[str, ...] = ("exact", "wrapped", "prefix")) -> DataFrame:
     """Lines that may be a heading in the text: (book_id, char_offset, kind_of_match, key, label, prev_blank, next_blank, probable_toc).
 
     A line counts by itself (``exact``), with the next line that is not blank (``wrapped``), and, when it is a chapter's
     or a part's mark, by its mark (``prefix``). ``probable_toc``: a leader is on it; or within the next four lines that
     are not blank one is only a leader, or any has one while the line before is an outline number. With ``wanted``
     (book_id, key, prefix_key) only lines count that begin with the first word of one of these keys; the others are left
-    out before any label is cleaned.
+    out before any label is cleaned. Only the ``classes`` asked for are made.
     """
     w = of_book("n")
     rows = split_lines(books)
@@ -76,7 +76,8 @@ def occurrences(books: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     t = t.withColumn("following", F.lead("t").over(w))
     joined = F.when(F.col("t").endswith("-"), F.concat(F.regexp_replace("t", "-$", ""), F.col("following"))).otherwise(F.concat(F.col("t"), F.lit(" "), F.col("following")))
     as_ = lambda label, match: F.struct(label.alias("label"), F.lit(match).alias("match"))
-    forms = F.array_compact(F.array(as_(F.col("t"), "exact"), F.when(F.col("following").isNotNull(), as_(joined, "wrapped"))))
+    wrapped = [F.when(F.col("following").isNotNull(), as_(joined, "wrapped"))] if "wrapped" in classes else []
+    forms = F.array_compact(F.array(as_(F.col("t"), "exact"), *wrapped))
     kept = ["book_id", "char_offset", "prev_blank", "next_blank", "probable_toc"]
     both = t.select(*kept, F.inline(forms))
     if wanted is not None:
@@ -85,7 +86,8 @@ def occurrences(books: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
         both = both.withColumn("head", first_word("label")).join(F.broadcast(heads) if small(heads) else heads, ["book_id", "head"], "left_semi").drop("head")
     c = cleaned(both)
     c = c.withColumn("key", F.expr(T.label_key(SPARK, "clean")))
-    c = c.withColumn("match", F.explode(F.expr("case when match = 'exact' and kind in ('chapter', 'part') then array('exact', 'prefix') else array(match) end")))
+    if "prefix" in classes:
+        c = c.withColumn("match", F.explode(F.expr("case when match = 'exact' and kind in ('chapter', 'part') then array('exact', 'prefix') else array(match) end")))
     return c.select("book_id", "char_offset", "match", "key", F.col("clean").alias("label"), "prev_blank", "next_blank", "probable_toc")
 
 
@@ -99,6 +101,17 @@ def matched(wanted: DataFrame, found: DataFrame) -> DataFrame:
     return all_.withColumn("r", rank).withColumn("best", F.min("r").over(W.Window.partitionBy("book_id", "key"))).where("r = best").drop("r", "best")
 
 
+def matched_own(found: DataFrame) -> DataFrame:
+    """Occurrences of the best class of their label, where labels are taken from the occurrences (book_id, match, key, ...) themselves.
+
+    Each label then has the line that it was taken from, exact or wrapped, so that none is matched by its mark alone:
+    a label's occurrences are one group, which meets no other, and a book stays where its lines are.
+    """
+    rank = F.expr("case match when 'exact' then 0 else 1 end")
+    t = found.where("not probable_toc and match <> 'prefix'").withColumn("r", rank)
+    return t.withColumn("best", F.min("r").over(W.Window.partitionBy("book_id", "key"))).where("r = best").drop("r", "best")
+
+
 def best_occurrences(rows: DataFrame) -> DataFrame:
     """Of each label's occurrences (book_id, key, at, prev_blank, next_blank, cut) the best: from SOFT before the cut on the first, else the last best set off by blank lines."""
     soft = F.greatest(F.lit(0), F.col("cut") - SOFT)

@@ -1,9 +1,11 @@
 """What several branches of a query tell from is worked out once; files of few row groups are many tasks."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.functions import headings as H
 from spanloom.functions.dialect import SPARK
+from spanloom.operators import landmarks
 from spanloom.plans import catalogue, further, more, reading, streams, whole  # noqa: F401
 from spanloom.sources import books as B
 
@@ -39,3 +41,20 @@ WORDS = {"The Way of All": (4, 4), "over The -- hill": (2, 2), "1984 in Kew": (2
 def test_title_words(spark, digits):
     rows = spark.createDataFrame([(w,) for w in WORDS], "w string").selectExpr("w", f"{H.title_words(SPARK, 'w', digits)} as n").collect()
     assert {r.w: r.n for r in rows} == {w: n[digits] for w, n in WORDS.items()}
+
+
+def test_labels_of_lines_are_matched_without_a_join(spark):
+    """Labels taken from the lines of a book meet no other rows than those of their key, and have the occurrences that a join finds."""
+    text = "Chapter 1: A Storm\n\nChapter 1\n\nThe Way\nof All\n\nThe Way of All\n\nthe way\nOF ALL\n\nPart 2\n\nPart 2 - On\n\nContents .... 3\n\nThe Way\n"
+    o = landmarks.occurrences(spark.createDataFrame([(1, text), (2, text[20:])], "book_id long, text string"))
+    got = landmarks.matched_own(o)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    mark = F.regexp_extract("label", r"(?i)^((?:chapter|part|book)\s+[0-9ivxlcdm]+)(?:$|[^\p{L}\p{N}_])", 1)
+    wanted = o.where("not probable_toc and match <> 'prefix'").groupBy("book_id", "key").agg(F.any_value(F.when(mark != "", F.lower(mark))).alias("prefix_key"))
+    want = landmarks.matched(wanted, o).select("book_id", "key", "match", "at")
+    assert sorted(map(tuple, got.select("book_id", "key", "match", "char_offset").collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+
+
+def test_lines_are_not_wrapped_where_only_exact_ones_are_asked_for(spark):
+    plan = catalogue.queries()["best_occurrence"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "wrapped" not in plan and "prefix" not in plan
