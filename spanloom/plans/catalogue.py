@@ -426,7 +426,7 @@ tiers as (select *, case when pos0 < cut and pos0 >= greatest(0, cut - 250) then
 
 @query("best_occurrence", "book_id:long key:string at:long", O.q(*O.WHOLE, O.OCCURRENCES, _BEST, select="select book_id, key, pos0 as \"at\" from (select *, row_number() over (partition by book_id, key order by tier, case when tier = 2 then -(prev_blank::int + next_blank::int) else 0 end, case when tier = 2 then -pos0 else pos0 end) as rn from tiers) where rn = 1"))
 def best_occurrence(spark, sf):
-    o = landmarks.occurrences(books(spark, sf)).where("match = 'exact' and not probable_toc and key <> ''")
+    o = landmarks.occurrences(books(spark, sf), classes=("exact",)).where("not probable_toc and key <> ''")
     rows = o.join(bounds(spark, sf).select("book_id", F.col("reading_start").alias("cut")), "book_id").select("book_id", "key", F.col("char_offset").alias("at"), "prev_blank", "next_blank", "cut")
     return landmarks.best_occurrences(rows)
 
